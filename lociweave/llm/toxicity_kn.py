@@ -3,9 +3,9 @@
 Two word-bigram models, one of toxic and one of ordinary documents, score each
 text; the score is a logistic function of their length-normalised
 log-likelihood difference.  Both models are interpolated absolute-discount
-models: bigram -> class unigram -> shared continuation distribution.  The last
+models: word pair -> word -> word stem -> shared continuation counts.  The last
 level counts left contexts over both classes, so an expression that is rare in
-either class is explained by the same shared counts and adds nothing.  Counts of
+either class is explained by its stem and the shared counts.  Counts of
 the larger class are scaled to the smaller one's size before the discount, so
 that neither class looks better merely because it was seen more.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise, repeat
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +39,18 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(WORD_FOLD).split()
 
 
+#: Bytes of a word's stem, the unit that words too rare to count back off to.
+STEM = 5
+
+
 @dataclass
 class NgramModel:
-    """Log-ratio tables: per known word, per known bigram, and per context."""
+    """Log-ratio tables by unit (0: unknown, then frequent words, then stems), by context
+    and by pair of units."""
 
     vocab: dict[bytes, int]
-    word_ratio: np.ndarray
+    stems: dict[bytes, int]
+    unit_ratio: np.ndarray
     context_ratio: np.ndarray
     pair_keys: np.ndarray
     pair_ratio: np.ndarray
@@ -54,11 +60,13 @@ class NgramModel:
         """log P(words | toxic) - log P(words | ordinary)."""
         if not words:
             return 0.0
-        ids = np.fromiter(map(self.vocab.get, words, repeat(0)), np.int64, len(words))
+        word, stem = self.vocab.get, self.stems.get
+        ids = np.fromiter([word(w) or stem(w[:STEM], 0) for w in words], np.int64, len(words))
         left = np.concatenate(([0], ids[:-1]))
-        total = self.word_ratio[ids] + self.context_ratio[left]
+        left[left >= len(self.context_ratio)] = 0
+        total = self.unit_ratio[ids] + self.context_ratio[left]
         if len(self.pair_keys):
-            keys = left * len(self.word_ratio) + ids
+            keys = left * len(self.unit_ratio) + ids
             at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
             known = self.pair_keys[at] == keys
             total[known] = self.pair_ratio[at[known]]
@@ -76,41 +84,68 @@ def features(ratio: np.ndarray | float, n: np.ndarray | int) -> np.ndarray:
     return np.stack([100 * ratio / size, ratio / np.sqrt(size), 1 / np.sqrt(size), np.ones_like(size)], axis=-1)
 
 
-def build_model(words: list[bytes], word_n: np.ndarray, contexts: np.ndarray, seen: np.ndarray, totals: dict[str, float], pairs: np.ndarray, pair_n: np.ndarray, discount: float = 8.0, common: float = 3.0) -> NgramModel:
-    """Tables of the two models from the counts of frequent words and pairs.
+@dataclass
+class Counts:
+    """What a model is built from; every (n, 2) array has the classes ordinary and toxic.
+
+    words, word_n, word_contexts: frequent words, their counts, and their distinct left
+    neighbours over both classes; stems alike, summed over all words with the stem;
+    seen: pairs that begin with a frequent word (row 0: with any other or a text's
+    start); pairs: left (0: other) and right word number from 1; totals: counts by class
+    and contexts of all words.
+    """
 
-    word_n: (V, 2) counts by class (ordinary, toxic); contexts: (V,) distinct left
-    neighbours over both classes; seen: (V + 1, 2) pairs that begin with a word
-    (row 0: at a text's start); pairs: (P, 2) left (0: start) and right word number
-    from 1; totals: words by class ("n0", "n1"), "types" and "contexts" of all
-    words, rare ones too.  A class keeps of a count what exceeds ``discount`` plus
-    ``common`` times the other class's count; the rest goes to the shared level.
-    A count without such an excess has the ratio of an unknown word, so words and
-    pairs below the discount need no entry and the tables stay small.
+    words: list[bytes]
+    word_n: np.ndarray
+    word_contexts: np.ndarray
+    stems: list[bytes]
+    stem_n: np.ndarray
+    stem_contexts: np.ndarray
+    seen: np.ndarray
+    pairs: np.ndarray
+    pair_n: np.ndarray
+    totals: np.ndarray
+    total_contexts: float
+
+
+def build_model(c: Counts, discount: float, common: float = 3.0) -> NgramModel:
+    """Tables of the two models.
+
+    A class keeps of a count what exceeds ``discount`` plus ``common`` times the other
+    class's count; the rest backs off, from a pair to its right word, from a word to its
+    stem, from a stem to the shared contexts.  A count without such an excess has the
+    ratio of what it backs off to, so the tables need the frequent words and pairs only.
     """
-    size = np.array([totals["n0"], totals["n1"]], float)
-    if not len(words) or (size == 0).any():
-        return NgramModel({}, np.zeros(1), np.zeros(1), np.zeros(0, np.int64), np.zeros(0), np.zeros(4))
-    scale = size.min() / size
-    total = size.min()
-    uni = np.vstack([[0.0, 0.0], word_n * scale])
-    kept = np.maximum(uni - discount - common * uni[:, ::-1], 0)
-    shared = np.concatenate(([0.0], contexts.astype(float))) + 0.5  # a word never seen has half a context
-    shared /= totals["contexts"] + 0.5 * (totals["types"] + 1)
-    base = kept / total + (1 - kept.sum(axis=0) / total) * shared[:, None]
-    word_ratio = np.log(base[:, 1]) - np.log(base[:, 0])
-    counts = pair_n * scale
-    pair_kept = np.maximum(counts - discount - common * counts[:, ::-1], 0)
-    left, right = pairs[:, 0], pairs[:, 1]
-    seen = seen * scale + discount  # an unseen context backs off wholly
-    back = 1 - np.stack([np.bincount(left, pair_kept[:, k], len(uni)) for k in (0, 1)], axis=1) / seen
-    context_ratio = np.log(back[:, 1]) - np.log(back[:, 0])
-    prob = pair_kept / seen[left] + back[left] * base[right]
+    if not len(c.words) or (c.totals == 0).any():
+        return NgramModel({}, {}, np.zeros(1), np.zeros(1), np.zeros(0, np.int64), np.zeros(0), np.zeros(4))
+    total = c.totals.min()
+    scale = total / c.totals
+    keep = lambda n: np.maximum(n - discount - common * n[:, ::-1], 0)
+    kept = keep(c.word_n * scale)
+    back = 1 - kept.sum(axis=0) / total
+    number = {x: i for i, x in enumerate(c.stems)}
+    own = np.array([number.get(w[:STEM], len(c.stems)) for w in c.words])
+    left_over = c.stem_n * scale - np.stack([np.bincount(own, kept[:, k], len(c.stems) + 1)[:-1] for k in (0, 1)], axis=1)
+    stem_kept = keep(np.maximum(left_over, 0))
+    rest = 1 - stem_kept.sum(axis=0) / (total * back)
+    shared = np.concatenate((c.stem_contexts, [0.0])) + 0.5
+    stem_p = np.vstack((stem_kept, [[0.0, 0.0]])) / (total * back) + rest * (shared / (c.total_contexts + 0.5))[:, None]
+    word_p = kept / total + back * stem_p[own] * np.minimum(1.0, (c.word_contexts + 0.5) / shared[own])[:, None]
+    unit_p = np.vstack((rest, word_p, stem_p[:-1]))
+    unit_ratio = np.log(unit_p[:, 1]) - np.log(unit_p[:, 0])
+    n_words, counts = len(c.words) + 1, c.pair_n * scale
+    pair_kept = keep(counts)
+    seen = c.seen * scale + discount  # an unseen context backs off wholly
+    left, right = c.pairs[:, 0], c.pairs[:, 1]
+    loss = 1 - np.stack([np.bincount(left, pair_kept[:, k], n_words) for k in (0, 1)], axis=1) / seen
+    context_ratio = np.log(loss[:, 1]) - np.log(loss[:, 0])
     strong = pair_kept.any(axis=1)
-    keys = left[strong].astype(np.int64) * len(uni) + right[strong]
-    ratio = (np.log(prob[:, 1]) - np.log(prob[:, 0]))[strong]
+    prob = (pair_kept / seen[left] + loss[left] * unit_p[right])[strong]
+    keys = left[strong].astype(np.int64) * len(unit_ratio) + right[strong]
     order = np.argsort(keys)
-    return NgramModel({w: i + 1 for i, w in enumerate(words)}, word_ratio, context_ratio, keys[order], ratio[order], np.zeros(4))
+    ratio = np.log(prob[:, 1]) - np.log(prob[:, 0])
+    vocab, stems = {w: i + 1 for i, w in enumerate(c.words)}, {w: i + n_words for i, w in enumerate(c.stems)}
+    return NgramModel(vocab, stems, unit_ratio, context_ratio, keys[order], ratio[order], np.zeros(4))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
@@ -129,13 +164,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 
 
 def pair_counts(train: DataFrame) -> DataFrame:
-    """(v, w, n0, n1): word pairs of the training texts by class; v is empty at a text's start."""
+    """(v, w, n0, n1): in how many training texts of each class a word pair occurs.
+
+    v is empty at a text's start.  Texts are counted and not occurrences, so that a
+    phrase which one document repeats does not pass for a habit of its class.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: tuple[Counter, Counter] = (Counter(), Counter())
             for text, label in zip(batch.column(0), batch.column(1), strict=True):
-                found[label.as_py()].update(pairwise([b"", *words_of(text.as_py())]))
+                found[label.as_py()].update(set(pairwise([b"", *words_of(text.as_py())])))
             for label, counts in enumerate(found):
                 v, w = zip(*counts, strict=True) if counts else ((), ())
                 n = pa.array(counts.values(), pa.int64())
@@ -146,19 +185,19 @@ def pair_counts(train: DataFrame) -> DataFrame:
     return rows.groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def text_ratios(docs: DataFrame, model: NgramModel, keep: str, kind: str) -> DataFrame:
-    """(keep, ratio, n_words, score) of every text under the model; one pass, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def text_ratios(docs: DataFrame, models: list[NgramModel], keep: str, kind: str) -> DataFrame:
+    """(keep, ratios, n_words, score) of every text: its log ratio under each model and its
+    score under the first; one pass, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            rows = [(m.log_ratio(w := words_of(t.as_py())), len(w)) for t in batch.column(1)]
-            ratio, n = np.array(rows, float).reshape(-1, 2).T
-            score = 1 / (1 + np.exp(-np.clip(features(ratio, n) @ m.weights, -35, 35)))
-            yield pa.record_batch([batch.column(0), pa.array(ratio), pa.array(n.astype(np.int64)), pa.array(score)], names=[keep, "ratio", "n_words", "score"])
+            texts = (words_of(t.as_py()) for t in batch.column(1))
+            rows = np.array([(len(w), *(m.log_ratio(w) for m in shared.value)) for w in texts], float).reshape(len(batch), -1)
+            score = 1 / (1 + np.exp(-np.clip(features(rows[:, 1], rows[:, 0]) @ shared.value[0].weights, -35, 35)))
+            yield pa.record_batch([batch.column(0), pa.array(list(rows[:, 1:]), pa.list_(pa.float64())), pa.array(rows[:, 0].astype(np.int64)), pa.array(score)], names=[keep, "ratios", "n_words", "score"])
 
-    return docs.select(keep, "text").mapInArrow(run, f"{keep} {kind}, ratio double, n_words long, score double")
+    return docs.select(keep, "text").mapInArrow(run, f"{keep} {kind}, ratios array<double>, n_words long, score double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -166,27 +205,44 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000, discount: float = 8.0, common: float = 3.0, min_count: int = 6) -> NgramModel:
+def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000, discounts: tuple[float, ...] = (1.0, 2.0, 4.0, 8.0), common: float = 3.0, min_count: int = 3) -> NgramModel:
     """Train on labelled documents that are not held out; three quarters give the counts,
-    one quarter the calibration.  ``max_train_docs`` bounds the sample, and so the model."""
+    one quarter the calibration and the choice of the discount.  ``max_train_docs`` bounds
+    the sample, and so the model.  Texts that repeat count once."""
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null").filter(~held_out())
     sample = labelled.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs)
-    train = cut_lineage(doc_frame(docs).join(F.broadcast(sample), "doc_id").select("text", "label", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0).alias("calibrates")))
+    train = cut_lineage(doc_frame(docs).join(F.broadcast(sample), "doc_id").groupBy(F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label", (F.pmod("t", F.lit(4)) == 0).alias("calibrates")))
     pairs = cut_lineage(pair_counts(train.filter("not calibrates")))
-    words = pairs.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("contexts"))
-    totals = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n0", "n1", "contexts")], F.count(F.lit(1)).alias("types")).first().asDict()
-    frequent = words.filter(F.col("n0") + F.col("n1") >= min_count).orderBy("w").toArrow().to_pydict()
+    counts = gather(pairs, min_count)
+    models = [build_model(counts, d, common) for d in discounts]
+    held = text_ratios(train.filter("calibrates"), models, "label", "int").select("ratios", "n_words", "label").toArrow().to_pydict()
+    ratios, n, y = np.array(held["ratios"], float).reshape(-1, len(models)), np.array(held["n_words"], float), np.array(held["label"], float)
+    losses = []
+    for k, model in enumerate(models):
+        x = features(ratios[:, k], n)
+        model.weights = fit_logistic(x, y)
+        p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -35, 35)))
+        losses.append(-(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)).sum())
+    return models[int(np.argmin(losses))]
+
+
+def gather(pairs: DataFrame, min_count: int) -> Counts:
+    """The counts of frequent words, stems and pairs; their number is bounded by the sample's."""
+    both = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
+    enough = F.col("n0") + F.col("n1") >= min_count
+    words = pairs.groupBy("w").agg(*both, F.count(F.lit(1)).alias("contexts"))
+    stems = words.groupBy(F.substring("w", 1, STEM).alias("w")).agg(*both, F.sum("contexts").alias("contexts"))
+    total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n0", "n1", "contexts")]).first()
+    frequent, stem = words.filter(enough).orderBy("w").toArrow().to_pydict(), stems.filter(enough).orderBy("w").toArrow().to_pydict()
     number = {w: i + 1 for i, w in enumerate(frequent["w"])}
     seen = np.zeros((len(number) + 1, 2))
-    for r in pairs.groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n0") + F.col("n1") >= min_count).toArrow().to_pylist():
-        seen[number.get(r["v"], 0)] += (r["n0"], r["n1"])
-    strong = pairs.filter(F.col("n0") + F.col("n1") >= min_count).toArrow().to_pylist()
-    known = [(number.get(r["v"], 0), number[r["w"]], r["n0"], r["n1"]) for r in strong if r["w"] in number]
-    known = np.array(sorted(known), float).reshape(-1, 4)
-    model = build_model(frequent["w"], np.array([frequent["n0"], frequent["n1"]], float).T.reshape(-1, 2), np.array(frequent["contexts"], float), seen, totals, known[:, :2].astype(np.int64), known[:, 2:], discount, common)
-    held = text_ratios(train.filter("calibrates"), model, "label", "int").select("ratio", "n_words", "label").toArrow().to_pydict()
-    model.weights = fit_logistic(features(np.array(held["ratio"], float), np.array(held["n_words"], float)), np.array(held["label"], float))
-    return model
+    for v, n0, n1 in zip(*pairs.groupBy("v").agg(*both).filter(enough).orderBy("v").toArrow().to_pydict().values(), strict=True):
+        seen[number.get(v, 0)] += (n0, n1)
+    found = pairs.select("v", "w", "n0", "n1").filter(enough).toArrow().to_pydict()
+    known = [(number.get(v, 0), number[w], n0, n1) for v, w, n0, n1 in zip(*found.values(), strict=True) if w in number]
+    merged = np.array(sorted(known), float).reshape(-1, 4)
+    table = lambda t: np.array([t["n0"], t["n1"]], float).T.reshape(-1, 2)
+    return Counts(frequent["w"], table(frequent), np.array(frequent["contexts"], float), stem["w"], table(stem), np.array(stem["contexts"], float), seen, merged[:, :2].astype(np.int64), merged[:, 2:], np.array(total[:2], float), float(total[2]))
 
 
 def toxicity(docs: DataFrame, model: NgramModel, threshold: float = 0.7) -> DataFrame:
@@ -195,7 +251,7 @@ def toxicity(docs: DataFrame, model: NgramModel, threshold: float = 0.7) -> Data
     Every row is scored on its whole text, repeated rows as often as they occur;
     null and empty texts score as texts without words.  Extra columns are ignored.
     """
-    scored = text_ratios(doc_frame(docs), model, "doc_id", "long")
+    scored = text_ratios(doc_frame(docs), [model], "doc_id", "long")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_words")
 
 
