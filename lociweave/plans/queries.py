@@ -238,10 +238,11 @@ _DOSE = "CASE WHEN v < -0.1 THEN 0.0 WHEN v < 0.1 THEN 1.0 ELSE 2.0 END"
 WITH d AS (SELECT feature_id, ind, {_DOSE} AS g FROM {_LONG}),
 s AS (SELECT feature_id, avg(g) AS m, stddev_samp(g) AS sd FROM d GROUP BY 1 HAVING least(avg(g) / 2, 1 - avg(g) / 2) >= 0.01 AND stddev_samp(g) > 0),
 z AS (SELECT feature_id, ind, (g - m) / sd AS z FROM d JOIN s USING (feature_id))
-SELECT CAST(a.ind AS BIGINT) AS i, CAST(b.ind AS BIGINT) AS j, round(sum(a.z * b.z) / (SELECT count(*) FROM s), 6) AS value FROM z a JOIN z b ON a.feature_id = b.feature_id AND a.ind <= b.ind GROUP BY 1, 2""")
+SELECT CAST(a.ind AS BIGINT) AS i, CAST(b.ind AS BIGINT) AS j, round(sum(a.z * b.z) / (SELECT count(*) FROM s), 6) + 0.0::DOUBLE AS value FROM z a JOIN z b ON a.feature_id = b.feature_id AND a.ind <= b.ind GROUP BY 1, 2""")
 def relationship_matrix(spark, sf_dir):
     dose = F.transform("values", lambda v: F.when(v < -0.1, 0.0).when(v < 0.1, 1.0).otherwise(2.0))
-    return _rounded(matrix.relationship_matrix(_features(spark, sf_dir).select(dose.alias("values"))), {"value": 6})
+    pairs = matrix.relationship_matrix(_features(spark, sf_dir).select(dose.alias("values")))
+    return pairs.select("i", "j", (F.round("value", 6) + F.lit(0.0)).alias("value"))  # no negative zero
 
 
 @register(f"WITH {_moments_sql('1, 65', '1, 65')} SELECT i, j, round(value, 7) AS value FROM cov")
@@ -410,7 +411,7 @@ def parameter_grid(spark, sf_dir):
 
 @register("""
 WITH v AS (SELECT p_partkey, CASE WHEN p_size % 24 = 23 THEN 'X' WHEN p_size % 24 = 22 THEN 'Y' ELSE CAST(p_size % 24 + 1 AS VARCHAR) END AS ch, chr(CAST(65 + p_partkey % 4 AS INT)) AS ref, chr(CAST(65 + p_size % 4 AS INT)) AS alt, p_retailprice AS w, p_name FROM part)
-SELECT p_partkey, CAST(p_partkey AS INT) AS gene_number, 'ENSG' || lpad(CAST(p_partkey AS VARCHAR), 11, '0') AS gene_id, CASE WHEN ch = 'X' THEN 23 ELSE TRY_CAST(ch AS INT) END AS chrom, CAST(p_partkey AS INT) AS pos, ref, alt,
+SELECT p_partkey, CAST(p_partkey AS INT) AS gene_number, 'ENSG' || lpad(CAST(p_partkey AS VARCHAR), 11, '0') AS gene_id, CAST(CASE WHEN ch = 'X' THEN 23 ELSE TRY_CAST(ch AS INT) END AS VARCHAR) AS chrom, CAST(p_partkey AS INT) AS pos, ref, alt,
   CAST(ref < alt AS INT) AS flip, round(CASE WHEN ref < alt THEN -w ELSE w END, 2) AS weight, round(CASE WHEN ref < alt THEN ln(1 / w) ELSE ln(w) END, 8) AS log_effect, len(p_name) - len(replace(p_name, 'e', '')) AS n_e, 'chr' || ch || '_' || p_partkey AS locus FROM v""")
 def identifier_functions(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
@@ -420,7 +421,7 @@ def identifier_functions(spark, sf_dir):
     ref, alt = c.variant_part(F.col("id"), "ref"), c.variant_part(F.col("id"), "alt")
     flip = c.flip_flag(ref, alt)
     return v.select(
-        "p_partkey", c.gene_number(F.col("g")).alias("gene_number"), c.gene_id(c.gene_number(F.col("g"))).alias("gene_id"), c.chromosome(c.variant_part(F.col("id"), "chrom")).alias("chrom"), c.variant_part(F.col("id"), "pos").alias("pos"), ref.alias("ref"), alt.alias("alt"), flip.alias("flip"),
+        "p_partkey", c.gene_number(F.col("g")).alias("gene_number"), c.gene_id(c.gene_number(F.col("g"))).alias("gene_id"), c.chromosome(c.variant_part(F.col("id"), "chrom")).cast("string").alias("chrom"), c.variant_part(F.col("id"), "pos").alias("pos"), ref.alias("ref"), alt.alias("alt"), flip.alias("flip"),
         F.round(c.flip_effect(F.col("p_retailprice"), flip), 2).alias("weight"), F.round(c.log_effect(F.col("p_retailprice"), ref, alt), 8).alias("log_effect"), c.symbol_count(F.col("p_name"), "e").cast("long").alias("n_e"), c.locus_name(F.col("ch"), F.col("p_partkey")).alias("locus"),
     )
 
@@ -483,9 +484,9 @@ def standardise(spark, sf_dir):
     return _rounded(relational.standardise(_t(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "z").select("l_orderkey", "l_linenumber", "l_suppkey", "z"), {"z": 6})
 
 
-@register("SELECT p_partkey, CASE WHEN p_size > 0 AND p_size <= 10 THEN 1 WHEN p_size > 10 AND p_size <= 25 THEN 2 WHEN p_size > 25 AND p_size <= 40 THEN 3 END AS bin FROM part")
+@register("SELECT p_partkey, CASE WHEN p_size > 0 AND p_size <= 10 THEN '1' WHEN p_size > 10 AND p_size <= 25 THEN '2' WHEN p_size > 25 AND p_size <= 40 THEN '3' END AS bin FROM part")
 def binned(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select("p_partkey", c.cut_right(F.col("p_size"), [0, 10, 25, 40]).alias("bin"))
+    return _t(spark, sf_dir, "part").select("p_partkey", c.cut_right(F.col("p_size"), [0, 10, 25, 40]).cast("string").alias("bin"))
 
 
 @register("WITH d AS (SELECT o_totalprice - 150000 AS d FROM orders) SELECT count(*) AS n, round(avg(d), 3) AS mean_difference, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t FROM d")
@@ -522,7 +523,7 @@ def nonzero_share(spark, sf_dir):
     return _rounded(regress.nonzero_share(_t(spark, sf_dir, "lineitem"), "l_suppkey", "l_discount"), {"share": 8})
 
 
-@register("SELECT vec_id, len(list_filter(embedding, x -> round(CAST(x AS DOUBLE), 1) <> CAST(x AS DOUBLE))) = 0 AS categorical FROM embeddings")
+@register("SELECT vec_id, len(list_filter(embedding, lambda x: round(CAST(x AS DOUBLE), 1) <> CAST(x AS DOUBLE))) = 0 AS categorical FROM embeddings")
 def categorical_covariates(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings")
     return e.select("vec_id", c.categorical(F.col("embedding").cast("array<double>")).alias("categorical"))
