@@ -4,15 +4,16 @@ A source's target is its share of all words by weight, capped at ``max_repeat``
 times the source's own words, with the excess shared out again by weight.  A
 document of the source is wanted target / size-of-source times: the whole part
 is taken outright, and the fractions are rounded together.  Two fractions meet,
-mass moves at random from one to the other until one of them is 0 or 1, and the
+words move at random from one to the other until one of them is 0 or 1, and the
 other goes on; a bucket of about ``fan_in`` documents leaves one fraction, the
 leftovers of ``fan_in`` buckets meet on the next level, and so on up a reduction
 tree until a source has one fraction, which is drawn.
 
-Documents meet in order of size, so mass moves between documents of nearly the
-same length and a source's words stay near its target.  Buckets are cut by
-(source, size class, hash of doc_id), so a source with a third of all rows has
-many buckets like any other, and no task sees more than a bucket at once.
+A transfer keeps the words of the pair, so a source's words stay at its target up
+to its last fraction.  In a bucket the longest document comes first and takes part
+until it is settled, so short documents are the ones left over.  Buckets are cut
+by source and hash of doc_id, so a source with a third of all rows has many
+buckets like any other, and no task sees more than a bucket at once.
 DataFrame functions only.
 """
 
@@ -26,20 +27,26 @@ from lociweave.llm.common import cut_lineage, doc_frame
 #: A word is a run of characters other than blank, tab, newline, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Two fractions exchange words: either a gains what x loses, or x gains what a loses, until
+#: one of them is 0 or 1.  The chances of the two ways keep every expected fraction.
 _FOLD = """
 aggregate(
   slice(items, 2, size(items)),
   named_struct('doc_id', items[0].doc_id, 'size', items[0].size, 'p', items[0].p,
                'done', cast(array() as array<struct<doc_id:bigint,size:bigint,take:int>>)),
-  (a, x) -> named_struct(
-    'doc_id', if({stays}, a.doc_id, x.doc_id),
-    'size', if({stays}, a.size, x.size),
-    'p', if(a.p + x.p < 1D, a.p + x.p, a.p + x.p - 1D),
-    'done', concat(a.done, array(named_struct(
-      'doc_id', if({stays}, x.doc_id, a.doc_id),
-      'size', if({stays}, x.size, a.size),
-      'take', if(a.p + x.p < 1D, 0, 1))))))
-""".format(stays="(if(a.p + x.p < 1D, x.u * (a.p + x.p) < a.p, x.u * (2D - a.p - x.p) >= 1D - x.p))")
+  (a, x) -> transform(
+    array(named_struct('rise', least(1D - a.p, x.p * x.size / a.size), 'fall', least(a.p, (1D - x.p) * x.size / a.size))),
+    m -> transform(array(if(x.u * (m.rise + m.fall) < m.fall,
+      named_struct('a_p', a.p + m.rise, 'x_p', x.p - m.rise * a.size / x.size, 'a_done', 1D - a.p <= x.p * x.size / a.size, 'a_take', 1),
+      named_struct('a_p', a.p - m.fall, 'x_p', x.p + m.fall * a.size / x.size, 'a_done', a.p <= (1D - x.p) * x.size / a.size, 'a_take', 0))),
+      t -> named_struct(
+        'doc_id', if(t.a_done, x.doc_id, a.doc_id),
+        'size', if(t.a_done, x.size, a.size),
+        'p', greatest(0D, least(1D, if(t.a_done, t.x_p, t.a_p))),
+        'done', concat(a.done, array(if(t.a_done,
+          named_struct('doc_id', a.doc_id, 'size', a.size, 'take', t.a_take),
+          named_struct('doc_id', x.doc_id, 'size', x.size, 'take', 1 - t.a_take))))))[0])[0])
+"""
 
 
 def _uniform(*cols):
@@ -54,22 +61,23 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeat: float = 3.0) -> DataFrame:
-    """(source, source_size, target): the capped shares of all words.
+    """(source, source_size, units, target): the capped shares of all words; units are
+    documents with words.
 
     Sources in code point order, null last, weigh ``weights`` in turn.  The fixed point
     of capping and resharing is target = min(cap, level * weight): with sources ordered
     by cap / weight, the level is that of the first source that it does not cap.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("units"))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    listed = totals.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * max_repeat).alias("cap"))
+    listed = totals.select("source", "source_size", "units", weight.alias("weight"), (F.col("source_size") * max_repeat).alias("cap"))
     by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
     upto, onward, every = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing), by_cap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / F.sum("weight").over(onward)
     placed = listed.withColumn("level", level).withColumn("free", F.col("cap") >= F.col("level") * F.col("weight"))
     common = F.first(F.when(F.col("free"), F.col("level")), ignorenulls=True).over(every)
-    return placed.select("source", "source_size", F.least("cap", F.coalesce(common, F.lit(0.0)) * F.col("weight")).alias("target"))
+    return placed.select("source", "source_size", "units", F.least("cap", F.coalesce(common, F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeat: float = 3.0, fan_in: int = 256, seed: int = 17) -> DataFrame:
@@ -81,19 +89,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repea
     """
     rows = cut_lineage(sized(docs))
     targets = cut_lineage(source_targets(rows, weights, max_repeat))
-    share = targets.filter("source_size > 0").select(F.col("source").alias("src"), (F.col("target") / F.col("source_size")).alias("share"))
-    classed = rows.filter("size > 0").withColumn("class", F.floor(16 * F.log2("size")))
-    per_class = classed.groupBy("source", "class").agg(F.count(F.lit(1)).alias("n"))
-    buckets = F.ceil(F.col("n") / F.lit(fan_in))
-    before = F.sum(buckets).over(Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1))
-    plan = cut_lineage(per_class.select(F.col("source").alias("p_source"), F.col("class").alias("p_class"), buckets.alias("buckets"), F.coalesce(before, F.lit(0)).alias("before")))
-    widest = plan.agg(F.max(F.col("before") + F.col("buckets"))).first()[0] or 0
+    share = targets.filter("units > 0").select(F.col("source").alias("src"), (F.col("target") / F.col("source_size")).alias("share"), F.ceil(F.col("units") / F.lit(fan_in)).alias("buckets"))
+    widest = share.agg(F.max("buckets")).first()[0] or 0
     units = (
-        classed.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("class") == F.col("p_class")))
+        rows.filter("size > 0")
         .join(share, F.col("source").eqNullSafe(F.col("src")))
-        .select("source", (F.col("before") + F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("buckets"))).alias("node"), "size", "doc_id", (F.col("share") - F.floor("share")).alias("p"), _uniform("doc_id", F.lit(seed), F.lit(0)).alias("u"))
+        .select("source", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("buckets")).alias("node"), "size", "doc_id", (F.col("share") - F.floor("share")).alias("p"), _uniform("doc_id", F.lit(seed), F.lit(0)).alias("u"))
     )
-    units = units.withColumn("at", F.col("size"))
+    units = units.withColumn("at", -F.col("size"))
     decided, level = [], 0
     while True:
         level += 1
@@ -104,13 +107,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repea
         if widest <= 1:
             break
         widest = -(-widest // fan_in)
-        units = left.select("source", F.floor(F.col("node") / F.lit(fan_in)).alias("node"), F.col("node").alias("at"), "doc_id", "size", "p", _uniform("doc_id", F.lit(seed), F.lit(level)).alias("u"))
+        units = left.select("source", F.floor(F.col("node") / F.lit(fan_in)).alias("node"), (-F.col("size")).alias("at"), "doc_id", "size", "p", _uniform("doc_id", F.lit(seed), F.lit(level)).alias("u"))
     decided.append(left.select("source", "doc_id", "size", (_uniform("doc_id", F.lit(seed), F.lit(-1)) < F.col("p")).cast("int").alias("take")))
     decided.append(rows.filter("size = 0").select("source", "doc_id", "size", F.lit(0).alias("take")))
     taken = decided[0]
     for more in decided[1:]:
         taken = taken.unionByName(more)
-    t = targets.withColumnRenamed("source", "src")
+    t = targets.select(F.col("source").alias("src"), "source_size", "target")
     whole = F.when(F.col("size") > 0, F.floor(F.col("target") / F.nullif("source_size", F.lit(0))) + F.col("take")).otherwise(0)
     return (
         taken.join(t, F.col("source").eqNullSafe(F.col("src")))
