@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociweave.cluster import ship_package
+from lociweave.cluster import cut_lineage, ship_package
+
+__all__ = ["cut_lineage", "doc_frame", "hash_words", "table"]
 
 #: Columns of the document table and their types.
 DOC_COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
@@ -24,53 +23,9 @@ def doc_frame(docs: DataFrame, *columns: str) -> DataFrame:
     """The document columns that operators read, cast; extra columns are left out."""
     ship_package(docs.sparkSession)
     wanted = columns or ("doc_id", "text")
-    return docs.select(*[docs[c].cast(DOC_COLUMNS[c]).alias(c) for c in wanted])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is configured."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that a lost executor
-    costs a reread and not the work before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return docs.select(*[F.col(c).cast(DOC_COLUMNS[c]).alias(c) for c in wanted])
 
 
 def hash_words(text: str, fold: bytes) -> list[bytes]:
     """UTF-8 words of a text after a byte translation that maps separators to blanks."""
     return text.encode("utf-8", "surrogatepass").translate(fold).split()
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, component) of an undirected edge table (a, b); component is the smallest node.
-
-    Alternating large-star and small-star rounds: every round is one union, one
-    grouped minimum and one join on the edge list, and no node's neighbourhood
-    is gathered in one task.  Rounds end when the edge list no longer changes.
-    """
-    current = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    for _ in range(max_rounds):
-        both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(down.select("a", F.col("m").alias("b"))).distinct()
-        current = cut_lineage(small)
-        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return current.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import connected_components, cut_lineage, doc_frame, hash_words
+from lociweave.llm.common import cut_lineage, doc_frame, hash_words
+from lociweave.operators.graph import connected_components
 
 #: Fixed values of the binary Golay code: generator polynomial
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, length and dimension.
@@ -179,5 +180,5 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     groups = near_duplicates(docs, shingle, max_bits)
     losers = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     rest = docs.join(losers, "doc_id", "left_anti")
-    turn = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("_text"))
-    return rest.withColumn("_text", F.xxhash64("text")).withColumn("_turn", turn).filter("_turn = 1").select(*docs.columns)
+    turn = F.row_number().over(Window.partitionBy("doc_id", "__simhash_text").orderBy("__simhash_text"))
+    return rest.withColumn("__simhash_text", F.xxhash64("text")).withColumn("__simhash_turn", turn).filter("__simhash_turn = 1").select(*docs.columns)

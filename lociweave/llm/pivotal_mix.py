@@ -127,9 +127,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat a doc_id share its copies evenly.
     """
-    copies = mix(docs, **options).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).withColumnRenamed("doc_id", "_doc").filter("_copies > 0")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_doc")))
-    place = F.row_number().over(Window.partitionBy("_doc").orderBy(F.xxhash64("text")))
-    own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_place") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    times = joined.withColumn("_place", place).withColumn("_times", own.cast("int")).filter("_times > 0")
-    return times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    copies = mix(docs, **options).groupBy("doc_id").agg(F.sum("copies").alias("__mix_copies"), F.count(F.lit(1)).alias("__mix_rows")).withColumnRenamed("doc_id", "__mix_doc").filter("__mix_copies > 0")
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("__mix_doc")))
+    place = F.row_number().over(Window.partitionBy("__mix_doc").orderBy(F.xxhash64("text")))
+    own = F.floor(F.col("__mix_copies") / F.col("__mix_rows")) + F.when(F.col("__mix_place") <= F.col("__mix_copies") % F.col("__mix_rows"), 1).otherwise(0)
+    times = joined.withColumn("__mix_place", place).withColumn("__mix_times", own.cast("int")).filter("__mix_times > 0")
+    return times.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_times")))).select(*docs.columns)

@@ -31,7 +31,7 @@ def op2_url_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = events.select("event_id", F.col("ts").cast("timestamp").alias("effective_at"), "event_type", "value").join(hosts, F.col("event_id") == F.col("page_id"))
     entries = listed.select(F.when(F.col("value") >= 50, F.col("parent")).otherwise(F.col("host")).alias("host"), "effective_at", F.when(F.col("event_type").isin("error", "purchase"), "block").otherwise("allow").alias("action"))
     judged = url_asof.filter_captures(captures, entries)
-    return judged.select("page_id", "host", F.unix_seconds("fetched_at").alias("fetched_s"), "matched_host", F.unix_micros("listed_at").alias("listed_us"), "action", "blocked")
+    return judged.select("page_id", "host", F.unix_seconds("fetched_at").alias("fetched_s"), "matched_host", F.unix_micros("listed_at").cast("string").alias("listed_us"), "action", "blocked")
 
 
 def op3_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ s AS (
 m AS (
   SELECT s.page_id, s.fetched_s, s.depth, s.host, e.us, e.action FROM s ASOF JOIN e ON s.host = e.host AND s.fetched_s * 1000000 >= e.us
   QUALIFY row_number() OVER (PARTITION BY s.page_id ORDER BY s.depth) = 1)
-SELECT p.page_id, p.host, CAST(p.fetched_s AS BIGINT) AS fetched_s, m.host AS matched_host, m.us AS listed_us, m.action, coalesce(m.action = 'block', false) AS blocked
+SELECT p.page_id, p.host, CAST(p.fetched_s AS BIGINT) AS fetched_s, m.host AS matched_host, CAST(m.us AS VARCHAR) AS listed_us, m.action, coalesce(m.action = 'block', false) AS blocked
 FROM p LEFT JOIN m ON p.page_id = m.page_id
 """
 

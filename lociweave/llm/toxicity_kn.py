@@ -192,6 +192,8 @@ def text_ratios(docs: DataFrame, models: list[NgramModel], keep: str, kind: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not len(batch):
+                continue
             texts = (words_of(t.as_py()) for t in batch.column(1))
             rows = np.array([(len(w), *(m.log_ratio(w) for m in shared.value)) for w in texts], float).reshape(len(batch), -1)
             score = 1 / (1 + np.exp(-np.clip(features(rows[:, 1], rows[:, 0]) @ shared.value[0].weights, -35, 35)))
