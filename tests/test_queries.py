@@ -4,6 +4,7 @@ import pytest
 from compare import same_as_sql
 from pyspark.sql import functions as F
 
+from lociweave.plans import study_queries  # noqa: F401 - registers its queries
 from lociweave.plans.queries import ORACLE_SQL, QUERIES, _graph
 
 
