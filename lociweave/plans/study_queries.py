@@ -81,11 +81,11 @@ def largest_balances(spark, sf_dir):
     return _t(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(10)
 
 
-@register(f"SELECT feature_id, ind, round(CASE WHEN feature_id % 2 = 1 THEN abs(2 - v) ELSE v END, 6) AS value FROM (SELECT feature_id, ind, round(v, 3) AS v FROM {_LONG})")
+@register(f"SELECT feature_id, ind, round(CASE WHEN feature_id % 2 = 1 THEN abs(2 - v) ELSE v END, 6) + 0.0::DOUBLE AS value FROM (SELECT feature_id, ind, round(v, 3) AS v FROM {_LONG})")
 def flipped_dosages(spark, sf_dir):
     f = _features(spark, sf_dir).select("feature_id", F.transform("values", lambda x: F.round(x, 3)).alias("values"))
     rows = studies.flipped(f, f.select("feature_id", (F.col("feature_id") % 2).alias("doFlip")))
-    return rows.select("feature_id", F.posexplode("values").alias("ind", "value")).select("feature_id", F.col("ind").cast("long").alias("ind"), F.round("value", 6).alias("value"))
+    return rows.select("feature_id", F.posexplode("values").alias("ind", "value")).select("feature_id", F.col("ind").cast("long").alias("ind"), (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
 @register("SELECT p_partkey, round(exp(-p_size * p_size / 800.0::DOUBLE) / sqrt(2 * pi() * 400), 10) AS density, round(-log10(1.0::DOUBLE / (1 + p_size)), 8) AS score, greatest(p_size - 20, 0) AS start FROM part")
