@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.cluster import ship_package
+from lociweave.operators.ordered import running_total
 
 #: Largest block of a matrix that is sent to all executors at once.
 BLOCK_BYTES = 64 << 20
@@ -211,11 +212,8 @@ def sum_triplets(triplets: DataFrame) -> DataFrame:
 
 def column_pointers(pairs: DataFrame) -> DataFrame:
     """(j, first, n): where each column's entries begin in column-compressed order."""
-    from pyspark.sql import Window
-
     counts = pairs.groupBy("j").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("j").rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select("j", F.coalesce(before, F.lit(0)).alias("first"), "n")
+    return running_total(counts, [], ["j"], F.col("n"), "_upto").select("j", (F.col("_upto") - F.col("n")).alias("first"), "n")
 
 
 def genetic_score(matrix: DataFrame, effects: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociweave.operators.ordered import minimum_from_here, row_numbers, running_total
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in a total order (distinct that keeps the first)."""
@@ -112,10 +114,13 @@ def adjusted_p(df: DataFrame, p: str, out: str, by: list[str] | None = None, ord
     by = by or []
     own = df.filter(F.col(p).isNotNull())
     counts = own.groupBy(*by, p).agg(F.count(F.lit(1)).alias("_c"))
-    up = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_rank", F.sum("_c").over(up)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
-    down = Window.partitionBy(*by).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    adjusted = ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(down)))
+    sizes = own.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_total(counts, by, [p], F.col("_c"), "_rank")
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_g_{b}"))
+    ranked = ranked.join(sizes, same).select(*by, p, (F.col(p) * F.col("_n") / F.col("_rank")).alias("_q"))
+    adjusted = minimum_from_here(ranked, by, [p], F.col("_q"), out).withColumn(out, F.least(F.lit(1.0), out))
     on = F.lit(True)
     right = adjusted.select(*[F.col(c).alias(f"_{c}") for c in (*by, p)], out)
     for c in by:
@@ -127,8 +132,7 @@ def average_rank(df: DataFrame, value: str, out: str, by: list[str] | None = Non
     """Rank with ties at their mean rank."""
     by = by or []
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(*[F.col(c).alias(f"_{c}") for c in (*by, value)], (before + (F.col("_c") + 1) / 2).alias(out))
+    ranks = running_total(counts, by, [value], F.col("_c"), "_upto").select(*[F.col(c).alias(f"_{c}") for c in (*by, value)], (F.col("_upto") - (F.col("_c") - 1) / 2).alias(out))
     on = F.col(value).eqNullSafe(F.col(f"_{value}"))
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
@@ -136,8 +140,16 @@ def average_rank(df: DataFrame, value: str, out: str, by: list[str] | None = Non
 
 
 def share_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """percent_rank of a value, over the table or per group."""
-    return df.withColumn(out, F.percent_rank().over(Window.partitionBy(*(by or [])).orderBy(value)))
+    """Share of the other rows with a smaller value (percent_rank), over the table or per group."""
+    by = by or []
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = df.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(F.count(F.lit(1)).alias("_n"))
+    same, on = F.lit(True), F.col(value).eqNullSafe(F.col(f"_{value}"))
+    for b in by:
+        same, on = same & F.col(f"_{b}").eqNullSafe(F.col(f"_g_{b}")), on & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    ranks = running_total(counts, by, [value], F.col("_c"), "_upto").select(*[F.col(c).alias(f"_{c}") for c in (*by, value)], (F.col("_upto") - F.col("_c")).alias("_below"))
+    shares = ranks.join(sizes, same).withColumn(out, F.when(F.col("_n") > 1, F.col("_below") / (F.col("_n") - 1)).otherwise(0.0))
+    return df.join(shares, on).select(*df.columns, out)
 
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -166,21 +178,16 @@ def multiset_intersect(left: DataFrame, right: DataFrame, column: str) -> DataFr
 def chunks(df: DataFrame, order: str, size: int | None = None, count: int | None = None) -> DataFrame:
     """chunk_id by equal chunks of a row order; exactly one of size and count is given.
 
-    The rank is taken per range of the order and offset by the ranges before it, so no
-    task sees the whole table.
+    Rows are numbered by ranges of the order, so no task sees the whole table.
     """
     if (size is None) == (count is None):
         raise ValueError("give either size or count")
     total = df.count()
     n = count if count is not None else max(1, -(-total // size))
-    parts = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    row = F.row_number().over(Window.partitionBy("_part").orderBy(order)) + F.col("_before") - 1
     big, rest = total // n if n else 0, total % n if n else 0
     edge = rest * (big + 1)
     chunk = F.when(F.col("_row") < edge, F.floor(F.col("_row") / max(1, big + 1))).otherwise(rest + F.floor((F.col("_row") - edge) / max(1, big)))
-    return parts.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn("_row", row).withColumn("chunk_id", (chunk + 1).cast("long")).drop("_part", "_p", "_before", "_row")
+    return row_numbers(df, [order], "_number").withColumn("_row", F.col("_number") - 1).withColumn("chunk_id", (chunk + 1).cast("long")).drop("_row", "_number")
 
 
 def tile_number(index: Column, size: int) -> Column:

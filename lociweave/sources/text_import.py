@@ -6,13 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociweave.functions import columns as c
+from lociweave.operators.ordered import row_numbers
 from lociweave.operators.relational import keep_first, natural_join
 
 
-def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    return df.withColumn("feature_id", F.row_number().over(Window.orderBy(*order)).cast("long"))
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no from 1, value) of a text file.
 
@@ -59,7 +56,7 @@ def expression_bed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     raw = spark.read.csv(path, sep="\t", header=True)
     first, start, end, gene, *samples = raw.columns
     rows = raw.select(c.chromosome(F.col(first)).alias("chrom"), F.col(start).cast("int").alias("start"), F.col(end).cast("int").alias("end"), c.gene_number(F.col(gene)).alias("fgeneid"), F.array(*[F.col(f"`{s}`").cast("double") for s in samples]).alias("values"))
-    rows = _numbered(rows, ["chrom", "start", "fgeneid"])
+    rows = row_numbers(rows, ["chrom", "start", "fgeneid"], "feature_id")
     return rows.drop("values"), rows.select("feature_id", "values")
 
 
@@ -75,7 +72,7 @@ def genotype_text(spark: SparkSession, path: str, drop_unplaced: bool = False) -
     ref, alt = c.variant_part(v, "ref"), c.variant_part(v, "alt")
     rows = raw.select(c.chromosome(c.variant_part(v, "chrom")).alias("chrom"), c.variant_part(v, "pos").alias("pos"), ref.alias("ref"), alt.alias("alt"), F.concat_ws("/", ref, alt).alias("allele"), c.flip_flag(ref, alt).alias("doFlip"), F.array(*[F.col(f"`{s}`").cast("double") for s in samples]).alias("values"))
     rows = rows.dropna(subset=["chrom", "pos"]) if drop_unplaced else rows
-    rows = _numbered(rows, ["chrom", "pos", "ref", "alt"])
+    rows = row_numbers(rows, ["chrom", "pos", "ref", "alt"], "feature_id")
     return rows.drop("values"), rows.select("feature_id", "values")
 
 
