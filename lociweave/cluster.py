@@ -43,6 +43,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a lost executor
     costs a reread and not the work before it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{_stages(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _stages(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stages-{spark.sparkContext.applicationId}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no result that reads them is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

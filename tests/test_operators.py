@@ -276,3 +276,12 @@ def test_flip_and_nan(spark):
     df = spark.createDataFrame([([0.0, 1.0, 2.0], 1, float("nan")), ([0.0, 1.0, 2.0], 0, 1.0)], "v array<double>, f int, x double")
     rows = df.select(c.flip_dosage(F.col("v"), F.col("f")).alias("v"), c.null_if_nan(F.col("x")).alias("x")).collect()
     assert rows[0]["v"] == [2.0, 1.0, 0.0] and rows[0]["x"] is None and rows[1]["v"] == [0.0, 1.0, 2.0]
+
+
+def test_stages_are_stored_and_dropped(spark):
+    from lociweave.cluster import cut_lineage, drop_stages
+
+    df = cut_lineage(spark.range(5).withColumn("x", F.col("id") * 2))
+    assert df.count() == 5 and "Scan parquet" in df._jdf.queryExecution().toString() or df.inputFiles()
+    drop_stages(spark)
+    assert cut_lineage(spark.range(3)).count() == 3
