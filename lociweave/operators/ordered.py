@@ -50,3 +50,13 @@ def minimum_from_here(df: DataFrame, by: list[str], order: list[str], value: Col
 def row_numbers(df: DataFrame, order: list[str], out: str, by: list[str] | None = None) -> DataFrame:
     """Adds row numbers from 1 in an order, over the table or per group."""
     return running_total(df, by or [], order, F.lit(1), out).withColumn(out, F.col(out).cast("long"))
+
+
+def next_value(df: DataFrame, by: list[str], order: str, out: str) -> DataFrame:
+    """Adds the group's next value of the order column, null for the last row; the order must be total."""
+    rows = _spread(df, by, [order])
+    parts = rows.groupBy(*by, "_part").agg(F.min(order).alias("_least"))
+    later = Window.partitionBy(*by).orderBy("_part")
+    starts = parts.select(F.col("_part").alias("_s_part"), *[F.col(b).alias(f"_s_{b}") for b in by], F.lead("_least").over(later).alias("_start"))
+    inside = F.lead(order).over(Window.partitionBy("_part", *by).orderBy(order))
+    return _join_group(rows.withColumn("_inside", inside), starts, by).select(*df.columns, F.coalesce("_inside", "_start").alias(out))

@@ -25,3 +25,10 @@ def test_ranks_with_ties_and_nulls(spark):
     df = spark.createDataFrame(rows, "g int, v double")
     assert sorted((r["g"], r["s"]) for r in relational.share_rank(df, "v", "s", ["g"]).collect()) == [(1, 0.0), (1, 1 / 3), (1, 1 / 3), (1, 1.0), (2, 0.0)]
     assert sorted(r["r"] for r in relational.average_rank(df.filter("g = 1"), "v", "r").collect()) == [1.0, 2.5, 2.5, 4.0]
+
+
+def test_next_value(spark):
+    rows = [(g, i * 7919 % 1000) for i in range(300) for g in ("a", "b") if i % 3 or g == "a"]
+    got = {(r["g"], r["o"]): r["n"] for r in ordered.next_value(spark.createDataFrame(rows, "g string, o long").repartition(4), ["g"], "o", "n").collect()}
+    for g, o in rows:
+        assert got[g, o] == min((oo for gg, oo in rows if gg == g and oo > o), default=None)
