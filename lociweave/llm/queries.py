@@ -31,7 +31,7 @@ def op2_url_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = events.select("event_id", F.col("ts").cast("timestamp").alias("effective_at"), "event_type", "value").join(hosts, F.col("event_id") == F.col("page_id"))
     entries = listed.select(F.when(F.col("value") >= 50, F.col("parent")).otherwise(F.col("host")).alias("host"), "effective_at", F.when(F.col("event_type").isin("error", "purchase"), "block").otherwise("allow").alias("action"))
     judged = url_asof.filter_captures(captures, entries)
-    return judged.select("page_id", "host", F.unix_seconds("fetched_at").alias("fetched_s"), "matched_host", F.unix_micros("listed_at").cast("string").alias("listed_us"), "action", "blocked")
+    return judged.select("page_id", "host", F.unix_seconds("fetched_at").alias("fetched_s"), "matched_host", F.unix_micros("valid_from").cast("string").alias("from_us"), F.unix_micros("valid_to").cast("string").alias("to_us"), "action", "blocked")
 
 
 def op3_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,14 +81,15 @@ e AS (
   SELECT CASE WHEN value >= 50 AND len(string_split(host, '.')) > 2 THEN regexp_replace(host, '^[^.]+[.]', '') ELSE host END AS host,
          epoch_us(ts) AS us, max(CASE WHEN event_type IN ('error', 'purchase') THEN 'block' ELSE 'allow' END) AS action
   FROM events JOIN p ON event_id = page_id WHERE host IS NOT NULL GROUP BY 1, 2),
+v AS (SELECT *, lead(us) OVER (PARTITION BY host ORDER BY us) AS to_us FROM e),
 s AS (
   SELECT page_id, host AS own, fetched_s, depth,
          array_to_string(list_slice(string_split(host, '.'), depth, len(string_split(host, '.'))), '.') AS host
   FROM (SELECT *, unnest(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)) AS depth FROM p WHERE host IS NOT NULL)),
 m AS (
-  SELECT s.page_id, s.fetched_s, s.depth, s.host, e.us, e.action FROM s ASOF JOIN e ON s.host = e.host AND s.fetched_s * 1000000 >= e.us
+  SELECT s.page_id, s.fetched_s, s.depth, s.host, v.us, v.to_us, v.action FROM s ASOF JOIN v ON s.host = v.host AND s.fetched_s * 1000000 >= v.us
   QUALIFY row_number() OVER (PARTITION BY s.page_id ORDER BY s.depth) = 1)
-SELECT p.page_id, p.host, CAST(p.fetched_s AS BIGINT) AS fetched_s, m.host AS matched_host, CAST(m.us AS VARCHAR) AS listed_us, m.action, coalesce(m.action = 'block', false) AS blocked
+SELECT p.page_id, p.host, CAST(p.fetched_s AS BIGINT) AS fetched_s, m.host AS matched_host, CAST(m.us AS VARCHAR) AS from_us, CAST(m.to_us AS VARCHAR) AS to_us, m.action, coalesce(m.action = 'block', false) AS blocked
 FROM p LEFT JOIN m ON p.page_id = m.page_id
 """
 

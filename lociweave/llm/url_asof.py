@@ -12,7 +12,7 @@ to the fetch time is found by a running maximum, and a capture before its
 bucket's first entry takes the closing entry of the host's last earlier bucket,
 which comes from one summary row per host and bucket.  A host with a third of
 all captures is spread over its buckets, and no window holds a whole host's rows.
-DataFrame functions only.
+The intervals' ends are found by ranges of (host, time), too.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociweave.operators.ordered import next_value
+
 
 def host_of(url: Column) -> Column:
     """Lower-case host of a URL without port and user; null if there is none."""
@@ -49,12 +51,11 @@ def intervals(entries: DataFrame) -> DataFrame:
     entry's time, null for the last one.  Rows with a null are left out.
     """
     clean = entries.dropna(subset=["host", "effective_at", "action"]).groupBy("host", "effective_at").agg(F.max("action").alias("action"))
-    after = F.lead("effective_at").over(Window.partitionBy("host").orderBy("effective_at"))
-    return clean.select("host", F.col("effective_at").alias("valid_from"), after.alias("valid_to"), "action")
+    return next_value(clean.withColumnRenamed("effective_at", "valid_from"), ["host"], "valid_from", "valid_to").select("host", "valid_from", "valid_to", "action")
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
-    """(page_id, host, fetched_at, matched_host, listed_at, action, blocked) of every capture.
+    """(page_id, host, fetched_at, matched_host, valid_from, valid_to, action, blocked) of every capture.
 
     captures: (page_id, url, fetched_at); entries: (host, effective_at, action) with
     action "block" or "allow".  A capture without a host or a fetch time matches no
@@ -63,11 +64,11 @@ def filter_captures(captures: DataFrame, entries: DataFrame, bucket_seconds: int
     wanted = captures.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("own_host"), "fetched_at")
     labels = F.split("own_host", "[.]")
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    asked = wanted.filter("own_host is not null and fetched_at is not null").select("page_id", "own_host", F.posexplode(suffixes).alias("depth", "host"), F.col("fetched_at").alias("at"), F.lit(None).cast("string").alias("entry"))
-    listed = entries.dropna(subset=["host", "effective_at", "action"]).groupBy("host", "effective_at").agg(F.max("action").alias("entry"))
-    listed = listed.select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("own_host"), F.lit(None).cast("int").alias("depth"), "host", F.col("effective_at").alias("at"), "entry")
+    asked = wanted.filter("own_host is not null and fetched_at is not null").select("page_id", "own_host", F.posexplode(suffixes).alias("depth", "host"), F.col("fetched_at").alias("at"), F.lit(None).cast("struct<action:string,valid_to:timestamp>").alias("entry"))
+    listed = intervals(entries.withColumn("effective_at", F.col("effective_at").cast("timestamp")))
+    listed = listed.select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("own_host"), F.lit(None).cast("int").alias("depth"), "host", F.col("valid_from").alias("at"), F.struct("action", "valid_to").alias("entry"))
     judged = last_entries(asked.unionByName(listed), bucket_seconds).filter("depth is not null and active is not null")
     best = judged.groupBy("page_id", "own_host", "at").agg(F.min(F.struct("depth", "host", "active")).alias("b"))
-    best = best.select(F.col("page_id").alias("b_page"), F.col("own_host").alias("b_host"), F.col("at").alias("b_at"), F.col("b.host").alias("matched_host"), F.col("b.active.at").alias("listed_at"), F.col("b.active.entry").alias("action"))
+    best = best.select(F.col("page_id").alias("b_page"), F.col("own_host").alias("b_host"), F.col("at").alias("b_at"), F.col("b.host").alias("matched_host"), F.col("b.active.at").alias("valid_from"), F.col("b.active.entry.valid_to").alias("valid_to"), F.col("b.active.entry.action").alias("action"))
     on = wanted["page_id"].eqNullSafe(best["b_page"]) & (wanted["own_host"] == best["b_host"]) & (wanted["fetched_at"] == best["b_at"])
-    return wanted.join(best, on, "left").select("page_id", F.col("own_host").alias("host"), "fetched_at", "matched_host", "listed_at", "action", F.coalesce(F.col("action") == "block", F.lit(False)).alias("blocked"))
+    return wanted.join(best, on, "left").select("page_id", F.col("own_host").alias("host"), "fetched_at", "matched_host", "valid_from", "valid_to", "action", F.coalesce(F.col("action") == "block", F.lit(False)).alias("blocked"))
