@@ -14,11 +14,11 @@ parameters only.  Scoring is one pass without a shuffle.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,27 +28,30 @@ from pyspark.sql import functions as F
 from lociweave.llm.common import cut_lineage, doc_frame
 
 _SHAPES = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
-_RUNS = re.compile(rb"(.)\1+")
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def text_features(text: str | None, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of a text: indexes and values of unit length in each family."""
+    """Hashed features of a text; an index may occur more than once, and then its values add up.
+
+    Words: log counts of unit length.  Shapes, a word's first and last three character
+    classes: shares of all words.  One feature each for the share of repeated words and
+    the order of the text's length.
+    """
     tokens = (text or "").encode("utf-8", "surrogatepass").split()
     counts = Counter(tokens)
-    found: Counter = Counter()
+    words = np.fromiter(map(zlib.crc32, [t.translate(_LOWER) for t in counts]), np.int64, len(counts))
+    value = np.log1p(np.fromiter(counts.values(), np.float64, len(counts)))
+    value /= np.sqrt(value @ value) or 1.0
     shapes: Counter = Counter()
     for token, n in counts.items():
-        found[zlib.crc32(token.lower()) % dims] += np.log1p(n)
-        shapes[zlib.crc32(b"shape " + _RUNS.sub(rb"\1", token.translate(_SHAPES))) % dims] += n
+        shape = token.translate(_SHAPES)
+        shapes[shape[:1] + shape[-3:]] += n
+    hashed = np.fromiter(map(zlib.crc32, shapes, repeat(77)), np.int64, len(shapes))
+    share = np.fromiter(shapes.values(), np.float64, len(shapes)) * (2 / max(1, len(tokens)))
     repeated = 1 - len(counts) / len(tokens) if tokens else 1.0
-    size = np.log1p(len(tokens))
-    shape_sum = max(1, len(tokens))
-    norm = float(np.sqrt(sum(v * v for v in found.values()))) or 1.0
-    rest = {zlib.crc32(f"repeats {int(repeated * 10)}".encode()) % dims: 1.0, zlib.crc32(f"size {int(size)}".encode()) % dims: 1.0}
-    total: Counter = Counter({k: v / norm for k, v in found.items()})
-    total.update({k: 2 * v / shape_sum for k, v in shapes.items()})
-    total.update(rest)
-    return np.fromiter(total.keys(), np.int32, len(total)), np.fromiter(total.values(), np.float64, len(total))
+    whole = [zlib.crc32(f"repeats {int(repeated * 10)}".encode()), zlib.crc32(f"size {int(np.log1p(len(tokens)))}".encode())]
+    return (np.concatenate((words, hashed, whole)) % dims).astype(np.int32), np.concatenate((value, share, [1.0, 1.0]))
 
 
 @dataclass
