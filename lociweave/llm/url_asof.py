@@ -54,7 +54,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     return next_value(clean.withColumnRenamed("effective_at", "valid_from"), ["host"], "valid_from", "valid_to").select("host", "valid_from", "valid_to", "action")
 
 
-def filter_captures(captures: DataFrame, entries: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
+def filter_captures(captures: DataFrame, entries: DataFrame, bucket_seconds: int = 3_600) -> DataFrame:
     """(page_id, host, fetched_at, matched_host, valid_from, valid_to, action, blocked) of every capture.
 
     captures: (page_id, url, fetched_at); entries: (host, effective_at, action) with
