@@ -100,7 +100,7 @@ def imported_covariates(spark, sf_dir):
     return c.select("individual", F.col("values")[0].alias("first"), F.col("values")[1].alias("second"))
 
 
-@register("SELECT 7 AS chrom, 'rs' || p_partkey AS rsid, CAST(min(p_partkey) AS INT) AS pos, round(p_partkey * 0.01, 4) AS map FROM part GROUP BY p_partkey")
+@register("SELECT 7 AS chrom, 'rs' || p_partkey AS rsid, CAST(min(p_partkey) AS INT) AS pos, round(p_partkey * 0.01::DOUBLE, 4) AS map FROM part GROUP BY p_partkey")
 def imported_panel(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
     rsid = F.concat(F.lit("rs"), F.col("p_partkey").cast("string"))

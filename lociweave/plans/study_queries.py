@@ -108,7 +108,7 @@ def panel_intersection(spark, sf_dir):
 
 @register("""
 SELECT rsid, panel_id, study_id, round(beta, 2) AS beta FROM (
-  SELECT p_size AS rsid, p_partkey AS panel_id, s_suppkey AS study_id, n_nationkey * 0.5 AS beta, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey, s_suppkey) AS r
+  SELECT p_size AS rsid, p_partkey AS panel_id, s_suppkey AS study_id, n_nationkey * 0.5::DOUBLE AS beta, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey, s_suppkey) AS r
   FROM part JOIN nation ON p_size = n_nationkey JOIN supplier ON p_partkey = s_suppkey) WHERE r = 1""")
 def three_way_harmonised(spark, sf_dir):
     panel = _t(spark, sf_dir, "part").select(F.lit(1).alias("chrom"), F.col("p_partkey").alias("pos"), F.col("p_size").alias("rsid"), F.lit(0.0).alias("map"), F.col("p_partkey").alias("feature_id"), F.lit(0).alias("doFlip"))
