@@ -172,12 +172,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> Dat
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id.
+    """One document of each near-duplicate group: the one with the smallest doc_id."""
+    return keep_first(docs, near_duplicates(docs, shingle, max_bits))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents with the smallest doc_id of each group (doc_id, component_id).
 
     Documents without an id cannot lose to another and stay; of rows that repeat one
     id and text, one stays.  The second step reuses the partitions of the first.
     """
-    groups = near_duplicates(docs, shingle, max_bits)
     losers = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     rest = docs.join(losers, "doc_id", "left_anti")
     turn = F.row_number().over(Window.partitionBy("doc_id", "__simhash_text").orderBy("__simhash_text"))
