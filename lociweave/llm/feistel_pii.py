@@ -25,13 +25,14 @@ from lociweave.llm.common import doc_frame
 
 #: Patterns by kind, in the order in which they are tried at a place.
 PATTERNS = {
-    "secret": r"\b(?:password|passwd|secret|token|api_key)=[0-9a-f]{8,128}\b",
+    "secret": r"\b(?:password|passwd|secret|token|api_key)=[0-9a-f]{8,}\b",
     "email": r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "phone": r"\+1 ?\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     "date": r"(?<![\d-])(?:18|19|20|21)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])",
     "ipv4": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
-    "card": r"(?<![\d-])(?:\d[ -]?){12,18}\d(?![\d-])",
 }
+#: A whole run of digit groups, up to a date or address; RUNS finds the cards in it.
+PATTERNS["card"] = rf"(?<![\d-])\d(?:[ -]?(?!{PATTERNS['date']}|{PATTERNS['ipv4']})\d){{12,}}(?![\d-])"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ROUNDS = 8
 DATE_FROM, DATE_MODULI = "1800-01-01", (189, 773)
@@ -54,7 +55,25 @@ case when v rlike '{_whole("secret")}' then 'secret'
      when v rlike '{_whole("phone")}' then 'phone'
      when v rlike '{_whole("date")}' then if(try_to_date(v, 'yyyy-MM-dd') is null, null, 'date')
      when v rlike '{_whole("ipv4")}' then if(forall(split(v, '[.]'), x -> cast(x as int) < 256 and (x = '0' or x not like '0%')), 'ipv4', null)
-     when pmod({_LUHN.format(d=_DIGITS, odd=0)}, 10) = 0 then 'card' end"""
+     when length({_DIGITS}) between 13 and 19 then if(pmod({_LUHN.format(d=_DIGITS, odd=0)}, 10) = 0, 'card', null) end"""
+
+#: Pieces of a match m whose own kind decides each: of a run of digit groups the valid cards that
+#: begin and end at group borders, longest first, and what is between them; else m itself.
+_RUN = "array_join(slice(g, i + 1, k), '')"
+_FITS = f"""transform(array(regexp_replace({_RUN}, '[^0-9]', '')), d -> if(length(d) between 13 and 19, pmod({_LUHN.format(d='d', odd=0)}, 10) = 0, false))[0]"""
+_VALID = f"""flatten(transform(sequence(0, size(g) - 1), i -> transform(filter(sequence(1, least(19, size(g) - i)), k -> {_FITS}),
+  k -> named_struct('less', -length(regexp_replace({_RUN}, '[^0-9]', '')), 'at', i, 'n', k))))"""
+_CARDS = f"""aggregate(array_sort({_VALID}), cast(array() as array<struct<less: int, at: int, n: int>>),
+  (a, x) -> if(exists(a, y -> x.at < y.at + y.n and y.at < x.at + x.n), a, array_append(a, x)))"""
+_OWN = "filter(cards, y -> y.at <= i and i < y.at + y.n)"
+PIECES = f"""
+if(m rlike '^[0-9][0-9 -]+$' and length(regexp_replace(m, '[^0-9]', '')) >= 13,
+   transform(array(regexp_extract_all(m, '[0-9]+[ -]?', 0)), g -> transform(array({_CARDS}), cards ->
+     flatten(transform(sequence(0, size(g) - 1), i -> case
+       when size({_OWN}) = 0 then array(g[i])
+       when {_OWN}[0].at < i then cast(array() as array<string>)
+       else transform(array(array_join(slice(g, i + 1, {_OWN}[0].n), '')), r -> array(rtrim(' -', r), substring(r, length(rtrim(' -', r)) + 1)))[0] end)))[0])[0],
+   array(m))"""
 
 _CHARS = "filter(split({s}, ''), c -> c <> '')"
 _CODE = "case when c between '0' and '9' then ascii(c) - 48 when c between 'a' and 'z' then ascii(c) - 97 when c between 'A' and 'Z' then ascii(c) - 65 else 0 end"
@@ -131,11 +150,11 @@ def pseudonymise(docs: DataFrame, key: str = "rotate0this0key") -> DataFrame:
     """
     d = doc_frame(docs)
     any_ = F.lit(ANY)
-    swapped = F.expr(f"transform(found, v -> {_steps(_quoted(key))})")
+    swapped = F.expr(f"transform(found, m -> transform({PIECES}, v -> {_steps(_quoted(key))}))")
     # a marker in an array keeps texts without a match away from the second and third scan
     found = F.when(F.col("text").rlike(ANY), F.regexp_extract_all("text", any_, F.lit(0))).otherwise(F.array().cast("array<string>"))
     parts = F.when(F.size("found") > 0, F.split("text", ANY, -1))
-    joined = F.array_join(F.flatten(F.zip_with("parts", "swapped", lambda a, b: F.array(a, F.coalesce(b["pseudonym"], F.lit(""))))), "")
-    kinds = F.filter(F.transform("swapped", lambda x: x["kind"]), lambda x: x.isNotNull())
+    joined = F.array_join(F.flatten(F.zip_with("parts", "swapped", lambda a, b: F.array(a, F.coalesce(F.array_join(b["pseudonym"], ""), F.lit(""))))), "")
+    kinds = F.filter(F.transform(F.flatten("swapped"), lambda x: x["kind"]), lambda x: x.isNotNull())
     rows = d.withColumn("found", found).withColumn("parts", parts).withColumn("swapped", swapped)
     return rows.select("doc_id", F.when(F.size("found") > 0, joined).otherwise(F.col("text")).alias("text"), F.size(kinds).cast("long").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct(kinds)), ",").alias("kinds"))

@@ -353,6 +353,22 @@ def test_texts_change_in_matches_only(spark):
 # ---------------------------------------------------------------- 10
 
 
+def test_cards_within_longer_runs_and_long_secrets_change(spark):
+    card, other = "4735 3200 8523 7796", "4315 7260 9571 2222"
+    new = {x: feistel("card", x, KEY) for x in (card, other)}
+    around = ["{} 123", "{} 12 items", "12 {}", "{} 12/27", "1234 {}", "{} 1234 5678", "12 {}, 300.1.1.1"]
+    rows = list(enumerate(x.format(card) for x in around))
+    rows += [(20, f"{card} {other} 7"), (21, f"{card} 2024-02-29"), (22, f"{card} 57.14.248.132"), (23, "secret=" + "0a" * 80), (24, "1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 9 x".replace("1", "11111111111111111111"))]
+    got = {r["doc_id"]: r for r in feistel_pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, x in enumerate(around):
+        assert got[i]["text"] == x.format(new[card]) and got[i]["n_replaced"] == 1, x
+    assert got[20]["text"] == f"{new[card]} {new[other]} 7" and got[20]["n_replaced"] == 2
+    assert got[21]["text"] == f"{new[card]} {feistel('date', '2024-02-29', KEY)}" and got[21]["kinds"] == "card,date"
+    assert got[22]["text"] == f"{new[card]} {feistel('ipv4', '57.14.248.132', KEY)}" and got[22]["kinds"] == "card,ipv4"
+    assert got[23]["text"] == feistel("secret", "secret=" + "0a" * 80, KEY) != "secret=" + "0a" * 80
+    assert got[24]["text"] == rows[-1][1]
+
+
 def test_slot_map_grows_into_new_shards_only(spark):
     docs = spark.createDataFrame([(i, "x" * (i * 37 % 900)) for i in range(3000)], "doc_id long, text string")
     rows = slot_sharding.records(docs, 256)
