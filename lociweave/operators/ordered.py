@@ -26,9 +26,13 @@ def _join_group(rows: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(starts, on, "left").drop("_s_part", *[f"_s_{b}" for b in by])
 
 
-def _scan(df: DataFrame, by: list[str], order: list[str], value: Column, out: str, total, merge, backward: bool) -> DataFrame:
+def _scan(df: DataFrame, by: list[str], order: list[str], value: Column, out: str, total, merge, backward: bool, in_order: bool = False) -> DataFrame:
     rows = _spread(df, by, order).withColumn("_value", value)
-    parts = rows.groupBy(*by, "_part").agg(total("_value").alias("_total"))
+    if in_order:  # a partition's last value is that of its greatest row
+        at = F.struct(*order, "_value")
+        parts = rows.groupBy(*by, "_part").agg(F.max(F.when(F.col("_value").isNotNull(), at))["_value"].alias("_total"))
+    else:
+        parts = rows.groupBy(*by, "_part").agg(total("_value").alias("_total"))
     step = Window.partitionBy(*by).orderBy(F.desc("_part") if backward else F.col("_part")).rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select(F.col("_part").alias("_s_part"), *[F.col(b).alias(f"_s_{b}") for b in by], total("_total").over(step).alias("_start"))
     keys = [F.desc(o) for o in order] if backward else [F.col(o) for o in order]
@@ -47,6 +51,13 @@ def minimum_from_here(df: DataFrame, by: list[str], order: list[str], value: Col
     return _scan(df, by, order, value, out, F.min, F.least, True)
 
 
+def last_value(df: DataFrame, by: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """Adds the last value that is not null of the group's rows up to each row; rows that tie
+    in the order must have equal values."""
+    last = lambda c: F.last(c, ignorenulls=True)
+    return _scan(df, by, order, value, out, last, lambda start, inside: F.coalesce(inside, start), False, in_order=True)
+
+
 def row_numbers(df: DataFrame, order: list[str], out: str, by: list[str] | None = None) -> DataFrame:
     """Adds row numbers from 1 in an order, over the table or per group."""
     return running_total(df, by or [], order, F.lit(1), out).withColumn(out, F.col(out).cast("long"))

@@ -32,3 +32,13 @@ def test_next_value(spark):
     got = {(r["g"], r["o"]): r["n"] for r in ordered.next_value(spark.createDataFrame(rows, "g string, o long").repartition(4), ["g"], "o", "n").collect()}
     for g, o in rows:
         assert got[g, o] == min((oo for gg, oo in rows if gg == g and oo > o), default=None)
+
+
+def test_last_value(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), i * 7919 % 500, rng.choice([None, None, i])) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, o long, v long").repartition(5)
+    got = {(r["g"], r["o"]): r["l"] for r in ordered.last_value(df, ["g"], ["o"], F.col("v"), "l").collect()}
+    for g, o, _ in rows:
+        past = [(oo, v) for gg, oo, v in rows if gg == g and oo <= o and v is not None]
+        assert got[g, o] == (max(past)[1] if past else None)
