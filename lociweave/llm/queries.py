@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lociweave.llm import feistel_pii, fm_decontam, golay_simhash, license_digest, media_sniff, ordinal_quality, pivotal_mix, slot_sharding, toxicity_kn, url_asof
 from lociweave.llm.common import table
+from lociweave.operators.ordered import row_numbers
 
 
 def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,15 +21,15 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures: all pages, fetched at times dealt over January 2024.  List: every event
-    lists the host of the page of its number (the parent domain for values from 50 on) -
-    errors and purchases block it, other events allow it."""
+    lists the host of a page, dealt in turn over the pages (the parent domain for values
+    from 50 on) - errors and purchases block it, other events allow it."""
     pages, events = table(spark, sf_dir, "pages"), table(spark, sf_dir, "events")
     second = F.pmod(F.col("page_id") * 7919, F.lit(30 * 86_400))
     captures = pages.select("page_id", "url", F.timestamp_seconds(F.lit(1_704_067_200) + second).alias("fetched_at"))
     host = url_asof.host_of(F.col("url"))
     parent = F.when(F.size(F.split(host, "[.]")) > 2, F.regexp_replace(host, "^[^.]+[.]", "")).otherwise(host)
-    hosts = pages.select("page_id", host.alias("host"), parent.alias("parent"))
-    listed = events.select("event_id", F.col("ts").cast("timestamp").alias("effective_at"), "event_type", "value").join(hosts, F.col("event_id") == F.col("page_id"))
+    hosts = row_numbers(pages.select("page_id", host.alias("host"), parent.alias("parent")), ["page_id"], "turn")
+    listed = events.select((F.pmod("event_id", F.lit(max(1, pages.count()))) + 1).alias("turn"), F.col("ts").cast("timestamp").alias("effective_at"), "event_type", "value").join(hosts, "turn")
     entries = listed.select(F.when(F.col("value") >= 50, F.col("parent")).otherwise(F.col("host")).alias("host"), "effective_at", F.when(F.col("event_type").isin("error", "purchase"), "block").otherwise("allow").alias("action"))
     judged = url_asof.filter_captures(captures, entries)
     return judged.select("page_id", "host", F.unix_seconds("fetched_at").alias("fetched_s"), "matched_host", F.unix_micros("valid_from").cast("string").alias("from_us"), F.unix_micros("valid_to").cast("string").alias("to_us"), "action", "blocked")
@@ -76,11 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _HOST = r"nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '')"
 
 URL_SQL = f"""
-WITH p AS (SELECT page_id, {_HOST} AS host, 1704067200 + (page_id * 7919) % 2592000 AS fetched_s FROM pages),
+WITH p AS (SELECT page_id, {_HOST} AS host, 1704067200 + (page_id * 7919) % 2592000 AS fetched_s, row_number() OVER (ORDER BY page_id) - 1 AS turn FROM pages),
 e AS (
   SELECT CASE WHEN value >= 50 AND len(string_split(host, '.')) > 2 THEN regexp_replace(host, '^[^.]+[.]', '') ELSE host END AS host,
          epoch_us(ts) AS us, max(CASE WHEN event_type IN ('error', 'purchase') THEN 'block' ELSE 'allow' END) AS action
-  FROM events JOIN p ON event_id = page_id WHERE host IS NOT NULL GROUP BY 1, 2),
+  FROM events JOIN p ON event_id % (SELECT count(*) FROM pages) = turn WHERE host IS NOT NULL GROUP BY 1, 2),
 v AS (SELECT *, lead(us) OVER (PARTITION BY host ORDER BY us) AS to_us FROM e),
 s AS (
   SELECT page_id, host AS own, fetched_s, depth,

@@ -7,20 +7,20 @@ page against the entry that was active when the page was fetched.  Entries cover
 subdomains; of a capture's host and its parent domains, the most specific one
 with an active entry decides.
 
-The as-of join is cut by (host, time bucket): within a bucket the last entry up
-to the fetch time is found by a running maximum, and a capture before its
-bucket's first entry takes the closing entry of the host's last earlier bucket,
-which comes from one summary row per host and bucket.  A host with a third of
-all captures is spread over its buckets, and no window holds a whole host's rows.
-The intervals' ends are found by ranges of (host, time), too.  DataFrame functions only.
+The as-of join is a scan over ranges of (host, time): entries and asked moments lie in
+one order, each range finds the last entry up to every moment, and what is active where
+a range begins comes from one summary row per host and range.  A host with a third of
+all captures is spread over a third of the ranges, and no window holds a whole host's
+rows.  Moments are asked once per host and time, however many captures share them.  The
+intervals' ends are found by ranges of (host, time), too.  DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.operators.ordered import next_value
+from lociweave.operators.ordered import last_value, next_value
 
 
 def host_of(url: Column) -> Column:
@@ -29,21 +29,6 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def last_entries(rows: DataFrame, bucket_seconds: int) -> DataFrame:
-    """Rows of (host, at, entry, ...) with ``active``, the last non-null entry at or before each row's time.
-
-    Rows of equal host and time see each other's entries.
-    """
-    cut = rows.withColumn("bucket", F.floor(F.col("at").cast("long") / F.lit(bucket_seconds)))
-    closing = cut.groupBy("host", "bucket").agg(F.max(F.when(F.col("entry").isNotNull(), F.struct("at", "entry"))).alias("closing"))
-    earlier = Window.partitionBy("host").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = closing.select("host", "bucket", F.last("closing", ignorenulls=True).over(earlier).alias("carried"))
-    inside = Window.partitionBy("host", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    own = F.max(F.when(F.col("entry").isNotNull(), F.struct("at", "entry"))).over(inside)
-    found = cut.withColumn("own", own).join(carried, ["host", "bucket"])
-    return found.withColumn("active", F.coalesce("own", "carried")).drop("own", "carried", "bucket")
-
-
 def intervals(entries: DataFrame) -> DataFrame:
     """(host, valid_from, valid_to, action) of dated list entries (host, effective_at, action).
 
@@ -54,21 +39,24 @@ def intervals(entries: DataFrame) -> DataFrame:
     return next_value(clean.withColumnRenamed("effective_at", "valid_from"), ["host"], "valid_from", "valid_to").select("host", "valid_from", "valid_to", "action")
 
 
-def filter_captures(captures: DataFrame, entries: DataFrame, bucket_seconds: int = 3_600) -> DataFrame:
+def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """(page_id, host, fetched_at, matched_host, valid_from, valid_to, action, blocked) of every capture.
 
     captures: (page_id, url, fetched_at); entries: (host, effective_at, action) with
-    action "block" or "allow".  A capture without a host or a fetch time matches no
-    entry and is not blocked.  Rows that repeat a page_id are judged one by one.
+    action "block" or "allow".  An entry holds from its own moment on.  A capture without a
+    host or a fetch time matches no entry and is not blocked.  Rows that repeat a page_id
+    are judged one by one; extra columns are left out; without captures the result is
+    empty, without entries nothing is blocked.
     """
-    wanted = captures.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("own_host"), "fetched_at")
+    wanted = captures.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("own_host"), F.col("fetched_at").cast("timestamp").alias("fetched_at"))
     labels = F.split("own_host", "[.]")
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    asked = wanted.filter("own_host is not null and fetched_at is not null").select("page_id", "own_host", F.posexplode(suffixes).alias("depth", "host"), F.col("fetched_at").alias("at"), F.lit(None).cast("struct<action:string,valid_to:timestamp>").alias("entry"))
+    moments = wanted.filter("own_host is not null and fetched_at is not null").select("own_host", F.col("fetched_at").alias("at")).distinct()
+    asked = moments.select("own_host", F.posexplode(suffixes).alias("depth", "host"), "at", F.lit(1).alias("turn"), F.lit(None).cast("struct<valid_from:timestamp,valid_to:timestamp,action:string>").alias("entry"))
     listed = intervals(entries.withColumn("effective_at", F.col("effective_at").cast("timestamp")))
-    listed = listed.select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("own_host"), F.lit(None).cast("int").alias("depth"), "host", F.col("valid_from").alias("at"), F.struct("action", "valid_to").alias("entry"))
-    judged = last_entries(asked.unionByName(listed), bucket_seconds).filter("depth is not null and active is not null")
-    best = judged.groupBy("page_id", "own_host", "at").agg(F.min(F.struct("depth", "host", "active")).alias("b"))
-    best = best.select(F.col("page_id").alias("b_page"), F.col("own_host").alias("b_host"), F.col("at").alias("b_at"), F.col("b.host").alias("matched_host"), F.col("b.active.at").alias("valid_from"), F.col("b.active.entry.valid_to").alias("valid_to"), F.col("b.active.entry.action").alias("action"))
-    on = wanted["page_id"].eqNullSafe(best["b_page"]) & (wanted["own_host"] == best["b_host"]) & (wanted["fetched_at"] == best["b_at"])
+    listed = listed.select(F.lit(None).cast("string").alias("own_host"), F.lit(None).cast("int").alias("depth"), "host", F.col("valid_from").alias("at"), F.lit(0).alias("turn"), F.struct("valid_from", "valid_to", "action").alias("entry"))
+    judged = last_value(asked.unionByName(listed), ["host"], ["at", "turn"], F.col("entry"), "active").filter("depth is not null and active is not null")
+    best = judged.groupBy("own_host", "at").agg(F.min(F.struct("depth", "host", "active")).alias("b"))
+    best = best.select(F.col("own_host").alias("b_host"), F.col("at").alias("b_at"), F.col("b.host").alias("matched_host"), "b.active.valid_from", "b.active.valid_to", "b.active.action")
+    on = (wanted["own_host"] == best["b_host"]) & (wanted["fetched_at"] == best["b_at"])
     return wanted.join(best, on, "left").select("page_id", F.col("own_host").alias("host"), "fetched_at", "matched_host", "valid_from", "valid_to", "action", F.coalesce(F.col("action") == "block", F.lit(False)).alias("blocked"))
