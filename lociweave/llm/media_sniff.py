@@ -13,6 +13,7 @@ at a time beside the Arrow batch.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -28,6 +29,9 @@ from lociweave.llm.common import doc_frame
 ROW = 192
 PIXELS = ROW // 3
 
+#: Media go back to Spark in pieces of about so many bytes.
+PIECE = 64 << 20
+
 
 def wav_length(b: bytes, at: int) -> int:
     """Length of a valid 8-bit PCM WAV file at an offset, else 0."""
@@ -48,16 +52,17 @@ def bmp_length(b: bytes, at: int) -> int:
     return total if (zero, offset, head, planes, depth, packed) == (0, 54, 40, 1, 24, 0) and width > 0 and height and total == need and at + total <= len(b) else 0
 
 
+#: Header of a binary PGM: width, height and largest sample after blanks and comment lines.
+PGM_HEAD = re.compile(rb"P5(?:\s|#[^\r\n]*[\r\n])+0*(\d{1,10})(?:\s|#[^\r\n]*[\r\n])+0*(\d{1,10})(?:\s|#[^\r\n]*[\r\n])+0*(\d{1,3})\s")
+
+
 def pgm_length(b: bytes, at: int) -> int:
     """Length of a valid 8-bit binary PGM file at an offset, else 0."""
-    parts = b[at : at + 40].split(b"\n", 3)
-    if len(parts) < 4 or parts[0] != b"P5" or parts[2] != b"255":
+    head = PGM_HEAD.match(b, at)
+    if not head or not 0 < int(head[3]) < 256:
         return 0
-    size = parts[1].split(b" ")
-    if len(size) != 2 or not all(x.isdigit() for x in size):
-        return 0
-    total = sum(len(x) + 1 for x in parts[:3]) + int(size[0]) * int(size[1])
-    return total if int(size[0]) * int(size[1]) and at + total <= len(b) else 0
+    size = int(head[1]) * int(head[2])
+    return head.end() - at + size if size and head.end() + size <= len(b) else 0
 
 
 def png_length(b: bytes, at: int) -> int:
@@ -98,7 +103,7 @@ def gif_length(b: bytes, at: int) -> int:
 FORMATS: list[tuple[str, bytes, Callable[[bytes, int], int]]] = [
     ("audio/wav", b"RIFF", wav_length),
     ("image/bmp", b"BM", bmp_length),
-    ("image/x-portable-graymap", b"P5\n", pgm_length),
+    ("image/x-portable-graymap", b"P5", pgm_length),
     ("image/png", b"\x89PNG\r\n\x1a\n", png_length),
     ("image/gif", b"GIF87a", gif_length),
     ("image/gif", b"GIF89a", gif_length),
@@ -137,14 +142,17 @@ def store(payload: bytes) -> bytes:
 
 
 def samples(b: bytes, at: int, n: int, kind: str) -> tuple[bytes, str]:
-    """The stored samples of a valid file of ``store`` and its shape."""
+    """The 8-bit samples of a valid file and its shape; no samples for the compressed formats."""
     if kind == "audio/wav":
         return b[at + 44 : at + n], f"rate={struct.unpack_from('<I', b, at + 24)[0]}"
     if kind == "image/bmp":
         width, height = struct.unpack_from("<ii", b, at + 18)
         return b[at + 54 : at + n], f"size={width}x{abs(height)}"
-    head = b[at : at + 40].split(b"\n", 3)
-    return b[at + sum(len(x) + 1 for x in head[:3]) : at + n], f"size={head[1].decode().replace(' ', 'x')}"
+    if kind == "image/x-portable-graymap":
+        head = PGM_HEAD.match(b, at)
+        return b[head.end() : at + n], f"size={int(head[1])}x{int(head[2])}"
+    width, height = struct.unpack_from(">II", b, at + 16) if kind == "image/png" else struct.unpack_from("<HH", b, at + 6)
+    return b"", f"size={width}x{height}"
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -163,8 +171,14 @@ def text_media(docs: DataFrame, declared: str = "image/bmp") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [padded(t.as_py()) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array([n for _, n in rows], pa.int64()), pa.array([store(p) for p, _ in rows], pa.binary()), pa.array([declared] * len(rows))], names=["doc_id", "n_bytes", "media", "declared_type"])
+            first, held, rows = 0, 0, []
+            for row, text in enumerate(batch.column(1), 1):
+                payload, n = padded(text.as_py())
+                rows.append((n, store(payload)))
+                held += len(payload)
+                if held >= PIECE or row == len(batch):
+                    yield pa.record_batch([batch.column(0).slice(first, len(rows)), pa.array([n for n, _ in rows], pa.int64()), pa.array([m for _, m in rows], pa.binary()), pa.array([declared] * len(rows))], names=["doc_id", "n_bytes", "media", "declared_type"])
+                    first, held, rows = row, 0, []
 
     return doc_frame(docs).mapInArrow(run, MEDIA_SCHEMA)
 
@@ -174,8 +188,10 @@ def sniff(media: DataFrame) -> DataFrame:
 
     media_type is the type of the valid file at offset 0 (null if there is none, and
     then no payload is read); corrected says that it differs from declared_type;
-    n_embedded counts the valid files at later offsets.  A null media value counts as
-    empty bytes.
+    n_embedded counts the valid files at later offsets, nested ones too.  Samples are
+    read from WAV, BMP and PGM files; a PNG or GIF file has an empty payload and its size
+    as the feature.  A null media value counts as empty bytes; rows that repeat come back
+    as often as they occur.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +204,8 @@ def sniff(media: DataFrame) -> DataFrame:
                 own = next((f for f in files if f[0] == 0), None)
                 payload, shape = samples(b, *own) if own else (b"", "")
                 head = np.frombuffer(payload, np.uint8)
-                feature = f"{own[2]};{shape};mean={head.mean():.6f};std={head.std():.6f};max={head.max()}" if own and len(head) else ""
+                feature = f"{own[2]};{shape}" if own else ""
+                feature += f";mean={head.mean():.6f};std={head.std():.6f};max={head.max()}" if len(head) else ""
                 rows.append((doc_id.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(b), hashlib.sha256(b).hexdigest(), feature, kind, own and own[2], bool(own and own[2] != kind), sum(f[0] > 0 for f in files)))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 12, types, strict=True)], names=names)
@@ -197,7 +214,11 @@ def sniff(media: DataFrame) -> DataFrame:
 
 
 def carve_media(media: DataFrame) -> DataFrame:
-    """(doc_id, at, length, media_type, file): all valid media files of a media column, carved."""
+    """(doc_id, at, length, media_type, file): all valid media files of a media column, carved.
+
+    Files within another file are carved too, and of two formats that are valid at one
+    offset both; null and empty values have none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = automaton()
