@@ -5,14 +5,16 @@ its word shingles.  Fingerprints at most ``max_bits`` (3) apart are linked and
 the connected components of those links are the near-duplicate groups.
 
 Links are found without comparing all pairs.  The fingerprint is cut into three
-segments of 22, 21 and 21 bits.  Three differing bits can put two or more into
-one segment at most, so two of the three segments differ by one bit at most.
-Each segment, padded to 23 bits, is decoded with the perfect binary Golay code:
-the decoded codeword index of a segment is its *index key*; the codewords of the
-segment and of all its one-bit neighbours (six as a rule) are its *probe keys*.
-If two segments differ by at most one bit, the index key of one is among the
-probe keys of the other.  A join on the concatenated keys of two segments
-therefore meets every linked pair, and the exact Hamming distance decides.
+segments of 22, 21 and 21 bits.  Each segment, padded to 23 bits, is decoded with the
+perfect binary Golay code: the index of its codeword is its *index key*; those of the
+segment and of all its one-bit neighbours (six as a rule) are its *probe keys*, so the
+index key of a segment is among the probe keys of every segment one bit away.  By
+pigeonhole, three differing bits either leave one segment untouched and another with
+one bit at most, or put one bit into each segment, which leaves a half of every segment
+untouched.  So two families of keys meet every linked pair, and the exact Hamming
+distance decides: a whole segment with the Golay key of another one (six pairs), and
+the Golay key of the first segment with a half of each of the others (four choices).
+Each key has 33 bits or more, so what meets by chance stays few among billions.
 
 Scale: texts are read once and reduced to (doc_id, fingerprint); everything
 after works on distinct fingerprints, so groups of exact copies cost one row.
@@ -41,7 +43,9 @@ GOLAY_DATA = 12
 
 #: (shift, width) of the three segments of a 64-bit fingerprint.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
-SEGMENT_PAIRS = ((0, 1), (0, 2), (1, 2))
+#: (whole segment, segment by Golay key), and (halves of the second and of the third segment).
+WHOLE_AND_NEAR = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
+HALVES = ((0, 0), (0, 1), (1, 0), (1, 1))
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 
@@ -117,9 +121,15 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return doc_frame(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def exact_parts(fp: np.ndarray) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+    """Each segment's value, and its lower 10 and its other bits."""
+    whole = [((fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64) for shift, width in SEGMENTS]
+    return whole, [(w & 1023, w >> 10) for w in whole]
+
+
 def golay_keys(distinct: DataFrame, probes: bool) -> DataFrame:
-    """(pair, key, fp): the join keys of each fingerprint, one row per segment pair, or
-    per segment pair and combination of probe keys."""
+    """(key, fp): the join keys of each fingerprint, ten with index keys, or one row for
+    each of them and each probe key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,15 +137,13 @@ def golay_keys(distinct: DataFrame, probes: bool) -> DataFrame:
             for at in range(0, len(fps), 4096):
                 fp = fps[at : at + 4096]
                 index, near = segment_keys(fp.view(np.uint64))
-                for number, (a, b) in enumerate(SEGMENT_PAIRS):
-                    if probes:
-                        key = near[a][:, :, None] << GOLAY_DATA | near[b][:, None, :]
-                        real = ((near[a] >= 0)[:, :, None] & (near[b] >= 0)[:, None, :]).reshape(len(fp), -1)
-                        who, which = np.nonzero(real)
-                        key, own = key.reshape(len(fp), -1)[who, which], fp[who]
-                    else:
-                        key, own = index[a] << GOLAY_DATA | index[b], fp
-                    yield pa.record_batch([pa.array(key << 2 | number, pa.int64()), pa.array(own, pa.int64())], names=["key", "fp"])
+                whole, half = exact_parts(fp.view(np.uint64))
+                exact = [(whole[a], b) for a, b in WHOLE_AND_NEAR] + [(half[1][i] << 11 | half[2][j], 0) for i, j in HALVES]
+                for number, (part, segment) in enumerate(exact):
+                    golay = near[segment] if probes else index[segment][:, None]
+                    who, which = np.nonzero(golay >= 0)
+                    key = (part[who] << GOLAY_DATA | golay[who, which]) << 4 | number
+                    yield pa.record_batch([pa.array(key, pa.int64()), pa.array(fp[who], pa.int64())], names=["key", "fp"])
 
     return distinct.select("fp").mapInArrow(run, "key long, fp long")
 
@@ -143,11 +151,11 @@ def golay_keys(distinct: DataFrame, probes: bool) -> DataFrame:
 def fingerprint_links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
     """(a, b): pairs of distinct fingerprints at most ``max_bits`` apart, each found once or more.
 
-    Probes of the smaller fingerprint meet index keys of the larger one; with three
-    segments the cover is complete up to three bits.
+    Probes of the smaller fingerprint meet index keys of the larger one; the cover is
+    complete up to three bits.
     """
     if not 0 <= max_bits <= 3:
-        raise ValueError("three segments with one-bit probes cover up to 3 differing bits")
+        raise ValueError("the keys cover up to 3 differing bits")
     left = golay_keys(distinct, probes=True).select("key", F.col("fp").alias("a"))
     right = golay_keys(distinct, probes=False).select("key", F.col("fp").alias("b"))
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
