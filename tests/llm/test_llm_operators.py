@@ -33,10 +33,22 @@ def benchmark(spark, odd):
     return spark.createDataFrame([(1, text), (2, "x"), (3, None), (None, "w1"), (4, ""), (2, "漢字 text")], "item_id long, text string")
 
 
+def captures_of(docs):
+    """Documents as captures: very long, empty and null URLs, ties in time, clashing columns."""
+    url = F.when(F.col("text") == "", F.col("text")).otherwise(F.concat(F.lit("http://a.b.org/"), F.col("text")))
+    when = F.when(F.col("source").isNotNull(), F.timestamp_seconds(F.coalesce(F.col("doc_id"), F.lit(0)) % 7))
+    return docs.withColumn("page_id", F.col("doc_id")).withColumn("url", url).withColumn("fetched_at", when).withColumn("host", F.lit("x")).withColumn("action", F.lit("y")).withColumn("_part", F.lit(1)).withColumn("entry", F.lit(1))
+
+
+def entries_of(spark):
+    return spark.createDataFrame([("b.org", 3, "block"), ("b.org", 3, "allow"), ("b.org", 3, "block"), ("a.b.org", 5, "allow"), (None, 1, "block")], "host string, t long, action string").select("host", F.timestamp_seconds("t").alias("effective_at"), "action", F.lit(0).alias("own_host"))
+
+
 def operators(spark, docs, labels, benchmark):
     ratings = labels.select("doc_id", (F.col("quality") + F.col("toxic")).alias("grade"))
     return {
         "op1": ordinal_quality.quality(docs, ordinal_quality.fit(docs, ratings, 3, rounds=3)),
+        "op2": url_asof.filter_captures(captures_of(docs), entries_of(spark)).withColumnRenamed("page_id", "doc_id"),
         "op3": toxicity_kn.toxicity(docs, toxicity_kn.fit(docs, labels)),
         "op4": license_digest.license_scan(docs),
         "op5": media_sniff.sniff(media_sniff.text_media(docs)),
@@ -109,7 +121,7 @@ def test_url_filter_against_brute_force(spark):
     captures = [(i % 90, rng.choice([f"https://u@{h}:80/p", f"http://{h.upper()}?q", "nonsense", None]) if (h := rng.choice(hosts)) else None, rng.randint(0, 450_000) if rng.random() > 0.1 else None) for i in range(100)]
     e = spark.createDataFrame(entries, "host string, t long, action string").select("host", F.timestamp_seconds("t").alias("effective_at"), "action")
     c = spark.createDataFrame(captures, "page_id long, url string, t long").select("page_id", "url", F.timestamp_seconds("t").alias("fetched_at"))
-    got = Counter((r["page_id"], r["matched_host"], r["action"], r["blocked"]) for r in url_asof.filter_captures(c, e, 50_000).collect())
+    got = Counter((r["page_id"], r["matched_host"], r["action"], r["blocked"]) for r in url_asof.filter_captures(c, e).collect())
     want = Counter()
     for page, url, t in captures:
         m = re.match(r"^[a-z]+://(?:[^/@?#]*@)?([^/:?#]+)", url or "", re.I)
@@ -154,11 +166,56 @@ def test_toxicity_learns_rare_words_by_stem(spark):
     assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.97
 
 
-def test_toxicity_probabilities_sum_to_one():
-    """Exponentiated log ratios are ratios of distributions: their ordinary mean is one."""
-    c = toxicity_kn.Counts([b"aaaaa1", b"bbbbb1"], np.array([[50.0, 5], [5, 60]]), np.array([20.0, 30]), [b"aaaaa", b"bbbbb"], np.array([[70.0, 8], [9, 90]]), np.array([30.0, 50]), np.zeros((3, 2)), np.zeros((0, 2), np.int64), np.zeros((0, 2)), np.array([120.0, 120]), 120.0)
-    m = toxicity_kn.build_model(c, 2.0)
-    assert m.log_ratio([b"aaaaa1"]) < 0 < m.log_ratio([b"bbbbb1"]) and m.log_ratio([b"bbbbbzz"]) > 0 and m.log_ratio([]) == 0
+def plain_counts(texts, symbols):
+    """Counts of a list of (words, label), in plain Python."""
+    n, pairs, shared = symbols.n, [Counter(), Counter()], np.zeros(symbols.n)
+    for words, label in texts:
+        ids = symbols.of(words).tolist()
+        pairs[label].update(set(zip([n, *ids[:-1]], ids)))
+        shared[list(set(ids))] += 1
+    return pairs, shared
+
+
+def plain_probability(pairs, shared, min_pair, label, left, right):
+    """Interpolated Kneser-Ney from its definition."""
+    own, both = pairs[label], pairs[0] + pairs[1]
+    discount = lambda values: (values.count(1) + 0.5) / (values.count(1) + 2 * values.count(2) + 1)
+    continuation = Counter(w for _, w in own)
+    d, total = discount(list(continuation.values())), sum(continuation.values())
+    kept = {w: max(c - d, 0) / total for w, c in continuation.items()}
+    word = kept.get(right, 0) + (1 - sum(kept.values())) * (shared[right] + 0.5) / (shared + 0.5).sum()
+    d2, context = discount(list(own.values())), max(1, sum(c for (v, _), c in own.items() if v == left))
+    used = {p: max(own[p] - d2, 0) / context for p, c in both.items() if c >= min_pair and p[0] == left}
+    return used.get((left, right), 0) + (1 - sum(used.values())) * word
+
+
+def test_toxicity_is_interpolated_kneser_ney(spark):
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(12)] + ["abcdefg1", "abcdefh2", "rare"]
+    texts = [([rng.choice(vocab[:12] if rng.random() < 0.9 else vocab) for _ in range(rng.randint(0, 30))], i % 3 // 2) for i in range(60)]
+    train = spark.createDataFrame([(" ".join(w), y, i % 4) for i, (w, y) in enumerate(texts)], "text string, label int, fold int").repartition(3)
+    symbols = toxicity_kn.find_symbols(train, 4)
+    counts = toxicity_kn.gather(toxicity_kn.pair_counts(train, symbols), toxicity_kn.shared_counts(train, symbols), 8)
+    for k, c in enumerate(counts):
+        pairs, shared = plain_counts([t for i, t in enumerate(texts) if k == 0 or i % 4 != k - 1], symbols)
+        every, shared = plain_counts(texts, symbols)
+        n = symbols.n
+        for label in (0, 1):
+            model = toxicity_kn.class_model(c, label)
+            cutoff = {p for p, m in (every[0] + every[1]).items() if m >= 8}
+            for left in range(n + 1):
+                p = model.probability(np.full(n, left), np.arange(n))
+                assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
+                if k == 0:
+                    assert np.allclose(p, [plain_probability(pairs, shared, 8, label, left, w) for w in range(n)])
+            assert len(c.pair_keys) == len(cutoff)
+
+
+def test_toxicity_without_two_classes(spark, none):
+    docs = spark.createDataFrame([(i, "some words") for i in range(9)], "doc_id long, text string")
+    for labels in (docs.select("doc_id", F.lit(1).alias("toxic")), docs.limit(0).select("doc_id", F.lit(1).alias("toxic"))):
+        rows = toxicity_kn.toxicity(docs, toxicity_kn.fit(docs, labels)).collect()
+        assert {r["score"] for r in rows} == {0.5} and {r["predicted"] for r in rows} == {0}
 
 
 # ---------------------------------------------------------------- 4
@@ -201,6 +258,23 @@ def test_media_round_trip_and_carving():
     assert not media_sniff.carve(bytes(broken), finder)
 
 
+def test_sniffing_files_of_all_kinds(spark):
+    """Valid foreign files, headers with comments, cut files and empty values at offset 0."""
+    gif = b"GIF89a" + bytes([3, 0, 2, 0, 0, 0, 0]) + b"\x2c" + bytes(9) + b"\x02" + b"\x02ab\x00" + b"\x3b"
+    payload = bytes(range(192))
+    wav = struct.pack("<4sI8sIHHIIHH4sI", b"RIFF", 228, b"WAVEfmt ", 16, 1, 1, 8000, 8000, 1, 8, b"data", 192) + payload
+    pgm = b"P5 # a long comment " + b"x" * 60 + b"\n16\t12\n# more\n255\n" + payload
+    files = [gif, png(), wav, pgm, wav[:-1], None, b"", b"P5 0 0 255 ", b"GIF89a", pgm + gif]
+    rows = spark.createDataFrame([(i, 0, f, "image/gif") for i, f in enumerate(files)], "doc_id long, n_bytes long, media binary, declared_type string")
+    got = {r["doc_id"]: r for r in media_sniff.sniff(rows).collect()}
+    assert [got[i]["media_type"] for i in range(10)] == ["image/gif", "image/png", "audio/wav", "image/x-portable-graymap", None, None, None, None, None, "image/x-portable-graymap"]
+    assert got[0]["feature"] == "image/gif;size=3x2" and got[0]["payload_bytes"] == 0 and got[1]["feature"] == "image/png;size=0x0"
+    for i in (2, 3, 9):
+        assert got[i]["payload_sha256"] == hashlib.sha256(payload).hexdigest() and got[i]["tail_crc32"] == zlib.crc32(payload[-16:])
+    assert got[3]["feature"].startswith("image/x-portable-graymap;size=16x12;mean=95.5") and got[9]["n_embedded"] == 1
+    assert not got[0]["corrected"] and got[1]["corrected"] and not got[4]["corrected"]
+
+
 def test_carved_files(spark):
     rows = [(1, b"head" + png() + b"tail"), (2, None), (3, b"")]
     got = media_sniff.carve_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
@@ -221,6 +295,31 @@ def test_mix_keeps_totals_in_many_levels(spark):
     assert rows.count() == 3000
 
 
+def test_mix_comes_near_targets_with_outliers_and_repeated_rows(spark):
+    """One document holds a tenth of its source; thousands of rows share a null id and a text."""
+    rng = random.Random(13)
+    rows = [(i, "w " * (400 if i % 100 == 0 else rng.randint(20, 60)), f"s{i % 4}") for i in range(2000)] + [(None, "same text here", "s9")] * 5000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = pivotal_mix.copies(docs, fan_in=64)
+    assert got.count() == 7000
+    for r in got.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("k")).collect():
+        assert abs(r["k"] - r["t"]) < 0.005 * r["t"], r
+    mixed = {(r["doc_id"], r["source"]): r["n"] for r in pivotal_mix.mixed_documents(docs, fan_in=64).groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    want = {(r["doc_id"], r["source"]): r["n"] for r in got.groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect()}
+    assert mixed == {k: v for k, v in want.items() if v}
+
+
+def test_mix_keeps_chances(spark):
+    """Over many seeds each document is taken about as often as its fraction says."""
+    docs = spark.createDataFrame([(i, "w " * (200 if i == 0 else 10 + i % 7), "a" if i < 40 else "b") for i in range(80)], "doc_id long, text string, source string")
+    runs = [pivotal_mix.copies(docs, weights=(1.0, 1.5), seed=s).select("doc_id", "copies", (F.col("target") / F.col("source_size")).alias("share")) for s in range(12)]
+    rows = runs[0]
+    for r in runs[1:]:
+        rows = rows.unionByName(r)
+    got = rows.groupBy("doc_id").agg(F.avg("copies").alias("m"), F.first("share").alias("share")).collect()
+    assert np.mean([abs(r["m"] - r["share"]) for r in got]) < 0.2 and abs(np.mean([r["m"] - r["share"] for r in got])) < 0.05
+
+
 def test_mixed_documents_repeat_rows(spark, odd):
     copies = {r["doc_id"]: r["c"] for r in pivotal_mix.mix(odd).groupBy("doc_id").agg(F.sum("copies").alias("c")).collect()}
     assert as_rows(pivotal_mix.mixed_documents(odd)) == Counter({k: v for k, v in copies.items() if v})
@@ -369,6 +468,18 @@ def test_cards_within_longer_runs_and_long_secrets_change(spark):
     assert got[24]["text"] == rows[-1][1]
 
 
+def test_repeated_rows_spread_over_shards(spark):
+    rows = [(i, "x" * (i * 37 % 900)) for i in range(2000)] + [(None, "y" * 200)] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    load, slots = Counter(), defaultdict(list)
+    for r in slot_sharding.shard_documents(docs).collect():
+        load[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    mean = sum(load.values()) / 8
+    assert len(load) == 8 and max(load.values()) < 1.1 * mean and min(load.values()) > 0.9 * mean
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and sum(map(len, slots.values())) == 4000
+
+
 def test_slot_map_grows_into_new_shards_only(spark):
     docs = spark.createDataFrame([(i, "x" * (i * 37 % 900)) for i in range(3000)], "doc_id long, text string")
     rows = slot_sharding.records(docs, 256)
