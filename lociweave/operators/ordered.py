@@ -19,11 +19,22 @@ def _spread(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return cut_lineage(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
 
 
-def _join_group(rows: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """The stored rows, whole range partitions together; ranges of part numbers deal them out
+    evenly, where a hash of few numbers would put several into one task."""
+    return rows.repartitionByRange("_part")
+
+
+def _join_start(rows: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with their group's ``_start`` in their partition.
+
+    A group that goes on from one partition to the next is the last one there and the first
+    one here, so there are at most as many starts as partitions, and they are broadcast.
+    """
     on = F.col("_part") == F.col("_s_part")
     for b in by:
         on = on & F.col(b).eqNullSafe(F.col(f"_s_{b}"))
-    return rows.join(starts, on, "left").drop("_s_part", *[f"_s_{b}" for b in by])
+    return rows.join(F.broadcast(starts.filter("_start is not null")), on, "left").drop("_s_part", *[f"_s_{b}" for b in by])
 
 
 def _scan(df: DataFrame, by: list[str], order: list[str], value: Column, out: str, total, merge, backward: bool, in_order: bool = False) -> DataFrame:
@@ -37,7 +48,7 @@ def _scan(df: DataFrame, by: list[str], order: list[str], value: Column, out: st
     starts = parts.select(F.col("_part").alias("_s_part"), *[F.col(b).alias(f"_s_{b}") for b in by], total("_total").over(step).alias("_start"))
     keys = [F.desc(o) for o in order] if backward else [F.col(o) for o in order]
     inside = Window.partitionBy("_part", *by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    scanned = _join_group(rows.withColumn("_inside", total("_value").over(inside)), starts, by)
+    scanned = _join_start(_in_parts(rows).withColumn("_inside", total("_value").over(inside)), starts, by)
     return scanned.select(*df.columns, merge(F.col("_start"), F.col("_inside")).alias(out))
 
 
@@ -70,4 +81,4 @@ def next_value(df: DataFrame, by: list[str], order: str, out: str) -> DataFrame:
     later = Window.partitionBy(*by).orderBy("_part")
     starts = parts.select(F.col("_part").alias("_s_part"), *[F.col(b).alias(f"_s_{b}") for b in by], F.lead("_least").over(later).alias("_start"))
     inside = F.lead(order).over(Window.partitionBy("_part", *by).orderBy(order))
-    return _join_group(rows.withColumn("_inside", inside), starts, by).select(*df.columns, F.coalesce("_inside", "_start").alias(out))
+    return _join_start(_in_parts(rows).withColumn("_inside", inside), starts, by).select(*df.columns, F.coalesce("_inside", "_start").alias(out))
