@@ -141,10 +141,11 @@ class NgramModel:
         top = ratio if len(ratio) <= TELLING else np.partition(ratio, -TELLING)[-TELLING:]
         return float(ratio.mean()), float(top.sum() / TELLING), 1.0
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        """Score of each text of an Arrow column."""
-        x = np.array([self.features(self.symbols.of(words_of(t.as_py()))) for t in texts], float).reshape(-1, 3)
-        return _logistic(x @ self.weights)
+    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Score and number of words of each text of an Arrow column."""
+        ids = [self.symbols.of(words_of(t.as_py())) for t in texts]
+        x = np.array([self.features(i) for i in ids], float).reshape(-1, 3)
+        return _logistic(x @ self.weights), np.array([len(i) for i in ids], np.int64)
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
@@ -311,8 +312,8 @@ def toxicity(docs: DataFrame, model: NgramModel, threshold: float = 0.7) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(words_of(t.as_py())) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(shared.value.scores(batch.column(1))), pa.array(n, pa.int64())], names=["doc_id", "score", "n_words"])
+            score, n = shared.value.scores(batch.column(1))
+            yield pa.record_batch([batch.column(0), pa.array(score), pa.array(n)], names=["doc_id", "score", "n_words"])
 
     scored = doc_frame(docs).mapInArrow(run, "doc_id long, score double, n_words long")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_words")
@@ -329,6 +330,6 @@ def drop_toxic(docs: DataFrame, model: NgramModel, threshold: float = 0.7) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.scores(batch.column(at)) < threshold, pa.bool_()))
+            yield batch.filter(pa.array(shared.value.scores(batch.column(at))[0] < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
