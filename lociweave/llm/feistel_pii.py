@@ -11,14 +11,15 @@ Feistel rounds change the left half by a keyed hash of the right half and then
 the other way round; each round is a bijection on the halves, so distinct values
 stay distinct.  Dates are day numbers in the 146097 days from 1800-01-01, which
 factor as 189 x 773, so the network covers the range exactly.  Card numbers are
-permuted without their check digit, which is then computed anew.
+permuted without their check digit, which is then computed anew.  Area and exchange
+codes of phone numbers that begin with 2 to 9, as valid ones do, go on doing so.
 
 DataFrame functions only: one narrow pass, no shuffle, no join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociweave.llm.common import doc_frame
@@ -26,7 +27,7 @@ from lociweave.llm.common import doc_frame
 #: Patterns by kind, in the order in which they are tried at a place.
 PATTERNS = {
     "secret": r"\b(?:password|passwd|secret|token|api_key)=[0-9a-f]{8,}\b",
-    "email": r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "phone": r"\+1 ?\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     "date": r"(?<![\d-])(?:18|19|20|21)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])",
     "ipv4": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
@@ -78,13 +79,15 @@ if(m rlike '^[0-9][0-9 -]+$' and length(regexp_replace(m, '[^0-9]', '')) >= 13,
 _CHARS = "filter(split({s}, ''), c -> c <> '')"
 _CODE = "case when c between '0' and '9' then ascii(c) - 48 when c between 'a' and 'z' then ascii(c) - 97 when c between 'A' and 'Z' then ascii(c) - 65 else 0 end"
 _MODULUS = "case when c between '0' and '9' then 10 when c between 'a' and 'z' or c between 'A' and 'Z' then 26 else 1 end"
-_LOCAL = "substring_index(v, '@', 1)"
+#: Of an address the name without leading punctuation, and the length of that punctuation.
+_LOCAL = "regexp_replace(substring_index(v, '@', 1), '^[._%+-]+', '')"
+_LEADING = f"(length(substring_index(v, '@', 1)) - length({_LOCAL}))"
 _HEX = "substring_index(v, '=', -1)"
 
 #: Symbols and moduli of a valid match.
 SYMBOLS = f"""
 case kind when 'card' then transform({_CHARS.format(s=f"substring({_DIGITS}, 1, length({_DIGITS}) - 1)")}, c -> cast(c as int))
-          when 'phone' then transform({_CHARS.format(s=f"substring({_DIGITS}, 2, 10)")}, c -> cast(c as int))
+          when 'phone' then transform({_CHARS.format(s=f"substring({_DIGITS}, 2, 10)")}, (c, i) -> if(i in (0, 3) and c >= '2', cast(c as int) - 2, cast(c as int)))
           when 'ipv4' then transform(split(v, '[.]'), c -> cast(c as int))
           when 'date' then array(cast(datediff(try_to_date(v, 'yyyy-MM-dd'), date'{DATE_FROM}') div {DATE_MODULI[1]} as int), cast(datediff(try_to_date(v, 'yyyy-MM-dd'), date'{DATE_FROM}') % {DATE_MODULI[1]} as int))
           when 'secret' then transform({_CHARS.format(s=_HEX)}, c -> cast(conv(c, 16, 10) as int))
@@ -92,6 +95,7 @@ case kind when 'card' then transform({_CHARS.format(s=f"substring({_DIGITS}, 1,
 MODULI = f"""
 case kind when 'ipv4' then array_repeat(256, 4)
           when 'date' then array({DATE_MODULI[0]}, {DATE_MODULI[1]})
+          when 'phone' then transform({_CHARS.format(s=f"substring({_DIGITS}, 2, 10)")}, (c, i) -> if(i in (0, 3), if(c >= '2', 8, 2), 10))
           when 'secret' then array_repeat(16, size(symbols))
           when 'email' then transform({_CHARS.format(s=_LOCAL)}, c -> {_MODULUS})
           else array_repeat(10, size(symbols)) end"""
@@ -110,15 +114,16 @@ def _network(key: str) -> str:
 #: Writes the permuted symbols back into the layout of v.
 _PUT_DIGITS = "aggregate({chars}, named_struct('at', {skip}, 'out', ''), (a, c) -> named_struct('at', a.at + if(c between '0' and '9', 1, 0), 'out', concat(a.out, if(c between '0' and '9' and a.at >= 0, substring({digits}, a.at + 1, 1), c))), a -> a.out)"
 _CHECKED = f"concat(array_join(permuted, ''), cast(pmod(10 - pmod({_LUHN.format(d='''array_join(permuted, '')''', odd=1)}, 10), 10) as string))"
+_PHONE = "array_join(transform(permuted, (x, i) -> if(moduli[i] = 8, x + 2, x)), '')"
 WRITE = f"""
 case kind when 'card' then {_PUT_DIGITS.format(chars=_CHARS.format(s="v"), skip=0, digits=_CHECKED)}
-          when 'phone' then {_PUT_DIGITS.format(chars=_CHARS.format(s="v"), skip=-1, digits="array_join(permuted, '')")}
+          when 'phone' then {_PUT_DIGITS.format(chars=_CHARS.format(s="v"), skip=-1, digits=_PHONE)}
           when 'ipv4' then array_join(permuted, '.')
           when 'date' then cast(date_add(date'{DATE_FROM}', permuted[0] * {DATE_MODULI[1]} + permuted[1]) as string)
           when 'secret' then concat(substring_index(v, '=', 1), '=', array_join(transform(permuted, c -> lower(conv(c, 10, 16))), ''))
-          when 'email' then concat(array_join(zip_with(permuted, {_CHARS.format(s=_LOCAL)}, (x, c) ->
+          when 'email' then concat(substring(v, 1, {_LEADING}), array_join(zip_with(permuted, {_CHARS.format(s=_LOCAL)}, (x, c) ->
                case when c between '0' and '9' then chr(48 + x) when c between 'a' and 'z' then chr(97 + x) when c between 'A' and 'Z' then chr(65 + x) else c end), ''),
-               substring(v, length({_LOCAL}) + 1))
+               substring(v, {_LEADING} + length({_LOCAL}) + 1))
           else v end"""
 
 
@@ -135,19 +140,34 @@ def pseudonym(column: str, key: str) -> Column:
     return F.expr(f"transform(array({column}), v -> {_steps(_quoted(key))})[0].pseudonym")
 
 
+#: The key's literal carries this mark, by which Spark redacts it in plans, the UI and event logs.
+KEY_MARK = "pseudonymkey"
+
+
 def _quoted(key: str) -> str:
     if not key.isalnum():
         raise ValueError("the key must be letters and digits")
-    return key
+    return KEY_MARK + key
+
+
+def hide_key(spark: SparkSession) -> None:
+    """Have the session redact marked keys wherever it prints plans; an own pattern is kept."""
+    name = "spark.sql.redaction.string.regex"
+    own = spark.conf.get(name, None)
+    if not own or KEY_MARK not in own:
+        spark.conf.set(name, f"{own}|{KEY_MARK}[A-Za-z0-9]+" if own else f"{KEY_MARK}[A-Za-z0-9]+")
 
 
-def pseudonymise(docs: DataFrame, key: str = "rotate0this0key") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_replaced, kinds) of every document.
 
     text has every valid value replaced by its pseudonym and is otherwise unchanged;
     n_replaced counts them; kinds lists their kinds, sorted, joined by commas.  A null
-    text stays null with 0 replaced; repeated rows are returned as often as they occur.
+    text stays null with 0 replaced; repeated rows are returned as often as they occur; an
+    empty table gives an empty result.  The key is letters and digits; printed plans show a
+    redaction in its place.
     """
+    hide_key(docs.sparkSession)
     d = doc_frame(docs)
     any_ = F.lit(ANY)
     swapped = F.expr(f"transform(found, m -> transform({PIECES}, v -> {_steps(_quoted(key))}))")

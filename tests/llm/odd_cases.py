@@ -29,7 +29,7 @@ def brute_windows(text, items, width):
 
 
 def _network(symbols, moduli, kind, key, rounds=8):
-    half = len(symbols) // 2
+    half, key = len(symbols) // 2, "pseudonymkey" + key
     left, right = list(symbols[:half]), list(symbols[half:])
 
     def keyed(k, i, other):
@@ -63,7 +63,11 @@ def feistel(kind, value, key):
         total = sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(body)))
         return refill([*body, -total % 10])
     if kind == "phone":
-        return refill(_network(digits[1:], [10] * 10, kind, key), 1)
+        first = [i in (0, 3) for i in range(10)]
+        moduli = [(8 if d > 1 else 2) if f else 10 for d, f in zip(digits[1:], first, strict=True)]
+        base = [2 if m == 8 else 0 for m in moduli]
+        new = _network([d - b for d, b in zip(digits[1:], base, strict=True)], moduli, kind, key)
+        return refill([x + b for x, b in zip(new, base, strict=True)], 1)
     if kind == "ipv4":
         return ".".join(map(str, _network([int(x) for x in value.split(".")], [256] * 4, kind, key)))
     if kind == "date":
@@ -75,6 +79,8 @@ def feistel(kind, value, key):
         name, body = value.split("=")
         return name + "=" + "".join(f"{x:x}" for x in _network([int(c, 16) for c in body], [16] * len(body), kind, key))
     name, rest = value.split("@")
+    lead = name[: len(name) - len(name.lstrip("._%+-"))]
+    name = name[len(lead) :]
     base = [(48, 10) if c.isdigit() else (97, 26) if c.islower() else (65, 26) if c.isupper() else (ord(c), 1) for c in name]
     new = _network([ord(c) - b if m > 1 else 0 for c, (b, m) in zip(name, base, strict=True)], [m for _, m in base], kind, key)
-    return "".join(chr(b + x) if m > 1 else c for c, x, (b, m) in zip(name, new, base, strict=True)) + "@" + rest
+    return lead + "".join(chr(b + x) if m > 1 else c for c, x, (b, m) in zip(name, new, base, strict=True)) + "@" + rest
