@@ -99,19 +99,28 @@ FROM p LEFT JOIN m ON p.page_id = m.page_id
 def _normal_sql(text: str) -> str:
     out = f"regexp_replace(lower({text}), '{license_digest.COPYRIGHT_LINE}', '', 'g')"
     out = f"trim(regexp_replace({out}, '{license_digest.NOT_WORD}', ' ', 'g'))"
+    out = f"' ' || replace({out}, ' ', '  ') || ' '"
     for old, new in license_digest.SPELLINGS:
-        out = f"replace({out}, '{old}', '{new}')"
-    return out
+        wide = [" " + x.replace(" ", "  ") + " " for x in (old, new)]
+        out = f"replace({out}, '{wide[0]}', '{wide[1]}')"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
+def _known_sql(texts: list[tuple[str, str]]) -> str:
+    return "(VALUES " + ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in texts) + ") t(license, text)"
+
+
+_NOTICE_ROWS = [(name, line) for name, lines in license_digest.NOTICES.items() for line in lines]
+
 LICENSE_SQL = f"""
-WITH known(digest, license) AS (VALUES {", ".join(f"('{d}', '{n}')" for d, n in sorted(license_digest.known_digests().items()))}),
+WITH known AS (SELECT sha256({_normal_sql("text")}) AS digest, min(license) AS license FROM {_known_sql(license_digest.known_texts())} GROUP BY 1),
+notices AS (SELECT sha256({_normal_sql("text")}) AS digest, license FROM {_known_sql(_NOTICE_ROWS)}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, sha256({_normal_sql("text")}) AS text_digest FROM d),
 n AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d WHERE lower(text) LIKE '%licen%'),
 h AS (
   SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS names, count(*) AS n
-  FROM (SELECT r, sha256({_normal_sql("line")}) AS digest FROM n WHERE lower(line) LIKE '%licen%') JOIN known USING (digest) GROUP BY r)
+  FROM (SELECT r, sha256({_normal_sql("line")}) AS digest FROM n WHERE lower(line) LIKE '%licen%') JOIN notices USING (digest) GROUP BY r)
 SELECT doc_id, text_digest, license AS license_id, coalesce(names, '') AS line_licenses, CAST(coalesce(h.n, 0) AS BIGINT) AS n_license_lines
 FROM w LEFT JOIN known ON text_digest = digest LEFT JOIN h ON w.r = h.r
 """
