@@ -30,20 +30,31 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is configured."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Only a local session without one gets a temporary folder; executors on other machines
+    could not see it.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted with this application's other stages."""
+    return f"{_stages(spark)}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a lost executor
     costs a reread and not the work before it."""
     spark = df.sparkSession
-    path = f"{_stages(spark)}/{uuid.uuid4().hex}"
+    path = scratch_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

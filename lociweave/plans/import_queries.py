@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.cluster import shared_dir
+from lociweave.cluster import scratch_dir
 from lociweave.plans.queries import _LONG, _rounded, _t, register
 from lociweave.sources import tables, text_import
 
 
 def _text(df: DataFrame, name: str, sep: str = "\t", header: bool = True) -> str:
-    path = f"{shared_dir(df.sparkSession)}/text-{uuid.uuid4().hex}/{name}"
+    path = f"{scratch_dir(df.sparkSession)}/{name}"
     df.write.option("sep", sep).option("header", header).csv(path)
     return path
 
@@ -59,32 +57,36 @@ def imported_quantitative_gwas(spark, sf_dir):
     return _rounded(text_import.quantitative_gwas(raw).select("rsid", "beta"), {"beta": 2})
 
 
+#: Columns of the written texts: all positions of an embedding.
+SAMPLES = 64
+
+
 def _samples(spark, sf_dir) -> DataFrame:
     e = _t(spark, sf_dir, "embeddings").filter("embedding is not null")
-    return e.select("vec_id", "label", *[F.round(F.col("embedding")[i].cast("double"), 5).alias(f"s{i}") for i in range(8)])
+    return e.select("vec_id", "label", *[F.round(F.col("embedding")[i].cast("double"), 5).alias(f"s{i}") for i in range(SAMPLES)])
 
 
 @register(f"""
-WITH s AS (SELECT feature_id, round(sum(round(v, 5)), 5) AS total FROM {_LONG} WHERE ind < 8 GROUP BY 1)
+WITH s AS (SELECT feature_id, round(sum(round(v, 5)), 5) AS total FROM {_LONG} WHERE ind < {SAMPLES} GROUP BY 1)
 SELECT row_number() OVER (ORDER BY CASE WHEN label = 9 THEN 23 ELSE label + 1 END, vec_id) AS feature_id, CAST(CASE WHEN label = 9 THEN 23 ELSE label + 1 END AS INT) AS chrom, CAST(vec_id AS INT) AS fgeneid, total + 0.0::DOUBLE AS total
 FROM embeddings JOIN s ON vec_id = feature_id""")
 def imported_expression(spark, sf_dir):
     s = _samples(spark, sf_dir)
     chrom = F.when(F.col("label") == 9, "X").otherwise((F.col("label") + 1).cast("string"))
-    text = s.select(chrom.alias("#chr"), F.col("vec_id").alias("start"), (F.col("vec_id") + 5).alias("end"), F.printf(F.lit("ENSG%011d.7"), "vec_id").alias("gene_id"), *[f"s{i}" for i in range(8)])
+    text = s.select(chrom.alias("#chr"), F.col("vec_id").alias("start"), (F.col("vec_id") + 5).alias("end"), F.printf(F.lit("ENSG%011d.7"), "vec_id").alias("gene_id"), *[f"s{i}" for i in range(SAMPLES)])
     legend, values = text_import.expression_bed(spark, _text(text, "expression"))
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
     return legend.join(values, "feature_id").select("feature_id", "chrom", "fgeneid", (F.round(total, 5) + F.lit(0.0)).alias("total"))
 
 
 @register(f"""
-WITH s AS (SELECT feature_id, round(sum(round(v, 5)), 5) AS total FROM {_LONG} WHERE ind < 8 GROUP BY 1),
+WITH s AS (SELECT feature_id, round(sum(round(v, 5)), 5) AS total FROM {_LONG} WHERE ind < {SAMPLES} GROUP BY 1),
 g AS (SELECT vec_id, label + 1 AS chrom, chr(CAST(65 + vec_id % 4 AS INT)) AS ref, chr(CAST(65 + label % 4 AS INT)) AS alt FROM embeddings WHERE label < 9)
 SELECT CAST(chrom AS INT) AS chrom, CAST(vec_id AS INT) AS pos, ref || '/' || alt AS allele, CAST(ref < alt AS INT) AS flip, total + 0.0::DOUBLE AS total FROM g JOIN s ON vec_id = feature_id""")
 def imported_genotypes(spark, sf_dir):
     s = _samples(spark, sf_dir)
     chrom = F.when(F.col("label") == 9, "Y").otherwise((F.col("label") + 1).cast("string"))
-    text = s.select(F.concat_ws("_", chrom, F.col("vec_id").cast("string"), _letter(F.col("vec_id")), _letter(F.col("label")), F.lit("b37")).alias("Id"), *[f"s{i}" for i in range(8)])
+    text = s.select(F.concat_ws("_", chrom, F.col("vec_id").cast("string"), _letter(F.col("vec_id")), _letter(F.col("label")), F.lit("b37")).alias("Id"), *[f"s{i}" for i in range(SAMPLES)])
     legend, values = text_import.genotype_text(spark, _text(text, "genotypes"), drop_unplaced=True)
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
     return legend.join(values, "feature_id").select("chrom", "pos", "allele", F.col("doFlip").alias("flip"), (F.round(total, 5) + F.lit(0.0)).alias("total"))
@@ -112,6 +114,6 @@ def imported_panel(spark, sf_dir):
 @register("SELECT s_suppkey, round(s_acctbal, 2) AS s_acctbal FROM supplier")
 def exported_delimited(spark, sf_dir):
     """Write delimited text with a header and read it back."""
-    path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    path = scratch_dir(spark)
     tables.write_delimited(_t(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), path)
     return _rounded(spark.read.csv(path, sep="\t", header=True, schema="s_suppkey long, s_acctbal double"), {"s_acctbal": 2})

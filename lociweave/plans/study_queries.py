@@ -5,15 +5,13 @@ Stand-ins as in ``queries``; parts are panel variants (p_partkey position, p_siz
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from lociweave.cluster import shared_dir
+from lociweave.cluster import scratch_dir
 from lociweave.functions import columns as c
-from lociweave.operators import graph, matrix, mixture, regress, relational
+from lociweave.operators import matrix, mixture, regress, relational
 from lociweave.plans import studies
-from lociweave.plans.queries import _EDGE_SQL, _LONG, HITS, _features, _graph, _hits, _rounded, _t, register
+from lociweave.plans.queries import _LONG, HITS, _features, _hits, _rounded, _t, register
 from lociweave.sources import tables
 
 
@@ -132,17 +130,6 @@ def gene_with_cis(spark, sf_dir):
     return studies.gene_with_cis(F.col("fgeneid").isNotNull(), genes, snps, _features(spark, sf_dir), 15).select("fgeneid", "feature_id")
 
 
-@register(f"""
-WITH RECURSIVE e AS (SELECT a, b FROM {_EDGE_SQL} UNION SELECT b, a FROM {_EDGE_SQL}),
-w(v, u) AS (SELECT a, a FROM e UNION SELECT w.v, e.b FROM w JOIN e ON w.u = e.a),
-g AS (SELECT v, min(u) AS g FROM w GROUP BY v)
-SELECT chrom AS gene, g AS "group", snp, round(p, 10) AS p FROM (
-  SELECT *, rank() OVER (PARTITION BY chrom, g ORDER BY p) AS r FROM (SELECT l_linenumber AS chrom, g, l_suppkey AS snp, 1 / (1 + l_extendedprice) AS p FROM lineitem JOIN g ON l_suppkey = v)) WHERE r = 1""")
-def lead_variants(spark, sf_dir):
-    hits = _t(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("gene"), F.col("l_suppkey").alias("snp"), (1 / (1 + F.col("l_extendedprice"))).alias("p"))
-    return _rounded(graph.lead_variants(hits, graph.subgraphs(*_graph(spark, sf_dir))).select("gene", "group", "snp", "p"), {"p": 10})
-
-
 @register("""
 WITH e AS (SELECT l_suppkey AS snp, avg(l_discount) - 0.05 AS beta, 0.01 + avg(l_tax) AS se FROM lineitem GROUP BY 1),
 l AS (SELECT a.snp AS src, a.beta, a.se, b.se AS col_se FROM e a JOIN e b ON b.snp = a.snp + 1)
@@ -192,7 +179,7 @@ def pooled_design(spark, sf_dir):
 @register("SELECT vec_id AS feature_id, round(CAST(embedding[3] AS DOUBLE), 6) AS second_of_block, pos FROM embeddings JOIN (SELECT vec_id AS id, vec_id + 1 AS pos FROM embeddings WHERE label = 2 UNION ALL SELECT vec_id, vec_id + 2 FROM embeddings WHERE label = 2) ON vec_id = id")
 def stored_matrix_block(spark, sf_dir):
     """Write a matrix table, read features by an index with repeats, and a block of individuals."""
-    store = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    store = scratch_dir(spark)
     tables.append_matrix(_features(spark, sf_dir), store, "m")
     own = _t(spark, sf_dir, "embeddings").filter("label = 2").select((F.col("vec_id") + 1).alias("pos"), F.col("vec_id").alias("feature_id"))
     index = own.union(own.select(F.col("pos") + 1, "feature_id"))
@@ -203,7 +190,7 @@ def stored_matrix_block(spark, sf_dir):
 @register("SELECT l_linenumber AS chrom, l_suppkey, count(*) AS n FROM lineitem WHERE l_linenumber IN (2, 3) AND l_quantity > 40 GROUP BY 1, 2")
 def stored_by_chromosome(spark, sf_dir):
     """Write one folder per chromosome, append, and read two of them with a pushed predicate."""
-    store = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    store = scratch_dir(spark)
     rows = _t(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("chrom"), "l_suppkey", "l_quantity")
     tables.write_by_chromosome(rows.filter("chrom <= 2"), store, "hits")
     tables.write_by_chromosome(rows.filter("chrom > 2"), store, "hits")
@@ -212,9 +199,9 @@ def stored_by_chromosome(spark, sf_dir):
 
 
 @register("""
-WITH d AS (SELECT vec_id AS i, unnest(range(0, 4)) AS k, unnest(embedding[1:4]) AS v FROM embeddings),
+WITH d AS (SELECT vec_id AS i, unnest(range(0, len(embedding))) AS k, unnest(embedding) AS v FROM embeddings),
 u AS (SELECT i, i + k AS j, round(CAST(v AS DOUBLE), 6) AS value FROM d)
 SELECT i, j, value FROM u UNION ALL SELECT j, i, value FROM u WHERE i <> j""")
 def banded_to_sparse(spark, sf_dir):
-    band = _features(spark, sf_dir).select(F.col("feature_id").alias("i"), F.slice("values", 1, 4).alias("diagonals"))
+    band = _features(spark, sf_dir).select(F.col("feature_id").alias("i"), F.col("values").alias("diagonals"))
     return _rounded(tables.band_to_pairs(band).withColumn("j", F.col("j").cast("long")), {"value": 6})
