@@ -2,40 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociweave.cluster import ship_package
 from lociweave.functions.columns import band_width, panel_theta, shrunk_covariance
-from lociweave.operators.relational import band_join
 
 #: Panel size, effective population size and decay cutoff.
 PANEL, POPULATION, CUTOFF = 85, 11490.672741, 1e-3
 
 
-def _moments(a: Column, b: Column) -> Column:
-    """Sample covariance of two arrays over the same individuals."""
-    n = F.size(a)
-    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
-    products = F.zip_with(a, b, lambda x, y: x * y)
-    return (F.aggregate(products, F.lit(0.0), lambda s, v: s + v) - n * mean(a) * mean(b)) / (n - 1)
+#: Tiles by which a feature's band is cut.
+PIECES = 4
 
 
 def ld_pairs(matrix: DataFrame, m: int = PANEL, ne: float = POPULATION, cutoff: float = CUTOFF, key: str | None = "chrom") -> DataFrame:
     """(chrom, i, j, r) of a matrix table with columns feature_id, map, values and the key.
 
-    Pairs further apart than the cutoff's map distance are never formed: one band
-    self-join in place of tiles.  The diagonal is 1; features without variance give null.
+    i comes before j in the order of map and number, and pairs further apart than the
+    cutoff's map distance are never formed: features are cut into tiles of a quarter of
+    that distance, each tile and the next four are a group, and a group is one matrix
+    product.  So a feature travels five times, whatever the number of its neighbours, and
+    a task holds the features of five tiles.  The diagonal is 1.
     """
-    theta, width = panel_theta(m), band_width(cutoff, m, ne)
-    keyed = matrix if key else matrix.withColumn("chrom", F.lit(0))
-    variance = shrunk_covariance(_moments(F.col("values"), F.col("values")), F.lit(0.0), theta, m, ne, cutoff, F.lit(True))
-    rows = keyed.withColumn("v", variance)
-    pairs = band_join(rows, key or "chrom", "map", "feature_id", width * (1 + 1e-9), ["values", "v"])
-    s = shrunk_covariance(_moments(F.col("values_i"), F.col("values_j")), F.col("map_j") - F.col("map_i"), theta, m, ne, cutoff, F.lit(False))
-    r = F.try_divide(s, F.sqrt(F.col("v_i") * F.col("v_j")))
+    ship_package(matrix.sparkSession)
+    theta, width = panel_theta(m), band_width(cutoff, m, ne) * (1 + 1e-9)
     name = key or "chrom"
-    off = pairs.select(F.col(f"{name}_i").alias(name), F.col("feature_id_i").alias("i"), F.col("feature_id_j").alias("j"), r.alias("r"))
-    return off.unionByName(rows.select(name, F.col("feature_id").alias("i"), F.col("feature_id").alias("j"), F.lit(1.0).alias("r")))
+    keyed = matrix if key else matrix.withColumn("chrom", F.lit(0))
+    rows = keyed.select(name, "feature_id", F.col("map").cast("double").alias("map"), "values").withColumn("tile", F.floor(F.col("map") / F.lit(width / PIECES)))
+    own = rows.withColumn("side", F.lit(0))
+    later = rows.withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(PIECES)))).withColumn("side", F.lit(1)).withColumn("tile", F.col("tile") - F.col("ahead")).drop("ahead")
+    rate, half = 4 * ne / 100 / (2 * m), 0.5 * theta * (1 - 0.5 * theta)
+
+    def tile_product(frame: pd.DataFrame) -> pd.DataFrame:
+        # the own tile's rows come first in the order of the map, the others after them
+        frame = frame.sort_values(["side", "map", "feature_id"])
+        own = int((frame["side"] == 0).sum())
+        i, j, r = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if own:
+            x, at, ids = _centred(frame["values"].tolist()), frame["map"].to_numpy(), frame["feature_id"].to_numpy()
+            n = x.shape[1] - 1
+            gap = at[None, :] - at[:own, None]
+            decay = np.exp(-gap * rate)
+            scale = (1 - theta) ** 2 * (x * x).sum(axis=1) / n + half
+            every = (1 - theta) ** 2 * (x[:own] @ x.T) / n * np.where(decay >= cutoff, decay, 0.0) / np.sqrt(scale[:own, None] * scale[None, :])
+            a, b = np.nonzero((gap <= width) & np.triu(np.ones(gap.shape, bool), 1))
+            i, j, r = ids[a], ids[b], every[a, b]
+        return pd.DataFrame({name: [frame[name].iloc[0]] * len(i), "i": i, "j": j, "r": r})
+
+    kind = dict(rows.dtypes)[name]
+    off = own.unionByName(later).groupBy(name, "tile").applyInPandas(tile_product, f"{name} {kind}, i long, j long, r double")
+    diagonal = rows.select(name, F.col("feature_id").alias("i"), F.col("feature_id").alias("j"), F.lit(1.0).alias("r"))
+    return off.select(name, "i", "j", F.when(~F.isnan("r"), F.col("r")).alias("r")).unionByName(diagonal)
+
+
+def _centred(values: list) -> np.ndarray:
+    x = np.array([np.asarray(v, float) for v in values])
+    with np.errstate(invalid="ignore"):
+        return x - x.mean(axis=1, keepdims=True)
 
 
 def ld_from_covariance(covariance: DataFrame, positions: DataFrame, m: int = PANEL, ne: float = POPULATION, cutoff: float = CUTOFF) -> DataFrame:

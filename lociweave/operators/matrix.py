@@ -82,8 +82,8 @@ def pair_scan(snps: DataFrame, genes: DataFrame, t_crit: float | None = None, bl
     beta is the slope without intercept, t comes from the Pearson correlation with n - 2,
     and se = beta / t; constant features and |r| = 1 give nulls.  With ``t_crit`` only
     pairs with a larger |t| leave the worker.  Genes are the small side: they are cut
-    into blocks of at most ``block_bytes``, and each block meets the SNP partitions in
-    one pass, so no block has to fit with the others.
+    into blocks of at most ``block_bytes``, and each block is broadcast and meets the SNP
+    partitions in a scan of its own, so the SNP table is read once per block.
     """
     ship_package(snps.sparkSession)
     sc = snps.sparkSession.sparkContext

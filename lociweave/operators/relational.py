@@ -157,10 +157,14 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFram
     return df.withColumn("_turn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_turn") <= n).drop("_turn")
 
 
-def strata_sample(df: DataFrame, strata: list[str], row_id: str, n: int, seed: int = 1) -> DataFrame:
-    """n rows of each stratum in the order of a portable integer hash of the row id."""
-    mixed = F.pmod(F.col(row_id).cast("long") * F.lit(48_271) + F.lit(seed) * F.lit(69_621), F.lit(2_147_483_647))
-    return top_n(df.withColumn("_hash", mixed), strata, [F.col("_hash"), F.col(row_id)], n).drop("_hash")
+def strata_sample(df: DataFrame, by: list[str], row_id: str, n: int, seed: int = 1) -> DataFrame:
+    """A simple random sample of n rows (or all) of each stratum, the same on every run.
+
+    Rows are ordered by the MD5 of id and seed, so ids of any type will do and another
+    seed gives another sample.
+    """
+    mixed = F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(str(seed))).cast("binary"))
+    return top_n(df.withColumn("_mixed", mixed), by, [F.col("_mixed"), F.col(row_id)], n).drop("_mixed")
 
 
 def standardise(df: DataFrame, by: list[str], value: str, out: str, divisor: str = "sd") -> DataFrame:
@@ -195,6 +199,24 @@ def tile_number(index: Column, size: int) -> Column:
     return (F.floor((index - 1) / F.lit(size)) + 1).cast("long")
 
 
+def histogram_2d(df: DataFrame, x: tuple[str, float, float, int], y: tuple[str, float, float, int]) -> DataFrame:
+    """(bin_x, bin_y, n) of two columns, each given as (name, from, to, bins); bins count from
+    1, and values outside are left out."""
+    inside, place = F.lit(True), []
+    for name, low, high, bins in (x, y):
+        inside = inside & (F.col(name) >= low) & (F.col(name) < high)
+        place.append((F.floor((F.col(name) - low) / ((high - low) / bins)) + 1).cast("long"))
+    return df.filter(inside).groupBy(place[0].alias("bin_x"), place[1].alias("bin_y")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def genes_per_variant(pairs: DataFrame, first: DataFrame, second: DataFrame, snp: str = "snp", gene: str = "gene", p: str = "p") -> DataFrame:
+    """(snp, genes, p_first, p_second): the distinct genes of each variant, and its smallest p
+    in each of two studies, null where a study lacks it."""
+    least = lambda df, name: df.groupBy(snp).agg(F.min(p).alias(name))
+    counted = pairs.groupBy(snp).agg(F.count_distinct(gene).alias("genes"))
+    return counted.join(least(first, "p_first"), snp, "left").join(least(second, "p_second"), snp, "left")
+
+
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, by: list[str] | None = None) -> DataFrame:
     """Counts of equal-width bins, one row per non-empty bin and group; values outside are left out."""
     bin_ = F.width_bucket(F.col(value), F.lit(low), F.lit(high), F.lit(bins)).alias("bin")

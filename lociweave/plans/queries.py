@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociweave.functions import columns as c
-from lociweave.operators import graph, ld, matrix, mixture, regress, relational
+from lociweave.operators import ld, matrix, mixture, regress, relational
 from lociweave.plans import studies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,7 +129,7 @@ def bh_adjust_by_group(spark, sf_dir):
 
 
 @register("""
-SELECT c_custkey, c_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY (c_custkey * 48271 + 69621) % 2147483647, c_custkey) AS r FROM customer) WHERE r <= 5""")
+SELECT c_custkey, c_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5(CAST(c_custkey AS VARCHAR) || ':1'), c_custkey) AS r FROM customer) WHERE r <= 5""")
 def strata_sample(spark, sf_dir):
     return relational.strata_sample(_t(spark, sf_dir, "customer"), ["c_nationkey"], "c_custkey", 5).select("c_custkey", "c_nationkey")
 
@@ -256,14 +256,14 @@ def covariance_to_correlation(spark, sf_dir):
 
 
 def _ld(spark, sf_dir) -> DataFrame:
-    cov = matrix.moments_to_covariance(_moments(spark, sf_dir).filter("j <= 32"))
-    positions = spark.range(1, 33).select("id", (F.col("id") * 0.3).alias("map"))
+    cov = matrix.moments_to_covariance(_moments(spark, sf_dir))
+    positions = spark.range(1, 65).select("id", (F.col("id") * 0.3).alias("map"))
     return ld.ld_from_covariance(cov, positions)
 
 
 _TH = c.panel_theta(ld.PANEL)
 _LD_SQL = f"""
-WITH {_moments_sql('1, 33', '1, 33')},
+WITH {_moments_sql('1, 65', '1, 65')},
 s AS (SELECT i, j, CASE WHEN i = j THEN {(1 - _TH) ** 2!r} * value + {0.5 * _TH * (1 - 0.5 * _TH)!r} ELSE {(1 - _TH) ** 2!r} * value * exp(-abs(0.3 * j - 0.3 * i) * {4 * ld.POPULATION / 100 / (2 * ld.PANEL)!r}) END AS v, exp(-abs(0.3 * j - 0.3 * i) * {4 * ld.POPULATION / 100 / (2 * ld.PANEL)!r}) AS decay FROM cov),
 ld AS (SELECT s.i, s.j, CASE WHEN s.i = s.j THEN 1.0 ELSE s.v / sqrt(a.v * b.v) END AS r FROM s JOIN s a ON a.i = s.i AND a.j = s.i JOIN s b ON b.i = s.j AND b.j = s.j WHERE s.decay >= 0.001)
 """
@@ -279,34 +279,6 @@ def ld_edges(spark, sf_dir):
     return _rounded(ld.ld_edges(_ld(spark, sf_dir), 0.01), {"weight": 7})
 
 
-_EDGE_SQL = "(SELECT DISTINCT least(l_suppkey, 100000 + l_partkey) AS a, greatest(l_suppkey, 100000 + l_partkey) AS b FROM lineitem WHERE l_quantity >= 50 AND l_tax >= 0.08 AND l_discount >= 0.1)"
-
-
-def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rows = _t(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_tax >= 0.08 and l_discount >= 0.1")
-    edges = rows.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 100_000).alias("dst")).distinct()
-    return edges.select(F.col("src").alias("vertex")).union(edges.select("dst")).distinct(), edges
-
-
-@register(f"""
-WITH RECURSIVE e AS (SELECT a, b FROM {_EDGE_SQL} UNION SELECT b, a FROM {_EDGE_SQL}),
-w(v, u) AS (SELECT a, a FROM e UNION SELECT w.v, e.b FROM w JOIN e ON w.u = e.a)
-SELECT v AS vertex, min(u) AS "group" FROM w GROUP BY v""")
-def graph_components(spark, sf_dir):
-    return graph.subgraphs(*_graph(spark, sf_dir))
-
-
-@register()
-def graph_colouring(spark, sf_dir):
-    return graph.colouring(*_graph(spark, sf_dir))
-
-
-@register()
-def clumped_hits(spark, sf_dir):
-    vertices, edges = _graph(spark, sf_dir)
-    return graph.clump(vertices.withColumn("p", (F.col("vertex") * 48_271 % 65_537) / 65_537), edges)
-
-
 _B, _S = "(l_discount - 0.05)", "(0.01 + l_tax)"
 
 
@@ -468,9 +440,9 @@ def sparse_pointers(spark, sf_dir):
 
 
 @register("""
-SELECT label, CAST(width AS BIGINT) AS bin, count(*) AS n FROM (SELECT label, floor((CAST(embedding[1] AS DOUBLE) + 1) / 0.1) + 1 AS width FROM embeddings WHERE CAST(embedding[1] AS DOUBLE) >= -1 AND CAST(embedding[1] AS DOUBLE) < 1) GROUP BY 1, 2""")
+SELECT label, CAST(width AS BIGINT) AS bin, count(*) AS n FROM (SELECT label, floor((x + 1) / 0.1) + 1 AS width FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) WHERE x >= -1 AND x < 1) GROUP BY 1, 2""")
 def histogram_by_group(spark, sf_dir):
-    e = _t(spark, sf_dir, "embeddings").select("label", F.element_at("embedding", 1).cast("double").alias("x"))
+    e = _t(spark, sf_dir, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x"))
     return relational.histogram(e, "x", -1.0, 1.0, 20, ["label"])
 
 

@@ -4,7 +4,7 @@ import pytest
 from compare import same_as_sql
 from pyspark.sql import functions as F
 
-from lociweave.plans import import_queries, study_queries  # noqa: F401 - they register their queries
+from lociweave.plans import import_queries, scan_queries, store_queries, study_queries  # noqa: F401 - they register their queries
 from lociweave.plans.queries import ORACLE_SQL, QUERIES, _graph
 
 
