@@ -62,7 +62,7 @@ def described_store(spark, sf_dir):
     return tables.describe_store(spark, store, ["one", "both"])
 
 
-@register("SELECT s_suppkey AS i, l_linenumber AS j, round(count(*) * CASE WHEN s_suppkey <= 16 AND l_linenumber <= 16 THEN 2.0 ELSE 1.0 END, 1) AS value FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1, 2")
+@register("SELECT s_suppkey AS i, l_linenumber AS j, count(*) * CASE WHEN s_suppkey <= 16 AND l_linenumber <= 16 THEN 2.0::DOUBLE ELSE 1.0 END AS value FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1, 2")
 def stored_pair_blocks(spark, sf_dir):
     """A pair table in tiles; the first tile is written again and replaces the stored one."""
     store = scratch_dir(spark)
