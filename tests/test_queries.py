@@ -5,7 +5,8 @@ from compare import same_as_sql
 from pyspark.sql import functions as F
 
 from lociweave.plans import import_queries, scan_queries, store_queries, study_queries  # noqa: F401 - they register their queries
-from lociweave.plans.queries import ORACLE_SQL, QUERIES, _graph
+from lociweave.plans.queries import ORACLE_SQL, QUERIES
+from lociweave.plans.scan_queries import linkage_graph
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -23,14 +24,14 @@ def test_entry_points(spark):
 
 def test_colouring_is_proper(spark, sf_dir):
     colours = {r["vertex"]: r["color"] for r in QUERIES["graph_colouring"](spark, sf_dir).collect()}
-    vertices, edges = _graph(spark, sf_dir)
+    vertices, edges = linkage_graph(spark, sf_dir)
     assert set(colours) == {r["vertex"] for r in vertices.collect()}
     assert all(colours[r["src"]] != colours[r["dst"]] for r in edges.collect())
 
 
 def test_clumped_hits_are_independent_and_maximal(spark, sf_dir):
     kept = {r["vertex"] for r in QUERIES["clumped_hits"](spark, sf_dir).collect()}
-    vertices, edges = _graph(spark, sf_dir)
+    vertices, edges = linkage_graph(spark, sf_dir)
     near = {}
     for r in edges.collect():
         near.setdefault(r["src"], set()).add(r["dst"])
