@@ -294,7 +294,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_words: int = 400_000, block_windows: int = 200_000) -> DataFrame:
-    """The documents without a hit, with their columns; one pass, no shuffle."""
+    """The documents without a hit, with their columns; one pass, no shuffle.
+
+    Null, empty and wordless texts have no hit and stay; rows that repeat stay or go
+    together; without windows every document stays; an empty table gives an empty result.
+    """
     blocks = shared_blocks(docs, benchmark, width, block_windows)
     at = docs.columns.index("text")
 

@@ -145,3 +145,16 @@ def test_pipeline_stages(spark, sf_dir, texts):
     assert set(kept["decontamination"]) < set(kept["near_duplicates"])
     assert set(kept["mixing"]) <= set(kept["decontamination"]) and sorted(kept["sharding"]) == sorted(kept["mixing"])
     assert p.run(spark, sf_dir).count() == len(kept["sharding"])
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    """All stages over odd rows, and over tables without rows."""
+    import corpus_pipeline as p
+    from odd_tables import write_tables
+
+    for name, docs, n in (("odd", odd.select("doc_id", "text", "lang", "source", "n_chars"), None), ("none", none, 0)):
+        rows = p.run(spark, write_tables(spark, docs, tmp_path / name)).collect()
+        assert n is None or len(rows) == n
+        assert all(0 <= r["shard"] < 8 and r["slot"] >= 0 for r in rows)
+        places = [(r["shard"], r["slot"]) for r in rows]
+        assert len(set(places)) == len(places)
