@@ -16,9 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def _incomplete_beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
+def _log_gamma(v: np.ndarray) -> np.ndarray:
+    """Log gamma, once for each distinct value: a column has few degrees of freedom."""
+    distinct, at = np.unique(v, return_inverse=True)
+    return np.array([math.lgamma(z) for z in distinct])[at]
+
+
+def _incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised incomplete beta function by Lentz's continued fraction, for x below the mean."""
-    log_front = np.array([math.lgamma(v + b) - math.lgamma(v) - math.lgamma(b) for v in a]) + a * np.log(np.maximum(x, 1e-300)) + b * np.log1p(-np.minimum(x, 1 - 1e-16))
+    log_front = _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(np.maximum(x, 1e-300)) + b * np.log1p(-np.minimum(x, 1 - 1e-16))
     c, tiny = np.ones_like(x), 1e-300
     d = 1 / np.where(np.abs(1 - (a + b) * x / (a + 1)) < tiny, tiny, 1 - (a + b) * x / (a + 1))
     h = d.copy()
@@ -44,12 +50,10 @@ def upper_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     ok = np.isfinite(x) & (df > 0)
     low = ok & (x < (df / 2 + 1) / (df / 2 + 2.5))
     if low.any():
-        out[low] = 0.5 * _incomplete_beta(df[low] / 2, 0.5, x[low])
+        out[low] = 0.5 * _incomplete_beta(df[low] / 2, np.full(int(low.sum()), 0.5), x[low])
     high = ok & ~low
     if high.any():
-        a = np.full(int(high.sum()), 0.5)
-        vals = [0.5 * (1 - _incomplete_beta(a[i : i + 1], v / 2, np.array([1 - z]))[0]) for i, (v, z) in enumerate(zip(df[high], x[high], strict=True))]
-        out[high] = vals
+        out[high] = 0.5 * (1 - _incomplete_beta(np.full(int(high.sum()), 0.5), df[high] / 2, 1 - x[high]))
     return out
 
 
