@@ -16,8 +16,8 @@ models are proper distributions over the symbols.
 A text is compared by length-normalised log-likelihoods: the mean log-ratio of all its
 words, and that of the three words that speak most for toxicity, which a long text does
 not dilute.  A logistic function of the two gives the score.  It is fitted on training
-texts that their model has not counted (four folds), both classes weighing the same,
-and its constant is raised if a lower cut than 0.7 has the best F2 of those texts.
+texts that their model has not counted (four folds, symbols included), both classes
+weighing the same, and its constant puts the cut with the best F0.5 of them at 0.7.
 
 Labels come from at most ``max_train_docs`` labelled documents (the smallest hashes of
 doc_id), so symbols, pairs and continuation counts are bounded by that sample and can
@@ -169,11 +169,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 
 
 def best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap in z at which "z above the gap" has the greatest F2 for y (a
-    missed toxic text counts twice a lost ordinary one)."""
+    """The middle of the gap in z at which "z above the gap" has the greatest F0.5 for y (a
+    lost ordinary text counts twice a missed toxic one, since stages drop what is found)."""
     order = np.argsort(-z, kind="stable")
     hits = np.cumsum(y[order])
-    at = int(np.argmax(5 * hits / (np.arange(1, len(z) + 1) + 4 * y.sum())))
+    at = int(np.argmax(hits / (np.arange(1, len(z) + 1) + y.sum() / 4)))
     return float((z[order[at]] + z[order[min(at + 1, len(z) - 1)]]) / 2)
 
 
@@ -182,22 +182,37 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def find_symbols(train: DataFrame, min_texts: int) -> Symbols:
+def find_symbols(train: DataFrame, min_texts: int) -> tuple[Symbols, np.ndarray]:
     """The frequent words of the training texts and the frequent classes of the others; a
-    class counts the texts of all its rare words together."""
+    class counts the texts of all its rare words together.
+
+    The array has a row for each fold: what a symbol is if the texts of that fold are not
+    counted.  A word that is rare without them belongs to its class there, and a rare class
+    to the unknown symbol, as for words of texts that were never counted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter = Counter()
-            for text in batch.column(0):
-                found.update(set(words_of(text.as_py())))
-            yield pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["w", "n"])
-
-    words = cut_lineage(train.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    stems = words.filter(F.col("n") < min_texts).groupBy(F.substring("w", 1, STEM).alias("w")).agg(F.sum("n").alias("n"))
-    listed = lambda df: df.filter(F.col("n") >= min_texts).select("w").toArrow().column(0).to_pylist()
-    known = sorted(listed(words))
-    return Symbols({w: i + 1 for i, w in enumerate(known)}, {w: i + 1 + len(known) for i, w in enumerate(sorted(listed(stems)))})
+            found: list[Counter] = [Counter() for _ in range(FOLDS)]
+            for text, fold in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found[fold].update(set(words_of(text.as_py())))
+            every = list(set().union(*found))
+            yield pa.record_batch([pa.array(every, pa.string())] + [pa.array([c[w] for w in every], pa.int64()) for c in found], names=["w", *names])
+
+    names = [f"n{k}" for k in range(FOLDS)]
+    total = sum((F.col(c) for c in names), F.lit(0))
+    add = [F.sum(c).alias(c) for c in names]
+    words = cut_lineage(train.select("text", "fold").mapInArrow(run, "w string, " + ", ".join(f"{c} long" for c in names)).groupBy("w").agg(*add))
+    stems = words.filter(total < min_texts).groupBy(F.substring("w", 1, STEM).alias("w")).agg(*add)
+    known, classes = (df.filter(total >= min_texts).orderBy("w").toArrow() for df in (words, stems))
+    listed = [t.column("w").to_pylist() for t in (known, classes)]
+    symbols = Symbols({w: i + 1 for i, w in enumerate(listed[0])}, {w: i + 1 + known.num_rows for i, w in enumerate(listed[1])})
+    folds = np.concatenate([np.zeros((1, FOLDS))] + [np.array([t.column(c).to_numpy() for c in names], float).T.reshape(-1, FOLDS) for t in (known, classes)])
+    stays = (folds.sum(1, keepdims=True) - folds >= min_texts).T
+    number = np.arange(symbols.n)
+    own_class = np.concatenate(([0], [symbols.stems.get(w[:STEM], 0) for w in listed[0]], np.zeros(len(listed[1])))).astype(np.int64)
+    of_class = np.where(np.take_along_axis(stays, np.broadcast_to(own_class, stays.shape), 1), own_class, 0)
+    return symbols, np.where(stays, number, of_class)
 
 
 def pair_counts(train: DataFrame, symbols: Symbols) -> DataFrame:
@@ -281,14 +296,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000, min_te
     d = doc_frame(docs)
     texts = d.join(F.broadcast(sample), "doc_id").groupBy(F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
     train = cut_lineage(texts.select("text", "label", F.pmod("t", F.lit(FOLDS)).cast("int").alias("fold")))
-    symbols = find_symbols(train, min_texts)
+    symbols, outside = find_symbols(train, min_texts)
     counts = gather(pair_counts(train, symbols), shared_counts(d, symbols), min_pair)
     models = [NgramModel(symbols, (class_model(c, 0), class_model(c, 1)), np.zeros(3)) for c in counts]
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = docs.sparkSession.sparkContext.broadcast((models, outside))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, outside = shared.value
         for batch in batches:
-            rows = [shared.value[1 + fold].features(symbols.of(words_of(text.as_py()))) for text, fold in zip(batch.column(0), batch.column(1).to_pylist(), strict=True)]
+            rows = [models[1 + fold].features(outside[fold][models[0].symbols.of(words_of(text.as_py()))]) for text, fold in zip(batch.column(0), batch.column(1).to_pylist(), strict=True)]
             x = np.array(rows, float).reshape(-1, 3)
             yield pa.record_batch([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column(2)], names=["mean", "telling", "label"])
 
@@ -296,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000, min_te
     x, y = np.column_stack([held.column(0).to_numpy(), held.column(1).to_numpy(), np.ones(held.num_rows)]), held.column(2).to_numpy().astype(float)
     weights = fit_logistic(x, y)
     if weights.any():
-        weights[2] += max(0.0, np.log(0.7 / 0.3) - best_cut(x @ weights, y))
+        weights[2] += np.log(0.7 / 0.3) - best_cut(x @ weights, y)
     models[0].weights = weights
     return models[0]
 

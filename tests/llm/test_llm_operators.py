@@ -194,7 +194,7 @@ def test_toxicity_is_interpolated_kneser_ney(spark):
     vocab = [f"w{i}" for i in range(12)] + ["abcdefg1", "abcdefh2", "rare"]
     texts = [([rng.choice(vocab[:12] if rng.random() < 0.9 else vocab) for _ in range(rng.randint(0, 30))], i % 3 // 2) for i in range(60)]
     train = spark.createDataFrame([(" ".join(w), y, i % 4) for i, (w, y) in enumerate(texts)], "text string, label int, fold int").repartition(3)
-    symbols = toxicity_kn.find_symbols(train, 4)
+    symbols, outside = toxicity_kn.find_symbols(train, 4)
     counts = toxicity_kn.gather(toxicity_kn.pair_counts(train, symbols), toxicity_kn.shared_counts(train, symbols), 8)
     for k, c in enumerate(counts):
         pairs, shared = plain_counts([t for i, t in enumerate(texts) if k == 0 or i % 4 != k - 1], symbols)
@@ -211,6 +211,24 @@ def test_toxicity_is_interpolated_kneser_ney(spark):
             assert len(c.pair_keys) == len(cutoff)
 
 
+def test_symbols_outside_a_fold_are_those_of_its_unseen_texts(spark):
+    rng = random.Random(5)
+    vocab = ["often", "other"] + [f"stem{c}{i}" for c in "ab" for i in range(4)]
+    texts = [(" ".join(rng.choices(vocab, k=3)), i % 4) for i in range(24)]
+    train = spark.createDataFrame(texts, "text string, fold int").repartition(3)
+    symbols, outside = toxicity_kn.find_symbols(train, 6)
+    count = lambda w, k=None: sum(w in t.split() for t, f in texts if f != k)
+    rare = {w for w in vocab if count(w) < 6}
+    in_class = lambda s, k=None: sum(count(w, k) for w in rare if w[:5] == s)
+    assert set(symbols.words) == set(vocab) - rare and set(symbols.stems) == {s for s in {w[:5] for w in rare} if in_class(s) >= 6}
+    for k in range(4):
+        for w, i in symbols.words.items():
+            stem = w[:5] if w[:5] in symbols.stems and in_class(w[:5], k) >= 6 else None
+            assert outside[k, i] == (i if count(w, k) >= 6 else symbols.stems.get(stem, 0))
+        for w, i in symbols.stems.items():
+            assert outside[k, i] == (i if in_class(w, k) >= 6 else 0)
+
+
 def test_toxicity_without_two_classes(spark, none):
     docs = spark.createDataFrame([(i, "some words") for i in range(9)], "doc_id long, text string")
     for labels in (docs.select("doc_id", F.lit(1).alias("toxic")), docs.limit(0).select("doc_id", F.lit(1).alias("toxic"))):
