@@ -15,13 +15,14 @@ remaining runs, each closed by a separator, so the result is unchanged and the
 index stays in proportion to what can match.
 
 One pass over the documents, no shuffle: a window never leaves its document.
-The windows are a stated query set.  They travel to the executors in blocks of
-``block_windows`` windows, and each task goes through them one by one.
+The windows are a stated query set.  Tasks cut them and build them into blocks of about
+``block_windows`` windows, which are broadcast; each task goes through them one by one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -31,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import doc_frame, hash_words
+from lociweave.cluster import ship_package
+from lociweave.llm.common import cut_lineage, doc_frame, hash_words
 
 #: A-Z to a-z; digits, a-z and non-ASCII bytes are word bytes; all others separate.
 WORD_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -151,31 +153,40 @@ class Windows:
     names: list[str]
 
 
-def cut_windows(items: list[tuple[str, str]], width: int = 10, block: int = 200_000) -> list[Windows]:
-    """Blocks of the distinct windows of (item id, text) rows.
+def cut_windows(benchmark: DataFrame, width: int) -> DataFrame:
+    """(gram, item), distinct: the windows of every item, each as its words joined by blanks.
 
     Rows without an id or without words have no windows; rows with one id are one item.
     """
-    owners: dict[tuple[bytes, ...], set[str]] = {}
-    for name, text in items:
-        words = hash_words(text or "", WORD_FOLD)
-        if name is not None and words:
-            for at in range(max(1, len(words) - width + 1)):
-                owners.setdefault(tuple(words[at : at + width]), set()).add(name)
-    blocks, windows = [], sorted(owners)
-    for at in range(0, len(windows), block):
-        part = windows[at : at + block]
-        vocab = {w: i + 1 for i, w in enumerate(sorted({w for x in part for w in x}))}
-        names = sorted({n for x in part for n in owners[x]})
-        number = {n: i for i, n in enumerate(names)}
-        made = Windows(vocab, [], [], [], names)
-        for size in sorted({len(x) for x in part}):
-            same = [x for x in part if len(x) == size]
-            made.patterns.append(np.array([[vocab[w] for w in x] for x in same], np.int64))
-            made.items.append(np.array([number[n] for x in same for n in sorted(owners[x])], np.int64))
-            made.bounds.append(np.cumsum([0] + [len(owners[x]) for x in same]))
-        blocks.append(made)
-    return blocks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = hash_words(text.as_py() or "", WORD_FOLD)
+                if name is not None and words:
+                    own = {b" ".join(words[at : at + width]) for at in range(max(1, len(words) - width + 1))}
+                    yield pa.record_batch([pa.array(list(own), pa.binary()), pa.array([name] * len(own))], names=["gram", "item"])
+
+    ship_package(benchmark.sparkSession)
+    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
+    return items.mapInArrow(run, "gram binary, item string").distinct()
+
+
+def build_block(rows: list[tuple[bytes, str]]) -> Windows:
+    """The block of some (gram, item) rows."""
+    owners: dict[bytes, list[str]] = {}
+    for gram, item in sorted(rows):
+        owners.setdefault(gram, []).append(item)
+    windows = {gram: gram.split() for gram in owners}
+    vocab = {w: i + 1 for i, w in enumerate(sorted({w for x in windows.values() for w in x}))}
+    number = {n: i for i, n in enumerate(sorted({n for x in owners.values() for n in x}))}
+    made = Windows(vocab, [], [], [], list(number))
+    for size in sorted({len(x) for x in windows.values()}):
+        same = [gram for gram, x in windows.items() if len(x) == size]
+        made.patterns.append(np.array([[vocab[w] for w in windows[gram]] for gram in same], np.int32))
+        made.items.append(np.array([number[n] for gram in same for n in owners[gram]], np.int32))
+        made.bounds.append(np.cumsum([0] + [len(owners[gram]) for gram in same]))
+    return made
 
 
 def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,10 +235,23 @@ def search_shard(words: list[bytes], ends: np.ndarray, block: Windows) -> tuple[
 
 
 def shared_blocks(docs: DataFrame, benchmark: DataFrame, width: int, block_windows: int) -> list:
-    """Broadcasts of the blocks of a benchmark's windows."""
-    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator()
-    sc = docs.sparkSession.sparkContext
-    return [sc.broadcast(b) for b in cut_windows([(r[0], r[1]) for r in items], width, block_windows)]
+    """Broadcasts of the blocks of a benchmark's windows, each pickled.
+
+    Windows are cut, made distinct, dealt by ranges of (gram, item) and built into blocks
+    by tasks; the driver passes one block of about ``block_windows`` rows on at a time.
+    """
+    rows = cut_lineage(cut_windows(benchmark, width))
+    n_blocks = -(-rows.count() // block_windows)
+    if not n_blocks:
+        return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        if own:
+            yield pa.record_batch([pa.array([pickle.dumps(build_block(own))], pa.binary())], names=["block"])
+
+    built = cut_lineage(rows.repartitionByRange(n_blocks, "gram", "item").mapInArrow(run, "block binary"))
+    return [docs.sparkSession.sparkContext.broadcast(bytes(r["block"])) for r in built.toLocalIterator()]
 
 
 def shards(texts: pa.Array, shard_words: int) -> Iterator[tuple[range, list[list[bytes]]]]:
@@ -251,11 +275,12 @@ def examine(texts: list[list[bytes]], blocks: list) -> tuple[np.ndarray, np.ndar
     turns = np.zeros(len(words) + 1, np.int64)
     items_of: list[set[str]] = [set() for _ in texts]
     for shared in blocks:
-        first, last, pairs = search_shard(words, ends, shared.value)
+        block = pickle.loads(shared.value)
+        first, last, pairs = search_shard(words, ends, block)
         np.add.at(turns, first, 1)
         np.add.at(turns, last, -1)
         for doc, item in pairs.tolist():
-            items_of[doc].add(shared.value.names[item])
+            items_of[doc].add(block.names[item])
     hit = np.cumsum(turns[:-1]) > 0
     upto = np.concatenate(([0], np.cumsum(hit)))
     return sizes, upto[ends] - upto[ends - sizes], hit, [sorted(x) for x in items_of]
@@ -270,7 +295,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_
     spans are the merged hits as word numbers (first included, last excluded); items
     are the item ids with an occurring window, sorted as strings.  Null and wordless
     texts have no words and no hits; repeated rows are returned as often as they occur.
-    The benchmark, a table of test items, is read to the driver and cut into blocks.
+    A worker holds the pickled blocks, some 50 bytes a window, and one block unpacked.
     """
     blocks = shared_blocks(docs, benchmark, width, block_windows)
 
