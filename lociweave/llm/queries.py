@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociweave.llm import feistel_pii, fm_decontam, golay_simhash, license_digest, media_sniff, ordinal_quality, pivotal_mix, slot_sharding, toxicity_kn, url_asof
+from lociweave.llm import feistel_pii, filter_audit, fm_decontam, golay_simhash, license_digest, media_sniff, nra_search, ordinal_quality, pivotal_mix, slot_sharding, toxicity_kn, url_asof
 from lociweave.llm.common import table
 from lociweave.operators.ordered import row_numbers
 
@@ -70,9 +70,17 @@ def op10_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slot_sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nra_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ordinal_quality, op2_url_asof, op3_toxicity_kn, op4_license_digest, op5_media_sniff, op6_pivotal_mix, op7_fm_decontam, op8_golay_simhash, op9_feistel_pii, op10_slot_sharding)
+    for f in (op1_ordinal_quality, op2_url_asof, op3_toxicity_kn, op4_license_digest, op5_media_sniff, op6_pivotal_mix, op7_fm_decontam, op8_golay_simhash, op9_feistel_pii, op10_slot_sharding, op12_nra_search, op13_filter_audit)
 }
 
 _HOST = r"nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '')"
@@ -144,4 +152,49 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_url_asof": URL_SQL, "op4_license_digest": LICENSE_SQL, "op7_fm_decontam": DECONTAM_SQL}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM d WHERE len(w) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY 1, 2),
+i AS (SELECT DISTINCT b, item_id, term FROM (SELECT row_number() OVER () AS b, item_id, unnest({_TERMS}) AS term FROM benchmark)),
+f AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * N + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS weight FROM p, s WHERE term IN (SELECT term FROM i) GROUP BY term, N),
+c AS (
+  SELECT b, item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w) * N) // L)))) AS BIGINT) AS score
+  FROM i JOIN f USING (term) JOIN p USING (term) JOIN d USING (r), s GROUP BY b, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM c WHERE score > 0) WHERE rank <= 10
+"""
+
+AUDIT_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS again FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY 1),
+m AS (
+  SELECT part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+         + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) AS INT)
+         + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(again AS INT) AS mask,
+         count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM d LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+b AS (SELECT unnest(range(5)) AS f),
+o AS (
+  SELECT [b1.f, b2.f, b3.f, b4.f, b5.f] AS fs FROM b b1, b b2, b b3, b b4, b b5
+  WHERE b1.f <> b2.f AND b1.f <> b3.f AND b1.f <> b4.f AND b1.f <> b5.f AND b2.f <> b3.f AND b2.f <> b4.f AND b2.f <> b5.f AND b3.f <> b4.f AND b3.f <> b5.f AND b4.f <> b5.f),
+s AS (
+  SELECT array_to_string(list_transform(fs, lambda x: substr('ABCDE', CAST(x AS INT) + 1, 1)), '') AS filter_order, k AS step, fs[k] AS f, 1 << fs[k] AS bit,
+         coalesce(list_sum(list_transform(fs[1:k - 1], lambda x: 1 << x)), 0)::BIGINT AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS k)),
+r AS (
+  SELECT part, filter_order, step, f, CAST(coalesce(sum(n) FILTER ((mask & (before | bit)) = 0), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER ((mask & before) = 0 AND (mask & bit) > 0), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER ((mask & before) > 0 AND (mask & bit) > 0), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER ((mask & before) = 0 AND (mask & bit) > 0), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER ((mask & before) = 0 AND (mask & bit) > 0), 0) AS BIGINT) AS toxic_lost
+  FROM s, m GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_url_asof": URL_SQL, "op4_license_digest": LICENSE_SQL, "op7_fm_decontam": DECONTAM_SQL, "op12_nra_search": SEARCH_SQL, "op13_filter_audit": AUDIT_SQL}
