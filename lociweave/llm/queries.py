@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociweave.llm import feistel_pii, filter_audit, fm_decontam, golay_simhash, license_digest, media_sniff, nra_search, ordinal_quality, pivotal_mix, slot_sharding, toxicity_kn, url_asof
+from lociweave.llm import feistel_pii, filter_audit, fm_decontam, golay_simhash, license_digest, media_sniff, nra_search, ordinal_quality, pivotal_mix, slot_sharding, token_groups, toxicity_kn, url_asof
 from lociweave.llm.common import table
 from lociweave.operators.ordered import row_numbers
 
@@ -70,6 +70,10 @@ def op10_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slot_sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_groups.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op12_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nra_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -80,7 +84,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ordinal_quality, op2_url_asof, op3_toxicity_kn, op4_license_digest, op5_media_sniff, op6_pivotal_mix, op7_fm_decontam, op8_golay_simhash, op9_feistel_pii, op10_slot_sharding, op12_nra_search, op13_filter_audit)
+    for f in (op1_ordinal_quality, op2_url_asof, op3_toxicity_kn, op4_license_digest, op5_media_sniff, op6_pivotal_mix, op7_fm_decontam, op8_golay_simhash, op9_feistel_pii, op10_slot_sharding, op11_token_groups, op12_nra_search, op13_filter_audit)
 }
 
 _HOST = r"nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '')"
@@ -152,6 +156,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
 """
 
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 2], ' ') AS gram FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+z AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.r <> b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN z x ON x.r = a JOIN z y ON y.r = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+c(r, other) AS (SELECT r, r FROM d UNION SELECT c.r, l.b FROM c JOIN l ON l.a = c.other)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, m.component_id
+FROM d LEFT JOIN z USING (r) JOIN (SELECT c.r, min(o.doc_id) AS component_id FROM c JOIN d o ON o.r = c.other GROUP BY c.r) m ON m.r = d.r
+"""
+
 _TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 SEARCH_SQL = f"""
@@ -197,4 +214,4 @@ r AS (
 SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_url_asof": URL_SQL, "op4_license_digest": LICENSE_SQL, "op7_fm_decontam": DECONTAM_SQL, "op12_nra_search": SEARCH_SQL, "op13_filter_audit": AUDIT_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_asof": URL_SQL, "op4_license_digest": LICENSE_SQL, "op7_fm_decontam": DECONTAM_SQL, "op11_token_groups": JACCARD_SQL, "op12_nra_search": SEARCH_SQL, "op13_filter_audit": AUDIT_SQL}
