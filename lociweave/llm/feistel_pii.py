@@ -24,16 +24,17 @@ from pyspark.sql import functions as F
 
 from lociweave.llm.common import doc_frame
 
-#: Patterns by kind, in the order in which they are tried at a place.
+#: Patterns by kind, in the order in which they are tried at a place.  Repeated groups
+#: are possessive: the regex engine then loops over them, where it would recurse otherwise.
 PATTERNS = {
-    "secret": r"\b(?:password|passwd|secret|token|api_key)=[0-9a-f]{8,}\b",
-    "email": r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "secret": r"\b(?:password|passwd|secret|token|api_key)=[0-9a-f]{8,}+\b",
+    "email": r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "phone": r"\+1 ?\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     "date": r"(?<![\d-])(?:18|19|20|21)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])",
     "ipv4": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
 }
-#: A whole run of digit groups, up to a date or address; RUNS finds the cards in it.
-PATTERNS["card"] = rf"(?<![\d-])\d(?:[ -]?(?!{PATTERNS['date']}|{PATTERNS['ipv4']})\d){{12,}}(?![\d-])"
+#: A whole run of digit groups, up to a date or address; PIECES finds the cards in it.
+PATTERNS["card"] = rf"(?<![\d-])\d(?:[ -]?(?!{PATTERNS['date']}|{PATTERNS['ipv4']})\d){{12,}}+"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ROUNDS = 8
 DATE_FROM, DATE_MODULI = "1800-01-01", (189, 773)
@@ -51,7 +52,8 @@ _LUHN = """aggregate(sequence(1, length({d})), 0, (s, i) -> s + if(pmod(i, 2) =
 
 #: Kind of a match, null if it is not valid.
 KIND = f"""
-case when v rlike '{_whole("secret")}' then 'secret'
+case when length(v) < 13 and v rlike '^[0-9]+[ -]?$' then null
+     when v rlike '{_whole("secret")}' then 'secret'
      when v rlike '{_whole("email")}' then 'email'
      when v rlike '{_whole("phone")}' then 'phone'
      when v rlike '{_whole("date")}' then if(try_to_date(v, 'yyyy-MM-dd') is null, null, 'date')
@@ -60,20 +62,31 @@ case when v rlike '{_whole("secret")}' then 'secret'
 
 #: Pieces of a match m whose own kind decides each: of a run of digit groups the valid cards that
 #: begin and end at group borders, longest first, and what is between them; else m itself.
+#: A run is walked in steps of STEP groups, each of which looks AHEAD groups further, so that its cost
+#: grows with its length; ``next`` is the first group that no piece holds yet, and ``upon`` has the
+#: digits from there up to each later group.
+STEP, AHEAD = 128, 19
+_PLAIN = "replace(replace({x}, ' ', ''), '-', '')"
 _RUN = "array_join(slice(g, i + 1, k), '')"
-_FITS = f"""transform(array(regexp_replace({_RUN}, '[^0-9]', '')), d -> if(length(d) between 13 and 19, pmod({_LUHN.format(d='d', odd=0)}, 10) = 0, false))[0]"""
-_VALID = f"""flatten(transform(sequence(0, size(g) - 1), i -> transform(filter(sequence(1, least(19, size(g) - i)), k -> {_FITS}),
-  k -> named_struct('less', -length(regexp_replace({_RUN}, '[^0-9]', '')), 'at', i, 'n', k))))"""
-_CARDS = f"""aggregate(array_sort({_VALID}), cast(array() as array<struct<less: int, at: int, n: int>>),
-  (a, x) -> if(exists(a, y -> x.at < y.at + y.n and y.at < x.at + x.n), a, array_append(a, x)))"""
+_LONG = "(upon[i - s.next + k] - upon[i - s.next])"
+_UPON = f"aggregate(slice(n, s.next + 1, upto + {AHEAD} + 19 - s.next), array(0), (a, x) -> array_append(a, element_at(a, -1) + x))"
+_VALID = f"""flatten(transform(sequence(s.next, least(upto + {AHEAD}, size(g)) - 1), i -> transform(
+  filter(sequence(1, least(19, size(g) - i)), k -> {_LONG} between 13 and 19 and luhn_check({_PLAIN.format(x=_RUN)})),
+  k -> named_struct('less', -{_LONG}, 'at', i, 'n', k))))"""
+_CHOSEN = f"""filter(aggregate(array_sort({_VALID}), cast(array() as array<struct<less: int, at: int, n: int>>),
+  (a, x) -> if(exists(a, y -> x.at < y.at + y.n and y.at < x.at + x.n), a, array_append(a, x))), y -> y.at < upto)"""
 _OWN = "filter(cards, y -> y.at <= i and i < y.at + y.n)"
-PIECES = f"""
-if(m rlike '^[0-9][0-9 -]+$' and length(regexp_replace(m, '[^0-9]', '')) >= 13,
-   transform(array(regexp_extract_all(m, '[0-9]+[ -]?', 0)), g -> transform(array({_CARDS}), cards ->
-     flatten(transform(sequence(0, size(g) - 1), i -> case
+_CUT = f"""flatten(transform(sequence(s.next, till - 1), i -> case
        when size({_OWN}) = 0 then array(g[i])
        when {_OWN}[0].at < i then cast(array() as array<string>)
-       else transform(array(array_join(slice(g, i + 1, {_OWN}[0].n), '')), r -> array(rtrim(' -', r), substring(r, length(rtrim(' -', r)) + 1)))[0] end)))[0])[0],
+       else transform(array(array_join(slice(g, i + 1, {_OWN}[0].n), '')), r -> array(rtrim(' -', r), substring(r, length(rtrim(' -', r)) + 1)))[0] end))"""
+_WALK = f"""aggregate(sequence(1, size(g), {STEP}), named_struct('next', 0, 'out', cast(array() as array<array<string>>)), (s, from) ->
+  transform(array(least(from - 1 + {STEP}, size(g))), upto -> if(s.next >= upto, s,
+    transform(transform(array({_UPON}), upon -> {_CHOSEN}), cards -> transform(array(aggregate(cards, upto, (a, y) -> greatest(a, y.at + y.n))), till ->
+      named_struct('next', till, 'out', array_append(s.out, {_CUT})))[0])[0]))[0], s -> flatten(s.out))"""
+PIECES = f"""
+if(m rlike '^[0-9][0-9 -]+$' and length(regexp_replace(m, '[^0-9]', '')) >= 13,
+   transform(array(regexp_extract_all(m, '[0-9]+[ -]?', 0)), g -> transform(array(transform(g, x -> length({_PLAIN.format(x="x")}))), n -> {_WALK})[0])[0],
    array(m))"""
 
 _CHARS = "filter(split({s}, ''), c -> c <> '')"
