@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.llm.common import cut_lineage, doc_frame, hash_words
@@ -225,9 +225,9 @@ def linked(members: DataFrame, queries: DataFrame, tokens: DataFrame, percent: i
 
 def form_components(docs: DataFrame, forms: DataFrame, keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, component) of the forms that have a link; keyed has (key, form) of all of them."""
-    placed = keyed.repartition("key")
-    shared = placed.groupBy("key").agg(F.min("form").alias("low"), F.max("form").alias("high")).filter("low < high").select("key")
-    open_ = cut_lineage(placed.join(shared, "key").distinct().join(forms.select("form", "node"), "form").select("key", "node"))
+    own = Window.partitionBy("key")  # at most a row per task and form: the keys are dealt out once
+    shared = keyed.withColumn("low", F.min("form").over(own)).withColumn("high", F.max("form").over(own)).filter("low < high")
+    open_ = cut_lineage(shared.select("key", "form").distinct().join(forms.select("form", "node"), "form").select("key", "node"))
     counts = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     degree = open_.join(counts, "key").groupBy("node").agg(F.sum("n").alias("degree"))
     open_ = cut_lineage(open_.join(degree, "node"))
