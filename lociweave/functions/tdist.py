@@ -78,3 +78,34 @@ def t_tail(t: Column, df: Column | float, tails: int = 2) -> Column:
     """Tail probability of |t| over one or two tails; null where t or df is null."""
     df = df if isinstance(df, Column) else F.lit(float(df))
     return _tail(t.cast("double"), df.cast("double")) * tails
+
+
+def quantiles(p: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """The t >= 0 with P(T > t) = p, for p up to one half, by bisection of all values at once."""
+    p, df = np.broadcast_arrays(np.asarray(p, float), np.asarray(df, float))
+    low, high = np.zeros(p.shape), np.ones(p.shape)
+    ok = (p > 0) & (p <= 0.5) & (df > 0)
+    for _ in range(1100):
+        short = ok & (upper_tail(high, df) > p) & (high < 1e300)
+        if not short.any():
+            break
+        high = np.where(short, high * 2, high)
+    for _ in range(1200):
+        mid = (low + high) / 2
+        if ((mid <= low) | (mid >= high)).all():
+            break
+        above = upper_tail(mid, df) > p
+        low, high = np.where(above, mid, low), np.where(above, high, mid)
+    return np.where(ok, (low + high) / 2, np.nan)
+
+
+@F.pandas_udf(DoubleType())
+def _quantile(p: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series(quantiles(p.to_numpy(float), df.to_numpy(float)))
+
+
+def t_quantile(p: Column, df: Column | float, tails: int = 2) -> Column:
+    """The |t| whose tail probability over one or two tails is p; null where there is none."""
+    df = df if isinstance(df, Column) else F.lit(float(df))
+    made = _quantile(p.cast("double") / tails, df.cast("double"))
+    return F.when(~F.isnan(made), made)

@@ -52,21 +52,24 @@ def colouring(vertices: DataFrame, edges: DataFrame, priority: str = "hash", max
     ranked = vertices.select("vertex", F.struct((rank if rank is not None else F.col(priority)).alias("p"), F.col("vertex").alias("v")).alias("rank"))
     a, b = ranked.select(F.col("vertex").alias("src"), F.col("rank").alias("ra")), ranked.select(F.col("vertex").alias("dst"), F.col("rank").alias("rb"))
     links = edges.filter("src <> dst").select("src", "dst").join(a, "src").join(b, "dst")
-    before = cut_lineage(links.select(F.when(F.col("ra") < F.col("rb"), F.col("src")).otherwise(F.col("dst")).alias("first"), F.when(F.col("ra") < F.col("rb"), F.col("dst")).otherwise(F.col("src")).alias("then")).distinct())
-    state = cut_lineage(vertices.select("vertex", F.lit(None).cast("int").alias("color")).join(before.select(F.col("then").alias("vertex")).distinct().withColumn("_linked", F.lit(True)), "vertex", "left").select("vertex", F.when(F.col("_linked").isNull(), 0).cast("int").alias("color")))
-    open_before = None
+    waits = cut_lineage(links.select(F.when(F.col("ra") < F.col("rb"), F.col("src")).otherwise(F.col("dst")).alias("first"), F.when(F.col("ra") < F.col("rb"), F.col("dst")).otherwise(F.col("src")).alias("then")).distinct())
+    # waits: the links to vertices without a colour; used: (then, color) that those of them have met
+    fresh = cut_lineage(vertices.select("vertex").join(waits.select(F.col("then").alias("vertex")).distinct(), "vertex", "left_anti").withColumn("color", F.lit(0)))
+    done, used = fresh, waits.select("then", F.lit(0).alias("color")).limit(0)
     for _ in range(max_rounds):
-        left = state.filter("color is null").count()
-        if not left:
-            return state
-        if left == open_before:
-            raise RuntimeError("colouring made no progress")
-        open_before = left
-        todo = state.filter("color is null").select(F.col("vertex").alias("then"))
-        near = before.join(todo, "then").join(state.select(F.col("vertex").alias("first"), "color"), "first")
-        seen = near.groupBy("then").agg(F.sum(F.col("color").isNull().cast("int")).alias("_wait"), F.collect_set("color").alias("_used")).filter("_wait = 0")
+        met = waits.join(fresh.select(F.col("vertex").alias("first"), "color"), "first", "left")
+        met = cut_lineage(met)
+        waits = met.filter("color is null").select("first", "then")
+        used = cut_lineage(used.unionByName(met.filter("color is not null").select("then", "color")).distinct())
+        ready = used.join(waits.select("then").distinct(), "then", "left_anti").groupBy("then").agg(F.collect_set("color").alias("_used"))
         free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("_used")), F.col("_used")))
-        state = cut_lineage(state.join(seen.select(F.col("then").alias("vertex"), free.alias("_new")), "vertex", "left").select("vertex", F.coalesce("color", "_new").alias("color")))
+        fresh = cut_lineage(ready.select(F.col("then").alias("vertex"), free.alias("color")))
+        if not fresh.limit(1).count():
+            if waits.limit(1).count():
+                raise RuntimeError("colouring made no progress")
+            return done
+        done = done.unionByName(fresh)
+        used = used.join(fresh.select(F.col("vertex").alias("then")), "then", "left_anti")
     raise RuntimeError(f"colouring did not end in {max_rounds} rounds")
 
 
@@ -80,16 +83,21 @@ def clump(vertices: DataFrame, edges: DataFrame, p: str = "p") -> DataFrame:
     to one that stays.
 
     Rounds: open vertices whose open neighbours all come later stay, their neighbours go.
+    Only the vertices and links that are still open are carried on, and each round writes
+    what it has settled, so a round costs what is left.
     """
     ranked = vertices.select("vertex", F.struct(F.col(p).alias("p"), F.col("vertex").alias("v")).alias("rank"))
     both = edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct()
-    links = cut_lineage(both.join(ranked.select(F.col("vertex").alias("src"), F.col("rank").alias("ra")), "src").join(ranked.select(F.col("vertex").alias("dst"), F.col("rank").alias("rb")), "dst"))
-    state = cut_lineage(vertices.select("vertex", F.lit(None).cast("boolean").alias("stays")))
-    while state.filter("stays is null").limit(1).count():
-        open_ = state.filter("stays is null").select("vertex")
-        live = links.join(open_.withColumnRenamed("vertex", "src"), "src").join(open_.withColumnRenamed("vertex", "dst"), "dst")
-        blocked = live.filter("rb < ra").select(F.col("src").alias("vertex")).distinct()
-        stay = open_.join(blocked, "vertex", "left_anti").withColumn("_stay", F.lit(True))
-        go = live.join(stay.select(F.col("vertex").alias("src")), "src").select(F.col("dst").alias("vertex")).distinct().withColumn("_go", F.lit(True))
-        state = cut_lineage(state.join(stay, "vertex", "left").join(go, "vertex", "left").select("vertex", F.coalesce("stays", "_stay", ~F.col("_go")).alias("stays")))
-    return vertices.join(state.filter("stays").select("vertex"), "vertex", "left_semi")
+    a, b = ranked.select(F.col("vertex").alias("src"), F.col("rank").alias("ra")), ranked.select(F.col("vertex").alias("dst"), F.col("rank").alias("rb"))
+    live = cut_lineage(both.join(a, "src").join(b, "dst").select("src", "dst", (F.col("rb") < F.col("ra")).alias("earlier")))
+    kept = cut_lineage(vertices.select("vertex").join(live.select(F.col("src").alias("vertex")).distinct(), "vertex", "left_anti"))
+    while live.limit(1).count():
+        # a vertex without open links is settled: it stayed, or it has nothing left to wait for
+        stay = cut_lineage(live.groupBy("src").agg(F.max("earlier").alias("waits")).filter("not waits").select(F.col("src").alias("vertex")))
+        go = live.join(stay.select(F.col("vertex").alias("src")), "src", "left_semi").select(F.col("dst").alias("vertex"))
+        closed = cut_lineage(stay.unionByName(go).distinct())
+        rest = live.join(closed.select(F.col("vertex").alias("src")), "src", "left_anti")
+        after = cut_lineage(rest.join(closed.select(F.col("vertex").alias("dst")), "dst", "left_anti"))
+        alone = rest.select("src").distinct().join(after.select("src").distinct(), "src", "left_anti").select(F.col("src").alias("vertex"))
+        kept, live = kept.unionByName(stay).unionByName(cut_lineage(alone)), after
+    return vertices.join(kept, "vertex", "left_semi")

@@ -2,60 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.cluster import ship_package
+from lociweave.cluster import cut_lineage, ship_package
 from lociweave.functions.columns import band_width, panel_theta, shrunk_covariance
+from lociweave.operators.graph import clump
+from lociweave.operators.ordered import row_numbers
+from lociweave.operators.relational import band_join, interval_join
 
 #: Panel size, effective population size and decay cutoff.
 PANEL, POPULATION, CUTOFF = 85, 11490.672741, 1e-3
 
 
-#: Tiles by which a feature's band is cut.
-PIECES = 4
+#: Features of a tile.
+TILE = 1024
 
 
-def ld_pairs(matrix: DataFrame, m: int = PANEL, ne: float = POPULATION, cutoff: float = CUTOFF, key: str | None = "chrom") -> DataFrame:
+def ld_pairs(matrix: DataFrame, m: int = PANEL, ne: float = POPULATION, cutoff: float = CUTOFF, key: str | None = "chrom", tile: int = TILE) -> DataFrame:
     """(chrom, i, j, r) of a matrix table with columns feature_id, map, values and the key.
 
     i comes before j in the order of map and number, and pairs further apart than the
-    cutoff's map distance are never formed: features are cut into tiles of a quarter of
-    that distance, each tile and the next four are a group, and a group is one matrix
-    product.  So a feature travels five times, whatever the number of its neighbours, and
-    a task holds the features of five tiles.  The diagonal is 1.
+    cutoff's map distance are left out.  Features are numbered in that order, by ranges, and
+    cut into tiles of equally many; every pair of tiles that come near enough to each other is
+    a cell, one matrix product.  So a task holds two tiles, however dense the map
+    is, and a feature travels once for each tile in its reach.  The diagonal is 1.
     """
     ship_package(matrix.sparkSession)
     theta, width = panel_theta(m), band_width(cutoff, m, ne) * (1 + 1e-9)
     name = key or "chrom"
     keyed = matrix if key else matrix.withColumn("chrom", F.lit(0))
-    rows = keyed.select(name, "feature_id", F.col("map").cast("double").alias("map"), "values").withColumn("tile", F.floor(F.col("map") / F.lit(width / PIECES)))
-    own = rows.withColumn("side", F.lit(0))
-    later = rows.withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(PIECES)))).withColumn("side", F.lit(1)).withColumn("tile", F.col("tile") - F.col("ahead")).drop("ahead")
+    rows = keyed.select(F.col(name).alias("_key"), "feature_id", F.col("map").cast("double").alias("map"), "values")
+    placed = row_numbers(rows.select("_key", "feature_id", "map"), ["map", "feature_id"], "_row", ["_key"])
+    tiles = cut_lineage(placed.select("feature_id", F.col("_key").alias("_own"), "map", F.floor((F.col("_row") - 1) / tile).alias("tile")))
+    spans = tiles.groupBy("_own", "tile").agg(F.min("map").alias("low"), F.max("map").alias("high"))
+    # each tile's reach meets the beginnings of later tiles; one row per tile on both sides
+    spans = spans.withColumn("_hash", F.xxhash64("_own"))
+    begins = spans.select("_hash", F.col("low").alias("begin"), F.col("tile").alias("tile_b"), F.col("_own").alias("_own_b"))
+    near = interval_join(begins, spans.select("_hash", "low", F.col("high").alias("high_a"), F.col("tile").alias("tile_a"), F.col("_own").alias("_cell_key"), (F.col("high") + width).alias("reach")), "_hash", "begin", "low", "reach", bucket=width)
+    cells = cut_lineage(near.filter(F.col("_own_b").eqNullSafe(F.col("_cell_key")) & (F.col("tile_a") <= F.col("tile_b"))).select("_cell_key", "tile_a", "tile_b"))
+    side = lambda which, number: tiles.join(cells, F.col("_own").eqNullSafe(F.col("_cell_key")) & (F.col("tile") == F.col(which))).select(F.col("_cell_key"), "tile_a", "tile_b", F.lit(number).alias("side"), "feature_id")
+    dealt = side("tile_a", 0).unionByName(side("tile_b", 1)).join(rows, "feature_id").filter(F.col("_key").eqNullSafe(F.col("_cell_key"))).drop("_key")
     rate, half = 4 * ne / 100 / (2 * m), 0.5 * theta * (1 - 0.5 * theta)
 
-    def tile_product(frame: pd.DataFrame) -> pd.DataFrame:
-        # the own tile's rows come first in the order of the map, the others after them
-        frame = frame.sort_values(["side", "map", "feature_id"])
-        own = int((frame["side"] == 0).sum())
-        i, j, r = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        if own:
-            x, at, ids = _centred(frame["values"].tolist()), frame["map"].to_numpy(), frame["feature_id"].to_numpy()
-            n = x.shape[1] - 1
-            gap = at[None, :] - at[:own, None]
-            decay = np.exp(-gap * rate)
-            scale = (1 - theta) ** 2 * (x * x).sum(axis=1) / n + half
-            every = (1 - theta) ** 2 * (x[:own] @ x.T) / n * np.where(decay >= cutoff, decay, 0.0) / np.sqrt(scale[:own, None] * scale[None, :])
-            a, b = np.nonzero((gap <= width) & np.triu(np.ones(gap.shape, bool), 1))
-            i, j, r = ids[a], ids[b], every[a, b]
-        return pd.DataFrame({name: [frame[name].iloc[0]] * len(i), "i": i, "j": j, "r": r})
-
-    kind = dict(rows.dtypes)[name]
-    off = own.unionByName(later).groupBy(name, "tile").applyInPandas(tile_product, f"{name} {kind}, i long, j long, r double")
-    diagonal = rows.select(name, F.col("feature_id").alias("i"), F.col("feature_id").alias("j"), F.lit(1.0).alias("r"))
-    return off.select(name, "i", "j", F.when(~F.isnan("r"), F.col("r")).alias("r")).unionByName(diagonal)
+    def cell_product(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        first, second = (frame[frame["side"] == s].sort_values(["map", "feature_id"]) for s in (0, 1))
+        x, y = _centred(first["values"].tolist()), _centred(second["values"].tolist())
+        n = x.shape[1] - 1
+        gap = second["map"].to_numpy()[None, :] - first["map"].to_numpy()[:, None]
+        near = gap <= width
+        if key[1] == key[2]:
+            near &= np.triu(np.ones(gap.shape, bool), 1)
+        decay = np.exp(-gap * rate)
+        vx, vy = ((1 - theta) ** 2 * (v * v).sum(axis=1) / n + half for v in (x, y))
+        r = (1 - theta) ** 2 * (x @ y.T) / n * np.where(decay >= cutoff, decay, 0.0) / np.sqrt(vx[:, None] * vy[None, :])
+        a, b = np.nonzero(near)
+        return pd.DataFrame({"_key": [key[0]] * len(a), "i": first["feature_id"].to_numpy()[a], "j": second["feature_id"].to_numpy()[b], "r": r[a, b]})
+
+    kind = dict(rows.dtypes)["_key"]
+    off = dealt.groupBy("_cell_key", "tile_a", "tile_b").applyInPandas(cell_product, f"_key {kind}, i long, j long, r double")
+    diagonal = rows.select(F.col("_key").alias(name), F.col("feature_id").alias("i"), F.col("feature_id").alias("j"), F.lit(1.0).alias("r"))
+    return off.select(F.col("_key").alias(name), "i", "j", F.when(~F.isnan("r"), F.col("r")).alias("r")).unionByName(diagonal)
 
 
 def _centred(values: list) -> np.ndarray:
@@ -88,3 +100,101 @@ def concat_pairs(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t)
     return out.dropDuplicates(["i", "j"])
+
+
+def ld_prune(variants: DataFrame, window: float, cut: float, key: str = "chrom", max_rounds: int | None = None) -> DataFrame:
+    """The variants (key, feature_id, pos, values) that a greedy scan in the order of (pos, feature_id)
+    keeps: each one whose |r| with every kept variant at most ``window`` before it is ``cut`` or less.
+
+    The order is cut into ranges, and every range is scanned by itself at first.  What a range
+    keeps near its end is carried over the border, and the ranges whose carried variants have
+    changed are scanned again, until none changes: the first range is right at once, and a range
+    is right a round after those before it, so the end equals one sequential scan.
+    Ranges usually fall into step after a few variants, so two or three rounds do.  A task holds the
+    kept variants of one window.  A null position is left out; a variant without variance
+    has no r and stays.
+    """
+    ship_package(variants.sparkSession)
+    rows = variants.filter("pos is not null").select(F.col(key).alias("_key"), F.col("feature_id").cast("long").alias("feature_id"), F.col("pos").cast("double").alias("pos"), F.col("values").cast("array<double>").alias("values"))
+    rows = cut_lineage(rows.repartitionByRange("_key", "pos", "feature_id").withColumn("_part", F.spark_partition_id()))
+    kind = dict(rows.dtypes)["_key"]
+    starts = rows.groupBy("_part", "_key").agg(F.min("pos").alias("_low")).select(F.col("_part").alias("_to"), F.col("_key").alias("_to_key"), "_low")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept = None, []
+        for batch in batches:
+            lists = batch.column(4)
+            values, ends = lists.flatten().to_numpy(), np.cumsum(np.concatenate(([0], lists.value_lengths().to_numpy(zero_copy_only=False))))
+            stays = []
+            for i, (part, own, pos, carried) in enumerate(zip(*[batch.column(c).to_pylist() for c in (0, 1, 2, 5)], strict=True)):
+                if (part, own) != at:
+                    at, kept = (part, own), []
+                kept = [x for x in kept if pos - x[0] <= window]
+                z = values[ends[i] : ends[i + 1]] - values[ends[i] : ends[i + 1]].mean()
+                length = np.sqrt(z @ z)
+                z = z / length if length > 0 else z
+                good = carried or not kept or bool((np.abs(np.array([x[1] for x in kept]) @ z) <= cut).all())
+                if good:
+                    kept.append((pos, z))
+                stays.append(good and not carried)
+            yield batch.select([0, 1, 2, 3, 4]).filter(pa.array(stays, pa.bool_()))
+
+    def scanned(part_rows: DataFrame, carried: DataFrame) -> DataFrame:
+        both = part_rows.withColumn("_carried", F.lit(False)).unionByName(carried.withColumn("_carried", F.lit(True)))
+        placed = both.repartitionByRange("_part").select("_part", "_key", "pos", "feature_id", "values", "_carried")
+        ordered = placed.sortWithinPartitions("_part", "_key", "pos", "feature_id")
+        return cut_lineage(ordered.mapInArrow(scan, f"_part int, _key {kind}, pos double, feature_id long, values array<double>"))
+
+    used = rows.limit(0)
+    kept = scanned(rows, used)
+    n_parts = starts.agg(F.count_distinct("_to")).first()[0]
+    for _ in range(max_rounds or n_parts + 1):
+        reach = F.col("_key").eqNullSafe(F.col("_to_key")) & (F.col("_to") > F.col("_part")) & (F.col("_low") - F.col("pos") <= window)
+        carried = cut_lineage(kept.join(F.broadcast(starts), reach).select(F.col("_to").alias("_part"), "_key", "pos", "feature_id", "values"))
+        told = lambda df, name: df.groupBy("_part").agg(F.count(F.lit(1)).alias(f"n_{name}"), F.sum(F.xxhash64("feature_id").cast("decimal(38,0)")).alias(f"h_{name}"))
+        both = told(carried, "new").join(told(used, "old"), "_part", "full")
+        changed = cut_lineage(both.filter("not (n_new <=> n_old and h_new <=> h_old)").select("_part"))
+        if not changed.limit(1).count():
+            break
+        again = scanned(rows.join(F.broadcast(changed), "_part", "left_semi"), carried.join(F.broadcast(changed), "_part", "left_semi"))
+        kept = cut_lineage(kept.join(F.broadcast(changed), "_part", "left_anti").unionByName(again))
+        used = carried
+    else:
+        raise RuntimeError("the scan has not settled")
+    on = F.col("_key").eqNullSafe(F.col(key)) & (F.col("_id") == F.col("feature_id"))
+    return variants.join(kept.select("_key", F.col("feature_id").alias("_id")), on, "left_semi")
+
+
+def pair_correlations(pairs: DataFrame, matrix: DataFrame) -> DataFrame:
+    """(i, j, r) of listed pairs of features; null where one does not vary.
+
+    For hit-driven work: r is formed for the pairs asked for and no others.
+    """
+    centred = F.transform("values", lambda x: x - F.col("_mean"))
+    unit = matrix.select("feature_id", "values", (F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / F.size("values")).alias("_mean")).select("feature_id", centred.alias("d"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    unit = unit.withColumn("ss", dot("d", "d"))
+    a, b = (unit.select(F.col("feature_id").alias(n), F.col("d").alias(f"d_{n}"), F.col("ss").alias(f"ss_{n}")) for n in "ij")
+    both = pairs.select("i", "j").distinct().join(a, "i").join(b, "j")
+    return both.select("i", "j", F.try_divide(dot("d_i", "d_j"), F.sqrt("ss_i") * F.sqrt("ss_j")).alias("r"))
+
+
+def pruned_hits(hits: DataFrame, matrix: DataFrame, cis_p: float = 0.05, trans_p: float = 5e-5, cis_cut: float = 0.8, trans_cut: float = 0.8, reach: float = 1_000_000) -> DataFrame:
+    """The hits (gene, feature_id, chrom, pos, p, is_cis) that pass their class's p cutoff and that
+    LD pruning keeps: within each gene and class, in the order of (p, feature_id), a hit stays
+    unless its |r| with one that stays, at most ``reach`` away, exceeds the class's cutoff.
+
+    r is computed between hits of one gene and class alone, each pair of features once, and
+    the greedy sets of all genes are one table of links whose open part shrinks.  Rows whose
+    gene, feature, p or place is null are left out; repeated rows of a gene, feature and class
+    count once.
+    """
+    passing = hits.filter(F.col("p") < F.when(F.col("is_cis"), cis_p).otherwise(trans_p)).dropna(subset=["gene", "feature_id", "chrom", "pos", "is_cis"])
+    first = passing.groupBy("gene", "feature_id", "is_cis").agg(F.min(F.struct("p", "chrom", "pos")).alias("_first")).select("gene", "feature_id", "is_cis", "_first.*")
+    own = cut_lineage(first.withColumn("vertex", F.monotonically_increasing_id()))
+    own = own.withColumn("_set", F.concat_ws(":", F.col("gene").cast("string"), F.col("is_cis").cast("string"), F.col("chrom").cast("string")))
+    near = cut_lineage(band_join(own, "_set", "pos", "vertex", reach, ["feature_id", "is_cis"]).select(F.col("vertex_i").alias("src"), F.col("vertex_j").alias("dst"), F.least("feature_id_i", "feature_id_j").alias("i"), F.greatest("feature_id_i", "feature_id_j").alias("j"), F.col("is_cis_i").alias("is_cis")))
+    tight = F.abs("r") > F.when(F.col("is_cis"), cis_cut).otherwise(trans_cut)
+    links = near.join(pair_correlations(near, matrix), ["i", "j"]).filter(tight).select("src", "dst")
+    ranked = own.withColumn("_order", F.struct("p", "feature_id"))
+    return clump(ranked, links, "_order").select("gene", "feature_id", "chrom", "pos", "p", "is_cis")

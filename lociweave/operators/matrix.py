@@ -8,16 +8,17 @@ through ``cross_moments``, which adds up partial Gram matrices per partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.cluster import ship_package
-from lociweave.operators.ordered import running_total
+from lociweave.cluster import cut_lineage, ship_package
+from lociweave.operators.ordered import last_value, running_total
 
 #: Largest block of a matrix that is sent to all executors at once.
 BLOCK_BYTES = 64 << 20
@@ -85,28 +86,53 @@ def pair_scan(snps: DataFrame, genes: DataFrame, t_crit: float | None = None, bl
     into blocks of at most ``block_bytes``, and each block is broadcast and meets the SNP
     partitions in a scan of its own, so the SNP table is read once per block.
     """
+
+    def made(snp: pd.DataFrame, gene: pd.DataFrame, beta: np.ndarray, se: np.ndarray, t: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero(np.ones(beta.shape, bool) if t_crit is None else np.abs(np.nan_to_num(t)) > t_crit)
+        return pd.DataFrame({"snp": snp["feature_id"].to_numpy()[i], "gene": gene["feature_id"].to_numpy()[j], "beta": beta[i, j], "se": se[i, j], "t": t[i, j]})
+
+    out = _scan_blocks(snps.select("feature_id", "values"), genes.select("feature_id", "values"), made, "snp long, gene long, beta double, se double, t double", block_bytes)
+    return out.select("snp", "gene", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("beta", "se", "t")])
+
+
+def cis_trans_pairs(snps: DataFrame, genes: DataFrame, cis_t: float, trans_t: float, reach: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(chrom, fgeneid, pos, theta, serr, is_cis) of the pairs whose |t| exceeds their class's threshold.
+
+    snps: (feature_id, values, chrom, pos); genes: (feature_id, values, chrom, start, end, fgeneid).
+    The class comes from the positions inside the worker that forms the product, so a pair
+    between the two thresholds never leaves it, and no legend is joined afterwards.
+    """
+    kinds = dict(snps.dtypes) | {"fgeneid": dict(genes.dtypes)["fgeneid"]}
+
+    def made(snp: pd.DataFrame, gene: pd.DataFrame, beta: np.ndarray, se: np.ndarray, t: np.ndarray) -> pd.DataFrame:
+        pos, start, end = snp["pos"].to_numpy(float)[:, None], gene["start"].to_numpy(float)[None, :], gene["end"].to_numpy(float)[None, :]
+        same = (snp["chrom"].to_numpy()[:, None] == gene["chrom"].to_numpy()[None, :]) & snp["chrom"].notna().to_numpy()[:, None]
+        cis = same & (((pos > start) & (pos < end)) | (np.abs(pos - start) < reach) | (np.abs(pos - end) < reach))
+        i, j = np.nonzero(np.abs(np.nan_to_num(t)) > np.where(cis, cis_t, trans_t))
+        return pd.DataFrame({"chrom": snp["chrom"].to_numpy()[i], "fgeneid": gene["fgeneid"].to_numpy()[j], "pos": snp["pos"].to_numpy()[i], "theta": beta[i, j], "serr": se[i, j], "is_cis": cis[i, j]})
+
+    left, right = snps.select("feature_id", "values", "chrom", "pos"), genes.select("feature_id", "values", "chrom", "start", "end", "fgeneid")
+    return _scan_blocks(left, right, made, f"chrom {kinds['chrom']}, fgeneid {kinds['fgeneid']}, pos {kinds['pos']}, theta double, serr double, is_cis boolean", block_bytes)
+
+
+def _scan_blocks(snps: DataFrame, genes: DataFrame, made: Callable, schema: str, block_bytes: int) -> DataFrame:
+    """Rows that ``made`` gives of each SNP part and gene block with their beta, se and t."""
     ship_package(snps.sparkSession)
     sc = snps.sparkSession.sparkContext
-    schema = "snp long, gene long, beta double, se double, t double"
     out = None
-    for ids, values in _blocks(genes, block_bytes):
-        shared = sc.broadcast((ids, values))
+    for block in _blocks(genes, block_bytes):
+        shared = sc.broadcast((block.drop(columns="values"), _matrix(block["values"].tolist())))
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            gene_ids, e = shared.value
+            gene, e = shared.value
             for frame in frames:
                 for at in range(0, len(frame), 512):
                     part = frame.iloc[at : at + 512]
-                    beta, se, t = scan_block(_matrix(part["values"].tolist()), e)
-                    keep = np.ones(beta.shape, bool) if t_crit is None else np.abs(np.nan_to_num(t)) > t_crit
-                    i, j = np.nonzero(keep)
-                    yield pd.DataFrame({"snp": part["feature_id"].to_numpy()[i], "gene": gene_ids[j], "beta": beta[i, j], "se": se[i, j], "t": t[i, j]})
-
-        made = snps.select("feature_id", "values").mapInPandas(run, schema)
-        out = made if out is None else out.unionByName(made)
-    if out is None:
-        return snps.sparkSession.createDataFrame([], schema)
-    return out.select("snp", "gene", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("beta", "se", "t")])
+                    yield made(part, gene, *scan_block(_matrix(part["values"].tolist()), e))
+
+        rows = snps.mapInPandas(run, schema)
+        out = rows if out is None else out.unionByName(rows)
+    return snps.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def scan_block(g: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,52 +152,73 @@ def scan_block(g: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return beta, se, t
 
 
-def _blocks(matrix: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(matrix: DataFrame, block_bytes: int) -> Iterator[pd.DataFrame]:
     """A matrix table in blocks of rows on the driver, one at a time."""
-    ids, rows, held = [], [], 0
-    for row in matrix.select("feature_id", "values").orderBy("feature_id").toLocalIterator():
-        ids.append(row[0])
-        rows.append(np.asarray(row[1], float))
-        held += rows[-1].nbytes
+    rows, held = [], 0
+    for row in matrix.orderBy("feature_id").toLocalIterator():
+        rows.append(row)
+        held += 8 * len(row["values"])
         if held >= block_bytes:
-            yield np.array(ids, np.int64), np.array(rows)
-            ids, rows, held = [], [], 0
-    if ids:
-        yield np.array(ids, np.int64), np.array(rows)
+            yield pd.DataFrame(rows, columns=matrix.columns)
+            rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=matrix.columns)
+
+
+def _merge_moments(first: tuple, second: tuple) -> tuple:
+    """(n, means, co-moments) of two sets of rows as those of both."""
+    if first is None:
+        return second
+    n = first[0] + second[0]
+    gap = second[1] - first[1]
+    return n, first[1] + gap * (second[0] / n), first[2] + second[2] + np.outer(gap, gap) * (first[0] * second[0] / n)
 
 
-def cross_moments(individuals: DataFrame, column: str) -> DataFrame:
-    """(i, j, n, sx, sy, sxx, syy, sxy) of all pairs i <= j of array positions (from 1).
+def cross_moments(individuals: DataFrame, column: str, by: Column | None = None) -> DataFrame:
+    """(i, j, n, mx, my, cxx, cyy, cxy) of all pairs i <= j of array positions (from 1): means,
+    and sums of products of deviations from the means; per value of ``by`` (a long), if given.
 
-    Each partition adds up one Gram matrix; only its k(k+1)/2 sums are shuffled, whatever
-    the number of individuals.  Values are doubles; null arrays are left out.
+    Each partition merges (n, means, co-moments) of its batches, and Spark merges those of the
+    partitions about the common means, so no large sums cancel.  Only k(k+1)/2 rows per
+    partition are shuffled, whatever the number of individuals.  Null arrays are left out.
     """
     ship_package(individuals.sparkSession)
+    names = ["by", "i", "j", "n", "mx", "my", "cxx", "cyy", "cxy"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, total, n = None, None, 0
+        held: dict[int, tuple] = {}
         for batch in batches:
-            x = _matrix(batch.column(0).to_pylist())
-            if not len(x):
-                continue
-            gram = x.T @ x if gram is None else gram + x.T @ x
-            total = x.sum(axis=0) if total is None else total + x.sum(axis=0)
-            n += len(x)
-        if gram is not None:
-            i, j = np.triu_indices(len(gram))
-            square = np.diag(gram)
-            columns = [i + 1, j + 1, np.full(len(i), n), total[i], total[j], square[i], square[j], gram[i, j]]
-            yield pa.record_batch([pa.array(c) for c in columns], names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
-
-    parts = individuals.filter(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("x")).mapInArrow(run, "i long, j long, n long, sx double, sy double, sxx double, syy double, sxy double")
-    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+            groups = batch.column(1).to_numpy(zero_copy_only=False)
+            x = _matrix(batch.column(0).to_pylist()) if len(batch) else None
+            for g in np.unique(groups):
+                own = x[groups == g]
+                mean = own.mean(axis=0)
+                held[int(g)] = _merge_moments(held.get(int(g)), (len(own), mean, (own - mean).T @ (own - mean)))
+        for g, (n, mean, co) in held.items():
+            i, j = np.triu_indices(len(mean))
+            square = np.diag(co)
+            columns = [np.full(len(i), g), i + 1, j + 1, np.full(len(i), n), mean[i], mean[j], square[i], square[j], co[i, j]]
+            yield pa.record_batch([pa.array(c) for c in columns], names=names)
+
+    rows = individuals.filter(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("x"), (F.lit(0) if by is None else by).cast("long").alias("by")).filter("by is not null")
+    parts = cut_lineage(rows.mapInArrow(run, "by long, i long, j long, n long, mx double, my double, cxx double, cyy double, cxy double"))
+    means = parts.filter("i = j").groupBy("by", "i").agg((F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("m"))
+    near = parts.join(means.withColumnRenamed("m", "_mx"), ["by", "i"]).join(means.select("by", F.col("i").alias("j"), F.col("m").alias("_my")), ["by", "j"])
+    dx, dy, n = F.col("mx") - F.col("_mx"), F.col("my") - F.col("_my"), F.col("n")
+    merged = near.groupBy("by", "i", "j").agg(F.sum("n").alias("n"), F.first("_mx").alias("mx"), F.first("_my").alias("my"), *[F.sum(F.col(c) + n * x * y).alias(c) for c, x, y in (("cxx", dx, dx), ("cyy", dy, dy), ("cxy", dx, dy))])
+    return merged.select(*(names if by is not None else names[1:]))
 
 
 def moments_to_scan(moments: DataFrame) -> DataFrame:
-    """(i, j, n, slope, r, t, se) of pairs of positions: i explains j."""
-    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    var_x, var_y = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
-    scored = moments.select("i", "j", "n", F.try_divide("sxy", "sxx").alias("slope"), F.when((var_x > 0) & (var_y > 0), F.try_divide(cov, F.sqrt(var_x * var_y))).alias("r"))
+    """(i, j, n, slope, r, t, se) of pairs of positions: i explains j.
+
+    slope is that of the line through the origin; positions that do not vary, up to
+    rounding, have no r.
+    """
+    raw = lambda c, x, y: F.col(c) + F.col("n") * F.col(x) * F.col(y)
+    varies = lambda c, m: F.col(c) > F.col("n") * F.pow(F.col(m) * 1e-12, 2)
+    r = F.when(varies("cxx", "mx") & varies("cyy", "my"), F.try_divide("cxy", F.sqrt("cxx") * F.sqrt("cyy")))
+    scored = moments.select("i", "j", "n", F.try_divide(raw("cxy", "mx", "my"), raw("cxx", "mx", "mx")).alias("slope"), r.alias("r"))
     left = 1 - F.col("r") * F.col("r")
     scored = scored.withColumn("t", F.when(left > 0, F.sqrt((F.col("n") - 2).cast("double")) * F.try_divide(F.col("r"), F.sqrt(left))))
     return scored.withColumn("se", F.try_divide("slope", "t"))
@@ -179,7 +226,7 @@ def moments_to_scan(moments: DataFrame) -> DataFrame:
 
 def moments_to_covariance(moments: DataFrame) -> DataFrame:
     """(i, j, value): sample covariances of positions, upper triangle with diagonal."""
-    return moments.filter("n > 1").select("i", "j", ((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)).alias("value"))
+    return moments.filter("n > 1").select("i", "j", (F.col("cxy") / (F.col("n") - 1)).alias("value"))
 
 
 def significance_share(scan: DataFrame, by: str, t_crit: float) -> DataFrame:
@@ -187,6 +234,13 @@ def significance_share(scan: DataFrame, by: str, t_crit: float) -> DataFrame:
     return scan.groupBy(by).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(F.coalesce(F.abs("t") > t_crit, F.lit(False)).cast("double")).alias("share"))
 
 
+def scan_legends(scan: DataFrame, snp_legend: DataFrame, gene_legend: DataFrame, t_crit: float) -> tuple[DataFrame, DataFrame]:
+    """Both legends (feature_id, ...) with ``sig_genes``, a variant's share of genes whose |t| exceeds the
+    critical value, and ``sig_snps``, a gene's share of variants; null for features without pairs."""
+    share = lambda by, name: significance_share(scan, by, t_crit).select(F.col(by).alias("feature_id"), F.col("share").alias(name))
+    return snp_legend.join(share("snp", "sig_genes"), "feature_id", "left"), gene_legend.join(share("gene", "sig_snps"), "feature_id", "left")
+
+
 def covariance_to_correlation(pairs: DataFrame) -> DataFrame:
     """(i, j, value) covariances scaled by both variances; unit diagonal, null without variance."""
     var = pairs.filter("i = j").select(F.col("i").alias("k"), F.col("value").alias("v"))
@@ -216,6 +270,20 @@ def column_pointers(pairs: DataFrame) -> DataFrame:
     return running_total(counts, [], ["j"], F.col("n"), "_upto").select("j", (F.col("_upto") - F.col("n")).alias("first"), "n")
 
 
+def from_column_pointers(entries: DataFrame, pointers: DataFrame, symmetric_half: bool = False) -> DataFrame:
+    """(i, j, value) of a column-compressed matrix: entries (at, i, value) in storage order, at
+    from 0, and pointers (j, first, n) as ``column_pointers`` makes them.
+
+    An entry's column is the last one that begins at or before it: an as-of value over offsets,
+    by ranges, so no task sees the whole stream.  Columns without entries are skipped.  With
+    ``symmetric_half`` the other triangle is added.
+    """
+    begins = pointers.filter("n > 0").select(F.col("first").cast("long").alias("at"), F.lit(0).alias("kind"), F.col("j").alias("own"), F.lit(None).cast("long").alias("i"), F.lit(None).cast("double").alias("value"))
+    rows = begins.unionByName(entries.select(F.col("at").cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(dict(pointers.dtypes)["j"]).alias("own"), F.col("i").cast("long").alias("i"), F.col("value").cast("double").alias("value")))
+    placed = last_value(rows, [], ["at", "kind"], F.col("own"), "j").filter("kind = 1").select("i", F.col("j").cast("long").alias("j"), "value")
+    return symmetric(placed) if symmetric_half else placed
+
+
 def genetic_score(matrix: DataFrame, effects: DataFrame) -> DataFrame:
     """(ind, score): sum over features of (value - feature mean) * effect, by array position.
 
@@ -234,48 +302,136 @@ def single_trait_scan(snps: DataFrame, trait: np.ndarray) -> DataFrame:
     return pair_scan(snps, gene).drop("gene")
 
 
-def relationship_matrix(genotypes: DataFrame, min_frequency: float = 0.01) -> DataFrame:
+def relationship_matrix(genotypes: DataFrame, min_frequency: float = 0.01, tile: int = 512) -> DataFrame:
     """(i, j, value), i <= j: Gram matrix of individuals over standardised dosages.
 
     Features with a minor allele frequency below the minimum or without variance are left
-    out.  Partitions add up their Gram matrices; the result is divided by the features used.
+    out; the result is divided by the features used.  Individuals are cut into tiles:
+    each batch of features gives one product per pair of tiles, which leaves the worker at once,
+    so a worker holds a batch and a tile; Spark adds the products up, on the map side
+    first, and can spill.
     """
     ship_package(genotypes.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, used = None, 0
         for batch in batches:
             g = _matrix(batch.column(0).to_pylist())
             if not g.size:
                 continue
             f = g.mean(axis=1) / 2
-            g = g[(np.minimum(f, 1 - f) >= min_frequency) & (g.std(axis=1) > 0)]
-            z = (g - g.mean(axis=1, keepdims=True)) / g.std(axis=1, ddof=1, keepdims=True) if len(g) else g
-            gram, used = z.T @ z if gram is None else gram + z.T @ z, used + len(z)
-        if gram is not None:
-            i, j = np.triu_indices(len(gram))
-            yield pa.record_batch([pa.array(i), pa.array(j), pa.array(gram[i, j]), pa.array(np.full(len(i), used))], names=["i", "j", "value", "used"])
+            z = _standardised(g[np.minimum(f, 1 - f) >= min_frequency])
+            for a in range(0, g.shape[1], tile):
+                for b in range(a, g.shape[1], tile):
+                    product = z[:, a : a + tile].T @ z[:, b : b + tile]
+                    i, j = np.indices(product.shape)
+                    upper = i + a <= j + b
+                    yield pa.record_batch([pa.array(c) for c in ((i + a)[upper], (j + b)[upper], product[upper], np.full(int(upper.sum()), len(z)))], names=["i", "j", "value", "used"])
 
     parts = genotypes.select("values").mapInArrow(run, "i long, j long, value double, used long")
     summed = parts.groupBy("i", "j").agg(F.sum("value").alias("value"), F.sum("used").alias("used"))
     return summed.select("i", "j", F.try_divide("value", F.col("used").cast("double")).alias("value"))
 
 
-def principal_components(matrix: DataFrame, k: int) -> tuple[np.ndarray, DataFrame]:
-    """Variances of the first k components and their scores (ind, component, score).
+def _standardised(rows: np.ndarray) -> np.ndarray:
+    """Rows that vary, with mean 0 and variance 1."""
+    sd = rows.std(axis=1, ddof=1) if len(rows) else np.zeros(0)
+    rows, sd = rows[sd > 0], sd[sd > 0]
+    return (rows - rows.mean(axis=1, keepdims=True)) / sd[:, None] if len(rows) else rows
+
+
+def _gram_times(matrix: DataFrame, block: np.ndarray) -> np.ndarray:
+    """Z' Z block of the standardised feature rows Z: an (individuals x columns) array."""
+    shared = matrix.sparkSession.sparkContext.broadcast(block)
 
-    Features are centred and scaled; the n x n Gram matrix of the individuals is added up
-    on the executors, and its eigenvectors are found on the driver.  Signs are arbitrary.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shared.value.T.shape)
+        for batch in batches:
+            if len(batch):
+                z = _standardised(_matrix(batch.column(0).to_pylist()))
+                total += (z @ shared.value).T @ z
+        yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(list(total), pa.list_(pa.float64()))], names=["column", "values"])
+
+    parts = matrix.select("values").mapInArrow(run, "column long, values array<double>")
+    sums = parts.select("column", F.posexplode("values").alias("ind", "value")).groupBy("column", "ind").agg(F.sum("value").alias("value")).toArrow()
+    out = np.zeros(block.shape)
+    out[sums.column("ind").to_numpy(), sums.column("column").to_numpy()] = sums.column("value").to_numpy()
+    return out
+
+
+def tall_qr(matrix: DataFrame, block: np.ndarray, fan_in: int = 32) -> np.ndarray:
+    """The R of a QR of Z block, for the standardised feature rows Z, a tall and narrow matrix.
+
+    Each partition keeps the R of its rows; then the R of ``fan_in`` partitions are stacked
+    and decomposed again, and so on, so no task sees more than that many.
     """
-    from pyspark.sql import SparkSession
-
-    spark: SparkSession = matrix.sparkSession
-    pairs = relationship_matrix(matrix.select(F.transform("values", lambda x: x).alias("values")), min_frequency=-np.inf).toArrow()
-    n = int(np.sqrt(2 * pairs.num_rows + 0.25))
-    gram = np.zeros((n, n))
-    i, j, v = (pairs.column(c).to_numpy() for c in ("i", "j", "value"))
-    gram[i, j] = gram[j, i] = v
-    value, vector = np.linalg.eigh(gram)
-    top = np.argsort(-value)[:k]
-    scores = [(int(a), int(c) + 1, float(vector[a, t] * np.sqrt(max(value[t], 0)))) for c, t in enumerate(top) for a in range(n)]
-    return value[top] / (n - 1), spark.createDataFrame(scores, "ind long, component int, score double")
+    shared = matrix.sparkSession.sparkContext.broadcast(block)
+    width = block.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, width))
+        for batch in batches:
+            if len(batch):
+                r = np.linalg.qr(np.vstack([r, _standardised(_matrix(batch.column(0).to_pylist())) @ shared.value]), mode="r")
+        if len(r):
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([r.ravel().tolist()], pa.list_(pa.float64()))], names=["part", "r"])
+
+    def stack(frame: pd.DataFrame) -> pd.DataFrame:
+        r = np.linalg.qr(np.vstack([np.reshape(x, (-1, width)) for x in frame["r"]]), mode="r")
+        return pd.DataFrame({"part": [int(frame["part"].iloc[0]) // fan_in], "r": [r.ravel().tolist()]})
+
+    parts = cut_lineage(matrix.select("values").mapInArrow(run, "part long, r array<double>"))
+    while parts.count() > fan_in:
+        parts = cut_lineage(parts.groupBy(F.floor(F.col("part") / fan_in)).applyInPandas(stack, "part long, r array<double>"))
+    held = [np.reshape(row["r"], (-1, width)) for row in parts.orderBy("part").collect()]
+    return np.linalg.qr(np.vstack([*held, np.zeros((width, width))]), mode="r")
+
+
+def principal_components(matrix: DataFrame, k: int, oversample: int = 10, tolerance: float = 1e-12, max_rounds: int = 40, seed: int = 1) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """Variances, scores (ind, component, score) and loadings (feature_id, component, loading)
+    of the first k principal components; features are centred and scaled.
+
+    Randomised block Krylov range finder: a random block of k + oversample columns is
+    multiplied by Z' Z once per round, one pass over the feature rows, until the k leading
+    values settle; a tall-skinny QR of Z times the basis then gives them without squaring.  The
+    driver holds the basis, individuals times a few blocks, and never a Gram matrix.
+    Signs are arbitrary; features without variance have no loading; with fewer than k
+    components there are fewer rows.
+    """
+    spark = matrix.sparkSession
+    ship_package(spark)
+    first = matrix.select(F.size("values").alias("n")).first()
+    if first is None:
+        return np.zeros(0), spark.createDataFrame([], "ind long, component int, score double"), spark.createDataFrame([], "feature_id long, component int, loading double")
+    n = first["n"]
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, min(n, k + oversample))))[0]
+    basis, image, before = block, _gram_times(matrix, block), np.zeros(k)
+    for _ in range(max_rounds):
+        leading = np.linalg.eigvalsh(basis.T @ image)[::-1][:k]
+        if basis.shape[1] >= n or (len(leading) == k and np.abs(leading - before).max() <= tolerance * leading[0]):
+            break
+        before = np.resize(leading, k)
+        fresh = image[:, -block.shape[1] :]
+        for _ in range(2):  # twice, so that rounding leaves no part of the basis
+            fresh = fresh - basis @ (basis.T @ fresh)
+        q, r = np.linalg.qr(fresh)
+        keep = np.abs(np.diag(r)) > 1e-10 * max(leading[0], 1e-300)
+        block = q[:, keep][:, : n - basis.shape[1]]
+        if not block.shape[1]:
+            break
+        basis, image = np.hstack([basis, block]), np.hstack([image, _gram_times(matrix, block)])
+    _, value, right = np.linalg.svd(tall_qr(matrix, basis))
+    used = [c for c in range(min(k, len(value))) if value[c] > 1e-9 * value[0]]
+    vectors, value = (basis @ right.T)[:, used], value[used]
+    shared = spark.sparkContext.broadcast(vectors / value)
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1).to_pylist()) if len(batch) else np.zeros((0, n))
+            varies = x.std(axis=1) > 0 if len(x) else np.zeros(0, bool)
+            weights = _standardised(x) @ shared.value
+            ids = np.repeat(batch.column(0).to_numpy()[varies], weights.shape[1])
+            yield pa.record_batch([pa.array(ids), pa.array(np.tile(np.arange(1, weights.shape[1] + 1, dtype=np.int32), len(weights))), pa.array(weights.ravel())], names=["feature_id", "component", "loading"])
+
+    loadings = matrix.select(F.col("feature_id").cast("long").alias("feature_id"), "values").mapInArrow(load, "feature_id long, component int, loading double")
+    scores = [(int(a), c + 1, float(vectors[a, c] * value[c])) for c in range(len(value)) for a in range(n)]
+    return value**2 / (n - 1), spark.createDataFrame(scores, "ind long, component int, score double"), loadings

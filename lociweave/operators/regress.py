@@ -64,19 +64,24 @@ def design_regression(df: DataFrame, by: list[str], y: Column, terms: dict[str,
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for _, r in f.iterrows():
-                a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
-                b = np.array([r[f"b{i}"] for i in range(k)], float)
-                n = int(r["n"])
-                if np.linalg.matrix_rank(a) < k:
-                    est, se = np.full(k, np.nan), np.full(k, np.nan)
-                else:
-                    inverse = np.linalg.inv(a)
-                    est = inverse @ b
-                    se = np.sqrt(np.maximum(np.diag(inverse), 0) * max(r["yy"] - est @ b, 0) / (n - k)) if n > k else np.full(k, np.nan)
-                out += [(*[r[c] for c in by], n, name, e, s, e / s if s and s > 0 else np.nan) for name, e, s in zip(names, est, se, strict=True)]
-            yield pd.DataFrame(out, columns=[*by, "n", "term", "estimate", "se", "t"])
+            a = np.stack([np.stack([f[f"a{min(i, j)}_{max(i, j)}"].to_numpy(float) for j in range(k)], axis=1) for i in range(k)], axis=1)
+            b = np.stack([f[f"b{i}"].to_numpy(float) for i in range(k)], axis=1)
+            n, yy = f["n"].to_numpy(), f["yy"].to_numpy(float)
+            # terms of unit length, so that large and small ones solve alike
+            length = np.sqrt(np.einsum("gii->gi", a))
+            scale = np.where(length > 0, 1 / np.where(length > 0, length, 1), 0.0)
+            unit = a * scale[:, :, None] * scale[:, None, :]
+            full = np.linalg.matrix_rank(unit) == k if len(f) else np.zeros(0, bool)
+            inverse = np.linalg.inv(np.where(full[:, None, None], unit, np.eye(k)))
+            est = np.einsum("gij,gj->gi", inverse, b * scale) * scale
+            rss = np.maximum(yy - np.einsum("gi,gi->g", est, b), 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                se = np.sqrt(np.maximum(np.einsum("gii->gi", inverse), 0) * (rss / (n - k))[:, None]) * scale
+                se[n <= k] = np.nan
+                est[~full], se[~full] = np.nan, np.nan
+                t = np.where(se > 0, est / se, np.nan)
+            out = f[[*by, "n"]].loc[f.index.repeat(k)].reset_index(drop=True)
+            yield out.assign(term=np.tile(names, len(f)), estimate=est.ravel(), se=se.ravel(), t=t.ravel())
 
     kinds = dict(df.select(*by).dtypes)
     solved = grouped.mapInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in by) + ", n long, term string, estimate double, se double, t double")
@@ -102,64 +107,183 @@ def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select("n", "mean_difference", F.try_divide(F.col("sd"), F.sqrt(F.col("n").cast("double"))).alias("se")).withColumn("t", F.try_divide("mean_difference", "se")).withColumn("df", F.col("n") - 1)
 
 
-def elastic_net_path(x: np.ndarray, y: np.ndarray, alpha: float, lambdas: np.ndarray, rounds: int = 500) -> np.ndarray:
-    """Coefficients (lambdas x features) of standardised x by cyclic coordinate descent with warm starts."""
-    n = len(y)
-    gram, xy = x.T @ x / n, x.T @ y / n
-    beta, out = np.zeros(x.shape[1]), []
-    for lam in lambdas:
+#: Bytes of the correlation matrices that are fitted in one batch, at least one matrix.
+BATCH_BYTES = 128 << 20
+#: Columns of a table of fits.
+FIT_COLUMNS = ["gene", "step", "lambda", "cv_mean", "cv_sd", "nzero", "weights"]
+FIT_SCHEMA = "gene long, step int, lambda double, cv_mean double, cv_sd double, nzero long, weights array<struct<snp: long, weight: double>>"
+
+
+def elastic_net_path(gram: np.ndarray, xy: np.ndarray, alpha: float, lambdas: np.ndarray, tolerance: float = 1e-10, rounds: int = 10_000) -> np.ndarray:
+    """Coefficients (lambdas x problems x features) of a batch of problems, from correlations of
+    features (problems x features x features) and with the response (problems x features).
+
+    Batched active-set coordinate descent: all problems take a coordinate's step at once;
+    only coordinates that are not zero somewhere are cycled until they settle, then every
+    coordinate is looked at and those that leave zero join them.  Lambdas (problems x lambdas) are
+    warm-started.  A feature without variance has a zero row and stays zero.
+    """
+    diagonal = np.einsum("bii->bi", gram)
+    beta, fitted = np.zeros_like(xy), np.zeros_like(xy)  # fitted = gram @ beta
+    out = []
+
+    def cycle(features: np.ndarray, lam: np.ndarray) -> float:
+        largest = 0.0
+        for j in features:
+            z = xy[:, j] - fitted[:, j] + diagonal[:, j] * beta[:, j]
+            scale = diagonal[:, j] + lam * (1 - alpha)
+            past = np.abs(z) - lam * alpha
+            past = np.where(past > 1e-12 * lam * alpha, past, 0.0)  # at the largest lambda all weights are zero
+            new = np.where(diagonal[:, j] > 0, np.sign(z) * past / np.where(scale > 0, scale, 1), 0.0)
+            step = new - beta[:, j]
+            if step.any():
+                fitted[:] += gram[:, :, j] * step[:, None]
+                beta[:, j] = new
+                largest = max(largest, float(np.abs(step).max()))
+        return largest
+
+    for k in range(lambdas.shape[1]):
+        lam, every = lambdas[:, k], np.arange(xy.shape[1])
         for _ in range(rounds):
-            shift = 0.0
-            for j in range(len(beta)):
-                z = xy[j] - gram[j] @ beta + gram[j, j] * beta[j]
-                new = np.sign(z) * max(abs(z) - lam * alpha, 0) / (gram[j, j] + lam * (1 - alpha)) if gram[j, j] else 0.0
-                shift, beta[j] = max(shift, abs(new - beta[j])), new
-            if shift < 1e-7:
+            if cycle(every, lam) < tolerance:
                 break
+            active = np.flatnonzero((beta != 0).any(axis=0))
+            for _ in range(rounds):
+                if cycle(active, lam) < tolerance:
+                    break
         out.append(beta.copy())
     return np.array(out)
 
 
-def fit_elastic_net(x: np.ndarray, y: np.ndarray, alpha: float = 0.95, folds: int = 10, n_lambdas: int = 40) -> tuple[float, float, np.ndarray]:
-    """(lambda with the least cross-validated error, that error, coefficients on x's scale).
+def _problem(n: float, mean: np.ndarray, co: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(correlations of features, with the response, sds) of moments whose last position is the response."""
+    sd = np.sqrt(np.diag(co)[:-1] / n)
+    sd = np.where(np.diag(co)[:-1] > n * (1e-12 * mean[:-1]) ** 2, sd, 0.0)
+    scale = np.where(sd > 0, 1 / np.where(sd > 0, sd, 1), 0.0)
+    return co[:-1, :-1] / n * scale[:, None] * scale[None, :], co[:-1, -1] / n * scale, scale
+
 
-    Folds are by position, so reruns agree.
+def fit_elastic_net(folds: list[tuple[float, np.ndarray, np.ndarray]], alpha: float = 0.95, n_lambdas: int = 40, ratio: float = 0.01) -> dict[str, np.ndarray]:
+    """The path and its cross-validation from (n, means, co-moments) of each fold, whose last
+    position is the response: lambda, cv_mean, cv_sd, nzero and weights on the features' own scale.
+
+    The whole data and the data without each fold are one batch of problems.  cv_mean is the
+    mean squared error on the held-out folds, weighted by their rows, cv_sd its standard error.
+    """
+    from lociweave.operators.matrix import _merge_moments
+
+    others = [None] * len(folds)
+    for f in range(len(folds)):
+        for g, part in enumerate(folds):
+            if g != f:
+                others[f] = _merge_moments(others[f], part)
+    whole = None
+    for part in folds:
+        whole = _merge_moments(whole, part)
+    problems = [whole, *[o for o in others if o is not None]]
+    top = np.abs(_problem(*whole)[1]).max(initial=0) / alpha
+    lambdas = top * np.logspace(0, np.log10(ratio), n_lambdas) if top > 0 else np.zeros(1)
+    at_once = max(1, BATCH_BYTES // (8 * len(whole[1]) ** 2))  # wide windows go through in several batches
+    paths = []
+    for at in range(0, len(problems), at_once):
+        gram, xy, scale = (np.array(x) for x in zip(*[_problem(*p) for p in problems[at : at + at_once]], strict=True))
+        paths.append(elastic_net_path(gram, xy, alpha, np.broadcast_to(lambdas, (len(xy), len(lambdas)))) * scale[None])
+    path = np.concatenate(paths, axis=1)
+    errors, sizes = [], []
+    for f, (n, mean, co) in enumerate(folds if len(problems) > 1 else []):
+        beta = path[:, f + 1]
+        _, trained, _ = problems[f + 1]
+        shift = mean[-1] - trained[-1] - beta @ (mean[:-1] - trained[:-1])
+        errors.append((co[-1, -1] - 2 * beta @ co[:-1, -1] + np.einsum("ki,ij,kj->k", beta, co[:-1, :-1], beta)) / n + shift**2)
+        sizes.append(n)
+    nothing = np.full(len(lambdas), np.nan)
+    mean = np.average(errors, axis=0, weights=sizes) if errors else nothing
+    sd = np.sqrt(np.average((np.array(errors) - mean) ** 2, axis=0, weights=sizes) / (len(errors) - 1)) if len(errors) > 1 else nothing
+    return {"lambda": lambdas, "cv_mean": mean, "cv_sd": sd, "nzero": (path[:, 0] != 0).sum(axis=1), "weights": path[:, 0]}
+
+
+def elastic_nets(moments: DataFrame, sets: DataFrame, alpha: float = 0.95, n_lambdas: int = 40, ratio: float = 0.01) -> DataFrame:
+    """One row per gene and step of its path: (gene, step, lambda, cv_mean, cv_sd, nzero,
+    weights array<struct<snp, weight>>), weights of all features of the gene.
+
+    moments: ``cross_moments`` of all positions by fold, column ``by``; sets: (gene, snp) positions.
+    Spark sums the moments once for all genes, and a gene gathers those of its own window:
+    p(p+1)/2 numbers per fold, whatever the number of individuals.  Genes with one
+    variant or none are skipped.
     """
-    mean, sd = x.mean(axis=0), x.std(axis=0)
-    z, c = np.where(sd > 0, (x - mean) / np.where(sd > 0, sd, 1), 0.0), y - y.mean()
-    top = np.abs(z.T @ c).max() / len(y) / alpha
-    if not top > 0:
-        return 0.0, float((c * c).mean()), np.zeros(x.shape[1])
-    lambdas = top * np.logspace(0, -2, n_lambdas)
-    error, fold = np.zeros(n_lambdas), np.arange(len(y)) % min(folds, len(y))
-    for f in np.unique(fold):
-        held = fold == f
-        base = y[~held].mean()
-        error += ((y[held][None, :] - base - elastic_net_path(z[~held], y[~held] - base, alpha, lambdas) @ z[held].T) ** 2).sum(axis=1)
-    best = int(np.argmin(error))
-    path = elastic_net_path(z, c, alpha, lambdas[: best + 1])
-    return float(lambdas[best]), float(error[best] / len(y)), np.where(sd > 0, path[-1] / np.where(sd > 0, sd, 1), 0.0)
-
-
-def elastic_nets(cis: DataFrame, alpha: float = 0.95) -> DataFrame:
-    """(gene, snp, weight, lambda, cv_error) with the non-zero weights of one fit per gene.
-
-    cis: (gene, snp, values array, y array), one row per gene and cis variant.  Genes with
-    one variant or none are skipped.  The group is a gene's cis window, which does not
-    grow with the genome.
+    ship_package(moments.sparkSession)
+    own = sets.select(F.col("gene").cast("long").alias("gene"), F.col("snp").cast("long").alias("snp")).filter("gene <> snp").distinct()
+    enough = own.groupBy("gene").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gene")
+    members = own.join(enough, "gene", "left_semi").unionByName(enough.select("gene", F.col("gene").alias("snp")))
+    pairs = members.withColumnRenamed("snp", "i").join(members.select("gene", F.col("snp").alias("j")), "gene").filter("i <= j")
+    gathered = pairs.join(moments, ["i", "j"]).select("gene", "by", "i", "j", "n", "mx", "my", "cxy")
+
+    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        gene = int(key[0])
+        snps = [s for s in sorted(set(frame["i"]) | set(frame["j"])) if s != gene]
+        place = {s: k for k, s in enumerate([*snps, gene])}
+        folds = []
+        for _, part in frame.groupby("by", sort=True):
+            i, j = part["i"].map(place).to_numpy(), part["j"].map(place).to_numpy()
+            mean, co = np.zeros(len(place)), np.zeros((len(place), len(place)))
+            mean[i], mean[j] = part["mx"], part["my"]
+            co[i, j] = co[j, i] = part["cxy"]
+            folds.append((float(part["n"].iloc[0]), mean, co))
+        return _fit_rows(gene, snps, folds, alpha, n_lambdas, ratio)
+
+    return _without_nan(gathered.groupBy("gene").applyInPandas(fit, FIT_SCHEMA))
+
+
+def elastic_nets_of_values(cis: DataFrame, alpha: float = 0.95, folds: int = 10, n_lambdas: int = 40, ratio: float = 0.01) -> DataFrame:
+    """``elastic_nets`` of matrix tables: cis has one row per gene and cis variant, (gene, snp, values
+    array, y array).
+
+    For windows with more variants than individuals, where the values are the smaller form: a
+    group is a gene's cis window, which does not grow with the genome.  Folds are by
+    position, so reruns agree.  Genes with one variant or none are skipped.
     """
     ship_package(cis.sparkSession)
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        columns = ["gene", "snp", "weight", "lambda", "cv_error"]
+    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         if len(frame) < 2:
-            return pd.DataFrame(columns=columns)
+            return pd.DataFrame(columns=FIT_COLUMNS)
         frame = frame.sort_values("snp")
-        lam, error, beta = fit_elastic_net(np.array(frame["values"].tolist(), float).T, np.asarray(frame["y"].iloc[0], float), alpha)
-        out = pd.DataFrame({"gene": frame["gene"].to_numpy(), "snp": frame["snp"].to_numpy(), "weight": beta, "lambda": lam, "cv_error": error})
-        return out[out["weight"] != 0]
+        rows = np.array([*frame["values"], frame["y"].iloc[0]], float)
+        parts = [rows[:, f :: min(folds, rows.shape[1])] for f in range(min(folds, rows.shape[1]))]
+        means = [p.mean(axis=1) for p in parts]
+        return _fit_rows(int(key[0]), list(frame["snp"]), [(float(p.shape[1]), m, (p - m[:, None]) @ (p - m[:, None]).T) for p, m in zip(parts, means, strict=True)], alpha, n_lambdas, ratio)
+
+    return _without_nan(cis.select(F.col("gene").cast("long").alias("gene"), F.col("snp").cast("long").alias("snp"), "values", "y").groupBy("gene").applyInPandas(fit, FIT_SCHEMA))
+
+
+def _fit_rows(gene: int, snps: list, folds: list[tuple[float, np.ndarray, np.ndarray]], alpha: float, n_lambdas: int, ratio: float) -> pd.DataFrame:
+    made = fit_elastic_net(folds, alpha, n_lambdas, ratio)
+    rows = [(gene, k + 1, float(lam), float(made["cv_mean"][k]), float(made["cv_sd"][k]), int(made["nzero"][k]), [{"snp": int(s), "weight": float(w)} for s, w in zip(snps, made["weights"][k], strict=True)]) for k, lam in enumerate(made["lambda"])]
+    return pd.DataFrame(rows, columns=FIT_COLUMNS)
+
+
+def _without_nan(fits: DataFrame) -> DataFrame:
+    return fits.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c.startswith("cv_") else F.col(c) for c in FIT_COLUMNS])
+
+
+def path_overall(fits: DataFrame) -> DataFrame:
+    """(gene, step, lambda, cv_mean, cv_sd, nzero): the cross-validated path of each gene."""
+    return fits.drop("weights")
+
+
+def path_choices(fits: DataFrame) -> DataFrame:
+    """(gene, lambda_min, lambda_1se, cv_min): the lambda with the least cross-validated error and
+    the largest one within a standard error of it, each the larger of equals."""
+    best = fits.groupBy("gene").agg(F.min(F.struct("cv_mean", (-F.col("lambda")).alias("less"), "cv_sd")).alias("best"))
+    rows = fits.join(best, "gene").filter(F.col("cv_mean") <= F.col("best.cv_mean") + F.coalesce("best.cv_sd", F.lit(0.0)))
+    return rows.groupBy("gene").agg((-F.first("best")["less"]).alias("lambda_min"), F.max("lambda").alias("lambda_1se"), F.first("best")["cv_mean"].alias("cv_min"))
+
 
-    return cis.groupBy("gene").applyInPandas(fit, "gene long, snp long, weight double, lambda double, cv_error double")
+def path_weights(fits: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """(gene, step, lambda, snp, weight): the weights that are not zero, at every lambda, or at each
+    gene's lambda_min if ``path_choices`` are given."""
+    rows = fits if chosen is None else fits.join(chosen.select("gene", F.col("lambda_min").alias("lambda")), ["gene", "lambda"])
+    return rows.select("gene", "step", "lambda", F.inline("weights")).filter("weight <> 0")
 
 
 def nonzero_share(weights: DataFrame, by: str = "gene", weight: str = "weight") -> DataFrame:

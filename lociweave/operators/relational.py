@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociweave.cluster import cut_lineage
 from lociweave.operators.ordered import minimum_from_here, row_numbers, running_total
 
 
@@ -67,19 +68,44 @@ def left_join_fill(left: DataFrame, right: DataFrame, on: list[str], fill: dict[
     return left.join(right, on, "left").fillna(fill)
 
 
-def interval_join(points: DataFrame, spans: DataFrame, key: str, pos: str, start: str, end: str, reach: int = 0, inclusive: bool = True, bucket: int = 1_000_000) -> DataFrame:
+#: Rows of one side of a bucket that a task sees at most, about; a fuller bucket is split.
+BUCKET_ROWS = 20_000
+
+
+def _split_buckets(left: DataFrame, right: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_cell``, so that rows of a bucket (the keys, named alike on both sides)
+    that would meet still meet exactly once.
+
+    Rows are counted per bucket.  A bucket with more than ``most`` rows on a side is cut
+    into a grid: a row of the left side stands in one line of it, a row of the right side in one
+    column, each by hash, and meets the other side's rows where they cross.
+    """
+    counts = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).alias(name))
+    full = cut_lineage(counts(left, "_lines").join(counts(right, "_columns"), keys).filter("_lines > 1 or _columns > 1"))
+    if not full.limit(1).count():
+        return left.withColumn("_cell", F.lit(0).cast("long")), right.withColumn("_cell", F.lit(0).cast("long"))
+    place = lambda df, n: F.pmod(F.xxhash64(*[c for c in df.columns]), n)
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    one = F.lit(1).cast("long")
+    lines, columns = F.coalesce("_lines", one), F.coalesce("_columns", one)
+    cut = lambda df, own, other, cell: df.withColumn("_own", place(df, F.lit(2**31 - 1).cast("long"))).join(full, keys, "left").withColumn("_own", F.pmod(F.col("_own"), own)).withColumn("_other", F.explode(every(other))).withColumn("_cell", cell).drop("_own", "_other", "_lines", "_columns")
+    return cut(left, lines, columns, F.col("_own") * columns + F.col("_other")), cut(right, columns, lines, F.col("_other") * columns + F.col("_own"))
+
+
+def interval_join(points: DataFrame, spans: DataFrame, key: str, pos: str, start: str, end: str, reach: int = 0, inclusive: bool = True, bucket: float = 1_000_000, most: int = BUCKET_ROWS) -> DataFrame:
     """Points within [start - reach, end + reach] of spans of the same key.
 
     Catalyst would run this as a nested loop per key: both sides are cut into buckets
     instead, a span is listed in each bucket it touches and a point is in one, so every
-    pair meets once in an equi-join and a dense key is spread over its buckets.
+    pair meets once in an equi-join and a dense key is spread over its buckets; a bucket
+    with more than ``most`` rows on a side is split further.
     """
-    span_key = f"_{key}"
     low, high = F.col(start) - reach, F.col(end) + reach
-    listed = spans.withColumnRenamed(key, span_key).filter(F.col(start) <= F.col(end)).withColumn("_bucket", F.explode(F.sequence(F.floor(low / bucket), F.floor(high / bucket))))
-    placed = points.withColumn("_bucket", F.floor(F.col(pos) / bucket))
+    listed = spans.filter(F.col(key).isNotNull() & (F.col(start) <= F.col(end))).withColumn("_bucket", F.explode(F.sequence(F.floor(low / bucket), F.floor(high / bucket)))).withColumn("_k", F.col(key)).drop(key)
+    placed = points.withColumn("_bucket", F.floor(F.col(pos) / bucket)).withColumn("_k", F.col(key))
+    placed, listed = _split_buckets(placed, listed, ["_k", "_bucket"], most)
     inside = (F.col(pos) >= low) & (F.col(pos) <= high) if inclusive else (F.col(pos) > low) & (F.col(pos) < high)
-    return placed.join(listed, (placed[key] == listed[span_key]) & (placed["_bucket"] == listed["_bucket"]) & inside).drop(listed["_bucket"]).drop("_bucket", span_key)
+    return placed.join(listed, ["_k", "_bucket", "_cell"]).filter(inside).drop("_k", "_bucket", "_cell")
 
 
 def cis_flag(pos: Column, start: Column, end: Column, reach: int) -> Column:
@@ -87,23 +113,22 @@ def cis_flag(pos: Column, start: Column, end: Column, reach: int) -> Column:
     return ((pos > start) & (pos < end)) | (F.abs(pos - start) < reach) | (F.abs(pos - end) < reach)
 
 
-def band_join(df: DataFrame, key: str | None, pos: str, row_id: str, width: float, columns: list[str] | None = None) -> DataFrame:
+def band_join(df: DataFrame, key: str | None, pos: str, row_id: str, width: float, columns: list[str] | None = None, most: int = BUCKET_ROWS) -> DataFrame:
     """All pairs of rows of one key at most ``width`` apart, each once, as <column>_i, <column>_j.
 
     Positions are cut into buckets of the band's width: the lower row stays in its own
     bucket and the upper row is listed in its own and the one below, so a pair meets
-    exactly once in an equi-join.
+    exactly once in an equi-join; a bucket with more than ``most`` rows on a side is split
+    further.
     """
     wanted = list(dict.fromkeys([*([key] if key else []), row_id, pos, *(columns or [])]))
-    placed = df.select(*wanted, F.floor(F.col(pos) / F.lit(width)).alias("_b"))
-    low = placed.select(*[F.col(c).alias(f"{c}_i") for c in wanted], F.col("_b").alias("_bi"))
-    high = placed.select(*[F.col(c).alias(f"{c}_j") for c in wanted], F.explode(F.array("_b", F.col("_b") - 1)).alias("_bj"))
+    placed = df.select(*wanted, F.floor(F.col(pos) / F.lit(width)).alias("_b"), (F.col(key) if key else F.lit(0)).alias("_k"))
+    low = placed.select(*[F.col(c).alias(f"{c}_i") for c in wanted], "_k", "_b")
+    high = placed.select(*[F.col(c).alias(f"{c}_j") for c in wanted], "_k", F.explode(F.array("_b", F.col("_b") - 1)).alias("_b"))
+    low, high = _split_buckets(low, high, ["_k", "_b"], most)
     p_i, p_j, i, j = (F.col(f"{c}_{s}") for c in (pos, row_id) for s in "ij")
     after = (p_i < p_j) | ((p_i == p_j) & (i < j))
-    meets = (F.col("_bi") == F.col("_bj")) & after & (p_j - p_i <= width)
-    if key:
-        meets = meets & (F.col(f"{key}_i") == F.col(f"{key}_j"))
-    return low.join(high, meets).drop("_bi", "_bj")
+    return low.join(high, ["_k", "_b", "_cell"]).filter(after & (p_j - p_i <= width)).drop("_k", "_b", "_cell")
 
 
 def adjusted_p(df: DataFrame, p: str, out: str, by: list[str] | None = None, order: str = "row_id") -> DataFrame:
@@ -152,6 +177,30 @@ def share_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None)
     return df.join(shares, on).select(*df.columns, out)
 
 
+def group_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles of each group, a column per (name, share), between two values by
+    linear interpolation; nulls are left out, and groups without a value.
+
+    Selection by rank: counts per distinct value are run up over ranges of (group, value), and
+    the values at the two ranks around each share are picked out, so no group's values are
+    held in one task.
+    """
+    own = df.filter(F.col(value).isNotNull())
+    counts = own.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = own.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(F.count(F.lit(1)).alias("_n"))
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_g_{b}"))
+    ranked = running_total(counts, by, [value], F.col("_c"), "_upto").join(sizes, same)
+    at = lambda rank: F.max(F.when((F.col("_upto") - F.col("_c") < rank) & (rank <= F.col("_upto")), F.col(value).cast("double")))
+    picked, out = [], []
+    for k, (name, share) in enumerate(shares.items()):
+        place = (F.col("_n") - 1) * F.lit(float(share))
+        picked += [at(F.floor(place) + 1).alias(f"_low{k}"), at(F.ceil(place) + 1).alias(f"_high{k}"), F.first(place - F.floor(place)).alias(f"_part{k}")]
+        out.append((F.col(f"_low{k}") + (F.col(f"_high{k}") - F.col(f"_low{k}")) * F.col(f"_part{k}")).alias(name))
+    return ranked.groupBy(*by).agg(*picked).select(*by, *out)
+
+
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group in a total order."""
     return df.withColumn("_turn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_turn") <= n).drop("_turn")
@@ -168,10 +217,16 @@ def strata_sample(df: DataFrame, by: list[str], row_id: str, n: int, seed: int =
 
 
 def standardise(df: DataFrame, by: list[str], value: str, out: str, divisor: str = "sd") -> DataFrame:
-    """(value - group mean) / group sd, or / group variance; null without spread."""
-    w = Window.partitionBy(*by)
-    spread = F.stddev_samp(value).over(w) if divisor == "sd" else F.var_samp(value).over(w)
-    return df.withColumn(out, F.try_divide(F.col(value) - F.avg(value).over(w), spread))
+    """(value - group mean) / group sd, or / group variance; null without spread.
+
+    Means and spreads are a partial aggregate joined back, so a hot group is not one window.
+    """
+    spread = F.stddev_samp(value) if divisor == "sd" else F.var_samp(value)
+    groups = df.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(F.avg(value).alias("_mean"), spread.alias("_spread"))
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_g_{b}"))
+    return df.join(groups, same).select(*df.columns, F.try_divide(F.col(value) - F.col("_mean"), F.col("_spread")).alias(out))
 
 
 def multiset_intersect(left: DataFrame, right: DataFrame, column: str) -> DataFrame:

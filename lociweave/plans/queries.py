@@ -525,21 +525,3 @@ SELECT l_suppkey, round(1 / i, 4) AS nsum, round(sqrt(0.5 / (0.1 / i)), 8) AS sl
 def effect_scale(spark, sf_dir):
     e = _t(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_discount") - 0.05).alias("beta"), (0.01 + F.col("l_tax")).alias("se"))
     return _rounded(mixture.effect_scale(e, "l_suppkey", 1000.0, 0.5, 0.1), {"nsum": 4, "slab_sd": 8})
-
-
-@register()
-def elastic_net_weights(spark, sf_dir):
-    """The first 20 positions explain each of the last four, over all individuals."""
-    e = _t(spark, sf_dir, "embeddings").filter("embedding is not null").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("at", "v"))
-    kept = e.filter("at < 20 or at >= 60")
-    by_position = kept.groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "v"))), lambda x: x["v"]).alias("values"))
-    y = by_position.filter("at >= 60").select(F.col("at").cast("long").alias("gene"), F.col("values").alias("y"))
-    x = by_position.filter("at < 20").select(F.col("at").cast("long").alias("snp"), "values")
-    return regress.elastic_nets(y.crossJoin(x).select("gene", "snp", "values", "y"))
-
-
-@register()
-def scan_tail_probabilities(spark, sf_dir):
-    """Two-sided p of the pair scan, by the continued fraction."""
-    scan = matrix.moments_to_scan(_moments(spark, sf_dir).filter("i <= 32 and j > 32"))
-    return regress.with_p(scan, (F.col("n") - 1).cast("double")).select("i", "j", "t", "p")

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from lociweave.functions import columns as c
 from lociweave.functions.tdist import t_critical
-from lociweave.operators import graph, ld, matrix, mixture, regress, relational
+from lociweave.operators import graph, ld, matrix, regress, relational
 from lociweave.plans import studies
-from lociweave.plans.queries import _LONG, _S, _features, _mu_sql, _rounded, _t, register
+from lociweave.plans.queries import _LONG, _features, _rounded, _t, register
 
 # ---------------------------------------------------------------- scans
 
@@ -86,15 +86,6 @@ def covariate_residuals(spark, sf_dir):
     return left.select("feature_id", F.posexplode("values").alias("ind", "value")).select("feature_id", F.col("ind").cast("long").alias("ind"), (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
-@register(f"""
-WITH d AS (SELECT feature_id, ind, (v - avg(v) OVER w) / stddev_samp(v) OVER w AS z FROM {_LONG} WINDOW w AS (PARTITION BY feature_id))
-SELECT CAST(ind AS BIGINT) AS ind, round(sum(z * z) / count(*), 6) AS total FROM d GROUP BY 1""")
-def component_scores(spark, sf_dir):
-    """Squared scores of each individual over all principal components: its share of the variance."""
-    _, scores = matrix.principal_components(_features(spark, sf_dir), 64)
-    return scores.groupBy("ind").agg(F.round(F.sum(F.col("score") * F.col("score")), 6).alias("total")).select(F.col("ind").cast("long").alias("ind"), "total")
-
-
 # ---------------------------------------------------------------- LD
 
 _TH, _RATE = c.panel_theta(ld.PANEL), 4 * ld.POPULATION / 100 / (2 * ld.PANEL)
@@ -206,20 +197,6 @@ def tail_probabilities(spark, sf_dir):
     return _rounded(regress.with_p(rows, (1 + F.col("l_linenumber") % 2).cast("double")).drop("t"), {"p": 9})
 
 
-_B = "(l_discount - 0.05)"
-_FIT = ["WITH s0 AS (SELECT DISTINCT l_linenumber AS chrom, CAST(0.3 AS DOUBLE) AS pi, CAST(0.01 AS DOUBLE) AS slab FROM lineitem)"]
-for _k in range(1, 5):
-    _FIT.append(f"s{_k} AS (SELECT chrom, avg(mu) AS pi, greatest(sum(mu * ({_B} * {_B} - {_S} * {_S})) / sum(mu), 1e-12) AS slab FROM (SELECT chrom, l_discount, l_tax, {_mu_sql('pi', 'slab')} AS mu FROM lineitem JOIN s{_k - 1} ON l_linenumber = chrom) GROUP BY 1)")
-
-
-@register(", ".join(_FIT) + " SELECT chrom, round(pi, 7) AS pi, round(slab, 7) AS slab, 4 AS steps, false AS converged FROM s4")
-def mixture_fit(spark, sf_dir):
-    """Four steps of the fit of each chromosome, before it has converged."""
-    effects = _t(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("chrom"), (F.col("l_discount") - 0.05).alias("beta"), (0.01 + F.col("l_tax")).alias("se"))
-    fit = mixture.fit_em(effects, "chrom", pi=0.3, slab=0.01, tolerance=0.0, max_steps=4)
-    return _rounded(fit.select("chrom", "pi", "slab", "steps", "converged"), {"pi": 7, "slab": 7})
-
-
 @register("SELECT CAST(floor(l_quantity / 5) + 1 AS BIGINT) AS bin_x, CAST(floor(l_extendedprice / 10000) + 1 AS BIGINT) AS bin_y, count(*) AS n FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 60 AND l_extendedprice >= 0 AND l_extendedprice < 120000 GROUP BY 1, 2")
 def histogram_of_pairs(spark, sf_dir):
     """Counts in two-dimensional bins."""

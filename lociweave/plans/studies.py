@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociweave.cluster import cut_lineage
 from lociweave.functions.columns import block_number, flip_dosage
 from lociweave.functions.tdist import t_critical
-from lociweave.operators.matrix import pair_scan
-from lociweave.operators.regress import elastic_nets, intercept_regression, origin_regression
-from lociweave.operators.relational import cis_flag, distinct_gate, group_minimum, interval_join, keep_first, suffixed_join
+from lociweave.operators.matrix import cis_trans_pairs
+from lociweave.operators.ordered import row_numbers
+from lociweave.operators.regress import elastic_nets_of_values, intercept_regression, origin_regression
+from lociweave.operators.relational import distinct_gate, group_minimum, group_quantiles, interval_join, keep_first, suffixed_join
 
 
 def top_hit_per_block(hits: DataFrame, t_crit: float, block: int = 20_000, chrom: str = "chrom", pos: str = "pos", gene: str = "fgeneid", effect: str = "theta", error: str = "serr", gwas: DataFrame | None = None) -> DataFrame:
@@ -29,16 +31,11 @@ def top_hit_per_block(hits: DataFrame, t_crit: float, block: int = 20_000, chrom
 def cis_trans_scan(snps: DataFrame, snp_legend: DataFrame, genes: DataFrame, gene_legend: DataFrame, df: float, cis_p: float = 0.05, trans_p: float = 5e-5, reach: int = 1_000_000) -> DataFrame:
     """(chrom, fgeneid, pos, theta, serr, is_cis) of the pairs that pass their class's threshold.
 
-    Pairs under the weaker threshold never leave the workers that make them.
+    The legends give each feature its place before the scan; the workers apply both thresholds.
     """
-    cis_t, trans_t = t_critical(cis_p, df), t_critical(trans_p, df)
-    scan = pair_scan(snps, genes, t_crit=min(cis_t, trans_t))
-    s = snp_legend.select(F.col("feature_id").alias("snp"), F.col("chrom").alias("s_chrom"), "pos")
-    g = gene_legend.select(F.col("feature_id").alias("gene"), F.col("chrom").alias("g_chrom"), "start", "end", "fgeneid")
-    near = (F.col("s_chrom") == F.col("g_chrom")) & cis_flag(F.col("pos"), F.col("start"), F.col("end"), reach)
-    rows = scan.join(s, "snp").join(F.broadcast(g), "gene").withColumn("is_cis", F.coalesce(near, F.lit(False)))
-    passes = F.abs("t") > F.when(F.col("is_cis"), F.lit(cis_t)).otherwise(F.lit(trans_t))
-    return rows.filter(passes).select(F.col("s_chrom").alias("chrom"), "fgeneid", "pos", F.col("beta").alias("theta"), F.col("se").alias("serr"), "is_cis")
+    left = snps.join(snp_legend.select("feature_id", "chrom", "pos"), "feature_id")
+    right = genes.join(gene_legend.select("feature_id", "chrom", "start", "end", "fgeneid"), "feature_id")
+    return cis_trans_pairs(left, right, t_critical(cis_p, df), t_critical(trans_p, df), reach)
 
 
 def panel_intersection(panel: DataFrame, study: DataFrame) -> DataFrame:
@@ -54,6 +51,21 @@ def three_way(gwas: DataFrame, study: DataFrame, panel: DataFrame) -> DataFrame:
     return keep_first(both, ["rsid"], ["panel_id", "study_id"])
 
 
+def write_harmonised(joined: DataFrame, panel: DataFrame, study: DataFrame, path: str) -> None:
+    """Write ``three_way``'s variants as three tables partitioned by chromosome: ``legend``,
+    ``haplotypes`` of the panel and ``genotypes`` of the study.
+
+    feature_id numbers the variants anew in the order of (chrom, pos, rsid) and is the same in all
+    three; alleles are counted the other way where the panel's, or the study's, flip flag is 1.
+    """
+    legend = cut_lineage(row_numbers(joined, ["chrom", "pos", "rsid"], "feature_id"))
+    legend.write.partitionBy("chrom").parquet(f"{path}/legend")
+    for name, matrix, id_, flip, ploidy in (("haplotypes", panel, "panel_id", "panel_flip", 1), ("genotypes", study, "study_id", "study_flip", 2)):
+        own = legend.select("chrom", "feature_id", F.col(id_).alias("_id"), F.col(flip).alias("_flip"))
+        rows = own.join(matrix.select(F.col("feature_id").alias("_id"), "values"), "_id")
+        rows.select("chrom", "feature_id", flip_dosage(F.col("values"), F.col("_flip"), ploidy).alias("values")).write.partitionBy("chrom").parquet(f"{path}/{name}")
+
+
 def flipped(matrix: DataFrame, legend: DataFrame, ploidy: int = 2) -> DataFrame:
     """Features with the allele counted the other way where the legend's doFlip is 1."""
     return matrix.join(legend.select("feature_id", "doFlip"), "feature_id").select("feature_id", flip_dosage(F.col("values"), F.col("doFlip"), ploidy).alias("values"))
@@ -73,10 +85,10 @@ def gene_with_cis(gene: Column, genes: DataFrame, snps: DataFrame, matrix: DataF
 
 
 def cis_elastic_nets(genes: DataFrame, expression: DataFrame, snps: DataFrame, matrix: DataFrame, reach: int = 1_000_000, alpha: float = 0.95) -> DataFrame:
-    """Elastic-net weights of every gene with two or more cis variants."""
+    """Elastic-net paths of every gene with two or more cis variants: one row per gene and step."""
     near = interval_join(snps.select("feature_id", "chrom", "pos"), genes.select("chrom", "start", "end", F.col("feature_id").alias("gene")), "chrom", "pos", "start", "end", reach)
     y = expression.select(F.col("feature_id").alias("gene"), F.col("values").alias("y"))
-    return elastic_nets(near.select("gene", "feature_id").join(y, "gene").join(matrix, "feature_id").select("gene", F.col("feature_id").alias("snp"), "values", "y"), alpha)
+    return elastic_nets_of_values(near.select("gene", "feature_id").join(y, "gene").join(matrix, "feature_id").select("gene", F.col("feature_id").alias("snp"), "values", "y"), alpha)
 
 
 def effect_regression(hits: DataFrame, gene: str, response: Column, predictor: Column, weight: Column, gate: list[str], more_than: int = 3) -> DataFrame:
@@ -103,7 +115,9 @@ def merged_cis_trans(cis: DataFrame, trans: DataFrame) -> DataFrame:
 
 def candidate_ranking(p: DataFrame, gene: str = "gene", cutoff: float = 1e-3) -> DataFrame:
     """Per gene the share of p under the cutoff and how far p is from uniform in median and variance."""
-    return p.groupBy(gene).agg(F.count(F.lit(1)).alias("ntot"), F.count_if(F.col("p") < cutoff).alias("nsig"), F.avg((F.col("p") < cutoff).cast("double")).alias("psig"), F.abs(0.5 - F.median("p")).alias("median_gap"), F.abs(1 / 12 - F.var_samp("p")).alias("variance_gap"))
+    sums = p.groupBy(gene).agg(F.count(F.lit(1)).alias("ntot"), F.count_if(F.col("p") < cutoff).alias("nsig"), F.avg((F.col("p") < cutoff).cast("double")).alias("psig"), F.abs(1 / 12 - F.var_samp("p")).alias("variance_gap"))
+    middle = group_quantiles(p, [gene], "p", {"median_gap": 0.5}).select(F.col(gene).alias("_gene"), F.abs(0.5 - F.col("median_gap")).alias("median_gap"))
+    return sums.join(middle, F.col(gene).eqNullSafe(F.col("_gene")), "left").select(gene, "ntot", "nsig", "psig", "median_gap", "variance_gap")
 
 
 def heritability_table(first: DataFrame, second: DataFrame, least: float = 1e-6) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lociweave.cluster import scratch_dir
 from lociweave.functions import columns as c
 from lociweave.operators import matrix, mixture, regress, relational
+from lociweave.operators.ordered import row_numbers
 from lociweave.plans import studies
 from lociweave.plans.queries import _LONG, HITS, _features, _hits, _rounded, _t, register
 from lociweave.sources import tables
@@ -62,16 +63,15 @@ def conditional_share(spark, sf_dir):
 
 @register("SELECT o_orderstatus, round(min(o_totalprice), 2) AS least, round(quantile_cont(o_totalprice, 0.25), 2) AS q1, round(median(o_totalprice), 2) AS mid, round(quantile_cont(o_totalprice, 0.75), 2) AS q3, round(max(o_totalprice), 2) AS most FROM orders GROUP BY 1")
 def five_numbers(spark, sf_dir):
-    p = lambda q: F.round(F.percentile("o_totalprice", q), 2)
-    return _t(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.round(F.min("o_totalprice"), 2).alias("least"), p(0.25).alias("q1"), p(0.5).alias("mid"), p(0.75).alias("q3"), F.round(F.max("o_totalprice"), 2).alias("most"))
+    found = relational.group_quantiles(_t(spark, sf_dir, "orders"), ["o_orderstatus"], "o_totalprice", {"least": 0.0, "q1": 0.25, "mid": 0.5, "q3": 0.75, "most": 1.0})
+    return _rounded(found, {c: 2 for c in ("least", "q1", "mid", "q3", "most")})
 
 
 @register("SELECT c_custkey, c_nationkey, count(*) OVER (PARTITION BY c_nationkey) AS size, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer")
 def group_positions(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("c_nationkey")
-    return _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.count(F.lit(1)).over(w).alias("size"), F.row_number().over(w.orderBy("c_custkey")).cast("long").alias("place"))
+    own = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    sizes = own.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("size"))
+    return row_numbers(own, ["c_custkey"], "place", ["c_nationkey"]).join(sizes, "c_nationkey").select("c_custkey", "c_nationkey", "size", "place")
 
 
 @register("SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10")

@@ -209,26 +209,89 @@ def test_em_raises_the_likelihood_and_finds_the_slab(spark):
     assert abs(fit["pi"] - 0.2) < 0.06 and abs(fit["slab"] - 0.5) < 0.15
 
 
-def test_elastic_net_kkt():
-    x = RNG.normal(size=(80, 6))
-    x = (x - x.mean(axis=0)) / x.std(axis=0)
-    y = x @ np.array([1.5, 0, 0, -0.7, 0, 0]) + RNG.normal(size=80) * 0.1
-    y -= y.mean()
-    lam, alpha = 0.1, 0.95
-    b = regress.elastic_net_path(x, y, alpha, np.array([lam]))[0]
-    grad = x.T @ (y - x @ b) / 80 - lam * (1 - alpha) * b
-    assert np.all(np.abs(grad[b == 0]) <= lam * alpha + 1e-6)
-    assert np.allclose(grad[b != 0], lam * alpha * np.sign(b[b != 0]), atol=1e-5)
-    assert set(np.flatnonzero(b)) >= {0, 3}
+def fold_moments(x, y, folds):
+    rows = np.column_stack([x, y])
+    parts = [rows[f::folds] for f in range(folds)]
+    return [(float(len(p)), p.mean(axis=0), (p - p.mean(axis=0)).T @ (p - p.mean(axis=0))) for p in parts]
+
+
+def plain_elastic_net(x, y, lam, alpha, rounds=20_000):
+    """Proximal gradient on centred rows and standardised features, back on the features' scale."""
+    sd = x.std(axis=0)
+    z, c = (x - x.mean(axis=0)) / sd, y - y.mean()
+    step = 1 / (np.linalg.eigvalsh(z.T @ z / len(y))[-1] + lam)
+    b = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        g = b + step * (z.T @ (c - z @ b) / len(y) - lam * (1 - alpha) * b)
+        b = np.sign(g) * np.maximum(np.abs(g) - step * lam * alpha, 0)
+    return b / sd
+
+
+def test_elastic_net_path_and_cross_validation_against_plain_fits():
+    x = RNG.normal(size=(83, 6)) * [1, 2, 0.1, 1, 1, 5] + [0, 1e3, 0, -7, 0, 1]
+    x[:, 4] = 0.9 * x[:, 0] + 0.1 * x[:, 4]
+    y = x @ np.array([1.5, 0, 0, -0.7, 0, 0.1]) + RNG.normal(size=83) * 0.5 + 40
+    folds = 5
+    made = regress.fit_elastic_net(fold_moments(x, y, folds), 0.9, n_lambdas=7)
+    for k, lam in enumerate(made["lambda"]):
+        assert np.allclose(made["weights"][k], plain_elastic_net(x, y, lam, 0.9), atol=1e-6)
+        assert made["nzero"][k] == (made["weights"][k] != 0).sum()
+    assert made["nzero"][0] == 0 and set(np.flatnonzero(made["weights"][-1])) >= {0, 3}
+    for k in (1, 4):
+        errors, sizes = [], []
+        for f in range(folds):
+            held = np.arange(83) % folds == f
+            b = plain_elastic_net(x[~held], y[~held], made["lambda"][k], 0.9)
+            base = y[~held].mean() - x[~held].mean(axis=0) @ b
+            errors.append(((y[held] - base - x[held] @ b) ** 2).mean())
+            sizes.append(held.sum())
+        mean = np.average(errors, weights=sizes)
+        assert math.isclose(made["cv_mean"][k], mean, rel_tol=1e-5)
+        assert math.isclose(made["cv_sd"][k], math.sqrt(np.average((np.array(errors) - mean) ** 2, weights=sizes) / (folds - 1)), rel_tol=1e-4)
+
+
+def test_elastic_nets_from_moments_equal_those_from_values(spark):
+    x = RNG.normal(size=(40, 4))
+    x[:, 3] = x[:, 0] - 0.3 * x[:, 2] + RNG.normal(size=40) * 0.1
+    people = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, x array<double>").repartition(3)
+    moments = matrix.cross_moments(people, "x", F.pmod("id", F.lit(10)))
+    sets = spark.createDataFrame([(4, 1), (4, 2), (4, 3), (4, 4), (1, 2)], "gene long, snp long")  # gene 1 has one variant
+    first = regress.elastic_nets(moments, sets, 0.95, n_lambdas=5)
+    cis = spark.createDataFrame([(4, s + 1, [float(v) for v in x[:, s]], [float(v) for v in x[:, 3]]) for s in range(3)], "gene long, snp long, values array<double>, y array<double>")
+    second = regress.elastic_nets_of_values(cis, 0.95, n_lambdas=5)
+    a, b = ({r["step"]: r for r in df.collect()} for df in (first, second))
+    assert set(a) == set(b) == {1, 2, 3, 4, 5} and {r["gene"] for r in a.values()} == {4}
+    for k, r in a.items():
+        assert math.isclose(r["cv_mean"], b[k]["cv_mean"], rel_tol=1e-8) and r["nzero"] == b[k]["nzero"]
+        assert np.allclose([w["weight"] for w in r["weights"]], [w["weight"] for w in b[k]["weights"]], atol=1e-9)
+    chosen = regress.path_choices(first).first()
+    least = min(a.values(), key=lambda r: (r["cv_mean"], -r["lambda"]))
+    assert chosen["lambda_min"] == least["lambda"] and chosen["lambda_1se"] == max(r["lambda"] for r in a.values() if r["cv_mean"] <= least["cv_mean"] + least["cv_sd"])
+    at_best = {r["snp"]: r["weight"] for r in regress.path_weights(first, regress.path_choices(first)).collect()}
+    assert at_best == {w["snp"]: w["weight"] for w in least["weights"] if w["weight"]}
 
 
 def test_elastic_nets_skip_single_variant_genes(spark):
     y = [float(v) for v in RNG.normal(size=20)]
     rows = [(1, s, [float(v) for v in RNG.normal(size=20)], y) for s in range(1)] + [(2, s, [float(v) + (s == 0) * w for v, w in zip(RNG.normal(size=20) * 0.1, y, strict=True)], y) for s in range(3)]
-    got = regress.elastic_nets(spark.createDataFrame(rows, "gene long, snp long, values array<double>, y array<double>")).collect()
+    rows += [(3, s, [1.0] * 20, y) for s in range(2)]  # nothing varies
+    got = regress.path_weights(regress.elastic_nets_of_values(spark.createDataFrame(rows, "gene long, snp long, values array<double>, y array<double>"))).collect()
     assert {r["gene"] for r in got} == {2} and any(r["snp"] == 0 for r in got)
 
 
+def test_moments_of_values_with_a_large_mean(spark):
+    x = RNG.normal(size=(400, 3))
+    x[:, 1] = 0.5 * x[:, 0] + x[:, 1]
+    far = x + [1e8, -1e8, 0.1]
+    far[:, 2] = 0.1  # does not vary
+    people = spark.createDataFrame([([float(v) for v in row],) for row in far], "x array<double>").repartition(7)
+    scan = {(r["i"], r["j"]): r for r in matrix.moments_to_scan(matrix.cross_moments(people, "x")).collect()}
+    assert math.isclose(scan[1, 2]["r"], np.corrcoef(x[:, 0], x[:, 1])[0, 1], abs_tol=1e-6)
+    assert scan[1, 3]["r"] is None and scan[1, 2]["n"] == 400
+    cov = {(r["i"], r["j"]): r["value"] for r in matrix.moments_to_covariance(matrix.cross_moments(people, "x")).collect()}
+    assert math.isclose(cov[1, 2], np.cov(x[:, 0], x[:, 1])[0, 1], rel_tol=1e-6)
+
+
 def test_interval_and_band_joins_against_brute_force(spark):
     points = [(int(k), i, int(p)) for i, (k, p) in enumerate(zip(RNG.integers(0, 3, 200), RNG.integers(-500, 3000, 200), strict=True))]
     spans = [(int(k), i, int(s), int(s + w)) for i, (k, s, w) in enumerate(zip(RNG.integers(0, 3, 20), RNG.integers(0, 2500, 20), RNG.integers(0, 900, 20), strict=True))]
@@ -250,9 +313,162 @@ def test_chunks_need_one_of_size_and_count(spark):
     assert sizes == [3, 3, 4]
 
 
-def test_relationship_and_components(spark):
-    value, scores = matrix.principal_components(frame(spark, RNG.normal(size=(25, 8))), 2)
-    assert len(value) == 2 and value[0] >= value[1] and scores.count() == 16
+def test_relationship_matrix_is_the_same_for_any_tile(spark):
+    dose = RNG.integers(0, 3, (30, 11)).astype(float)
+    f = dose.mean(axis=1) / 2
+    z = dose[(np.minimum(f, 1 - f) >= 0.01) & (dose.std(axis=1) > 0)]
+    z = (z - z.mean(axis=1, keepdims=True)) / z.std(axis=1, ddof=1, keepdims=True)
+    want = z.T @ z / len(z)
+    for tile in (1, 4, 512):
+        rows = matrix.relationship_matrix(frame(spark, dose).repartition(3), tile=tile).collect()
+        assert len(rows) == 66 and all(r["i"] <= r["j"] and math.isclose(r["value"], want[r["i"], r["j"]], abs_tol=1e-12) for r in rows)
+
+
+@pytest.mark.parametrize(("n_features", "n_ind", "k"), [(25, 8, 2), (60, 40, 5), (4, 30, 6)])
+def test_principal_components_against_svd(spark, n_features, n_ind, k):
+    x = RNG.normal(size=(n_features, n_ind)) + np.outer(RNG.normal(size=n_features), RNG.normal(size=n_ind)) * 3
+    x = np.vstack([x, np.full(n_ind, 4.0)])  # without variance
+    z = x[:-1] - x[:-1].mean(axis=1, keepdims=True)
+    z /= z.std(axis=1, ddof=1, keepdims=True)
+    u, s, vt = np.linalg.svd(z, full_matrices=False)
+    value, scores, loadings = matrix.principal_components(frame(spark, x).repartition(5), k, oversample=3)
+    n = min(k, n_features)
+    assert len(value) == n and np.allclose(value, s[:n] ** 2 / (n_ind - 1), rtol=1e-8)
+    got = {(r["component"], r["ind"]): r["score"] for r in scores.collect()}
+    load = {(r["component"], r["feature_id"]): r["loading"] for r in loadings.collect()}
+    assert len(got) == n * n_ind and len(load) == n * n_features
+    for c in range(min(n, 2)):  # the two that stand out
+        a, b = np.array([got[c + 1, i] for i in range(n_ind)]), np.array([load[c + 1, i + 1] for i in range(n_features)])
+        sign = np.sign(a @ vt[c])
+        assert np.allclose(a * sign, vt[c] * s[c], atol=1e-5) and np.allclose(b * sign, u[:, c], atol=1e-5)
+
+
+def test_components_of_nothing(spark):
+    value, scores, loadings = matrix.principal_components(frame(spark, RNG.normal(size=(2, 4))).limit(0), 2)
+    assert len(value) == 0 and scores.count() == 0 and loadings.count() == 0
+
+
+def test_tall_qr_in_a_tree(spark):
+    x = RNG.normal(size=(50, 6))
+    z = (x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, ddof=1, keepdims=True)
+    block = RNG.normal(size=(6, 3))
+    r = matrix.tall_qr(frame(spark, x).repartition(9), block, fan_in=2)
+    assert np.allclose(r.T @ r, (z @ block).T @ (z @ block))
+
+
+def test_ld_is_the_same_for_any_tile(spark):
+    chrom = [1 + i % 2 for i in range(N_SNP)]
+    df = frame(spark, G, map=[float(x) for x in MAP], chrom=chrom)
+    want = {(r["chrom"], r["i"], r["j"]): r["r"] for r in ld.ld_pairs(df).collect()}
+    for tile in (1, 7):
+        got = {(r["chrom"], r["i"], r["j"]): r["r"] for r in ld.ld_pairs(df, tile=tile).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+    assert all(i == j or chrom[i - 1] == chrom[j - 1] == c for c, i, j in want)
+
+
+def test_dense_buckets_are_split(spark):
+    """All rows in one bucket: no cell has more rows of a side than some multiple of the bound."""
+    rows = spark.createDataFrame([(1, i, i % 50) for i in range(900)], "k int, id int, pos long")
+    left = right = rows.withColumn("_k", F.col("k")).withColumn("_b", F.lit(0))
+    a, b = relational._split_buckets(left, right, ["_k", "_b"], 60)
+    assert max(r["count"] for side in (a, b) for r in side.groupBy("_k", "_b", "_cell").count().collect()) < 2 * 60
+    pairs = [(r["id_i"], r["id_j"]) for r in relational.band_join(rows, "k", "pos", "id", 100, most=60).collect()]
+    assert len(pairs) == len(set(pairs)) == 900 * 899 // 2
+    spans = spark.createDataFrame([(1, i, 0, 49) for i in range(70)], "k int, gene int, start long, end long")
+    met = [(r["id"], r["gene"]) for r in relational.interval_join(rows, spans, "k", "pos", "start", "end", most=20).collect()]
+    assert len(met) == len(set(met)) == 900 * 70
+
+
+def sequential_prune(variants, window, cut):
+    kept = []
+    for f, c, pos, v in sorted(variants, key=lambda x: (x[1], x[2], x[0])):
+        near = [k for k in kept if k[1] == c and pos - k[2] <= window]
+        r = lambda a, b: abs(np.corrcoef(a, b)[0, 1]) if np.std(a) > 0 and np.std(b) > 0 else 0.0
+        if all(r(v, k[3]) <= cut for k in near):
+            kept.append((f, c, pos, v))
+    return {k[0] for k in kept}
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 17])
+def test_ld_pruning_equals_a_sequential_scan(spark, partitions):
+    rng = np.random.default_rng(partitions)
+    values = np.cumsum(rng.normal(size=(120, 12)), axis=0)  # neighbours are alike
+    values[40] = 2.0
+    rows = [(i, 1 + i // 90, float(10 * (i // 2)), [float(x) for x in v]) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "feature_id long, chrom int, pos double, values array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        for window, cut in ((60, 0.5), (400, 0.7)):
+            got = {r["feature_id"] for r in ld.ld_prune(df, window, cut).collect()}
+            assert got == sequential_prune(rows, window, cut)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert ld.ld_prune(df.limit(0), 10, 0.5).count() == 0
+
+
+def test_pruned_hits_against_a_greedy_loop(spark):
+    rng = np.random.default_rng(3)
+    values = np.repeat(rng.normal(size=(10, 15)), 4, axis=0) + rng.normal(size=(40, 15)) * 0.5
+    hits = [(g, s, 1 + s // 20, 100 * s, float(rng.random() ** 3), bool((s + g) % 2)) for g in range(5) for s in range(40) if rng.random() < 0.8] + [(None, 1, 1, 0, 0.0, True), (1, 2, 1, 200, None, True)]
+    hits += hits[:3]  # repeated rows
+    df = spark.createDataFrame(hits, "gene long, feature_id long, chrom int, pos long, p double, is_cis boolean")
+    matrix_rows = spark.createDataFrame([(s, [float(x) for x in v]) for s, v in enumerate(values)], "feature_id long, values array<double>")
+    got = sorted((r["gene"], r["feature_id"], r["is_cis"]) for r in ld.pruned_hits(df, matrix_rows, 0.5, 0.2, 0.6, 0.7, 500).collect())
+    want = []
+    for g, cis in {(h[0], h[5]) for h in hits if h[0] is not None}:
+        kept = []
+        for _, s, c, pos, _, _ in sorted({h for h in hits if h[0] == g and h[5] == cis and h[4] is not None and h[4] < (0.5 if cis else 0.2)}, key=lambda h: (h[4], h[1])):
+            if all(k[1] != c or abs(k[2] - pos) > 500 or abs(np.corrcoef(values[s], values[k[0]])[0, 1]) <= (0.6 if cis else 0.7) for k in kept):
+                kept.append((s, c, pos))
+        want += [(g, k[0], cis) for k in kept]
+    assert got == sorted(want)
+
+
+def test_compressed_columns_round_trip(spark):
+    rows = sorted({(int(j), int(i)) for i, j in RNG.integers(0, 9, (40, 2)) if i <= j})
+    upper = spark.createDataFrame([(i, j, float(i + 10 * j)) for j, i in rows], "i long, j long, value double").repartition(3)
+    entries = spark.createDataFrame([(at, i, float(i + 10 * j)) for at, (j, i) in enumerate(rows)], "at long, i long, value double").repartition(4)
+    empty = spark.createDataFrame([(100, len(rows), 0), (-1, 0, 0)], "j long, first long, n long")  # columns without entries
+    pointers = matrix.column_pointers(upper).unionByName(empty)
+    got = sorted(tuple(r) for r in matrix.from_column_pointers(entries, pointers).collect())
+    assert got == sorted((i, j, float(i + 10 * j)) for j, i in rows)
+    both = matrix.from_column_pointers(entries, pointers, symmetric_half=True)
+    assert sorted(tuple(r) for r in both.collect()) == sorted(tuple(r) for r in matrix.symmetric(upper).collect())
+
+
+def test_group_quantiles_against_numpy(spark):
+    rows = [(g, float(v)) for g in (1, 2, None) for v in RNG.integers(0, 9, 1 + 20 * (g or 1))] + [(2, None), (3, None)]
+    got = {r["g"]: r for r in relational.group_quantiles(spark.createDataFrame(rows, "g long, v double"), ["g"], "v", {"a": 0.0, "b": 0.3, "c": 0.5, "d": 1.0}).collect()}
+    assert set(got) == {1, 2, None}
+    for g in got:
+        own = [v for k, v in rows if k == g and v is not None]
+        assert np.allclose([got[g][c] for c in "abcd"], np.quantile(own, [0, 0.3, 0.5, 1]))
+
+
+def test_t_quantiles_invert_tails(spark):
+    from lociweave.functions.tdist import t_quantile
+
+    rows = [(float(p), float(df)) for p in (1.0, 0.5, 0.05, 1e-9) for df in (1, 3, 337)] + [(0.0, 3.0), (None, 3.0), (1.5, 3.0)]
+    df = spark.createDataFrame(rows, "p double, df double").withColumn("t", t_quantile(F.col("p"), F.col("df")))
+    for r in df.withColumn("back", t_tail(F.col("t"), F.col("df"))).collect():
+        assert r["t"] is None if r["p"] in (0.0, None, 1.5) else math.isclose(r["back"], r["p"], rel_tol=1e-9)
+
+
+def test_stacked_designs_of_any_scale(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 2)) * [1e-4, 1e5]
+    y = 3e4 * x[:, 0] + 2e-5 * x[:, 1] + rng.normal(size=60)
+    rows = [(i % 3, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))] + [(7, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "g long, a double, b double, y double")
+    got = {(r["g"], r["term"]): r for r in regress.design_regression(df, ["g"], F.col("y"), {"a": F.col("a"), "b": F.col("b")}, F.lit(1.0)).collect()}
+    assert got[7, "a"]["estimate"] is None
+    for g in range(3):
+        own = np.arange(60) % 3 == g
+        est, rss, _, _ = np.linalg.lstsq(x[own], y[own], rcond=None)
+        assert np.allclose([got[g, "a"]["estimate"], got[g, "b"]["estimate"]], est, rtol=1e-7)
+        se = np.sqrt(np.diag(np.linalg.inv(x[own].T @ x[own])) * rss[0] / 18)
+        assert np.allclose([got[g, "a"]["se"], got[g, "b"]["se"]], se, rtol=1e-6)
 
 
 def test_studies(spark):
@@ -269,7 +485,7 @@ def test_studies(spark):
             want += bool(abs(np.nan_to_num(t[0, 0])) > (cis_t if near else trans_t))
     assert len(got) == want
     nets = studies.cis_elastic_nets(gene_legend, frame(spark, E), snp_legend, frame(spark, G), reach=2000)
-    assert set(nets.columns) == {"gene", "snp", "weight", "lambda", "cv_error"} and nets.count() >= 0
+    assert nets.columns == regress.FIT_COLUMNS and nets.count() >= 0
 
 
 def test_flip_and_nan(spark):

@@ -4,7 +4,7 @@ import pytest
 from compare import same_as_sql
 from pyspark.sql import functions as F
 
-from lociweave.plans import import_queries, scan_queries, store_queries, study_queries  # noqa: F401 - they register their queries
+from lociweave.plans import import_queries, model_queries, scan_queries, store_queries, study_queries  # noqa: F401 - they register their queries
 from lociweave.plans.queries import ORACLE_SQL, QUERIES
 from lociweave.plans.scan_queries import linkage_graph
 
@@ -46,6 +46,9 @@ def test_tail_probabilities_fall_with_t(spark, sf_dir):
     assert all(a[1] >= b[1] - 1e-12 for a, b in zip(rows, rows[1:], strict=False))
 
 
-def test_elastic_net_query_returns_nonzero_weights(spark, sf_dir):
-    rows = QUERIES["elastic_net_weights"](spark, sf_dir).collect()
-    assert all(r["weight"] != 0 and 0 <= r["snp"] < 20 and r["gene"] >= 60 for r in rows)
+def test_elastic_net_overall_has_each_genes_choices(spark, sf_dir):
+    rows = QUERIES["elastic_net_overall"](spark, sf_dir).collect()
+    assert {r["gene"] for r in rows} == set(range(1, 65)) and all(r["cv_mean"] > 0 and r["lambda_min"] <= r["lambda_1se"] for r in rows)
+    for gene in (1, 30):
+        own = [r for r in rows if r["gene"] == gene]
+        assert min(own, key=lambda r: (r["cv_mean"], -r["lambda"]))["lambda"] == own[0]["lambda_min"]
