@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociweave.functions import columns as c
@@ -10,17 +10,21 @@ from lociweave.operators.ordered import row_numbers
 from lociweave.operators.relational import keep_first, natural_join
 
 
+#: Where a row stands in its files: path, block within the file, number within the block's task.
+_PLACE = ["_file", "_block", "_line"]
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows of text files with their place, which does not depend on how Spark packs files into tasks."""
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no from 1, value) of a text file.
+    """(line_no from 1, value) of a text file, or of a folder's files in the order of their names.
 
-    A compressed file is one partition anyway; of several partitions, each line is
-    numbered from its partition's start, counted once.
+    A compressed file is one partition anyway; other lines are numbered by ranges of their place.
     """
-    rows = spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("_id"))
-    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    counts = rows.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return rows.withColumn("_p", part).join(F.broadcast(before), "_p").select((F.col("_before") + at + 1).alias("line_no"), "value")
+    return row_numbers(_placed(spark.read.text(path)), _PLACE, "line_no").select("line_no", "value")
 
 
 def reference_panel(spark: SparkSession, legend_path: str, map_path: str, subset: DataFrame | None = None) -> DataFrame:
@@ -31,10 +35,9 @@ def reference_panel(spark: SparkSession, legend_path: str, map_path: str, subset
     """
     chrom = F.regexp_extract(F.input_file_name(), r"chr([0-9]+)", 1).cast("int")
     legend = spark.read.csv(legend_path, sep=" ", header=True, schema="rsid string, pos int, ref string, alt string").withColumn("chrom", chrom)
-    lines = legend.withColumn("_m", F.monotonically_increasing_id())
-    legend = lines.withColumn("snp_id", F.row_number().over(Window.partitionBy("chrom").orderBy("_m"))).drop("_m")
+    legend = row_numbers(_placed(legend), _PLACE, "snp_id", ["chrom"]).drop(*_PLACE)
     gen_map = spark.read.csv(map_path, sep=" ", schema="rsid string, pos int, map double").withColumn("chrom", chrom)
-    gen_map = gen_map.withColumn("_m", F.monotonically_increasing_id()).withColumn("map_id", F.row_number().over(Window.partitionBy("chrom").orderBy("_m"))).drop("_m")
+    gen_map = row_numbers(_placed(gen_map), _PLACE, "map_id", ["chrom"]).drop(*_PLACE)
     both = natural_join(legend, gen_map)
     for key in (["chrom", "snp_id"], ["chrom", "map_id"], ["chrom", "pos"]):
         both = keep_first(both, key, ["snp_id", "map_id"])
