@@ -187,10 +187,12 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The documents with the smallest doc_id of each group (doc_id, component_id).
 
-    Documents without an id cannot lose to another and stay; of rows that repeat one
-    id and text, one stays.  The second step reuses the partitions of the first.
+    Documents without an id cannot lose to another and all stay, each a group of its own
+    in the second step, so they pile up nowhere; of rows that repeat one id and text, one
+    stays.
     """
     losers = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     rest = docs.join(losers, "doc_id", "left_anti")
-    turn = F.row_number().over(Window.partitionBy("doc_id", "__simhash_text").orderBy("__simhash_text"))
-    return rest.withColumn("__simhash_text", F.xxhash64("text")).withColumn("__simhash_turn", turn).filter("__simhash_turn = 1").select(*docs.columns)
+    turn = F.row_number().over(Window.partitionBy("doc_id", "__simhash_text", "__simhash_row").orderBy("__simhash_text"))
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return rest.withColumn("__simhash_text", F.xxhash64("text")).withColumn("__simhash_row", alone).withColumn("__simhash_turn", turn).filter("__simhash_turn = 1").select(*docs.columns)

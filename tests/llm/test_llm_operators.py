@@ -81,6 +81,8 @@ def test_filtering_stages_keep_columns_and_empty_tables(spark, none, odd, labels
             assert out.count() <= 3 * max(1, docs.count())
     left = as_rows(golay_simhash.keep_one(odd))
     assert left[3] == 1 and left[106] == 0 and left[100] == 1 and left[101] == 0 and left[None] >= 1
+    nameless = spark.createDataFrame([(None, "same text")] * 5 + [(None, None)] * 2 + [(8, "same text")] * 2, "doc_id long, text string")
+    assert as_rows(golay_simhash.keep_one(nameless)) == {None: 7, 8: 1}
     clean = as_rows(fm_decontam.drop_contaminated(odd, benchmark))
     assert clean[3] == 0 and clean[106] == 0 and clean[105] == 0 and clean[104] == 1 and clean[5] == 1 and clean[100] == 1
 
