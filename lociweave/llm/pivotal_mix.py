@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import cut_lineage, doc_frame
+from lociweave.llm.common import cut_lineage, doc_frame, each_copy
 from lociweave.operators.ordered import row_numbers
 
 #: A word is a run of characters other than blank, tab, newline, vertical tab, form feed, return.
@@ -140,7 +140,7 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_re
     targets = cut_lineage(source_targets(rows, weights, max_repeat))
     share = targets.filter("units > 0").select(F.col("source").alias("src"), (F.col("target") / F.col("source_size")).alias("share"), F.ceil(F.col("units") / F.lit(fan_in)).alias("buckets"))
     widest = share.agg(F.max("buckets")).first()[0] or 0
-    each = rows.select("doc_id", "source", "text_key", "size", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    each = each_copy(rows, "n", "copy").select("doc_id", "source", "text_key", "size", (F.col("copy") + 1).alias("copy"))
     units = (
         each.filter("size > 0")
         .join(share, F.col("source").eqNullSafe(F.col("src")))

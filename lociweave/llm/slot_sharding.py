@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import cut_lineage, doc_frame
+from lociweave.llm.common import cut_lineage, doc_frame, each_copy
 
 N_SLOTS = 4096
 
@@ -37,7 +37,7 @@ def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     d = doc_frame(docs).select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"))
     sized = d.select("doc_id", (F.octet_length("b") + 1).cast("long").alias("size"), F.crc32("b").alias("text_crc32"))
     counted = sized.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("virtual_slot", slot_of(n_slots)).drop("n", "copy")
+    return each_copy(counted, "n", "copy").withColumn("virtual_slot", slot_of(n_slots)).drop("n", "copy")
 
 
 def slot_loads(rows: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:

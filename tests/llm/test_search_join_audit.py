@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociweave.llm import filter_audit, nra_search, token_groups
+from lociweave.llm import common, filter_audit, nra_search, token_groups
 from lociweave.llm.common import hash_words
 from lociweave.llm.golay_simhash import _LOWER
 
@@ -261,3 +261,13 @@ def test_swaps_visit_every_order_and_keep_every_count():
             # equal subdiagrams are one node
             assert all(len(set(level.values())) == len(level) for level in diagram.levels)
         assert len(seen) == math.factorial(n) == 1 + len(filter_audit.swap_places(n))
+
+
+# ---------------------------------------------------------------- copies by number
+
+
+def test_copies_are_numbered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(common, "COPIES", 7)
+    rows = spark.createDataFrame([(1, 1), (2, 7), (3, 8), (4, 100)], "k long, n long")
+    got = Counter(tuple(r) for r in common.each_copy(rows, "n", "copy").collect())
+    assert got == Counter((k, n, i) for k, n in ((1, 1), (2, 7), (3, 8), (4, 100)) for i in range(n))
