@@ -14,7 +14,7 @@ only; the only tables gathered in one task have ``n_slots`` rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociweave.llm.common import cut_lineage, doc_frame, each_copy
@@ -77,6 +77,39 @@ def grown_map(slot_map: DataFrame, n_new: int = 1) -> DataFrame:
     return marked.select("virtual_slot", new.alias("shard"), "bytes", "n_rows", (F.col("version") + 1).alias("version"))
 
 
+def latest_map(spark: SparkSession, path: str) -> DataFrame | None:
+    """The latest version (version, virtual_slot, shard) of a stored slot map, none if there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    stored = spark.read.schema("virtual_slot int, shard int, bytes long, n_rows long, version int").parquet(path)
+    return stored.filter(F.col("version") == stored.agg(F.max("version")).first()[0]).select("version", "virtual_slot", "shard")
+
+
+def kept_map(loads: DataFrame, n_shards: int, path: str) -> DataFrame:
+    """The slot map for these loads: the stored one at ``path``, edited if there are more shards
+    than it knows, or a first one; a new version is appended to the stored table.
+
+    A version is a folder, written once; readers see whole versions.  Fewer shards than
+    the stored map has are refused, since slots are only ever given to new shards.
+    """
+    spark = loads.sparkSession
+    stored = latest_map(spark, path)
+    if stored is None:
+        new = first_map(loads, n_shards)
+    else:
+        known = stored.agg(F.max("shard")).first()[0] + 1
+        if known > n_shards:
+            raise ValueError(f"the stored slot map has {known} shards")
+        current = stored.join(loads, "virtual_slot")
+        if known == n_shards:
+            return current
+        new = grown_map(current, n_shards - known)
+    new = cut_lineage(new.select("virtual_slot", "shard", "bytes", "n_rows", "version"))
+    new.write.mode("append").partitionBy("version").parquet(path)
+    return new
+
+
 def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Records with their shard and their gapless position in it under a slot map.
 
@@ -88,14 +121,19 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(starts), "virtual_slot").withColumn("slot", (F.col("before") + within - 1).cast("long")).drop("before")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot) of every document.
 
     Null texts have size 1 and the checksum of no bytes; null ids spread by checksum, and
     rows that repeat id and text by their number, so shards stay near equal.  Equal texts
     have equal size and checksum; no law asks for them in one shard.  Fewer rows than
     shards leave shards empty; an empty table gives an empty result.
+
+    With ``map_path`` the slot map is a stored table of versions (``kept_map``): later runs place
+    by it, new records included, and a run with more shards edits it, so that records move
+    only into the new shards.  Without it the map is made for this table.
     """
     rows = cut_lineage(records(docs, n_slots))
-    slot_map = cut_lineage(first_map(slot_loads(rows, n_slots), n_shards))
+    loads = slot_loads(rows, n_slots)
+    slot_map = kept_map(loads, n_shards, map_path) if map_path else cut_lineage(first_map(loads, n_shards))
     return place(rows, slot_map).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")

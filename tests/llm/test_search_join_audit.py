@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociweave.llm import common, filter_audit, nra_search, token_groups
+from lociweave.llm import common, filter_audit, nra_search, slot_sharding, token_groups
 from lociweave.llm.common import hash_words
 from lociweave.llm.golay_simhash import _LOWER
 
@@ -271,3 +271,31 @@ def test_copies_are_numbered_in_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(1, 1), (2, 7), (3, 8), (4, 100)], "k long, n long")
     got = Counter(tuple(r) for r in common.each_copy(rows, "n", "copy").collect())
     assert got == Counter((k, n, i) for k, n in ((1, 1), (2, 7), (3, 8), (4, 100)) for i in range(n))
+
+
+# ---------------------------------------------------------------- the stored slot map
+
+
+def test_a_stored_slot_map_is_reused_and_edited(spark, tmp_path):
+    rng = random.Random(18)
+    docs = spark.createDataFrame([(i, "x" * rng.randint(0, 300)) for i in range(600)], "doc_id long, text string")
+    path = f"{tmp_path}/map"
+    run = lambda d, n: {(r["doc_id"], r["virtual_slot"]): (r["shard"], r["slot"], r["size"]) for r in slot_sharding.shard_documents(d, n, 64, map_path=path).collect()}
+    first = run(docs, 3)
+    assert run(docs, 3) == first  # the same map
+    more = docs.unionByName(spark.createDataFrame([(1000 + i, "new") for i in range(50)], "doc_id long, text string"))
+    second = run(more, 3)
+    assert all(second[k][0] == v[0] for k, v in first.items()) and len(second) == 650
+    third = run(more, 4)
+    moved = {k for k in second if third[k][0] != second[k][0]}
+    assert moved and all(third[k][0] == 3 for k in moved)
+    sizes = Counter()
+    for shard, _, size in third.values():
+        sizes[shard] += size
+    assert max(sizes.values()) < 1.5 * min(sizes.values())
+    for shard in range(4):
+        assert sorted(slot for s, slot, _ in third.values() if s == shard) == list(range(sum(s == shard for s, _, _ in third.values())))
+    versions = spark.read.parquet(path)
+    assert sorted(r["version"] for r in versions.select("version").distinct().collect()) == [1, 2] and versions.count() == 128
+    with pytest.raises(ValueError, match="4 shards"):
+        run(docs, 2)
