@@ -12,13 +12,12 @@ DataFrame functions only, one pass over the texts.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import doc_frame
+from lociweave.llm.common import cut_lineage, doc_frame
 
 #: One-line notices by SPDX licence id.
 NOTICES = {
@@ -117,29 +116,26 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(known_texts(), "license_id string, text string")
 
 
-def notice_digests() -> dict[str, str]:
-    """Digest of each notice's normal form, with its licence id."""
-    return {hashlib.sha256(normalise(line).encode()).hexdigest(): name for name, lines in NOTICES.items() for line in lines}
-
-
 def license_scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """(doc_id, text_digest, license_id, line_licenses, n_license_lines) of every document.
 
-    licenses: known licences (license_id, text), those of ``known_licenses`` if none are
-    given; of licences with one normal form the smallest id counts, and rows with a null
+    licenses: known licences and notices (license_id, text), those of ``known_licenses`` if none
+    are given; of texts with one normal form the smallest id counts, and rows with a null
     are left out.  license_id: the licence that the entire text is, null if none.
-    line_licenses: the sorted ids of the notices found as whole lines, joined by commas,
-    empty if none.  Null texts count as empty; repeated rows are returned as often as they
-    occur; an empty table gives an empty result.
+    line_licenses: the sorted ids of the known texts that whole lines are, joined by commas,
+    empty if none; lines with "licen" in them are looked up.  Null texts count as empty; repeated
+    rows are returned as often as they occur; an empty table gives an empty result.
+
+    Texts are read once and leave their digest and those of such lines; both are joined with
+    the digests of the table.
     """
     known = licenses if licenses is not None else known_licenses(docs.sparkSession)
-    known = known.dropna(subset=["license_id", "text"]).groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    known = cut_lineage(known.dropna(subset=["license_id", "text"]).groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id")))
     d = doc_frame(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    names = F.create_map(*[F.lit(x) for pair in sorted(notice_digests().items()) for x in pair])
-    # every notice's normal form has "licen" in it, and so has every spelling of its line
-    lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).contains("licen"))
-    found = F.filter(F.transform(lines, lambda x: F.try_element_at(names, digest(x))), lambda x: x.isNotNull())
-    hits = F.when(F.lower("text").contains("licen"), found).otherwise(F.array().cast("array<string>"))
-    marked = d.select("doc_id", digest(F.col("text")).alias("text_digest"), hits.alias("hits"))
-    joined = marked.join(known, F.col("text_digest") == F.col("digest"), "left")
-    return joined.select("doc_id", "text_digest", "license_id", F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("line_licenses"), F.size("hits").cast("long").alias("n_license_lines"))
+    # every spelling of the word for a licence has "licen" in it
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.lower(x).contains("licen")), digest)
+    marked = d.select("doc_id", digest(F.col("text")).alias("text_digest"), F.when(F.lower("text").contains("licen"), lines).otherwise(F.array().cast("array<string>")).alias("lines"))
+    rows = cut_lineage(marked.withColumn("row", F.monotonically_increasing_id()))
+    found = rows.select("row", F.explode("lines").alias("digest")).join(known, "digest").groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("line_licenses"), F.count(F.lit(1)).alias("n_license_lines"))
+    whole = rows.join(known, F.col("text_digest") == F.col("digest"), "left").select("row", "doc_id", "text_digest", "license_id")
+    return whole.join(found, "row", "left").select("doc_id", "text_digest", "license_id", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines"))
