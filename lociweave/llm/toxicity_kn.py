@@ -17,7 +17,8 @@ A text is compared by length-normalised log-likelihoods: the mean log-ratio of a
 words, and that of the three words that speak most for toxicity, which a long text does
 not dilute.  A logistic function of the two gives the score.  It is fitted on training
 texts that their model has not counted (four folds, symbols included), both classes
-weighing the same, and its constant puts the cut with the best F0.5 of them at 0.7.
+weighing the same, neither weight below zero, and its constant puts the cut with the best
+F0.5 of them at 0.7.
 
 Labels come from at most ``max_train_docs`` labelled documents (the smallest hashes of
 doc_id), so symbols, pairs and continuation counts are bounded by that sample and can
@@ -311,6 +312,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000, min_te
     held = train.select("text", "fold", "label").mapInArrow(run, "mean double, telling double, label int").toArrow()
     x, y = np.column_stack([held.column(0).to_numpy(), held.column(1).to_numpy(), np.ones(held.num_rows)]), held.column(2).to_numpy().astype(float)
     weights = fit_logistic(x, y)
+    if weights[:2].min() < 0:  # a score never falls as a ratio rises: what speaks against that is left out
+        free = [k for k in (0, 1) if weights[k] > 0] + [2]
+        weights = np.zeros(3)
+        if len(free) > 1:
+            weights[free] = fit_logistic(x[:, free], y)
     if weights.any():
         weights[2] += np.log(0.7 / 0.3) - best_cut(x @ weights, y)
     models[0].weights = weights
