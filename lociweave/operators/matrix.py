@@ -72,9 +72,29 @@ def feature_summary(matrix: DataFrame) -> DataFrame:
 
 
 def individual_summary(matrix: DataFrame) -> DataFrame:
-    """(ind, n, mean, sd) of each position over all features."""
-    long = matrix.select(F.posexplode("values").alias("ind", "value"))
-    return long.groupBy("ind").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    """(ind, n, mean, sd) of each position over all features.
+
+    Each partition merges one (n, mean, squares) array per batch, so a row per position and
+    partition is shuffled and no row per value.
+    """
+    ship_package(matrix.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, squares = 0, 0.0, 0.0
+        for batch in batches:
+            if len(batch):
+                x = _matrix(batch.column(0).to_pylist())
+                gap, both = x.mean(axis=0) - mean, n + len(x)
+                squares = squares + ((x - x.mean(axis=0)) ** 2).sum(axis=0) + gap**2 * (n * len(x) / both)
+                n, mean = both, mean + gap * (len(x) / both)
+        if n:
+            yield pa.record_batch([pa.array(c) for c in (np.arange(len(mean), dtype=np.int32), np.full(len(mean), n), mean, squares)], names=["ind", "n", "mean", "squares"])
+
+    parts = cut_lineage(matrix.select("values").mapInArrow(run, "ind int, n long, mean double, squares double"))
+    means = parts.groupBy("ind").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+    gap = F.col("mean") - F.col("_mean")
+    merged = parts.join(means, "ind").groupBy("ind").agg(F.sum("n").alias("n"), F.first("_mean").alias("mean"), F.sum(F.col("squares") + F.col("n") * gap * gap).alias("_squares"))
+    return merged.select("ind", "n", "mean", F.sqrt(F.try_divide(F.col("_squares"), (F.col("n") - 1).cast("double"))).alias("sd"))
 
 
 def pair_scan(snps: DataFrame, genes: DataFrame, t_crit: float | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -287,12 +307,23 @@ def from_column_pointers(entries: DataFrame, pointers: DataFrame, symmetric_half
 def genetic_score(matrix: DataFrame, effects: DataFrame) -> DataFrame:
     """(ind, score): sum over features of (value - feature mean) * effect, by array position.
 
-    effects: (feature_id, beta).  Sums are combined on the map side, so the shuffle has
-    one row per individual and task.
+    effects: (feature_id, beta).  Each partition adds up one array of the individuals, so the
+    shuffle has one row per individual and partition, and no row per value.
     """
-    mean = F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / F.size("values")
-    terms = matrix.join(effects, "feature_id").withColumn("_mean", mean).select(F.posexplode(F.transform("values", lambda x: (x - F.col("_mean")) * F.col("beta"))).alias("ind", "term"))
-    return terms.groupBy("ind").agg(F.sum("term").alias("score"))
+    ship_package(matrix.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                x = _matrix(batch.column(0).to_pylist())
+                part = batch.column(1).to_numpy() @ (x - x.mean(axis=1, keepdims=True))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.record_batch([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["ind", "term"])
+
+    rows = matrix.join(effects.filter("beta is not null"), "feature_id").select("values", F.col("beta").cast("double").alias("beta"))
+    return rows.mapInArrow(run, "ind int, term double").groupBy("ind").agg(F.sum("term").alias("score"))
 
 
 def single_trait_scan(snps: DataFrame, trait: np.ndarray) -> DataFrame:

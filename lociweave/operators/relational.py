@@ -134,12 +134,13 @@ def band_join(df: DataFrame, key: str | None, pos: str, row_id: str, width: floa
 def adjusted_p(df: DataFrame, p: str, out: str, by: list[str] | None = None, order: str = "row_id") -> DataFrame:
     """Benjamini-Hochberg adjusted p, over the whole table or per group; null p stays null.
 
-    Equal p values share one result, so ranks come from counts per distinct p.
+    Equal p values share one result, so ranks come from counts per distinct p, which are
+    stored: the table is read for them and for the result.
     """
     by = by or []
     own = df.filter(F.col(p).isNotNull())
-    counts = own.groupBy(*by, p).agg(F.count(F.lit(1)).alias("_c"))
-    sizes = own.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(own.groupBy(*by, p).agg(F.count(F.lit(1)).alias("_c")))
+    sizes = counts.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(F.sum("_c").alias("_n"))
     ranked = running_total(counts, by, [p], F.col("_c"), "_rank")
     same = F.lit(True)
     for b in by:
@@ -156,7 +157,7 @@ def adjusted_p(df: DataFrame, p: str, out: str, by: list[str] | None = None, ord
 def average_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Rank with ties at their mean rank."""
     by = by or []
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = cut_lineage(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")))
     ranks = running_total(counts, by, [value], F.col("_c"), "_upto").select(*[F.col(c).alias(f"_{c}") for c in (*by, value)], (F.col("_upto") - (F.col("_c") - 1) / 2).alias(out))
     on = F.col(value).eqNullSafe(F.col(f"_{value}"))
     for c in by:
@@ -167,8 +168,8 @@ def average_rank(df: DataFrame, value: str, out: str, by: list[str] | None = Non
 def share_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Share of the other rows with a smaller value (percent_rank), over the table or per group."""
     by = by or []
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    sizes = df.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")))
+    sizes = counts.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(F.sum("_c").alias("_n"))
     same, on = F.lit(True), F.col(value).eqNullSafe(F.col(f"_{value}"))
     for b in by:
         same, on = same & F.col(f"_{b}").eqNullSafe(F.col(f"_g_{b}")), on & F.col(b).eqNullSafe(F.col(f"_{b}"))
@@ -186,8 +187,8 @@ def group_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str,
     held in one task.
     """
     own = df.filter(F.col(value).isNotNull())
-    counts = own.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    sizes = own.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(own.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")))
+    sizes = counts.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(F.sum("_c").alias("_n"))
     same = F.lit(True)
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"_g_{b}"))
@@ -278,9 +279,16 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, by:
     return df.filter((F.col(value) >= low) & (F.col(value) < high)).groupBy(*(by or []), bin_).agg(F.count(F.lit(1)).alias("n"))
 
 
-def nest(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One row per key with its rows as an array of structs."""
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("data"))
+def nest(df: DataFrame, key: str, columns: list[str], most: int = 100_000) -> DataFrame:
+    """(key, part, data): the rows of each key as arrays of structs.
+
+    A key has one array, part 0, unless it has more than ``most`` rows: those are dealt by
+    hash to parts of about that many, so no array and no task grows with a hot key.
+    """
+    own = df.select(key, *columns)
+    hot = own.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts")).filter("_parts > 1")
+    dealt = own.join(hot, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*columns), F.col("_parts")), F.lit(0)))
+    return dealt.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("data"))
 
 
 def unnest(df: DataFrame, key: str) -> DataFrame:

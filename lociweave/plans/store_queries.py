@@ -84,7 +84,7 @@ def stored_by_gene(spark, sf_dir):
 @register(f"SELECT CAST(feature_id + 1 AS BIGINT) AS line_no, round(sum(round(v, 5)), 4) + 0.0::DOUBLE AS total FROM {_LONG} WHERE feature_id % 5 = 2 GROUP BY 1")
 def matrix_text_rows(spark, sf_dir):
     """Listed lines of a text matrix."""
-    f = _features(spark, sf_dir).orderBy("feature_id").coalesce(1)
+    f = _features(spark, sf_dir).orderBy("feature_id")
     path = scratch_dir(spark)
     f.select(F.array_join(F.transform("values", lambda x: F.round(x, 5).cast("string")), " ").alias("value")).write.text(path)
     lines = _features(spark, sf_dir).filter("feature_id % 5 = 2").select((F.col("feature_id") + 1).alias("line_no"))

@@ -446,6 +446,21 @@ def test_group_quantiles_against_numpy(spark):
         assert np.allclose([got[g][c] for c in "abcd"], np.quantile(own, [0, 0.3, 0.5, 1]))
 
 
+def test_hot_keys_are_nested_in_parts(spark):
+    rows = [(1, i) for i in range(500)] + [(2, i) for i in range(5)] + [(None, 7), (None, 7)]
+    nested = relational.nest(spark.createDataFrame(rows, "k long, v long"), "k", ["v"], most=50).collect()
+    assert max(len(r["data"]) for r in nested) < 100 and sum(r["k"] == 1 for r in nested) > 5
+    assert sorted((r["k"] or 0, x["v"]) for r in nested for x in r["data"]) == sorted((k or 0, v) for k, v in rows)
+    assert [len(r["data"]) for r in nested if r["k"] == 2] == [5]
+
+
+def test_individual_summaries_merge_over_partitions(spark):
+    x = RNG.normal(size=(90, 4)) + 1e7
+    rows = {r["ind"]: r for r in matrix.individual_summary(frame(spark, x).repartition(6)).collect()}
+    for i in range(4):
+        assert rows[i]["n"] == 90 and math.isclose(rows[i]["mean"], x[:, i].mean(), rel_tol=1e-12) and math.isclose(rows[i]["sd"], x[:, i].std(ddof=1), rel_tol=1e-6)
+
+
 def test_t_quantiles_invert_tails(spark):
     from lociweave.functions.tdist import t_quantile
 
