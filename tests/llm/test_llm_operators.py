@@ -113,6 +113,64 @@ def test_ordinal_grades_are_learnt(spark):
     assert mean[0] + 0.4 < mean[1] < mean[2] - 0.4
 
 
+def plain_features(text, dims):
+    """Dense hashed features of a text, written from their description."""
+    x, tokens = np.zeros(dims), text.split()
+    lowered = Counter(tokens)
+    length = np.sqrt(sum(np.log1p(n) ** 2 for n in lowered.values())) or 1.0
+    for t, n in lowered.items():
+        x[zlib.crc32(t.lower().encode()) % dims] += np.log1p(n) / length
+        shape = re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", t)))
+        x[zlib.crc32((shape[:1] + shape[-3:]).encode(), 77) % dims] += 2 * n / len(tokens)
+    repeated = 1 - len(lowered) / len(tokens) if tokens else 1.0
+    x[zlib.crc32(f"repeats {int(repeated * 10)}".encode()) % dims] += 1
+    x[zlib.crc32(f"size {int(np.log1p(len(tokens)))}".encode()) % dims] += 1
+    return x
+
+
+def plain_ordinal(x, grade, k, ridge, steps=20_000):
+    """Cumulative-link regression by plain gradient descent on (weights, thresholds)."""
+    w, cuts = np.zeros(x.shape[1]), np.linspace(-1, 1, k - 1)
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    rate = 0.004
+
+    def loss(w, cuts):
+        below = np.column_stack([np.zeros(len(x)), sig(cuts[None, :] - (x @ w)[:, None]), np.ones(len(x))])
+        return -np.log(below[np.arange(len(x)), grade + 1] - below[np.arange(len(x)), grade]).sum() + ridge * w @ w
+
+    for _ in range(steps):
+        below = np.column_stack([np.zeros(len(x)), sig(cuts[None, :] - (x @ w)[:, None]), np.ones(len(x))])
+        up, low = below[np.arange(len(x)), grade + 1], below[np.arange(len(x)), grade]
+        p, du, dl = up - low, up * (1 - up), low * (1 - low)
+        gw = x.T @ ((du - dl) / p) + 2 * ridge * w
+        gc = np.array([(-du[grade == c] / p[grade == c]).sum() + (dl[grade == c + 1] / p[grade == c + 1]).sum() for c in range(k - 1)])
+        w, cuts = w - rate * gw, cuts - rate * gc
+    return w, cuts, loss(w, cuts)
+
+
+def test_ordinal_fit_equals_a_plain_refit_and_grades_other_documents(spark):
+    rng = random.Random(21)
+    word = lambda g: rng.choice(["good", "fine", "Great"] if rng.random() < 0.2 + 0.3 * g else ["bad", "poor", "x1"])
+    rows = [(i, " ".join(word(i % 3) for _ in range(rng.randint(5, 30))), i % 3) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, grade int").repartition(2)
+    seen = df.filter("doc_id < 150")
+    model = ordinal_quality.fit(seen, seen.select("doc_id", "grade"), 3, dims=32, ridge=0.5, rounds=40)
+    x, grade = np.array([plain_features(t, 32) for _, t, _ in rows]), np.array([g for _, _, g in rows])
+    w, cuts, best = plain_ordinal(x[:150], grade[:150], 3, 0.5)
+    packed = np.concatenate((model.thresholds[:1], np.log(np.diff(model.thresholds)), model.weights))
+    mine, _ = ordinal_quality.loss_and_gradient(packed, 3, [(int(g), np.arange(32), v) for g, v in zip(grade[:150], x[:150], strict=True)])
+    assert best - 1e-6 <= mine + 0.5 * model.weights @ model.weights < best * 1.003
+    # a shift of all scores moves the thresholds with it, so what is compared is what is returned
+    got = {r["doc_id"]: r for r in ordinal_quality.quality(df, model, keep_from=2).collect()}
+    for (i, _, _), score, own in zip(rows, x @ w, x @ model.weights, strict=True):
+        below = 1 / (1 + np.exp(-(cuts - score)))
+        exact = 1 / (1 + np.exp(-(model.thresholds - own)))
+        assert abs(got[i]["expected_grade"] - (2 - exact.sum())) < 1e-9 and abs(got[i]["tail_probability"] - (1 - exact[1])) < 1e-9
+        assert abs(got[i]["expected_grade"] - (2 - below.sum())) < 0.08 and abs(got[i]["tail_probability"] - (1 - below[1])) < 0.06
+    mean = [np.mean([got[i]["expected_grade"] for i in range(150, 240) if i % 3 == g]) for g in range(3)]
+    assert mean[0] + 0.3 < mean[1] < mean[2] - 0.3
+
+
 # ---------------------------------------------------------------- 2
 
 
