@@ -43,7 +43,7 @@ from lociweave.llm.shingle_jaccard import _PLACE, _mixed
 from lociweave.operators.graph import connected_components
 
 #: Words that are hashed at once, members of a group, tokens of a group, and queries that meet one copy of a group.
-WORDS, MEMBERS, TOKENS, QUERIES = 200_000, 64, 100_000, 2048
+WORDS, MEMBERS, TOKENS, QUERIES = 200_000, 64, 100_000, 256
 #: Rows that are broadcast at most (16 bytes each); more go through a shuffle.
 BROADCAST_ROWS = 200_000
 
