@@ -7,13 +7,13 @@ The first valid file at offset 0 corrects a wrong declared type, and the others
 are carved out as embedded media.
 
 The work is one pass over the rows without a shuffle; memory is one row's bytes
-at a time beside the Arrow batch.
+at a time beside the Arrow batch, and a validator's work grows with the bytes (but for
+the checksums of PNG chunks that overlap).
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -33,80 +33,224 @@ PIXELS = ROW // 3
 PIECE = 64 << 20
 
 
-def wav_length(b: bytes, at: int) -> int:
-    """Length of a valid 8-bit PCM WAV file at an offset, else 0."""
-    if len(b) - at < 44 or b[at + 8 : at + 16] != b"WAVEfmt ":
-        return 0
-    total, (size, kind, channels, rate, per_s, align, bits) = struct.unpack_from("<I", b, at + 4)[0] + 8, struct.unpack_from("<IHHIIHH", b, at + 16)
-    data = struct.unpack_from("<I", b, at + 40)[0]
-    sound = size == 16 and kind == 1 and bits == 8 and align == channels and per_s == rate * align
-    return total if sound and b[at + 36 : at + 40] == b"data" and total == data + 44 and at + total <= len(b) else 0
+class Source:
+    """A byte string with what its validators have found out about places in it.
 
+    Chains of blocks that begin at different magic bytes run into each other: what follows a place
+    is the same for all of them, so it is walked once, and hostile bytes cost no more than
+    their length per format.
+    """
 
-def bmp_length(b: bytes, at: int) -> int:
-    """Length of a valid 24-bit uncompressed BMP file at an offset, else 0."""
+    def __init__(self, b: bytes):
+        self.b = b
+        self.ends: dict[tuple[str, int], int] = {}
+        self._line = (0, 0)
+
+    def line_end(self, at: int) -> int:
+        """Place of the next newline or return, the end of the bytes if there is none."""
+        if not self._line[0] <= at <= self._line[1]:
+            ends = [x for x in (self.b.find(b"\n", at), self.b.find(b"\r", at)) if x >= 0]
+            self._line = (at, min(ends, default=len(self.b)))
+        return self._line[1]
+
+    def chain(self, kind: str, at: int, step: Callable[[int], int]) -> int:
+        """Where a chain of blocks from a place on ends, 0 if it breaks: ``step`` gives the next
+        block's place, minus the end's place where it ends, or 0 where it breaks."""
+        passed = []
+        while (kind, at) not in self.ends:
+            passed.append(at)
+            after = step(at)
+            if after <= 0:
+                self.ends[kind, at] = -after
+                break
+            at = after
+        end = self.ends[kind, at]
+        self.ends.update(((kind, p), end) for p in passed)
+        return end
+
+
+def _wav_chunks(b: bytes, at: int) -> tuple[int, tuple[int, ...], int, int] | None:
+    """(end, format, data's place and size) of a WAV file whose chunks fill it exactly."""
+    if len(b) - at < 44 or b[at + 8 : at + 12] != b"WAVE":
+        return None
+    end, p, form, data = at + 8 + struct.unpack_from("<I", b, at + 4)[0], at + 12, None, None
+    while p + 8 <= end <= len(b):
+        kind, size = struct.unpack_from("<4sI", b, p)
+        if kind == b"fmt " and form is None and 16 <= size and p + 24 <= end:
+            form = struct.unpack_from("<HHIIHH", b, p + 8)
+        elif kind == b"data" and form and data is None:
+            data = (p + 8, size)
+        p += 8 + size + size % 2
+    if form is None or data is None or p - end not in (0, 1) or data[0] + data[1] > end:
+        return None
+    code, channels, rate, per_s, align, bits = form
+    sound = code in (1, 0xFFFE) and bits in (8, 16, 24, 32) and channels and align == channels * bits // 8 and per_s == rate * align and data[1] % align == 0
+    return (end, form, *data) if sound else None
+
+
+def wav_length(f: Source, at: int) -> int:
+    """Length of a valid PCM WAV file at an offset, of any chunks and 8 to 32 bits, else 0."""
+    found = _wav_chunks(f.b, at)
+    return found[0] - at if found else 0
+
+
+def _bmp_head(b: bytes, at: int) -> tuple[int, int, int, int, int, int] | None:
+    """(total, offset of the pixels, width, height, bytes a row holds and takes) of a BMP file."""
     if len(b) - at < 54:
+        return None
+    total, _, offset, head, width, height, planes, depth, packed = struct.unpack_from("<IIIIiiHHI", b, at + 2)
+    if head not in (40, 108, 124) or planes != 1 or depth not in (8, 24, 32) or packed not in (0, 3 if depth == 32 else 0) or width <= 0 or not height or offset < 14 + head:
+        return None
+    stride = (width * depth + 31) // 32 * 4
+    need = offset + stride * abs(height)
+    return (total, offset, width, height, width * depth // 8, stride) if need <= total <= need + 3 and at + total <= len(b) else None
+
+
+def bmp_length(f: Source, at: int) -> int:
+    """Length of a valid uncompressed BMP file of 8, 24 or 32 bits at an offset, else 0."""
+    found = _bmp_head(f.b, at)
+    return found[0] if found else 0
+
+
+def _pnm_head(f: Source, at: int) -> tuple[int, int, int, int] | None:
+    """(place of the samples, width, height, largest sample) of a binary PGM or PPM header."""
+    b, p, numbers = f.b, at + 2, []
+    while len(numbers) < 3:
+        if not b[p : p + 1].isspace() and b[p : p + 1] != b"#":
+            return None
+        while b[p : p + 1].isspace() or b[p : p + 1] == b"#":
+            p = f.line_end(p) if b[p] == 35 else p + 1
+        digits = 0
+        while b[p + digits : p + digits + 1].isdigit() and digits < 11:
+            digits += 1
+        if not 0 < digits < 11:
+            return None
+        numbers.append(int(b[p : p + digits]))
+        p += digits
+    return (p + 1, *numbers) if b[p : p + 1].isspace() else None
+
+
+def pnm_length(f: Source, at: int) -> int:
+    """Length of a valid binary PGM or PPM file of 8-bit samples at an offset, else 0."""
+    head = _pnm_head(f, at)
+    if not head or not 0 < head[3] < 256:
         return 0
-    total, zero, offset, head, width, height, planes, depth, packed = struct.unpack_from("<IIIIiiHHI", b, at + 2)
-    need = offset + (width * 3 + 3) // 4 * 4 * abs(height)
-    return total if (zero, offset, head, planes, depth, packed) == (0, 54, 40, 1, 24, 0) and width > 0 and height and total == need and at + total <= len(b) else 0
-
+    size = head[1] * head[2] * (1 if f.b[at + 1] == 53 else 3)
+    return head[0] - at + size if size and head[0] + size <= len(f.b) else 0
 
-#: Header of a binary PGM: width, height and largest sample after blanks and comment lines.
-PGM_HEAD = re.compile(rb"P5(?:\s|#[^\r\n]*[\r\n])+0*(\d{1,10})(?:\s|#[^\r\n]*[\r\n])+0*(\d{1,10})(?:\s|#[^\r\n]*[\r\n])+0*(\d{1,3})\s")
 
-
-def pgm_length(b: bytes, at: int) -> int:
-    """Length of a valid 8-bit binary PGM file at an offset, else 0."""
-    head = PGM_HEAD.match(b, at)
-    if not head or not 0 < int(head[3]) < 256:
-        return 0
-    size = int(head[1]) * int(head[2])
-    return head.end() - at + size if size and head.end() + size <= len(b) else 0
-
-
-def png_length(b: bytes, at: int) -> int:
+def png_length(f: Source, at: int) -> int:
     """Length of a PNG file at an offset whose chunks have right lengths and checksums, else 0."""
-    p, first = at + 8, True
-    while p + 12 <= len(b):
+    b = f.b
+
+    def step(p: int) -> int:
+        if p + 12 > len(b):
+            return 0
         size, kind = struct.unpack_from(">I4s", b, p)
         end = p + 12 + size
-        if end > len(b) or (first and (kind, size) != (b"IHDR", 13)) or zlib.crc32(b[p + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
+        if end > len(b) or zlib.crc32(memoryview(b)[p + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
             return 0
-        if kind == b"IEND":
-            return end - at
-        p, first = end, False
-    return 0
+        return -end if kind == b"IEND" else end
 
+    end = f.chain("png", at + 8, step) if b[at + 8 : at + 16] == b"\x00\x00\x00\rIHDR" else 0
+    return end - at if end else 0
 
-def gif_length(b: bytes, at: int) -> int:
+
+def gif_length(f: Source, at: int) -> int:
     """Length of a GIF file at an offset whose block chain reaches the trailer, else 0."""
-    if len(b) - at < 14:
-        return 0
-    p = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 128 else 0)
-    while p < len(b):
-        if b[p] == 0x3B:
-            return p + 1 - at
+    b = f.b
+    table = lambda p: 3 << (b[p] & 7) + 1 if b[p] & 128 else 0
+
+    def piece(p: int) -> int:
+        """The next sub-block, or the place after the last one."""
+        return 0 if p >= len(b) else p + b[p] + 1 if b[p] else -(p + 1)
+
+    def step(p: int) -> int:
+        if p >= len(b) or b[p] == 0x3B:
+            return -(p + 1) if p < len(b) else 0
         if b[p] == 0x2C and p + 10 < len(b):
-            p += 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 128 else 0)
-        elif b[p] == 0x21:
-            p += 2
-        else:
+            return f.chain("gif piece", p + 11 + table(p + 9), piece)
+        return f.chain("gif piece", p + 2, piece) if b[p] == 0x21 else 0
+
+    end = f.chain("gif", at + 13 + table(at + 10), step) if len(b) - at >= 14 else 0
+    return end - at if end else 0
+
+
+#: Frame markers of JPEG: they hold the picture's size.
+_FRAMES = {*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC}
+
+
+def _jpeg_frame(b: bytes, at: int) -> tuple[int, int]:
+    """Width and height in the first frame header, zero where there is none."""
+    p = at + 2
+    while p + 9 <= len(b) and b[p] == 0xFF:
+        if b[p + 1] in _FRAMES:
+            height, width = struct.unpack_from(">HH", b, p + 5)
+            return width, height
+        if b[p + 1] in (0xDA, 0xD9):
+            break
+        p += 2 + struct.unpack_from(">H", b, p + 2)[0]
+    return 0, 0
+
+
+def jpeg_length(f: Source, at: int) -> int:
+    """Length of a JPEG file at an offset whose marker chain has a frame and reaches the end, else 0."""
+    b = f.b
+
+    def step(p: int) -> int:
+        if p + 2 > len(b) or b[p] != 0xFF:
+            return 0
+        mark = b[p + 1]
+        if mark == 0xD9:
+            return -(p + 2)
+        if mark == 0xFF:  # a fill byte
+            return p + 1
+        if mark in (0x00, 0x01) or 0xD0 <= mark <= 0xD8 or p + 4 > len(b):
+            return 0
+        after = p + 2 + struct.unpack_from(">H", b, p + 2)[0]
+        if after < p + 4:
+            return 0
+        while mark == 0xDA:  # coded data, to the next marker that is no restart
+            after = b.find(b"\xff", after)
+            if after < 0 or after + 1 >= len(b):
+                return 0
+            if b[after + 1] and not 0xD0 <= b[after + 1] <= 0xD7:
+                break
+            after += 2
+        return after
+
+    end = f.chain("jpeg", at + 2, step)
+    return end - at if end and all(_jpeg_frame(b, at)) else 0
+
+
+def zip_length(f: Source, at: int) -> int:
+    """Length of the ZIP archive whose end record is at an offset and whose directory, of whole entries,
+    ends there, else 0."""
+    b = f.b
+    if at + 22 > len(b):
+        return 0
+    disk, first, here, n, size, offset, comment = struct.unpack_from("<HHHHIIH", b, at + 4)
+    begin, p = at - size - offset, at - size
+    if disk or first or here != n or not n or begin < 0 or b[begin : begin + 4] != b"PK\x03\x04" or at + 22 + comment > len(b):
+        return 0
+    for _ in range(n):
+        if p + 46 > at or b[p : p + 4] != b"PK\x01\x02":
             return 0
-        while p < len(b) and b[p]:
-            p += b[p] + 1
-        p += 1
-    return 0
+        p += 46 + sum(struct.unpack_from("<HHH", b, p + 28))
+    return at + 22 + comment - begin if p == at else 0
 
 
-#: Media type, magic bytes, validator.
-FORMATS: list[tuple[str, bytes, Callable[[bytes, int], int]]] = [
+#: Media type, magic bytes, validator.  A ZIP archive is found by its end record.
+FORMATS: list[tuple[str, bytes, Callable[[Source, int], int]]] = [
     ("audio/wav", b"RIFF", wav_length),
     ("image/bmp", b"BM", bmp_length),
-    ("image/x-portable-graymap", b"P5", pgm_length),
+    ("image/x-portable-graymap", b"P5", pnm_length),
+    ("image/x-portable-pixmap", b"P6", pnm_length),
     ("image/png", b"\x89PNG\r\n\x1a\n", png_length),
     ("image/gif", b"GIF87a", gif_length),
     ("image/gif", b"GIF89a", gif_length),
+    ("image/jpeg", b"\xff\xd8\xff", jpeg_length),
+    ("application/zip", b"PK\x05\x06", zip_length),
 ]
 
 
@@ -122,11 +266,13 @@ def automaton() -> ahocorasick.Automaton:
 def carve(b: bytes, finder: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(offset, length, type) of all valid media files in a byte string, in order; files
     within a file that was already found are listed too."""
-    found = []
+    found, source = [], Source(b)
     for end, number in finder.iter(b.decode("latin-1")):
         kind, magic, length = FORMATS[number]
         at = end + 1 - len(magic)
-        if n := length(b, at):
+        if n := length(source, at):
+            if kind == "application/zip":  # the length counts back from the end record's end
+                at += 22 + struct.unpack_from("<H", b, at + 20)[0] - n
             found.append((at, n, kind))
     return sorted(found)
 
@@ -141,17 +287,80 @@ def store(payload: bytes) -> bytes:
     return b"P5\n%d %d\n255\n" % (ROW, n // ROW) + payload
 
 
+#: PNG files with more bytes of samples than this are sized and not unpacked.
+MAX_SAMPLES = 64 << 20
+
+
+def _png_samples(b: bytes, at: int, n: int, width: int, height: int) -> bytes:
+    """The samples of a PNG file of 8-bit channels without interlacing, row by row; none of other kinds."""
+    depth, colour, _, _, interlaced = b[at + 24 : at + 29]
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour, 0)
+    stride = width * channels
+    if depth != 8 or interlaced or not channels or not 0 < (stride + 1) * height <= MAX_SAMPLES:
+        return b""
+    packed, p = [], at + 8
+    while p < at + n:
+        size, kind = struct.unpack_from(">I4s", b, p)
+        packed += [b[p + 8 : p + 8 + size]] if kind == b"IDAT" else []
+        p += 12 + size
+    try:
+        raw = zlib.decompressobj().decompress(b"".join(packed), (stride + 1) * height)
+    except zlib.error:
+        return b""
+    if len(raw) < (stride + 1) * height:
+        return b""
+    rows, above = np.frombuffer(raw, np.uint8).reshape(height, stride + 1), np.zeros(stride, np.uint8)
+    out = np.empty((height, stride), np.uint8)
+    for y in range(height):
+        how, line = rows[y, 0], rows[y, 1:]
+        if how == 1:
+            line = np.cumsum(line.reshape(width, channels), axis=0, dtype=np.uint8).ravel()
+        elif how == 2:
+            line = line + above
+        elif how in (3, 4):
+            line = _refilled(line.tolist(), above.tolist(), channels, how)
+        elif how:
+            return b""
+        out[y] = above = line
+    return out.tobytes()
+
+
+def _refilled(line: list[int], above: list[int], channels: int, how: int) -> np.ndarray:
+    """A row whose bytes were stored as differences from an average (3) or from the nearest neighbour (4)."""
+    for i in range(len(line)):
+        left, up = line[i - channels] if i >= channels else 0, above[i]
+        if how == 3:
+            line[i] = (line[i] + (left + up) // 2) & 255
+        else:
+            corner = above[i - channels] if i >= channels else 0
+            guess = left + up - corner
+            line[i] = (line[i] + min((left, up, corner), key=lambda v: abs(guess - v))) & 255
+    return np.array(line, np.uint8)
+
+
 def samples(b: bytes, at: int, n: int, kind: str) -> tuple[bytes, str]:
-    """The 8-bit samples of a valid file and its shape; no samples for the compressed formats."""
+    """The samples of a valid file and its shape: WAV data, the rows of BMP (from the top, without
+    padding), PGM, PPM and PNG; none of GIF, JPEG and ZIP."""
     if kind == "audio/wav":
-        return b[at + 44 : at + n], f"rate={struct.unpack_from('<I', b, at + 24)[0]}"
+        _, (_, channels, rate, _, _, bits), p, size = _wav_chunks(b, at)
+        return b[p : p + size], f"rate={rate}" + f",channels={channels}" * (channels > 1) + f",bits={bits}" * (bits > 8)
     if kind == "image/bmp":
-        width, height = struct.unpack_from("<ii", b, at + 18)
-        return b[at + 54 : at + n], f"size={width}x{abs(height)}"
-    if kind == "image/x-portable-graymap":
-        head = PGM_HEAD.match(b, at)
-        return b[head.end() : at + n], f"size={int(head[1])}x{int(head[2])}"
-    width, height = struct.unpack_from(">II", b, at + 16) if kind == "image/png" else struct.unpack_from("<HH", b, at + 6)
+        _, offset, width, height, own, stride = _bmp_head(b, at)
+        rows = range(abs(height)) if height < 0 else range(height - 1, -1, -1)
+        whole = b[at + offset : at + offset + stride * abs(height)]
+        return whole if own == stride and height < 0 else b"".join(whole[y * stride : y * stride + own] for y in rows), f"size={width}x{abs(height)}"
+    if kind.startswith("image/x-portable"):
+        p, width, height, _ = _pnm_head(Source(b), at)
+        return b[p : at + n], f"size={width}x{height}"
+    if kind == "application/zip":
+        return b"", f"entries={struct.unpack_from('<H', b, b.rfind(b'PK' + bytes([5, 6]), at, at + n) + 10)[0]}"
+    if kind == "image/jpeg":
+        width, height = _jpeg_frame(b, at)
+        return b"", f"size={width}x{height}"
+    if kind == "image/png":
+        width, height = struct.unpack_from(">II", b, at + 16)
+        return _png_samples(b, at, n, width, height), f"size={width}x{height}"
+    width, height = struct.unpack_from("<HH", b, at + 6)
     return b"", f"size={width}x{height}"
 
 
@@ -189,8 +398,8 @@ def sniff(media: DataFrame) -> DataFrame:
     media_type is the type of the valid file at offset 0 (null if there is none, and
     then no payload is read); corrected says that it differs from declared_type;
     n_embedded counts the valid files at later offsets, nested ones too.  Samples are
-    read from WAV, BMP and PGM files; a PNG or GIF file has an empty payload and its size
-    as the feature.  A null media value counts as empty bytes; rows that repeat come back
+    read from WAV, BMP, PGM, PPM and PNG files (8-bit channels, not interlaced); other files have an
+    empty payload and their size as the feature.  The feature's figures are of bytes.  A null media value counts as empty bytes; rows that repeat come back
     as often as they occur.
     """
 

@@ -600,6 +600,85 @@ def test_slot_map_grows_into_new_shards_only(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and len(placed) == 3000
 
 
+def chunks(*parts):
+    return b"".join(struct.pack("<4sI", kind, len(data)) + data + b"\0" * (len(data) % 2) for kind, data in parts)
+
+
+def wav(bits, data, extra=()):
+    body = b"WAVE" + chunks((b"fmt ", struct.pack("<HHIIHH", 1, 2, 8000, 8000 * 2 * bits // 8, 2 * bits // 8, bits)), *extra, (b"data", data), (b"id3 ", b"odd"))
+    return struct.pack("<4sI", b"RIFF", len(body)) + body
+
+
+def bmp(width, rows, depth, top_down=False, head=40):
+    stride = (width * depth + 31) // 32 * 4
+    lines = [r.ljust(stride, b"\xee") for r in (rows if top_down else rows[::-1])]
+    offset = 14 + head + (1024 if depth == 8 else 0)
+    body = struct.pack("<IIIiiHHI", 0, offset, head, width, len(rows) * (-1 if top_down else 1), 1, depth, 0).ljust(head + 8, b"\0") + bytes(offset - 14 - head) + b"".join(lines)
+    return b"BM" + struct.pack("<I", len(body) + 6) + body
+
+
+def true_png(width, rows, colour, filters):
+    channels, above, raw = {0: 1, 2: 3, 6: 4}[colour], bytes(len(rows[0])), b""
+    for row, how in zip(rows, filters, strict=True):
+        left = bytes(channels) + row[:-channels]
+        corner = bytes(channels) + above[:-channels]
+        paeth = [min((a, b, c), key=lambda v: abs(a + b - c - v)) for a, b, c in zip(left, above, corner, strict=True)]
+        guess = [bytes(len(row)), left, above, bytes((a + b) // 2 for a, b in zip(left, above, strict=True)), bytes(paeth)][how]
+        raw += bytes([how]) + bytes((x - g) & 255 for x, g in zip(row, guess, strict=True))
+        above = row
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    packed = zlib.compress(raw)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, colour, 0, 0, 0)) + chunk(b"IDAT", packed[:5]) + chunk(b"IDAT", packed[5:]) + chunk(b"IEND", b"")
+
+
+def jpeg():
+    segment = lambda mark, data: bytes([0xFF, mark]) + struct.pack(">H", len(data) + 2) + data
+    return b"\xff\xd8" + segment(0xE0, b"JFIF\0" + bytes(9)) + segment(0xC0, b"\x08" + struct.pack(">HH", 7, 9) + b"\x01\x01\x11\0") + segment(0xDA, b"\x01\x01\0\0\x3f\0") + b"data\xff\0more\xff\xd0rest" + b"\xff\xd9"
+
+
+def test_media_of_all_kinds_are_found_and_read():
+    import io
+    import zipfile
+
+    rng = random.Random(19)
+    some = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a.txt", "text " * 50)
+        z.writestr("b/c.bin", some(30))
+        z.comment = b"comment"
+    lines = [some(15) for _ in range(6)]
+    files = [
+        (wav(16, data := some(40)), "audio/wav", data), (wav(8, data8 := some(30), [(b"LIST", b"INFOx")]), "audio/wav", data8), (wav(24, data24 := some(60)), "audio/wav", data24),
+        (bmp(5, lines[:2], 24), "image/bmp", b"".join(lines[:2])), (bmp(5, lines, 24, True, 124), "image/bmp", b"".join(lines)), (bmp(15, lines, 8), "image/bmp", b"".join(lines)), (bmp(3, [x[:12] for x in lines], 32), "image/bmp", b"".join(x[:12] for x in lines)),
+        (true_png(5, lines, 2, [0, 1, 2, 3, 4, 4]), "image/png", b"".join(lines)), (true_png(15, lines, 0, [4, 3, 2, 1, 0, 3]), "image/png", b"".join(lines)),
+        (b"P6 # c\n5 1\r255 " + lines[0], "image/x-portable-pixmap", lines[0]), (b"P5\n#x\n#y\n5\t3\n9\n" + lines[1], "image/x-portable-graymap", lines[1]),
+        (jpeg(), "image/jpeg", b""), (held.getvalue(), "application/zip", b""),
+    ]
+    finder, whole, places = media_sniff.automaton(), b"", []
+    for file, kind, read in files:
+        assert (0, len(file), kind) in media_sniff.carve(file, finder), kind
+        assert media_sniff.samples(file, 0, len(file), kind)[0] == read, kind
+        assert all(f[:2] != (0, len(file)) for f in media_sniff.carve(file[:-1], finder))
+        whole += b"junk RIFF BM P5 \xff\xd8\xff GIF89a PK\x05\x06"
+        places.append((len(whole), len(file), kind))
+        whole += file
+    found = media_sniff.carve(whole, finder)
+    assert set(places) <= set(found)
+    for (at, n, kind), (_, _, read) in zip(places, files, strict=True):
+        assert media_sniff.samples(whole, at, n, kind)[0] == read
+
+
+def test_hostile_bytes_are_validated_in_linear_time():
+    import time
+
+    finder = media_sniff.automaton()
+    for hostile in (b"GIF89a" + bytes(8) + b"!\xff\x01", b"P5#", b"P5 #\x0b", b"BM", b"RIFF\xff\xff\x00\x00WAVE", b"\xff\xd8\xff\xe0\x00\x03", b"PK\x05\x06", b"\x89PNG\r\n\x1a\n"):
+        began = time.time()
+        assert media_sniff.carve(hostile * (1_000_000 // len(hostile)), finder) is not None
+        assert time.time() - began < 20, hostile
+
+
 def test_pseudonyms_of_very_long_runs(spark):
     """Long runs of digits, digit groups and labels, which a recursive pattern does not survive."""
     rng = random.Random(16)
