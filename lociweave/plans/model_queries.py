@@ -216,7 +216,7 @@ def harmonised_matrices(spark, sf_dir):
 _TAIL = """
 a AS (SELECT i, j, t, atan(abs(t) / sqrt(n - 1)) AS a, CAST((n - 3) / 2 AS BIGINT) AS terms FROM t WHERE i <= 32 AND j > 32),
 c AS (SELECT k, exp(sum(CASE WHEN k = 0 THEN 0 ELSE ln(2.0 * k / (2.0 * k + 1)) END) OVER (ORDER BY k)) AS c FROM range(0, (SELECT max(terms) + 1 FROM a)) r(k))
-SELECT i, j, round(any_value(t), 6) AS t, round(1 - 2 / pi() * (any_value(a) + sin(any_value(a)) * sum(c * power(cos(a), 2 * k + 1))), 8) AS p FROM a JOIN c ON k <= terms GROUP BY i, j"""
+SELECT i, j, round(any_value(t), 7) AS t, round(1 - 2 / pi() * (any_value(a) + sin(any_value(a)) * sum(c * power(cos(a), 2 * k + 1))), 8) AS p FROM a JOIN c ON k <= terms GROUP BY i, j"""
 
 
 @register(f"WITH {_moments_sql('1, 33', '33, 65')},{_TAIL}")
@@ -224,7 +224,7 @@ def scan_tail_probabilities(spark, sf_dir):
     """Two-sided p of the pair scan, by the continued fraction."""
     moments = matrix.cross_moments(_t(spark, sf_dir, "embeddings"), "embedding")
     scan = matrix.moments_to_scan(moments.filter("i <= 32 and j > 32"))
-    return _rounded(regress.with_p(scan, (F.col("n") - 1).cast("double")).select("i", "j", "t", "p"), {"t": 6, "p": 8})
+    return _rounded(regress.with_p(scan, (F.col("n") - 1).cast("double")).select("i", "j", "t", "p"), {"t": 7, "p": 8})
 
 
 @register("""
