@@ -1,28 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney language models (operator 3).
 
-Two interpolated Kneser-Ney bigram models, one of toxic and one of ordinary texts,
-give the log-likelihood of every word after its left neighbour.  In each class a pair's
-count loses an absolute discount, which comes from the numbers of pairs seen once and
-twice; what is lost goes to the word's continuation count (the number of distinct left
-neighbours in the class), which is discounted alike, and what that loses goes to the
-shared level: in how many texts of the whole table, labelled or not, the word occurs.
-
-Words are symbols: a word of at least ``min_texts`` training texts is its own symbol, a
-rarer one the class of its first ``STEM`` characters if that is frequent enough, and the
-others are one unknown symbol.  Pairs of fewer than ``min_pair`` texts are left to the
-continuation counts (a count cutoff; their mass stays in the back-off weight), so both
-models are proper distributions over the symbols.
-
-A text is compared by length-normalised log-likelihoods: the mean log-ratio of all its
-words, and that of the three words that speak most for toxicity, which a long text does
-not dilute.  A logistic function of the two gives the score.  It is fitted on training
-texts that their model has not counted (four folds, symbols included), both classes
-weighing the same, neither weight below zero, and its constant puts the cut with the best
-F0.5 of them at 0.7.
+Two models, of toxic and of ordinary texts, give the probability of every word.  A word
+found in at least three texts of a class keeps its count less one there; what all words
+lose goes to a back-off that is half the shared level - in how many texts of the whole
+table, labelled or not, the word occurs - and half the word's spelling in the class: an
+interpolated n-gram model of its characters with absolute discounts, in which every order
+backs off to the one below and the lowest to the characters of the whole table.  So rare
+expressions are smoothed by what they share with others and by shared counts.
+
+A toxic text is taken as an ordinary one in which a share ``SHARE`` of the words comes
+from the toxic model, so a word's ratio is (1 - SHARE) + SHARE * P_toxic / P_ordinary.  A
+text is compared by its length-normalised log-likelihoods: the mean log-ratio of all its
+words.  A logistic function of it, never falling, gives the score.  It is fitted on
+training texts that their model has not counted (four folds), both classes weighing the
+same, and its constant puts the cut with the best F1 of them at 0.7.
 
 Labels come from at most ``max_train_docs`` labelled documents (the smallest hashes of
-doc_id), so symbols, pairs and continuation counts are bounded by that sample and can
-be gathered; the shared counts cover every document.  Scoring is one pass, no shuffle.
+doc_id), so the words and n-grams that keep a count are bounded by that sample and can be
+gathered (those that keep none change nothing); the shared counts cover every document.
+Scoring is one pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -41,8 +37,13 @@ from lociweave.llm.common import cut_lineage, doc_frame
 #: ASCII letters and digits and all other bytes of UTF-8 are word bytes.
 WORD_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-#: Characters of the class that a rare word belongs to; folds of the calibration; telling words of a text.
-STEM, FOLDS, TELLING = 5, 4, 3
+#: Characters of the longest n-gram, its discount, the share of a toxic text's words that
+#: its class's model gives, folds of the calibration, texts whose words are looked up together,
+#: words whose ratio a worker remembers.
+ORDER, DISCOUNT, SHARE, FOLDS, TOGETHER, REMEMBERED = 7, 3, 0.003, 4, 256, 300_000
+
+#: Count columns of a training word or n-gram: class * FOLDS + fold.
+COUNTS = [f"n{k}" for k in range(2 * FOLDS)]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -50,103 +51,143 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(WORD_FOLD).decode("utf-8", "surrogatepass").split()
 
 
-@dataclass
-class Symbols:
-    """Numbers of frequent words and of the classes of rare ones; 0 is any other word."""
+def _mixed(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
 
-    words: dict[str, int]
-    stems: dict[str, int]
 
-    @property
-    def n(self) -> int:
-        return 1 + len(self.words) + len(self.stems)
+class Spelling:
+    """The characters of words with a mark before and after each, and hashes of their n-grams."""
 
-    def of(self, words: list[str]) -> np.ndarray:
-        word, stem = self.words.get, self.stems.get
-        return np.fromiter([word(w) or stem(w[:STEM], 0) for w in words], np.int64, len(words))
+    START, END = "\x01", "\x02"
 
-    def pairs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Left and right symbol of each word; a text's first word has the left symbol n."""
-        return np.concatenate(([self.n], ids[:-1])), ids
+    def __init__(self, words: list[str]):
+        size = np.array([len(w) + 2 for w in words], np.int64)
+        self.code = np.frombuffer("".join(f"{self.START}{w}{self.END}" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.word = np.repeat(np.arange(len(words)), size)
+        self.at = np.arange(len(self.code)) - np.repeat(np.cumsum(size) - size, size)
+        self._gram = [np.zeros(len(self.code), np.uint64)]
 
+    def gram(self, k: int) -> np.ndarray:
+        """Hash of the k characters that end at each position."""
+        while len(self._gram) <= k:
+            n = len(self._gram)
+            before = np.concatenate((np.zeros(n - 1, np.uint64), self.code))[: len(self.code)]
+            self._gram.append(_mixed(self._gram[-1], before + np.uint64(n << 32)))
+        return self._gram[k]
 
-@dataclass
-class Counts:
-    """Training counts; the arrays' last axis has the classes ordinary and toxic.
+    def context(self, k: int) -> np.ndarray:
+        """Hash of the k - 1 characters before each position; 0 for none."""
+        return np.concatenate((np.zeros(1, np.uint64), self.gram(k - 1)))[: len(self.code)]
 
-    continuation (n, 2): distinct left symbols; context (n + 1, 2): texts by left symbol,
-    one for each pair; pair_keys: left * n + right of the pairs over the cutoff, and their
-    counts; singles (2, 2): pairs seen once and twice; shared (n): texts of the whole table.
-    """
 
-    continuation: np.ndarray
-    context: np.ndarray
-    pair_keys: np.ndarray
-    pair_n: np.ndarray
-    singles: np.ndarray
-    shared: np.ndarray
+MARK = Spelling([""]).gram(1)[:1]
 
 
-def absolute_discount(once: float, twice: float) -> float:
-    """n1 / (n1 + 2 n2), with half a pair added to both terms so that it is never 0 or 1."""
-    return float((once + 0.5) / (once + 2 * twice + 1))
+def found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Position of each wanted key in sorted keys, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
 
 
 @dataclass
-class ClassModel:
-    """One class: P(right), back-off weight of each left symbol, and P of the counted pairs
-    before back-off."""
-
-    word: np.ndarray
-    back: np.ndarray
-    pair_keys: np.ndarray
-    pair: np.ndarray
-
-    def probability(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        p = self.back[left] * self.word[right]
-        if len(self.pair_keys):
-            keys = left * len(self.word) + right
-            at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-            p = p + np.where(self.pair_keys[at] == keys, self.pair[at], 0.0)
-        return p
-
-
-def class_model(c: Counts, label: int) -> ClassModel:
-    """The Kneser-Ney model of one class; pair keys are expected in order."""
-    n = len(c.shared)
-    base = (c.shared + 0.5) / (c.shared + 0.5).sum()
-    seen = c.continuation[:, label].astype(float)
-    total = seen.sum()
-    kept = np.maximum(seen - absolute_discount((seen == 1).sum(), (seen == 2).sum()), 0) / max(total, 1.0)
-    word = kept + (1 - kept.sum()) * base
-    pairs = np.maximum(c.pair_n[:, label] - absolute_discount(*c.singles[:, label]), 0)
-    left = c.pair_keys // n
-    context = np.maximum(c.context[:, label].astype(float), 1.0)
-    back = 1 - np.bincount(left, pairs, n + 1) / context
-    return ClassModel(word, back, c.pair_keys, pairs / context[left])
+class Counts:
+    """Training counts of what keeps a count in some class; count arrays are (n, classes, folds).
 
+    words, word_n, word_total: in how many texts each and all words occur; shared, rare: P of
+    each word and of any other by the whole table.  gram_keys, gram_context, gram_n: n-grams
+    and contexts by hash, in how many (text, word) pairs; positions: all characters;
+    letter_keys, letters: P of characters by the whole table.
+    """
+
+    words: dict[str, int]
+    word_n: np.ndarray
+    word_total: np.ndarray
+    shared: np.ndarray
+    rare: float
+    gram_keys: np.ndarray
+    gram_context: np.ndarray
+    gram_n: np.ndarray
+    positions: np.ndarray
+    letter_keys: np.ndarray
+    letters: np.ndarray
 
-@dataclass
-class NgramModel:
-    """Both classes' models and the logistic weights of (mean ratio, telling ratio, 1)."""
 
-    symbols: Symbols
-    classes: tuple[ClassModel, ClassModel]
-    weights: np.ndarray
+def keeps(n: np.ndarray) -> np.ndarray:
+    """What words of n texts keep: n - 1 from three texts on, else nothing."""
+    return np.where(n >= 3, n - 1, 0)
 
-    def features(self, ids: np.ndarray) -> tuple[float, float, float]:
-        if not len(ids):
-            return 0.0, 0.0, 1.0
-        left, right = self.symbols.pairs(ids)
-        ratio = np.log(self.classes[1].probability(left, right)) - np.log(self.classes[0].probability(left, right))
-        top = ratio if len(ratio) <= TELLING else np.partition(ratio, -TELLING)[-TELLING:]
-        return float(ratio.mean()), float(top.sum() / TELLING), 1.0
+
+class NgramModel:
+    """Both classes' models, the last axis of arrays being (ordinary, toxic), and the logistic weights."""
+
+    def __init__(self, c: Counts, without: int | None = None):
+        """The models of all training texts, or of those outside a fold."""
+        of = lambda n: n.sum(-1) - (n[..., without] if without is not None else 0)
+        self.words, self.rare, self.letter_keys, self.letters = c.words, c.rare, c.letter_keys, c.letters
+        kept, total = keeps(of(c.word_n)).astype(float), np.maximum(of(c.word_total), 1)
+        self.word, self.shared, self.back = kept / total, c.shared, 1 - kept.sum(0) / total
+        n = of(c.gram_n).astype(float)
+        self.keys = c.gram_keys
+        kept = np.maximum(n - DISCOUNT, 0) * (c.gram_keys != MARK)[:, None]
+        parent = found(c.gram_keys, c.gram_context)  # -1: the empty context
+        under = np.maximum(np.concatenate((n, [of(c.positions)])), 1)
+        self.gram = kept / under[parent]
+        spent = np.stack([np.bincount(parent % len(under), self.gram[:, k], len(under)) for k in (0, 1)], 1) if len(n) else np.zeros((1, 2))
+        self.gram, self.back_off = np.concatenate((self.gram, np.zeros((1, 2)))), 1 - spent  # last rows: not known; no context
+        self.known: dict[str, float] = {}
+        self.weights = np.zeros(2)
+
+    def spelled(self, words: list[str]) -> np.ndarray:
+        """P of each word's spelling in both classes."""
+        s = Spelling(words)
+        at = found(self.letter_keys, s.code)
+        p = np.repeat(np.where(at < 0, self.letters.min(initial=1e-6) / 2, np.append(self.letters, 0)[at])[:, None], 2, 1)
+        live, context = np.arange(len(s.code)), np.full(len(s.code), len(self.keys))
+        for k in range(1, ORDER + 1):  # a position goes on while its context is known
+            gram = np.full(len(s.code), -1)
+            gram[live] = found(self.keys, s.gram(k)[live])
+            p[live] = self.gram[gram[live]] + self.back_off[context[live]] * p[live]
+            live = live[s.at[live] >= k]
+            live = live[gram[live - 1] >= 0]
+            context = np.concatenate(([-1], gram))
+        log = np.where((s.at > 0)[:, None], np.log(p), 0.0)
+        return np.exp(np.stack([np.bincount(s.word, log[:, k], len(words)) for k in (0, 1)], 1))
+
+    def log_ratios(self, words: list[str]) -> np.ndarray:
+        """The log-ratio of each word."""
+        at = np.array([self.words.get(w, -1) for w in words], np.int64)
+        shared = np.append(self.shared, self.rare)[at][:, None]
+        p = np.concatenate((self.word, np.zeros((1, 2))))[at] + self.back * (shared + self.spelled(words)) / 2
+        return np.log1p(SHARE * (p[:, 1] / p[:, 0] - 1))
+
+    def means(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Mean log-ratio of each text's words, zero without words, and their number."""
+        mean, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for start in range(0, len(texts), TOGETHER):
+            some = [words_of(t.as_py()) for t in texts[start : start + TOGETHER]]
+            if len(self.known) > REMEMBERED:
+                self.known = {}
+            known = self.known
+            distinct = list(set().union(*some).difference(known))
+            if distinct:
+                known.update(zip(distinct, self.log_ratios(distinct).tolist(), strict=True))
+            for i, words in enumerate(some, start):
+                n[i] = len(words)
+                if words:
+                    mean[i] = np.fromiter(map(known.__getitem__, words), float, len(words)).mean()
+        return mean, n
+
+    def features(self, means: np.ndarray) -> np.ndarray:
+        """A rising function of the mean, and 1."""
+        return np.column_stack((np.log(2 + means / SHARE), np.ones(len(means))))
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Score and number of words of each text of an Arrow column."""
-        ids = [self.symbols.of(words_of(t.as_py())) for t in texts]
-        x = np.array([self.features(i) for i in ids], float).reshape(-1, 3)
-        return _logistic(x @ self.weights), np.array([len(i) for i in ids], np.int64)
+        mean, n = self.means(texts)
+        return _logistic(self.features(mean) @ self.weights), n
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
@@ -170,11 +211,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 
 
 def best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap in z at which "z above the gap" has the greatest F0.5 for y (a
-    lost ordinary text counts twice a missed toxic one, since stages drop what is found)."""
+    """The middle of the gap in z at which "z above the gap" has the greatest F1 for y."""
     order = np.argsort(-z, kind="stable")
     hits = np.cumsum(y[order])
-    at = int(np.argmax(hits / (np.arange(1, len(z) + 1) + y.sum() / 4)))
+    at = int(np.argmax(hits / (np.arange(1, len(z) + 1) + y.sum())))
     return float((z[order[at]] + z[order[min(at + 1, len(z) - 1)]]) / 2)
 
 
@@ -183,144 +223,143 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def find_symbols(train: DataFrame, min_texts: int) -> tuple[Symbols, np.ndarray]:
-    """The frequent words of the training texts and the frequent classes of the others; a
-    class counts the texts of all its rare words together.
+def word_counts(train: DataFrame) -> DataFrame:
+    """(w, n0..): in how many training texts of each class and fold a word occurs.
 
-    The array has a row for each fold: what a symbol is if the texts of that fold are not
-    counted.  A word that is rare without them belongs to its class there, and a rare class
-    to the unknown symbol, as for words of texts that were never counted.
+    Texts are counted and not occurrences, so that a word which one text repeats does not
+    pass for a habit of its class.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[Counter] = [Counter() for _ in range(FOLDS)]
-            for text, fold in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found[fold].update(set(words_of(text.as_py())))
-            every = list(set().union(*found))
-            yield pa.record_batch([pa.array(every, pa.string())] + [pa.array([c[w] for w in every], pa.int64()) for c in found], names=["w", *names])
-
-    names = [f"n{k}" for k in range(FOLDS)]
-    total = sum((F.col(c) for c in names), F.lit(0))
-    add = [F.sum(c).alias(c) for c in names]
-    words = cut_lineage(train.select("text", "fold").mapInArrow(run, "w string, " + ", ".join(f"{c} long" for c in names)).groupBy("w").agg(*add))
-    stems = words.filter(total < min_texts).groupBy(F.substring("w", 1, STEM).alias("w")).agg(*add)
-    known, classes = (df.filter(total >= min_texts).orderBy("w").toArrow() for df in (words, stems))
-    listed = [t.column("w").to_pylist() for t in (known, classes)]
-    symbols = Symbols({w: i + 1 for i, w in enumerate(listed[0])}, {w: i + 1 + known.num_rows for i, w in enumerate(listed[1])})
-    folds = np.concatenate([np.zeros((1, FOLDS))] + [np.array([t.column(c).to_numpy() for c in names], float).T.reshape(-1, FOLDS) for t in (known, classes)])
-    stays = (folds.sum(1, keepdims=True) - folds >= min_texts).T
-    number = np.arange(symbols.n)
-    own_class = np.concatenate(([0], [symbols.stems.get(w[:STEM], 0) for w in listed[0]], np.zeros(len(listed[1])))).astype(np.int64)
-    of_class = np.where(np.take_along_axis(stays, np.broadcast_to(own_class, stays.shape), 1), own_class, 0)
-    return symbols, np.where(stays, number, of_class)
-
-
-def pair_counts(train: DataFrame, symbols: Symbols) -> DataFrame:
-    """(key, a0.., b0..): in how many ordinary (a) and toxic (b) texts of each fold a pair occurs.
-
-    Texts are counted and not occurrences, so that a phrase which one text repeats does
-    not pass for a habit of its class.
+            seen: list[Counter] = [Counter() for _ in COUNTS]
+            for text, label, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                seen[label * FOLDS + fold].update(set(words_of(text.as_py())))
+            every = list(set().union(*seen))
+            yield pa.record_batch([pa.array(every, pa.string())] + [pa.array([c[w] for w in every], pa.int64()) for c in seen], names=["w", *COUNTS])
+
+    rows = train.select("text", "label", "fold").mapInArrow(run, "w string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return cut_lineage(rows.groupBy("w").agg(*[F.sum(c).alias(c) for c in COUNTS]))
+
+
+def frequent_grams(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, contexts and counts of the n-grams in more than DISCOUNT (text, word) pairs of a class.
+
+    Order by order: an n-gram is as frequent as its context at most, so only continuations
+    of the frequent ones are counted.
     """
-    shared = train.sparkSession.sparkContext.broadcast(symbols)
+    spark = words.sparkSession
+    more = [sum((F.col(c) for c in COUNTS[label * FOLDS : (label + 1) * FOLDS]), F.lit(0)) > DISCOUNT for label in (0, 1)]
+    levels: list[pa.Table] = []
+    known = np.zeros(1, np.uint64)
+    for k in range(1, ORDER + 1):
+        shared = spark.sparkContext.broadcast(known)
+
+        def run(batches: Iterator[pa.RecordBatch], k: int = k, shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                s = Spelling(batch.column(0).to_pylist())
+                use = (s.at >= k - 1) & (found(shared.value, s.context(k)) >= 0)
+                keys, first, inverse = np.unique(s.gram(k)[use], return_index=True, return_inverse=True)
+                n = [np.bincount(inverse, batch.column(1 + i).to_numpy()[s.word[use]], len(keys)).astype(np.int64) for i in range(len(COUNTS))]
+                yield pa.record_batch([pa.array(x) for x in (keys.view(np.int64), s.context(k)[use][first].view(np.int64), *n)], names=["key", "context", *COUNTS])
+
+        rows = words.mapInArrow(run, "key long, context long, " + ", ".join(f"{c} long" for c in COUNTS))
+        level = rows.groupBy("key").agg(F.first("context").alias("context"), *[F.sum(c).alias(c) for c in COUNTS]).filter(more[0] | more[1]).toArrow()
+        levels.append(level)
+        known = np.sort(_long(level, "key").view(np.uint64))
+        shared.unpersist()
+    table = pa.concat_tables(levels)
+    keys = _long(table, "key").view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], _long(table, "context").view(np.uint64)[order], _folds(table)[order]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shared.value
-        for batch in batches:
-            found = [np.zeros(0, np.int64)]
-            for text, label, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids = s.of(words_of(text.as_py()))
-                if len(ids):
-                    left, right = s.pairs(ids)
-                    found.append(np.unique(left * s.n + right) * (2 * FOLDS) + label * FOLDS + fold)
-            code, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.record_batch([pa.array(code // (2 * FOLDS)), pa.array(code % (2 * FOLDS)), pa.array(n, pa.int64())], names=["key", "of", "n"])
 
-    rows = train.select("text", "label", "fold").mapInArrow(run, "key long, of long, n long")
-    return rows.groupBy("key").agg(*[F.coalesce(F.sum(F.when(F.col("of") == label * FOLDS + k, F.col("n"))), F.lit(0)).alias(f"{'ab'[label]}{k}") for label in (0, 1) for k in range(FOLDS)])
+def _long(table: pa.Table, column: str) -> np.ndarray:
+    return table.column(column).to_numpy().astype(np.int64)
 
 
-def shared_counts(docs: DataFrame, symbols: Symbols) -> np.ndarray:
-    """In how many texts of the whole table each symbol occurs; every task adds up its own."""
-    shared = docs.sparkSession.sparkContext.broadcast(symbols)
+def _folds(table: pa.Table) -> np.ndarray:
+    return np.array([_long(table, c) for c in COUNTS]).T.reshape(-1, 2, FOLDS)
+
+
+def shared_counts(docs: DataFrame, words: dict[str, int]) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """In how many texts of the whole table each word occurs and all words together, and the
+    characters of all words with their numbers; every task adds up its own."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shared.value
-        seen = np.zeros(s.n, np.int64)
+        known, seen, letters = shared.value, np.zeros(len(shared.value) + 1, np.int64), Counter()
         for batch in batches:
             for text in batch.column(0):
-                seen[np.unique(s.of(words_of(text.as_py())))] += 1
+                distinct = set(words_of(text.as_py()))
+                at = np.fromiter((known.get(w, -1) for w in distinct), np.int64, len(distinct))
+                seen[at[at >= 0]] += 1
+                seen[-1] += len(distinct)
+                letters.update("".join(distinct))
         own = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(own), pa.array(seen[own])], names=["w", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(symbols.n)
-    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return out
-
-
-def gather(pairs: DataFrame, shared: np.ndarray, min_pair: int) -> list[Counts]:
-    """Counts of all training texts, and of those outside each fold; bounded by the sample."""
-    n = len(shared)
-    variants = [None, *range(FOLDS)]
-    of = lambda label, k: sum((F.col(f"{'ab'[label]}{f}") for f in range(FOLDS) if f != k), F.lit(0))
-    named = [(f"{'ab'[label]}_{v}", of(label, k)) for v, k in enumerate(variants) for label in (0, 1)]
-    every = cut_lineage(pairs.select("key", *[c.alias(name) for name, c in named]))
-    wide = lambda df, rows: _table(df.toArrow(), rows, len(named))
-    names = [name for name, _ in named]
-    continuation = wide(every.groupBy((F.col("key") % n).alias("w")).agg(*[F.count_if(F.col(c) > 0).alias(c) for c in names]), n)
-    context = wide(every.groupBy(F.floor(F.col("key") / n).cast("long").alias("w")).agg(*[F.sum(c).alias(c) for c in names]), n + 1)
-    singles = np.array(every.agg(*[F.count_if(F.col(c) == times) for times in (1, 2) for c in names]).first(), float).reshape(2, -1)
-    frequent = every.filter(F.col("a_0") + F.col("b_0") >= min_pair).orderBy("key").toArrow()
-    pair_n = np.array([frequent.column(c).to_numpy() for c in names], float).T.reshape(-1, len(names))
-    keys = frequent.column("key").to_numpy().astype(np.int64)
-    two = lambda x, v: x[:, 2 * v : 2 * v + 2]
-    return [Counts(two(continuation, v), two(context, v), keys, two(pair_n, v), two(singles, v), shared) for v in range(len(variants))]
-
-
-def _table(rows: pa.Table, n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, width))
-    out[rows.column(0).to_numpy()] = np.array([rows.column(i + 1).to_numpy() for i in range(width)], float).T.reshape(-1, width)
-    return out
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000, min_texts: int = 4, min_pair: int = 16) -> NgramModel:
+        codes = np.array([-2 - ord(c) for c in letters], np.int64)
+        yield pa.record_batch([pa.array(np.concatenate((own, codes))), pa.array(np.concatenate((seen[own], np.array(list(letters.values()), np.int64))))], names=["w", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy("w").toArrow()
+    key, n = _long(rows, "w"), _long(rows, "n")
+    out = np.zeros(len(words) + 1)
+    out[key[key >= 0]] = n[key >= 0]
+    codes, letters = -2 - key[key < 0][::-1], n[key < 0][::-1]
+    ends = max(out[-1], 1)
+    codes, letters = np.concatenate(([ord(Spelling.END)], codes)), np.concatenate(([ends], letters)).astype(float)
+    order = np.argsort(codes, kind="stable")
+    return out[:-1], float(ends), codes[order].astype(np.uint64), letters[order] / letters.sum()
+
+
+def count(docs: DataFrame, train: DataFrame) -> Counts:
+    """All counts of the training texts (text, label, fold), and those of the whole table."""
+    words = word_counts(train)
+    by_class = [sum((F.col(c) for c in COUNTS[label * FOLDS : (label + 1) * FOLDS]), F.lit(0)) for label in (0, 1)]
+    listed = words.filter((by_class[0] >= 3) | (by_class[1] >= 3)).orderBy("w").toArrow()
+    names = {w: i for i, w in enumerate(listed.column("w").to_pylist())}
+    length = F.char_length("w") + 1
+    sums = words.agg(F.count("*").alias("types"), *[F.coalesce(F.sum(x), F.lit(0)).alias(f"{name}{i}") for name, by in (("t", 1), ("p", length)) for i, x in enumerate(F.col(c) * by for c in COUNTS)]).first()
+    total, positions = (np.array([sums[f"{name}{i}"] for i in range(len(COUNTS))], np.int64).reshape(2, FOLDS) for name in "tp")
+    word_n = _folds(listed)
+    others = total.sum() - word_n.sum()
+    rare = max(others, 1) / max(sums["types"] - len(names), 1) / max(total.sum(), 1)
+    in_texts, all_texts, codes, letters = shared_counts(docs, names)
+    keys, context, gram_n = frequent_grams(words)
+    return Counts(names, word_n, total, (in_texts + 0.5) / all_texts, float(rare), keys, context, gram_n, positions, codes, letters)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000) -> NgramModel:
     """Train on labelled documents that are not held out.
 
     ``max_train_docs`` bounds the labelled sample and so the model; texts that repeat
     count once.  Labels other than 0 and 1 and rows without an id are left out, of several
-    labels of one document the highest counts.  With fewer than two classes every score is
-    one half.
+    labels of one document the highest counts.  With fewer than two classes, or if toxic
+    training texts do not have the higher ratios, every score is one half.
     """
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null").filter(~held_out())
     sample = labelled.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs)
     d = doc_frame(docs)
     texts = d.join(F.broadcast(sample), "doc_id").groupBy(F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
     train = cut_lineage(texts.select("text", "label", F.pmod("t", F.lit(FOLDS)).cast("int").alias("fold")))
-    symbols, outside = find_symbols(train, min_texts)
-    counts = gather(pair_counts(train, symbols), shared_counts(d, symbols), min_pair)
-    models = [NgramModel(symbols, (class_model(c, 0), class_model(c, 1)), np.zeros(3)) for c in counts]
-    shared = docs.sparkSession.sparkContext.broadcast((models, outside))
+    counts = count(d, train)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, outside = shared.value
+        models = [NgramModel(shared.value, k) for k in range(FOLDS)]
         for batch in batches:
-            rows = [models[1 + fold].features(outside[fold][models[0].symbols.of(words_of(text.as_py()))]) for text, fold in zip(batch.column(0), batch.column(1).to_pylist(), strict=True)]
-            x = np.array(rows, float).reshape(-1, 3)
-            yield pa.record_batch([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column(2)], names=["mean", "telling", "label"])
-
-    held = train.select("text", "fold", "label").mapInArrow(run, "mean double, telling double, label int").toArrow()
-    x, y = np.column_stack([held.column(0).to_numpy(), held.column(1).to_numpy(), np.ones(held.num_rows)]), held.column(2).to_numpy().astype(float)
+            fold, mean = batch.column(1).to_numpy(), np.zeros(batch.num_rows)
+            for k in np.unique(fold):
+                mean[fold == k] = models[k].means(batch.column(0).filter(pa.array(fold == k)))[0]
+            yield pa.record_batch([pa.array(mean), batch.column(2)], names=["mean", "label"])
+
+    held = train.select("text", "fold", "label").mapInArrow(run, "mean double, label int").toArrow()
+    model = NgramModel(counts)
+    x, y = model.features(held.column(0).to_numpy()), held.column(1).to_numpy().astype(float)
     weights = fit_logistic(x, y)
-    if weights[:2].min() < 0:  # a score never falls as a ratio rises: what speaks against that is left out
-        free = [k for k in (0, 1) if weights[k] > 0] + [2]
-        weights = np.zeros(3)
-        if len(free) > 1:
-            weights[free] = fit_logistic(x[:, free], y)
-    if weights.any():
-        weights[2] += np.log(0.7 / 0.3) - best_cut(x @ weights, y)
-    models[0].weights = weights
-    return models[0]
+    if weights[0] > 0:
+        weights[1] += np.log(0.7 / 0.3) - best_cut(x @ weights, y)
+        model.weights = weights
+    return model
 
 
 def toxicity(docs: DataFrame, model: NgramModel, threshold: float = 0.7) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_cases import brute_windows, feistel
 from pyspark.sql import functions as F
@@ -226,67 +227,58 @@ def test_toxicity_learns_rare_words_by_stem(spark):
     assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.97
 
 
-def plain_counts(texts, symbols):
-    """Counts of a list of (words, label), in plain Python."""
-    n, pairs, shared = symbols.n, [Counter(), Counter()], np.zeros(symbols.n)
-    for words, label in texts:
-        ids = symbols.of(words).tolist()
-        pairs[label].update(set(zip([n, *ids[:-1]], ids)))
-        shared[list(set(ids))] += 1
-    return pairs, shared
+def plain_spelling(words, letter):
+    """The character model of words with repeats, from its definition: P of a word."""
+    order, discount, n = toxicity_kn.ORDER, toxicity_kn.DISCOUNT, Counter()
+    for w in words:
+        s = f"\x01{w}\x02"
+        n.update((s[max(0, i - k + 1) : i], s[i]) for i in range(1, len(s)) for k in range(1, min(order, i + 1) + 1))
 
+    def probability(h, x):
+        under = {c: m for (g, c), m in n.items() if g == h}
+        kept = {c: max(m - discount, 0) / sum(under.values()) for c, m in under.items()}
+        return kept.get(x, 0) + (1 - sum(kept.values())) * (probability(h[1:], x) if h else letter(x))
 
-def plain_probability(pairs, shared, min_pair, label, left, right):
-    """Interpolated Kneser-Ney from its definition."""
-    own, both = pairs[label], pairs[0] + pairs[1]
-    discount = lambda values: (values.count(1) + 0.5) / (values.count(1) + 2 * values.count(2) + 1)
-    continuation = Counter(w for _, w in own)
-    d, total = discount(list(continuation.values())), sum(continuation.values())
-    kept = {w: max(c - d, 0) / total for w, c in continuation.items()}
-    word = kept.get(right, 0) + (1 - sum(kept.values())) * (shared[right] + 0.5) / (shared + 0.5).sum()
-    d2, context = discount(list(own.values())), max(1, sum(c for (v, _), c in own.items() if v == left))
-    used = {p: max(own[p] - d2, 0) / context for p, c in both.items() if c >= min_pair and p[0] == left}
-    return used.get((left, right), 0) + (1 - sum(used.values())) * word
+    def word(w):
+        s = f"\x01{w}\x02"
+        return np.prod([probability(s[max(0, i - order + 1) : i], s[i]) for i in range(1, len(s))])
 
+    return word, probability
 
-def test_toxicity_is_interpolated_kneser_ney(spark):
+
+def test_toxicity_is_kneser_ney_of_words_and_their_spelling(spark):
     rng = random.Random(12)
-    vocab = [f"w{i}" for i in range(12)] + ["abcdefg1", "abcdefh2", "rare"]
-    texts = [([rng.choice(vocab[:12] if rng.random() < 0.9 else vocab) for _ in range(rng.randint(0, 30))], i % 3 // 2) for i in range(60)]
-    train = spark.createDataFrame([(" ".join(w), y, i % 4) for i, (w, y) in enumerate(texts)], "text string, label int, fold int").repartition(3)
-    symbols, outside = toxicity_kn.find_symbols(train, 4)
-    counts = toxicity_kn.gather(toxicity_kn.pair_counts(train, symbols), toxicity_kn.shared_counts(train, symbols), 8)
-    for k, c in enumerate(counts):
-        pairs, shared = plain_counts([t for i, t in enumerate(texts) if k == 0 or i % 4 != k - 1], symbols)
-        every, shared = plain_counts(texts, symbols)
-        n = symbols.n
+    vocab = [a + b for a in ("ab", "ba", "longer", "\u00e9") for b in ("", "a", "bx", "tail")]
+    texts = [([rng.choice(vocab) for _ in range(rng.randint(0, 9))], i % 3 // 2, i % 4) for i in range(60)]
+    train = spark.createDataFrame([(" ".join(w), y, f) for w, y, f in texts], "text string, label int, fold int").repartition(3)
+    counts = toxicity_kn.count(train, train)
+    asked = [*vocab, "new", "longerab"]
+    for without in (None, 0, 3):
+        model = toxicity_kn.NgramModel(counts, without)
+        letter = lambda x: dict(zip(model.letter_keys.tolist(), model.letters.tolist())).get(ord(x), model.letters.min() / 2)
+        own, spelled = [], model.spelled(asked)
         for label in (0, 1):
-            model = toxicity_kn.class_model(c, label)
-            cutoff = {p for p, m in (every[0] + every[1]).items() if m >= 8}
-            for left in range(n + 1):
-                p = model.probability(np.full(n, left), np.arange(n))
-                assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
-                if k == 0:
-                    assert np.allclose(p, [plain_probability(pairs, shared, 8, label, left, w) for w in range(n)])
-            assert len(c.pair_keys) == len(cutoff)
-
-
-def test_symbols_outside_a_fold_are_those_of_its_unseen_texts(spark):
-    rng = random.Random(5)
-    vocab = ["often", "other"] + [f"stem{c}{i}" for c in "ab" for i in range(4)]
-    texts = [(" ".join(rng.choices(vocab, k=3)), i % 4) for i in range(24)]
-    train = spark.createDataFrame(texts, "text string, fold int").repartition(3)
-    symbols, outside = toxicity_kn.find_symbols(train, 6)
-    count = lambda w, k=None: sum(w in t.split() for t, f in texts if f != k)
-    rare = {w for w in vocab if count(w) < 6}
-    in_class = lambda s, k=None: sum(count(w, k) for w in rare if w[:5] == s)
-    assert set(symbols.words) == set(vocab) - rare and set(symbols.stems) == {s for s in {w[:5] for w in rare} if in_class(s) >= 6}
-    for k in range(4):
-        for w, i in symbols.words.items():
-            stem = w[:5] if w[:5] in symbols.stems and in_class(w[:5], k) >= 6 else None
-            assert outside[k, i] == (i if count(w, k) >= 6 else symbols.stems.get(stem, 0))
-        for w, i in symbols.stems.items():
-            assert outside[k, i] == (i if in_class(w, k) >= 6 else 0)
+            seen = [w for words, y, f in texts if y == label and f != without for w in set(words)]
+            plain, probability = plain_spelling(seen, letter)
+            assert np.allclose(spelled[:, label], [plain(w) for w in asked])
+            assert abs(sum(probability("\x01longe"[-(toxicity_kn.ORDER - 1) :], chr(int(c))) for c in model.letter_keys) - 1) < 1e-9
+            kept = {w: m - 1 for w, m in Counter(seen).items() if m >= 3}
+            back = 1 - sum(kept.values()) / len(seen)
+            shared = [(sum(w in words for words, _, _ in texts) + 0.5) / sum(len(set(words)) for words, _, _ in texts) if w in counts.words else counts.rare for w in asked]
+            own.append([kept.get(w, 0) / len(seen) + back * (q + s) / 2 for w, q, s in zip(asked, shared, spelled[:, label])])
+        assert np.allclose(model.log_ratios(asked), np.log1p(toxicity_kn.SHARE * (np.array(own[1]) / own[0] - 1)))
+
+
+def test_toxicity_score_rises_with_the_mean_log_ratio_of_the_whole_text(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(["plain", "usual", "words", "here"], k=40) + ["awful"] * (i % 4 == 0))) for i in range(300)], "doc_id long, text string")
+    model = toxicity_kn.fit(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
+    assert model.weights[0] > 0
+    texts = pa.array(["", "plain usual", "awful", "awful " + "plain " * 30, "plain " * 30 + "awful", "awful " + "plain " * 3000, None])
+    mean, n = model.means(texts)
+    score, _ = model.scores(texts)
+    assert (np.argsort(mean, kind="stable") == np.argsort(score, kind="stable")).all() and list(n) == [0, 2, 1, 31, 31, 3001, 0]
+    assert score[3] == pytest.approx(score[4]) and score[2] > score[3] > score[5] and score[0] == score[6]
 
 
 def test_toxicity_without_two_classes(spark, none):
