@@ -22,6 +22,8 @@ from lociweave.operators.ordered import last_value, running_total
 
 #: Largest block of a matrix that is sent to all executors at once.
 BLOCK_BYTES = 64 << 20
+#: Rows of the two sides of a product that a worker holds at once.
+TILE = (256, 2048)
 
 
 def _matrix(values) -> np.ndarray:
@@ -107,11 +109,10 @@ def pair_scan(snps: DataFrame, genes: DataFrame, t_crit: float | None = None, bl
     partitions in a scan of its own, so the SNP table is read once per block.
     """
 
-    def made(snp: pd.DataFrame, gene: pd.DataFrame, beta: np.ndarray, se: np.ndarray, t: np.ndarray) -> pd.DataFrame:
-        i, j = np.nonzero(np.ones(beta.shape, bool) if t_crit is None else np.abs(np.nan_to_num(t)) > t_crit)
-        return pd.DataFrame({"snp": snp["feature_id"].to_numpy()[i], "gene": gene["feature_id"].to_numpy()[j], "beta": beta[i, j], "se": se[i, j], "t": t[i, j]})
+    def made(snp: pd.DataFrame, gene: pd.DataFrame, i: np.ndarray, j: np.ndarray, beta: np.ndarray, se: np.ndarray, t: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"snp": snp["feature_id"].to_numpy()[i], "gene": gene["feature_id"].to_numpy()[j], "beta": beta, "se": se, "t": t})
 
-    out = _scan_blocks(snps.select("feature_id", "values"), genes.select("feature_id", "values"), made, "snp long, gene long, beta double, se double, t double", block_bytes)
+    out = _scan_blocks(snps.select("feature_id", "values"), genes.select("feature_id", "values"), _found_pairs(t_crit, made), "snp long, gene long, beta double, se double, t double", block_bytes)
     return out.select("snp", "gene", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("beta", "se", "t")])
 
 
@@ -124,37 +125,112 @@ def cis_trans_pairs(snps: DataFrame, genes: DataFrame, cis_t: float, trans_t: fl
     """
     kinds = dict(snps.dtypes) | {"fgeneid": dict(genes.dtypes)["fgeneid"]}
 
-    def made(snp: pd.DataFrame, gene: pd.DataFrame, beta: np.ndarray, se: np.ndarray, t: np.ndarray) -> pd.DataFrame:
-        pos, start, end = snp["pos"].to_numpy(float)[:, None], gene["start"].to_numpy(float)[None, :], gene["end"].to_numpy(float)[None, :]
-        same = (snp["chrom"].to_numpy()[:, None] == gene["chrom"].to_numpy()[None, :]) & snp["chrom"].notna().to_numpy()[:, None]
+    def made(snp: pd.DataFrame, gene: pd.DataFrame, i: np.ndarray, j: np.ndarray, beta: np.ndarray, se: np.ndarray, t: np.ndarray) -> pd.DataFrame:
+        pos, start, end = snp["pos"].to_numpy(float)[i], gene["start"].to_numpy(float)[j], gene["end"].to_numpy(float)[j]
+        same = (snp["chrom"].to_numpy()[i] == gene["chrom"].to_numpy()[j]) & snp["chrom"].notna().to_numpy()[i]
         cis = same & (((pos > start) & (pos < end)) | (np.abs(pos - start) < reach) | (np.abs(pos - end) < reach))
-        i, j = np.nonzero(np.abs(np.nan_to_num(t)) > np.where(cis, cis_t, trans_t))
-        return pd.DataFrame({"chrom": snp["chrom"].to_numpy()[i], "fgeneid": gene["fgeneid"].to_numpy()[j], "pos": snp["pos"].to_numpy()[i], "theta": beta[i, j], "serr": se[i, j], "is_cis": cis[i, j]})
+        rows = pd.DataFrame({"chrom": snp["chrom"].to_numpy()[i], "fgeneid": gene["fgeneid"].to_numpy()[j], "pos": snp["pos"].to_numpy()[i], "theta": beta, "serr": se, "is_cis": cis})
+        return rows[np.abs(t) > np.where(cis, cis_t, trans_t)]
 
     left, right = snps.select("feature_id", "values", "chrom", "pos"), genes.select("feature_id", "values", "chrom", "start", "end", "fgeneid")
-    return _scan_blocks(left, right, made, f"chrom {kinds['chrom']}, fgeneid {kinds['fgeneid']}, pos {kinds['pos']}, theta double, serr double, is_cis boolean", block_bytes)
+    return _scan_blocks(left, right, _found_pairs(min(cis_t, trans_t), made), f"chrom {kinds['chrom']}, fgeneid {kinds['fgeneid']}, pos {kinds['pos']}, theta double, serr double, is_cis boolean", block_bytes)
 
 
-def _scan_blocks(snps: DataFrame, genes: DataFrame, made: Callable, schema: str, block_bytes: int) -> DataFrame:
-    """Rows that ``made`` gives of each SNP part and gene block with their beta, se and t."""
+def scan_shares(snps: DataFrame, genes: DataFrame, t_crit: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(feature_id, is_gene, n_pairs, share): of each feature of a scan the share of its pairs whose
+    |t| exceeds the critical value.
+
+    The workers count and no pair leaves them: a row per variant and block, and a row per gene
+    and task are all that is shuffled.
+    """
+
+    def counted(frames: Iterator[pd.DataFrame], gene: pd.DataFrame, e: np.ndarray) -> Iterator[pd.DataFrame]:
+        seen, hits = 0, np.zeros(len(gene), np.int64)
+        for frame in frames:
+            own = np.zeros(len(frame), np.int64)
+            for part, at, g in _parts(frame):
+                for to, i, j, *_ in tile_pairs(g, e, t_crit, effects=False):
+                    own[at : at + len(part)] += np.bincount(i, minlength=len(part))
+                    hits[to : to + TILE[1]] += np.bincount(j, minlength=len(hits[to : to + TILE[1]]))
+            seen += len(frame)
+            yield pd.DataFrame({"feature_id": frame["feature_id"], "is_gene": False, "n_pairs": len(gene), "hits": own})
+        if seen:
+            yield pd.DataFrame({"feature_id": gene["feature_id"], "is_gene": True, "n_pairs": seen, "hits": hits})
+
+    counts = _scan_blocks(snps.select("feature_id", "values"), genes.select("feature_id", "values"), counted, "feature_id long, is_gene boolean, n_pairs long, hits long", block_bytes)
+    sums = counts.groupBy("feature_id", "is_gene").agg(F.sum("n_pairs").alias("n_pairs"), F.sum("hits").alias("hits"))
+    return sums.select("feature_id", "is_gene", "n_pairs", (F.col("hits") / F.col("n_pairs")).alias("share"))
+
+
+def _parts(frame: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, int, np.ndarray]]:
+    """Runs of rows of a frame with their place and their matrix."""
+    for at in range(0, len(frame), TILE[0]):
+        part = frame.iloc[at : at + TILE[0]]
+        yield part, at, _matrix(part["values"].tolist())
+
+
+def _found_pairs(t_crit: float | None, made: Callable) -> Callable:
+    """Rows that ``made`` gives of the pairs of each tile, which are all or exceed ``t_crit``."""
+
+    def run(frames: Iterator[pd.DataFrame], gene: pd.DataFrame, e: np.ndarray) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part, _, g in _parts(frame):
+                for to, *found in tile_pairs(g, e, t_crit):
+                    yield made(part, gene.iloc[to : to + TILE[1]], *found)
+
+    return run
+
+
+def _scan_blocks(snps: DataFrame, genes: DataFrame, scan: Callable, schema: str, block_bytes: int) -> DataFrame:
+    """Rows that ``scan`` gives of each SNP partition (frames) and gene block (frame, matrix)."""
     ship_package(snps.sparkSession)
     sc = snps.sparkSession.sparkContext
+    # a few small files would leave most cores without work, and a pair costs more than a row
+    snps = snps.repartition(2 * sc.defaultParallelism, "feature_id")
     out = None
     for block in _blocks(genes, block_bytes):
         shared = sc.broadcast((block.drop(columns="values"), _matrix(block["values"].tolist())))
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            gene, e = shared.value
-            for frame in frames:
-                for at in range(0, len(frame), 512):
-                    part = frame.iloc[at : at + 512]
-                    yield made(part, gene, *scan_block(_matrix(part["values"].tolist()), e))
+            return scan(frames, *shared.value)
 
         rows = snps.mapInPandas(run, schema)
         out = rows if out is None else out.unionByName(rows)
     return snps.sparkSession.createDataFrame([], schema) if out is None else out
 
 
+def tile_pairs(g: np.ndarray, e: np.ndarray, t_crit: float | None = None, effects: bool = True) -> Iterator[tuple]:
+    """(first, i, j, beta, se, t) of the pairs of rows of two arrays in tiles of ``TILE[1]`` rows of the
+    second, j from the tile's first; all pairs, or those whose |t| exceeds ``t_crit``.
+
+    A tile is all that is held, however many rows the second array has.  With a threshold
+    beta, se and t are formed for what exceeds it; without ``effects`` beta and se are null.
+    """
+    if g.shape[1] != e.shape[1]:
+        raise ValueError("the two matrices have different numbers of individuals")
+    n = g.shape[1]
+    bar = None if t_crit is None or t_crit <= 0 or n <= 2 else t_crit / np.sqrt(n - 2 + t_crit * t_crit) * (1 - 1e-9)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        raw, gc = (g * g).sum(axis=1), g - g.mean(axis=1, keepdims=True)
+        u = gc / np.sqrt((gc * gc).sum(axis=1, keepdims=True))
+        for to in range(0, len(e), TILE[1]):
+            own = e[to : to + TILE[1]]
+            ec = own - own.mean(axis=1, keepdims=True)
+            r = u @ (ec / np.sqrt((ec * ec).sum(axis=1, keepdims=True))).T
+            i, j = np.nonzero(np.ones(r.shape, bool) if bar is None else np.abs(r) > bar)
+            r = r[i, j]
+            t = np.sqrt(n - 2) * r / np.sqrt(1 - r * r)
+            t[~np.isfinite(t)] = np.nan
+            if t_crit is not None:
+                kept = np.abs(t) > t_crit
+                i, j, t = i[kept], j[kept], t[kept]
+            beta = (g @ own.T)[i, j] / raw[i] if effects else np.full(len(i), np.nan)
+            se = beta / t
+            beta[~np.isfinite(beta)] = np.nan
+            se[~np.isfinite(se)] = np.nan
+            yield to, i, j, beta, se, t
+
+
 def scan_block(g: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """beta, se, t of all pairs of rows of two arrays over the same individuals."""
     if g.shape[1] != e.shape[1]:
@@ -261,6 +337,13 @@ def scan_legends(scan: DataFrame, snp_legend: DataFrame, gene_legend: DataFrame,
     return snp_legend.join(share("snp", "sig_genes"), "feature_id", "left"), gene_legend.join(share("gene", "sig_snps"), "feature_id", "left")
 
 
+def scan_legends_of(snps: DataFrame, genes: DataFrame, snp_legend: DataFrame, gene_legend: DataFrame, t_crit: float) -> tuple[DataFrame, DataFrame]:
+    """``scan_legends`` of the scan of two matrix tables, which is counted once and never listed."""
+    shares = cut_lineage(scan_shares(snps, genes, t_crit))
+    own = lambda is_gene, name: shares.filter(F.col("is_gene") == is_gene).select("feature_id", F.col("share").alias(name))
+    return snp_legend.join(own(False, "sig_genes"), "feature_id", "left"), gene_legend.join(own(True, "sig_snps"), "feature_id", "left")
+
+
 def covariance_to_correlation(pairs: DataFrame) -> DataFrame:
     """(i, j, value) covariances scaled by both variances; unit diagonal, null without variance."""
     var = pairs.filter("i = j").select(F.col("i").alias("k"), F.col("value").alias("v"))

@@ -516,3 +516,23 @@ def test_stages_are_stored_and_dropped(spark):
     assert df.count() == 5 and "Scan parquet" in df._jdf.queryExecution().toString() or df.inputFiles()
     drop_stages(spark)
     assert cut_lineage(spark.range(3)).count() == 3
+
+
+def test_scan_tiles_are_bounded_and_complete():
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    g, e = rng.normal(size=(200, 8)), rng.normal(size=(30_000, 8))
+    g[3], e[5] = 2.0, 0.0  # constant features have no t
+    tracemalloc.start()
+    got = {}
+    for to, i, j, beta, se, t in matrix.tile_pairs(g, e, 9.0):
+        got |= {(a, to + b): x for a, b, *x in zip(i.tolist(), j.tolist(), beta, se, t, strict=True)}
+    assert tracemalloc.get_traced_memory()[1] < 30_000_000  # one array of all pairs is 48 MB
+    tracemalloc.stop()
+    beta, se, t = matrix.scan_block(g, e)
+    want = set(zip(*np.nonzero(np.abs(np.nan_to_num(t)) > 9.0), strict=True))
+    assert set(got) == want and len(want) > 100
+    assert all(np.allclose(x, (beta[p], se[p], t[p]), rtol=1e-8) for p, x in got.items())
+    every = list(matrix.tile_pairs(g[:4], e[:9]))
+    assert sum(len(x[1]) for x in every) == 36 and np.isnan(every[0][5]).sum() == 12
