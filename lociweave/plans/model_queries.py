@@ -180,8 +180,7 @@ WITH {_SCAN}, k AS (SELECT *, CASE WHEN abs(t) > 2.0 THEN 1.0 ELSE 0.0 END AS hi
 SELECT feature_id, label AS chrom, round(share, 6) AS share FROM (SELECT snp AS feature_id, avg(hit) AS share FROM k GROUP BY 1 UNION ALL SELECT gene, avg(hit) FROM k GROUP BY 1) JOIN {_LINKED} USING (feature_id)""")
 def scan_legend_shares(spark, sf_dir):
     """Both legends of a scan with each feature's share of significant pairs."""
-    scan = matrix.pair_scan(_kind(spark, sf_dir, 0), _kind(spark, sf_dir, 1))
-    snps, genes = matrix.scan_legends(scan, _legend(spark, sf_dir, 0), _legend(spark, sf_dir, 1), 2.0)
+    snps, genes = matrix.scan_legends_of(_kind(spark, sf_dir, 0), _kind(spark, sf_dir, 1), _legend(spark, sf_dir, 0), _legend(spark, sf_dir, 1), 2.0)
     both = snps.select("feature_id", "chrom", F.col("sig_genes").alias("share")).unionByName(genes.select("feature_id", "chrom", F.col("sig_snps").alias("share")))
     return _rounded(both, {"share": 6})
 
