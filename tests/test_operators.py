@@ -536,3 +536,14 @@ def test_scan_tiles_are_bounded_and_complete():
     assert all(np.allclose(x, (beta[p], se[p], t[p]), rtol=1e-8) for p, x in got.items())
     every = list(matrix.tile_pairs(g[:4], e[:9]))
     assert sum(len(x[1]) for x in every) == 36 and np.isnan(every[0][5]).sum() == 12
+
+
+def test_t_functions_see_each_distinct_value_once():
+    from lociweave.functions import tdist
+
+    asked = []
+    back = tdist._by_distinct(lambda p, df: asked.append(len(p)) or p + df, np.tile([0.1, 0.2, np.inf], 400), np.repeat([1.0, 2.0], 600))
+    assert asked == [6] and np.array_equal(back, np.tile([0.1, 0.2, np.inf], 400) + np.repeat([1.0, 2.0], 600))
+    t = tdist.quantiles(np.array([0.5, 0.25, 1e-290, 0.45, 0.6, np.nan]), np.array([3.0, 1.0, 2.0, 337.0, 3.0, 3.0]))
+    assert t[0] == 0 and math.isclose(t[1], 1.0, rel_tol=1e-13) and np.isnan(t[4:]).all()
+    assert np.allclose(tdist.upper_tail(t[1:4], np.array([1.0, 2.0, 337.0])), [0.25, 1e-290, 0.45], rtol=1e-11, atol=0)
