@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociweave.cluster import cut_lineage
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -101,10 +103,40 @@ def describe_store(spark: SparkSession, store: str, names: list[str]) -> DataFra
     return spark.createDataFrame(out, "table_name string, column_name string, type string, n_rows long")
 
 
+#: Tiles of a pair table that one folder holds, by row and by column, and files of a folder at most per write.
+FOLDER_TILES, FOLDER_FILES = 256, 8
+
+
 def write_pair_block(pairs: DataFrame, store: str, name: str, tile: int) -> None:
-    """Write a block of a pair table; its (row, column) tiles replace stored ones."""
-    block = pairs.withColumn("row_block", F.floor((F.col("i") - 1) / tile)).withColumn("col_block", F.floor((F.col("j") - 1) / tile))
-    block.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("row_block", "col_block").parquet(f"{store}/{name}")
+    """Write a block of a pair table; its (row, column) tiles replace stored ones.
+
+    A folder holds a square of tiles, so a large table has few folders and files.  The folders that
+    the block touches are written anew: their stored tiles that the block lacks, and the block.
+    """
+    spark, path = pairs.sparkSession, f"{store}/{name}"
+    at = lambda c: F.floor((F.col(c) - 1) / tile)
+    folder = lambda c: F.coalesce(F.floor(F.col(c) / FOLDER_TILES), F.lit(-1))
+    block = pairs.withColumn("row_block", at("i")).withColumn("col_block", at("j")).withColumn("row_folder", folder("row_block")).withColumn("col_folder", folder("col_block"))
+    if _exists(spark, path):
+        block = cut_lineage(block)
+        tiles = block.select("row_folder", "col_folder", "row_block", "col_block").distinct()
+        touched = [(r["row_folder"], r["col_folder"]) for r in tiles.select("row_folder", "col_folder").distinct().toLocalIterator()]
+        stored = spark.read.schema(block.schema).parquet(path)
+        gone = tiles.select(F.col("row_block").alias("_row"), F.col("col_block").alias("_col"))
+        for first in range(0, len(touched), 256):
+            some = touched[first : first + 256]
+            own = spark.createDataFrame(some, "row_folder long, col_folder long")
+            old = stored.filter(F.col("row_folder").isin(sorted({r for r, _ in some}))).join(F.broadcast(own), ["row_folder", "col_folder"], "left_semi")
+            left = old.join(gone, F.col("row_block").eqNullSafe(F.col("_row")) & F.col("col_block").eqNullSafe(F.col("_col")), "left_anti")
+            both = left.select(block.columns).unionByName(block.join(F.broadcast(own), ["row_folder", "col_folder"], "left_semi").select(block.columns))
+            _write_folders(cut_lineage(both), path)
+    else:
+        _write_folders(block, path)
+
+
+def _write_folders(block: DataFrame, path: str) -> None:
+    dealt = block.repartition("row_folder", "col_folder", F.pmod("row_block", F.lit(FOLDER_FILES)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("row_folder", "col_folder").parquet(path)
 
 
 def band_to_pairs(band: DataFrame) -> DataFrame:

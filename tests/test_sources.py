@@ -57,6 +57,21 @@ def test_pair_blocks_and_bands(spark, store):
     assert spark.read.csv(f"{store}/out", sep="\t", header=True).count() == 2
 
 
+def test_pair_blocks_share_folders(spark, store):
+    import glob
+
+    pairs = spark.range(1, 3001).select(F.col("id").alias("i"), (F.col("id") % 7 + 1).alias("j"), F.lit(1.0).alias("value"))
+    tables.write_pair_block(pairs.union(spark.createDataFrame([(None, 1, 4.0)], "i long, j long, value double")), store, "p", 2)
+    tables.write_pair_block(pairs.filter("i in (3, 2001)").withColumn("value", F.lit(2.0)).union(spark.createDataFrame([(None, 2, 9.0)], "i long, j long, value double")), store, "p", 2)
+    tables.write_pair_block(pairs.limit(0), store, "p", 2)
+    got = {(r["i"], r["j"]): r["value"] for r in tables.read_table(spark, store, "p", ["i", "j", "value"]).collect()}
+    tile = lambda i, j: ((i - 1) // 2, (j - 1) // 2)
+    new = {tile(i, i % 7 + 1): i for i in (3, 2001)}
+    want = {(i, i % 7 + 1): 2.0 if i in (3, 2001) else 1.0 for i in range(1, 3001) if new.get(tile(i, i % 7 + 1), i) == i}
+    assert got == want | {(None, 2): 9.0}
+    assert len(glob.glob(f"{store}/p/*/*".replace("file://", ""))) <= 8  # 1,500 rows of tiles
+
+
 def test_summary_bundle(spark):
     effects = spark.createDataFrame([("rs1", 0.1), ("rs2", 0.2)], "rsid string, beta double")
     ld = spark.createDataFrame([("rs1", "rs2", 0.3), ("rs1", "rs9", 0.4)], "i string, j string, r double")
