@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociweave.cluster import cut_lineage
 from lociweave.functions import columns as c
 from lociweave.operators import ld, matrix, mixture, regress, relational
 from lociweave.plans import studies
@@ -300,9 +301,10 @@ def _effects(spark, sf_dir) -> DataFrame:
 @register(", ".join(_EM) + " SELECT chrom, round(pi, 8) AS pi, round(slab, 8) AS slab FROM s2")
 def mixture_em_steps(spark, sf_dir):
     effects = _effects(spark, sf_dir)
-    params = effects.select("chrom").distinct().select("chrom", F.lit(0.3).alias("pi"), F.lit(0.01).alias("slab"))
+    # stored, so that the join knows how small the parameters are and does not deal the effects by chromosome
+    params = cut_lineage(effects.select("chrom").distinct().select("chrom", F.lit(0.3).alias("pi"), F.lit(0.01).alias("slab")))
     for _ in range(2):
-        params = mixture.em_step(effects, params, "chrom").select("chrom", "pi", "slab")
+        params = cut_lineage(mixture.em_step(effects, params, "chrom").select("chrom", "pi", "slab"))
     return _rounded(params, {"pi": 8, "slab": 8})
 
 

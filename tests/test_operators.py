@@ -547,3 +547,14 @@ def test_t_functions_see_each_distinct_value_once():
     t = tdist.quantiles(np.array([0.5, 0.25, 1e-290, 0.45, 0.6, np.nan]), np.array([3.0, 1.0, 2.0, 337.0, 3.0, 3.0]))
     assert t[0] == 0 and math.isclose(t[1], 1.0, rel_tol=1e-13) and np.isnan(t[4:]).all()
     assert np.allclose(tdist.upper_tail(t[1:4], np.array([1.0, 2.0, 337.0])), [0.25, 1e-290, 0.45], rtol=1e-11, atol=0)
+
+
+def test_em_query_broadcasts_its_parameters(spark, sf_dir):
+    from lociweave.plans.queries import QUERIES
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")  # less than the effects
+    try:
+        assert "SortMergeJoin" not in QUERIES["mixture_em_steps"](spark, sf_dir)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
