@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociweave.llm import fm_decontam, pivotal_mix, shingle_jaccard, slot_sharding, toxicity_kn
+from lociweave.llm import fm_decontam, golay_simhash, pivotal_mix, slot_sharding, toxicity_kn
 from lociweave.llm.common import cut_lineage, table
 
 
@@ -18,9 +18,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group linked by a Jaccard similarity of five-word shingles of
-    0.8 or more: the smallest doc_id; null and wordless texts are one group, null ids stay."""
-    return shingle_jaccard.keep_one_copy(docs)
+    """One document stays of each group: the smallest doc_id.  Texts are linked by operator 8's Golay
+    keys and fingerprints (three bits), and by a Jaccard similarity of five-word shingles of 0.8 or
+    more, which fingerprints miss; null and wordless texts are one group, null ids stay."""
+    return golay_simhash.keep_one(docs, jaccard=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

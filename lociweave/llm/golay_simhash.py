@@ -179,9 +179,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> Dat
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
-    return keep_first(docs, near_duplicates(docs, shingle, max_bits))
+def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3, jaccard: float | None = None) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest doc_id.
+
+    With ``jaccard`` texts whose five-word shingles are that similar are linked as well, and the
+    groups are the components of both kinds of links: edited copies often differ in more bits.
+    """
+    groups = near_duplicates(docs, shingle, max_bits).select("doc_id", "component_id")
+    if jaccard is not None:
+        from lociweave.llm.shingle_jaccard import near_copies
+
+        both = groups.unionByName(near_copies(docs, jaccard)).filter("doc_id <> component_id")
+        found = connected_components(both.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+        groups = found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    return keep_first(docs, groups)
 
 
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:

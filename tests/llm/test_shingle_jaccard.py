@@ -98,3 +98,18 @@ def test_keep_one_copy_takes_odd_rows(spark, odd, none):
         assert out.columns == docs.columns and out.count() <= docs.count()
     left = [r["doc_id"] for r in shingle_jaccard.keep_one_copy(odd).collect()]
     assert left.count(3) == 1 and 106 not in left and left.count(100) == 1 and 101 not in left and None in left
+
+
+def test_stage_links_by_fingerprints_and_by_shingles(spark, sf_dir):
+    """2 is within three bits of 1 and under 0.8 similar to it."""
+    import corpus_pipeline
+    from lociweave.llm.golay_simhash import simhash
+
+    bits = lambda a, b: (simhash([w.encode() for w in a], 3) ^ simhash([w.encode() for w in b], 3)).bit_count()
+    alike = lambda a, b: (lambda x, y: len(x & y) / len(x | y))(*[set(zip(*[t[i:] for i in range(5)], strict=False)) for t in (a, b)])
+    common = [f"c{i % 3}" for i in range(300)]  # few distinct shingles, many repeats
+    first, second = [*common, *[f"a{i}" for i in range(12)]], [*common, *[f"b{i}" for i in range(12)]]
+    assert bits(first, second) <= 3 and alike(first, second) < 0.8
+    rows = [(1, " ".join(first), "en", "a", 1), (2, " ".join(second), "en", "a", 1), (4, "another text of a few words", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()) == [1, 4]
