@@ -19,12 +19,14 @@ def top_hit_per_block(hits: DataFrame, t_crit: float, block: int = 20_000, chrom
 
     The threshold is a predicate; blocks are counted from the smallest position of all
     variants of the chromosome, significant or not; the largest |t| is the smallest p.
+    The first positions, one row per chromosome, are broadcast: a join dealt by chromosome would
+    leave the hits, and then the partial minima of all their blocks, in one task per chromosome.
     """
     first = hits.groupBy(F.col(chrom).alias("_chrom")).agg(F.min(pos).alias("_first"))
     t = F.abs(F.try_divide(F.col(effect), F.col(error)))
     kept = hits.withColumn("abs_t", t).filter(F.col("abs_t") > t_crit)
     kept = kept if gwas is None else kept.join(gwas, [chrom, pos])
-    placed = kept.join(first, F.col(chrom) == F.col("_chrom")).withColumn("block", block_number(F.col(pos), F.col("_first"), block)).drop("_chrom", "_first")
+    placed = kept.join(F.broadcast(first), F.col(chrom) == F.col("_chrom")).withColumn("block", block_number(F.col(pos), F.col("_first"), block)).drop("_chrom", "_first")
     return group_minimum(placed, [chrom, gene, "block"], -F.col("abs_t"))
 
 

@@ -1,6 +1,7 @@
 """Operators against plain numpy and on hand-made cases."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -558,3 +559,21 @@ def test_em_query_broadcasts_its_parameters(spark, sf_dir):
         assert "SortMergeJoin" not in QUERIES["mixture_em_steps"](spark, sf_dir)._jdf.queryExecution().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_top_hits_are_not_dealt_by_chromosome(spark):
+    rows = [(c, g, p, float(1 + (7 * p + g) % 5), 0.5) for c in (1, 2) for g in (1, 2) for p in range(3, 40)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with a large table
+    try:
+        best = studies.top_hit_per_block(spark.createDataFrame(rows, "chrom long, fgeneid long, pos long, theta double, serr double"), 3.0, 10)
+        plan = best._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["chrom"], r["fgeneid"], r["block"], r["pos"]) for r in best.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not re.search(r"SortMergeJoin \[chrom#\d+L?\], \[", plan)
+    most = {}
+    for c_, g, p, theta, serr in rows:
+        if theta / serr > 3:
+            most.setdefault((c_, g, (p - 3 + 1) // 10 + 1), []).append((theta / serr, p))
+    assert got == sorted((*k, p) for k, v in most.items() for t, p in v if t == max(v)[0])
