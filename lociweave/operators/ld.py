@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lociweave.cluster import cut_lineage, ship_package
 from lociweave.functions.columns import band_width, panel_theta, shrunk_covariance
 from lociweave.operators.graph import clump
+from lociweave.operators.matrix import BLOCK_BYTES, TILE as PRODUCT, scan_blocks
 from lociweave.operators.ordered import row_numbers
 from lociweave.operators.relational import band_join, interval_join
 
@@ -198,3 +199,189 @@ def pruned_hits(hits: DataFrame, matrix: DataFrame, cis_p: float = 0.05, trans_p
     links = near.join(pair_correlations(near, matrix), ["i", "j"]).filter(tight).select("src", "dst")
     ranked = own.withColumn("_order", F.struct("p", "feature_id"))
     return clump(ranked, links, "_order").select("gene", "feature_id", "chrom", "pos", "p", "is_cis")
+
+
+#: Variants of a range of a pruned scan, and pairs of hits of one gene that a worker compares at once.
+RANGE, PAIRS = 1024, 2_000_000
+#: States of a hit inside a range.
+OPEN, STAYS, GOES, DOUBT = range(4)
+
+
+def pruned_scan(variants: DataFrame, genes: DataFrame, cis_t: float, trans_t: float, cis_cut: float, trans_cut: float, reach: float, cis_reach: float, size: int = RANGE, halo: float = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(gene, feature_id, chrom, pos, is_cis): ``pruned_hits`` of an all-pairs scan, whose hits are never listed.
+
+    variants: (feature_id, values, chrom, pos); genes: (feature_id, values, chrom, start).  A pair is
+    cis on one chromosome with |pos - start| under ``cis_reach``, and a hit if its |t| exceeds its
+    class's threshold; hits of a gene and class are taken by falling |t| (to ten decimals), then by feature_id.
+
+    Variants are cut into ranges of ``size`` in the order of place; a worker forms the product of a
+    range, with ``halo`` times the reach on both sides, and prunes there.  A hit's state is certain
+    unless it hangs on hits beyond the halo.  Only the hits in doubt, and those that stay and have a
+    link over the border to a later one, leave the first pass; ``pruned_hits`` decides them by the
+    table of their links.  The second pass gives what stays for certain.  So a task holds a range
+    with its halo, and what is shuffled are the variants and the hits in doubt.  Rows with a null
+    feature, chromosome or place are left out, as are pairs whose class is null; of rows that repeat an id
+    the least counts.
+    """
+    if halo < 1:
+        raise ValueError("the halo is at least one reach")
+    ship_package(variants.sparkSession)
+    once = lambda df, *columns: df.filter("feature_id is not null").groupBy("feature_id").agg(F.min(F.struct(*columns, F.col("values").cast("array<double>").alias("values"))).alias("_least")).select("feature_id", "_least.*")
+    rows = cut_lineage(once(variants.dropna(subset=["chrom", "pos"]), "chrom", "pos"))
+    genes = cut_lineage(once(genes, "chrom", "start"))
+    numbered = row_numbers(rows.select("chrom", "pos", "feature_id"), ["pos", "feature_id"], "_row", ["chrom"])
+    own = cut_lineage(numbered.select("chrom", "pos", "feature_id", F.floor((F.col("_row") - 1) / size).alias("own")))
+    spans = own.groupBy("chrom", F.col("own").alias("range")).agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    step = spans.agg(F.avg(F.col("high") - F.col("low"))).first()[0]
+    kinds = dict(rows.dtypes)
+    schema = f"gene {dict(genes.dtypes)['feature_id']}, feature_id {kinds['feature_id']}, chrom {kinds['chrom']}, pos {kinds['pos']}, is_cis boolean, t double, open boolean"
+    wanted = ["gene", "feature_id", "chrom", "pos", "is_cis"]
+    if step is None:
+        return variants.sparkSession.createDataFrame([], schema).select(*wanted)
+    near = interval_join(own, spans, "chrom", "pos", "low", "high", halo * reach, bucket=max(float(step), halo * reach, 1e-9)) if reach else own.withColumn("range", F.col("own")).join(spans, ["chrom", "range"])
+    near = near.select("chrom", "range", F.col("feature_id").alias("_id"), (F.col("own") == F.col("range")).alias("core"), "low", "high")
+    placed = near.join(rows.withColumnRenamed("chrom", "_chrom"), F.col("_id") == F.col("feature_id")).drop("_id", "_chrom")
+    tasks = 4 * variants.sparkSession.sparkContext.defaultParallelism
+    dealt = cut_lineage(placed).repartitionByRange(tasks, "chrom", "range").sortWithinPartitions("chrom", "range", "pos", "feature_id")
+
+    def scan(certain: bool):
+        def run(frames: Iterator[pd.DataFrame], gene: pd.DataFrame, e: np.ndarray) -> Iterator[pd.DataFrame]:
+            e = _unit(e)
+            for frame in _ranges(frames):
+                yield from _range_hits(frame, gene, e, (trans_t, cis_t), (trans_cut, cis_cut), reach, cis_reach, halo * reach, certain)
+
+        return scan_blocks(dealt, genes, run, schema, block_bytes, dealt=True)
+
+    border = cut_lineage(scan(False))
+    stay = scan(True).select(*wanted)
+    doubtful = border.filter("open").select("gene", "feature_id", "is_cis")
+    if not doubtful.limit(1).count():
+        return stay
+    settled = pruned_hits(border.withColumn("p", -F.col("t")), rows, 1.0, 1.0, cis_cut, trans_cut, reach)
+    return stay.unionByName(settled.join(doubtful, ["gene", "feature_id", "is_cis"], "left_semi").select(*wanted))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows about their means and of length one; without variance, NaN."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = x - x.mean(axis=1, keepdims=True)
+        return z / np.sqrt((z * z).sum(axis=1, keepdims=True))
+
+
+def _ranges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one range at a time, of frames sorted by range."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        names = frame[["chrom", "range"]]
+        cuts = np.flatnonzero((names != names.shift()).any(axis=1).to_numpy())
+        for a, b in zip(cuts, [*cuts[1:], len(frame)], strict=True):
+            part = frame.iloc[a:b]
+            if held and (held[0]["range"].iloc[0], held[0]["chrom"].iloc[0]) != (part["range"].iloc[0], part["chrom"].iloc[0]):
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _range_hits(frame: pd.DataFrame, gene: pd.DataFrame, e: np.ndarray, t_crit: tuple[float, float], cuts: tuple[float, float], reach: float, cis_reach: float, halo: float, certain: bool) -> Iterator[pd.DataFrame]:
+    """The hits of a range's own variants that stay for certain; or else those in doubt and those that
+    stay and have a link to a later hit of another range.
+
+    e: unit rows of the genes; t_crit, cuts: of trans and of cis pairs.
+    """
+    u, pos, core = _unit(np.array(frame["values"].tolist(), float)), frame["pos"].to_numpy(float), frame["core"].to_numpy(bool)
+    if u.shape[1] != e.shape[1]:
+        raise ValueError("the two matrices have different numbers of individuals")
+    df, chrom, ids = u.shape[1] - 2, frame["chrom"].iloc[0], frame["feature_id"].to_numpy()
+    if df < 1:
+        return
+    edge = (pos - reach < float(frame["low"].iloc[0]) - halo) | (pos + reach > float(frame["high"].iloc[0]) + halo)
+    upto = np.searchsorted(pos, pos + reach, side="right")
+    bars = [t / np.sqrt(df + t * t) * (1 - 1e-9) for t in t_crit]
+    for to in range(0, len(e), PRODUCT[1]):
+        some = gene.iloc[to : to + PRODUCT[1]]
+        r = np.abs(e[to : to + PRODUCT[1]] @ u.T)
+        start, own = some["start"].to_numpy(float), some["chrom"].notna().to_numpy() & (some["chrom"] == chrom).to_numpy()
+        blank = some["chrom"].isna().to_numpy()
+        over = r > bars[0]
+        # the few genes with a variant in reach, or with an unknown place, have thresholds by pair
+        special = np.flatnonzero(blank | (own & ~((start + cis_reach <= pos[0]) | (start - cis_reach >= pos[-1]))))
+        cis = np.zeros((len(special), len(pos)), bool)
+        if len(special):
+            with np.errstate(invalid="ignore"):
+                close = np.abs(pos[None, :] - start[special][:, None]) < cis_reach
+            cis = close & own[special][:, None]
+            unknown = np.where(blank[special][:, None], close | np.isnan(start[special])[:, None], own[special][:, None] & np.isnan(start[special])[:, None])
+            over[special] = (r[special] > np.where(cis, bars[1], bars[0])) & ~unknown
+        g, v = np.nonzero(over)
+        row = np.full(len(some), -1)
+        row[special] = np.arange(len(special))
+        kind = np.zeros(len(g), np.int64)
+        if len(special):
+            kind = np.where(row[g] >= 0, cis[row[g], v], False).astype(np.int64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.sqrt(df) * r[g, v] / np.sqrt(1 - r[g, v] * r[g, v])
+        kept = np.isfinite(t) & (t > np.where(kind == 1, t_crit[1], t_crit[0]))
+        g, v, kind, t = g[kept], v[kept], kind[kept], np.round(t[kept], 10)
+        group = 2 * g + kind
+        if kind.any():
+            order = np.argsort(group * len(pos) + v, kind="stable")
+            g, v, kind, t, group = g[order], v[order], kind[order], t[order], group[order]
+        place = group * len(pos) + v
+        n = np.searchsorted(place, group * len(pos) + upto[v]) - np.arange(len(v)) - 1
+        for a, b in _runs(group, n):
+            early, late = _links(u, v[a:b], t[a:b], kind[a:b], n[a:b], ids, cuts)
+            state = _states(b - a, early, late, edge[v[a:b]])
+            own_hit = core[v[a:b]]
+            if certain:
+                listed = own_hit & (state == STAYS)
+            else:
+                crosses = np.zeros(b - a, bool)
+                crosses[early[~own_hit[late]]] = True
+                listed = own_hit & ((state == DOUBT) | ((state == STAYS) & crosses))
+            at = a + np.flatnonzero(listed)
+            if len(at):
+                rows = frame.iloc[v[at]]
+                yield pd.DataFrame({"gene": some["feature_id"].to_numpy()[g[at]], "feature_id": ids[v[at]], "chrom": rows["chrom"].to_numpy(), "pos": rows["pos"].to_numpy(), "is_cis": kind[at] == 1, "t": t[at], "open": state[listed] == DOUBT})
+
+
+def _runs(group: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of whole groups with some PAIRS pairs."""
+    ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group)) if len(group) else np.zeros(0, np.int64)
+    total, at = np.concatenate(([0], np.cumsum(n))), 0
+    while at < len(group):
+        k = max(np.searchsorted(total[ends], total[at] + PAIRS, side="right") - 1, np.searchsorted(ends, at, side="right"))
+        yield at, int(ends[k])
+        at = int(ends[k])
+
+
+def _links(u: np.ndarray, v: np.ndarray, t: np.ndarray, kind: np.ndarray, n: np.ndarray, ids: np.ndarray, cuts: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(earlier, later) hits of each pair, the n next ones of each, whose |r| exceeds its class's cutoff."""
+    a = np.repeat(np.arange(len(v)), n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + a + 1
+    tight, step = np.zeros(len(a), bool), max(1, PAIRS // u.shape[1])
+    for at in range(0, len(a), step):
+        x, y = a[at : at + step], b[at : at + step]
+        tight[at : at + step] = np.abs(np.einsum("ij,ij->i", u[v[x]], u[v[y]])) > np.where(kind[x] == 1, cuts[1], cuts[0])
+    a, b = a[tight], b[tight]
+    first = (t[a] > t[b]) | ((t[a] == t[b]) & (ids[v[a]] < ids[v[b]]))
+    return np.where(first, a, b), np.where(first, b, a)
+
+
+def _states(n: int, early: np.ndarray, late: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The state of n hits by their links: a hit goes if an earlier linked one stays; it stays if all of
+    them go; it is in doubt if one is, or if it lies at the edge, where links are missing."""
+    state, doubt = np.full(n, OPEN, np.int8), edge.copy()
+    while True:
+        known = state[early]
+        state[late[known == STAYS]] = GOES
+        live = (state[late] == OPEN) & (known != GOES)
+        early, late = early[live], late[live]
+        waits = np.zeros(n, bool)
+        waits[late[state[early] == OPEN]] = True
+        doubt[late[state[early] == DOUBT]] = True
+        ready = (state == OPEN) & ~waits
+        if not ready.any():
+            return state
+        state[ready] = np.where(doubt[ready], DOUBT, STAYS)

@@ -112,7 +112,7 @@ def pair_scan(snps: DataFrame, genes: DataFrame, t_crit: float | None = None, bl
     def made(snp: pd.DataFrame, gene: pd.DataFrame, i: np.ndarray, j: np.ndarray, beta: np.ndarray, se: np.ndarray, t: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"snp": snp["feature_id"].to_numpy()[i], "gene": gene["feature_id"].to_numpy()[j], "beta": beta, "se": se, "t": t})
 
-    out = _scan_blocks(snps.select("feature_id", "values"), genes.select("feature_id", "values"), _found_pairs(t_crit, made), "snp long, gene long, beta double, se double, t double", block_bytes)
+    out = scan_blocks(snps.select("feature_id", "values"), genes.select("feature_id", "values"), _found_pairs(t_crit, made), "snp long, gene long, beta double, se double, t double", block_bytes)
     return out.select("snp", "gene", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("beta", "se", "t")])
 
 
@@ -133,7 +133,7 @@ def cis_trans_pairs(snps: DataFrame, genes: DataFrame, cis_t: float, trans_t: fl
         return rows[np.abs(t) > np.where(cis, cis_t, trans_t)]
 
     left, right = snps.select("feature_id", "values", "chrom", "pos"), genes.select("feature_id", "values", "chrom", "start", "end", "fgeneid")
-    return _scan_blocks(left, right, _found_pairs(min(cis_t, trans_t), made), f"chrom {kinds['chrom']}, fgeneid {kinds['fgeneid']}, pos {kinds['pos']}, theta double, serr double, is_cis boolean", block_bytes)
+    return scan_blocks(left, right, _found_pairs(min(cis_t, trans_t), made), f"chrom {kinds['chrom']}, fgeneid {kinds['fgeneid']}, pos {kinds['pos']}, theta double, serr double, is_cis boolean", block_bytes)
 
 
 def scan_shares(snps: DataFrame, genes: DataFrame, t_crit: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -157,7 +157,7 @@ def scan_shares(snps: DataFrame, genes: DataFrame, t_crit: float, block_bytes: i
         if seen:
             yield pd.DataFrame({"feature_id": gene["feature_id"], "is_gene": True, "n_pairs": seen, "hits": hits})
 
-    counts = _scan_blocks(snps.select("feature_id", "values"), genes.select("feature_id", "values"), counted, "feature_id long, is_gene boolean, n_pairs long, hits long", block_bytes)
+    counts = scan_blocks(snps.select("feature_id", "values"), genes.select("feature_id", "values"), counted, "feature_id long, is_gene boolean, n_pairs long, hits long", block_bytes)
     sums = counts.groupBy("feature_id", "is_gene").agg(F.sum("n_pairs").alias("n_pairs"), F.sum("hits").alias("hits"))
     return sums.select("feature_id", "is_gene", "n_pairs", (F.col("hits") / F.col("n_pairs")).alias("share"))
 
@@ -181,12 +181,12 @@ def _found_pairs(t_crit: float | None, made: Callable) -> Callable:
     return run
 
 
-def _scan_blocks(snps: DataFrame, genes: DataFrame, scan: Callable, schema: str, block_bytes: int) -> DataFrame:
+def scan_blocks(snps: DataFrame, genes: DataFrame, scan: Callable, schema: str, block_bytes: int, dealt: bool = False) -> DataFrame:
     """Rows that ``scan`` gives of each SNP partition (frames) and gene block (frame, matrix)."""
     ship_package(snps.sparkSession)
     sc = snps.sparkSession.sparkContext
     # a few small files would leave most cores without work, and a pair costs more than a row
-    snps = snps.repartition(2 * sc.defaultParallelism, "feature_id")
+    snps = snps if dealt else snps.repartition(2 * sc.defaultParallelism, "feature_id")
     out = None
     for block in _blocks(genes, block_bytes):
         shared = sc.broadcast((block.drop(columns="values"), _matrix(block["values"].tolist())))

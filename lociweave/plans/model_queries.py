@@ -137,16 +137,6 @@ def window_pruned_variants(spark, sf_dir):
 CIS_P, TRANS_P, CIS_CUT, TRANS_CUT, LD_REACH = 0.1, 0.02, 0.1, 0.15, 150_000
 
 
-def _hits(spark, sf_dir) -> DataFrame:
-    """Pairs of variants and genes under the weaker cutoff, with p and class."""
-    weaker = t_critical(max(CIS_P, TRANS_P), 63)
-    scan = matrix.pair_scan(_kind(spark, sf_dir, 0), _kind(spark, sf_dir, 1), t_crit=weaker).withColumnRenamed("snp", "feature_id")
-    genes = _legend(spark, sf_dir, 1).select(F.col("feature_id").alias("gene"), F.col("chrom").alias("g_chrom"), "start", "end")
-    rows = scan.join(_legend(spark, sf_dir, 0), "feature_id").join(genes, "gene")
-    near = (F.col("chrom") == F.col("g_chrom")) & (F.abs(F.col("pos") - F.col("start")) < 30_000)
-    return regress.with_p(rows, F.lit(63.0)).select("gene", "feature_id", "chrom", "pos", "p", near.alias("is_cis"))
-
-
 @register(f"""
 WITH RECURSIVE {_SCAN},
 h AS (
@@ -160,7 +150,9 @@ l AS (SELECT a, b FROM near JOIN c USING (i, j) WHERE abs(r) > CASE WHEN is_cis
 SELECT gene, snp AS feature_id, chrom, is_cis FROM stay JOIN all_v USING (v)""")
 def ld_pruned_hits(spark, sf_dir):
     """Hits of each gene and class that LD pruning in the order of p keeps."""
-    kept = ld.pruned_hits(_hits(spark, sf_dir), _kind(spark, sf_dir, 0), CIS_P, TRANS_P, CIS_CUT, TRANS_CUT, LD_REACH)
+    variants = _kind(spark, sf_dir, 0).join(_legend(spark, sf_dir, 0), "feature_id")
+    genes = _kind(spark, sf_dir, 1).join(_legend(spark, sf_dir, 1), "feature_id")
+    kept = ld.pruned_scan(variants, genes, t_critical(CIS_P, 63), t_critical(TRANS_P, 63), CIS_CUT, TRANS_CUT, LD_REACH, 30_000)
     return kept.select("gene", "feature_id", "chrom", "is_cis")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lociweave.functions import columns as c
 from lociweave.functions.tdist import t_critical, t_tail, upper_tail
 from lociweave.operators import graph, ld, matrix, mixture, regress, relational
-from lociweave.plans import studies
+from lociweave.plans import model_queries, studies
 
 RNG = np.random.default_rng(7)
 N_IND, N_SNP, N_GENE = 30, 40, 12
@@ -577,3 +577,55 @@ def test_top_hits_are_not_dealt_by_chromosome(spark):
         if theta / serr > 3:
             most.setdefault((c_, g, (p - 3 + 1) // 10 + 1), []).append((theta / serr, p))
     assert got == sorted((*k, p) for k, v in most.items() for t, p in v if t == max(v)[0])
+
+
+@pytest.mark.parametrize(("size", "halo", "block_bytes"), [(4, 1, 1), (7, 1.5, 64 << 20), (1024, 2, 64 << 20)])
+def test_pruned_scan_against_a_greedy_loop(spark, monkeypatch, size, halo, block_bytes):
+    rng = np.random.default_rng(5)
+    values = np.repeat(rng.normal(size=(20, 15)), 3, axis=0) + rng.normal(size=(60, 15)) * 0.6
+    values[8], values[21] = 2.0, values[20]  # no variance; equal variants
+    genes = rng.normal(size=(9, 15)) + values[rng.integers(0, 60, 9)] * 0.5
+    place = [(1 + s // 30, 100 * s) for s in range(60)]
+    starts = [(1 + g % 2, 700 * g) for g in range(7)] + [(None, 2000), (1, None)]
+    left = [(s, [float(x) for x in v], *place[s]) for s, v in enumerate(values)] + [(99, [1.0] * 15, None, 5)]
+    left += left[:2]  # repeated rows
+    right = [(g, [float(x) for x in v], *starts[g]) for g, v in enumerate(genes)]
+    monkeypatch.setattr(ld, "PAIRS", 50)
+    got = ld.pruned_scan(spark.createDataFrame(left, "feature_id long, values array<double>, chrom int, pos long"), spark.createDataFrame(right, "feature_id long, values array<double>, chrom int, start long"), 0.7, 1.0, 0.3, 0.4, 500, 800, size=size, halo=halo, block_bytes=block_bytes).collect()
+    want = []
+    for g, (chrom, start) in enumerate(starts):
+        hits = []
+        for s, (c_, pos) in enumerate(place):
+            near, same = None if start is None else abs(pos - start) < 800, None if chrom is None else chrom == c_
+            cis = False if near is False or same is False else None if near is None or same is None else True
+            r = 0.0 if s == 8 else np.corrcoef(values[s], genes[g])[0, 1]
+            t = abs(math.sqrt(13) * r / math.sqrt(1 - r * r))
+            if cis is not None and t > (0.7 if cis else 1.0):
+                hits.append((-round(t, 8), s, c_, pos, cis))
+        for cls in (True, False):
+            kept = []
+            for _, s, c_, pos, cis in sorted(hits):
+                if cis == cls and all(k[1] != c_ or abs(k[2] - pos) > 500 or abs(np.corrcoef(values[s], values[k[0]])[0, 1]) <= (0.3 if cis else 0.4) for k in kept):
+                    kept.append((s, c_, pos))
+            want += [(g, *k, cls) for k in kept]
+    assert sorted(tuple(r) for r in got) == sorted(want) and any(w[-1] for w in want) and len(want) > 50
+
+
+def test_pruned_scan_lists_the_hits_in_doubt_alone(spark, sf_dir, monkeypatch):
+    listed = [0]
+    decide = ld.pruned_hits
+
+    def counted(hits, *rest):
+        listed.append(hits.count())
+        return decide(hits, *rest)
+
+    monkeypatch.setattr(ld, "pruned_hits", counted)
+    n = model_queries.ld_pruned_hits(spark, sf_dir).count()
+    assert n > 20 and sum(listed) < n / 20
+
+
+def test_pruned_scan_of_empty_tables(spark):
+    left = spark.createDataFrame([], "feature_id long, values array<double>, chrom int, pos long")
+    right = spark.createDataFrame([(1, [1.0, 2.0, 4.0], 1, 5)], "feature_id long, values array<double>, chrom int, start long")
+    assert ld.pruned_scan(left, right, 1, 1, 0.3, 0.3, 500, 800).count() == 0
+    assert ld.pruned_scan(right.withColumnRenamed("start", "pos"), right.limit(0), 1, 1, 0.3, 0.3, 500, 800).count() == 0
