@@ -301,6 +301,7 @@ def shared_counts(docs: DataFrame, words: dict[str, int]) -> tuple[np.ndarray, f
         yield pa.record_batch([pa.array(np.concatenate((own, codes))), pa.array(np.concatenate((seen[own], np.array(list(letters.values()), np.int64))))], names=["w", "n"])
 
     rows = docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy("w").toArrow()
+    shared.unpersist()
     key, n = _long(rows, "w"), _long(rows, "n")
     out = np.zeros(len(words) + 1)
     out[key[key >= 0]] = n[key >= 0]
@@ -328,6 +329,22 @@ def count(docs: DataFrame, train: DataFrame) -> Counts:
     return Counts(names, word_n, total, (in_texts + 0.5) / all_texts, float(rare), keys, context, gram_n, positions, codes, letters)
 
 
+def held_means(train: DataFrame, counts: Counts, fold: int) -> pa.Table:
+    """(mean, label) of the training texts of a fold, by the model of the others.
+
+    A worker gets one model, and neither the counts nor the models of other folds.
+    """
+    shared = train.sparkSession.sparkContext.broadcast(NgramModel(counts, fold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(shared.value.means(batch.column(0))[0]), batch.column(1)], names=["mean", "label"])
+
+    out = train.filter(F.col("fold") == fold).select("text", "label").mapInArrow(run, "mean double, label int").toArrow()
+    shared.unpersist()
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000) -> NgramModel:
     """Train on labelled documents that are not held out.
 
@@ -342,17 +359,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000) -> Ngr
     texts = d.join(F.broadcast(sample), "doc_id").groupBy(F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
     train = cut_lineage(texts.select("text", "label", F.pmod("t", F.lit(FOLDS)).cast("int").alias("fold")))
     counts = count(d, train)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [NgramModel(shared.value, k) for k in range(FOLDS)]
-        for batch in batches:
-            fold, mean = batch.column(1).to_numpy(), np.zeros(batch.num_rows)
-            for k in np.unique(fold):
-                mean[fold == k] = models[k].means(batch.column(0).filter(pa.array(fold == k)))[0]
-            yield pa.record_batch([pa.array(mean), batch.column(2)], names=["mean", "label"])
-
-    held = train.select("text", "fold", "label").mapInArrow(run, "mean double, label int").toArrow()
+    held = pa.concat_tables([held_means(train, counts, fold) for fold in range(FOLDS)])
     model = NgramModel(counts)
     x, y = model.features(held.column(0).to_numpy()), held.column(1).to_numpy().astype(float)
     weights = fit_logistic(x, y)
