@@ -128,13 +128,27 @@ def set_sums(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, text_id, form, form2, size, keys) of every row; of equal sets a task gives keys
-    to the first only, so that copies do not make a key hot."""
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text_id, form, form2, size) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for rows, texts in _in_blocks(batches):
+            hashes, sizes = shingle_sets(texts, shingle)
+            yield pa.record_batch([rows.column(0), rows.column(1), *map(pa.array, set_sums(hashes, sizes)), pa.array(sizes)], names=["doc_id", "text_id", "form", "form2", "size"])
+
+    return docs.select("doc_id", "text_id", "text").mapInArrow(run, "doc_id long, text_id long, form long, form2 long, size long")
+
+
+def form_keys(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(form, key): the keys of all forms; of equal sets a task gives keys to the first only, so
+    that copies do not make a key hot.
+
+    Sets are made once more here: keys stored with the sketches took half as much disk as the texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for _, texts in _in_blocks(batches):
             hashes, sizes = shingle_sets(texts, shingle)
             forms = set_sums(hashes, sizes)
             first = np.zeros(len(texts), bool)
@@ -142,29 +156,32 @@ def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 if sizes[i] and pair not in seen:
                     seen.add(pair)
                     first[i] = True
-            kept = np.where(first, sizes, 0)
-            keys, n = part_keys(hashes[np.repeat(first, sizes)], kept, percent)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(keys))
-            yield pa.record_batch([rows.column(0), rows.column(1), *map(pa.array, forms), pa.array(sizes), lists], names=["doc_id", "text_id", "form", "form2", "size", "keys"])
+            keys, n = part_keys(hashes[np.repeat(first, sizes)], np.where(first, sizes, 0), percent)
+            yield pa.record_batch([pa.array(np.repeat(forms[0], n)), pa.array(keys)], names=["form", "key"])
 
-    return docs.select("doc_id", "text_id", "text").mapInArrow(run, "doc_id long, text_id long, form long, form2 long, size long, keys array<long>")
+    return docs.select("text").mapInArrow(run, "form long, key long")
 
 
 def token_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, hashes): the tokens of each of the nodes (node, form, form2, doc_id, text_id)."""
+    """(node, hashes): the tokens of each of the nodes (node, doc_id, text_id).
+
+    A task gives a node once; rows that repeat id and text may give it in several tasks, which adds no link.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _in_blocks(batches):
-            hashes, sizes = shingle_sets(texts, shingle)
+        seen: set[int] = set()
+        for rows, texts in _in_blocks(batches):
+            nodes = rows.column(0).to_pylist()
+            new = [i for i, node in enumerate(nodes) if node not in seen and not seen.add(node)]
+            hashes, sizes = shingle_sets([texts[i] for i in new], shingle)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.record_batch([*map(pa.array, set_sums(hashes, sizes)), lists], names=["form", "form2", "hashes"])
+            yield pa.record_batch([pa.array([nodes[i] for i in new], pa.int64()), lists], names=["node", "hashes"])
 
-    wanted = nodes.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"))
+    wanted = nodes.select("node", F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"))
     if nodes.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    found = docs.join(wanted, (F.col("text_id") == F.col("_text_id")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = found.select("text").mapInArrow(run, "form long, form2 long, hashes array<long>")
-    return cut_lineage(sets.join(nodes.select("node", "form", "form2"), ["form", "form2"]).select("node", "hashes").dropDuplicates(["node"]))
+    found = docs.join(wanted, (F.col("text_id") == F.col("_text_id")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return cut_lineage(found.select("node", "text").mapInArrow(run, "node long, hashes array<long>"))
 
 
 class Group:
@@ -263,11 +280,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     if not 50 < percent < 100:
         raise ValueError("percent is between 50 and 100")
     d = doc_frame(docs).withColumn("text_id", F.xxhash64("text"))
-    rows = cut_lineage(sketches(d, shingle, percent).withColumn("row", F.monotonically_increasing_id()))
+    rows = cut_lineage(sketches(d, shingle).withColumn("row", F.monotonically_increasing_id()))
     some = rows.filter("size > 0")
     forms = cut_lineage(some.groupBy("form", "form2").agg(F.min("row").alias("node"), F.min(F.struct("doc_id", "text_id")).alias("of"), F.min("doc_id").alias("least"), F.max("size").alias("size")).select("form", "form2", "node", "size", "least", "of.doc_id", "of.text_id"))
-    keyed = some.select("form", F.explode("keys").alias("key"))
-    found = form_components(d, forms, keyed, shingle, percent)
+    found = form_components(d, forms, form_keys(d, shingle, percent), shingle, percent)
     grouped = cut_lineage(forms.join(found, "node", "left").select("form", "form2", "least", F.coalesce("component", "node").alias("component")))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = grouped.join(least, "component").select("form", "form2", "component_id")
