@@ -1,5 +1,8 @@
 """What training-data operators store and what they send to workers."""
 
+import numpy as np
+import pyarrow as pa
+
 from lociweave.llm import token_groups, toxicity_kn
 
 TEXT = "one two three four five six seven eight nine ten eleven twelve"
@@ -30,3 +33,22 @@ def test_token_groups_store_no_keys_and_one_copy_of_tokens(spark, monkeypatch):
     assert len(rows) == 60 and {r["component_id"] for r in rows if r["doc_id"] in (0, 4)} == {0}
     assert not any("keys" in columns for columns in stored)
     assert "Exchange" not in stored[("node", "hashes")].split("MapInArrow")[0]
+
+
+def test_toxicity_workers_remember_listed_words_only(spark, monkeypatch):
+    gone, context, kind = [], type(spark.sparkContext), type(spark.sparkContext.broadcast(0))
+    sent, send, destroy = [], context.broadcast, kind.destroy
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(send(self, value)) or sent[-1])
+    monkeypatch.setattr(kind, "destroy", lambda self, blocking=False: gone.append(self) or destroy(self, blocking))
+    docs = spark.createDataFrame([(i, f"{TEXT} {'bad' if i % 3 == 0 else 'good'} {i % 5}") for i in range(60)], "doc_id long, text string")
+    model = toxicity_kn.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int"))
+    assert sent and gone == sent  # the driver keeps no broadcast of the fit
+    once = [" ".join(f"rare{i}x{j}" for j in range(40)) for i in range(300)]
+    words = [*TEXT.split(), *once[0].split()]
+    ratios = model.log_ratios(words)
+    spelled, init = [], toxicity_kn.Spelling.__init__
+    monkeypatch.setattr(toxicity_kn.Spelling, "__init__", lambda self, words: spelled.append(len(words)) or init(self, words))
+    mean, n = model.means(pa.array([*once, TEXT, once[0], f"{TEXT} {once[0]}"]))
+    assert max(spelled) <= toxicity_kn.SPELLED < 256 * 40 and n.tolist() == [40] * 300 + [12, 40, 52]
+    assert set(model.known) == set(TEXT.split()) and all(w in model.words for w in model.known)
+    assert np.allclose(mean[[0, -3, -2, -1]], [x.mean() for x in (ratios[12:], ratios[:12], ratios[12:], ratios)])
