@@ -451,6 +451,8 @@ def drop_toxic(docs: DataFrame, model: NgramModel, threshold: float = 0.7) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.scores(batch.column(at))[0] < threshold, pa.bool_()))
+            for start in range(0, batch.num_rows, TOGETHER):  # whole texts go back, so a few at a time
+                some = batch.slice(start, TOGETHER)
+                yield some.filter(pa.array(shared.value.scores(some.column(at))[0] < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -52,3 +52,17 @@ def test_toxicity_workers_remember_listed_words_only(spark, monkeypatch):
     assert max(spelled) <= toxicity_kn.SPELLED < 256 * 40 and n.tolist() == [40] * 300 + [12, 40, 52]
     assert set(model.known) == set(TEXT.split()) and all(w in model.words for w in model.known)
     assert np.allclose(mean[[0, -3, -2, -1]], [x.mean() for x in (ratios[12:], ratios[:12], ratios[12:], ratios)])
+
+
+def test_drop_toxic_returns_a_few_texts_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{TEXT} {'bad' if i % 3 == 0 else 'good'} {i % 5}" if i % 7 else None) for i in range(700)], "doc_id long, text string")
+    model = toxicity_kn.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic"))
+    whole = pa.RecordBatch.from_pylist([r.asDict() for r in docs.collect()])
+    runs, send = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, *schema: runs.append(run) or send(self, run, *schema))
+    kept = toxicity_kn.drop_toxic(docs, model)
+    parts = list(runs[0](iter([whole])))
+    assert max(x.num_rows for x in parts) <= toxicity_kn.TOGETHER < whole.num_rows
+    ids = [i for x in parts for i in x.column(0).to_pylist()]
+    score = model.scores(whole.column(1))[0]
+    assert 0 < len(ids) < 700 and ids == np.flatnonzero(score < 0.7).tolist() == sorted(r["doc_id"] for r in kept.collect())
